@@ -1,13 +1,192 @@
-"""Registered queries of the analytics engine and their SQL."""
+"""Registered queries of the analytics engine, named by the inventory's ids, and the same in DuckDB's SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+from datetime import date
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from tallymill.functions.measures import METRICS, availability, freshness, share_ppm
+from tallymill.operators import analytics, benefit, calendar, git_output, lineage, pricing, quota, rollup, status
+from tallymill.plans import oracle
+from tallymill.sources import testdata
 
+FIRST, LAST, ZONE = date(2024, 1, 3), date(2024, 1, 24), "America/New_York"
+START, END = calendar.day_start(FIRST, ZONE), calendar.day_start(LAST, ZONE)
+SCOPES = [("local", "profile_0"), ("codex", "profile_1"), ("codex", "profile_2")]
+NOW_MS = 807_000_000_000
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, Query] = {}
 
-def entry(spark):
-    raise NotImplementedError
+
+def query(name: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _found[name] = f
+        return f
+
+    return add
+
+
+def _events(spark, sf_dir):
+    return testdata.usage_event(spark, sf_dir)
+
+
+def _rollup(spark, sf_dir):
+    return rollup.time_rollup(_events(spark, sf_dir))
+
+
+def _targets():
+    return calendar.day_targets(FIRST, LAST, ZONE)
+
+
+query("s8_usage_event")(_events)
+query("c2_event_identity")(lambda s, d: testdata.usage_event(s, d, True).select("source_offset", "fingerprint", "event_id"))
+query("a2_time_rollup")(_rollup)
+query("a5_session_rollup")(lambda s, d: rollup.session_rollup(_events(s, d)))
+query("a9_price_time_rollup")(lambda s, d: rollup.price_time_rollup(_events(s, d)))
+query("a10_price_session_rollup")(lambda s, d: rollup.price_session_rollup(_events(s, d)))
+
+
+@query("a4_merged_rollup")
+def merged(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return rollup.merge(*[rollup.time_rollup(e.filter(F.col("source_offset") % 2 == k)) for k in (0, 1)])
+
+
+@query("a11_retracted_rollup")
+def retracted(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return rollup.retract(rollup.time_rollup(e), rollup.time_rollup(e.filter(F.col("source_offset") % 3 == 0)))
+
+
+query("u1_overview")(lambda s, d: analytics.overview(_rollup(s, d), START, END))
+query("u2_scoped_overview")(lambda s, d: analytics.overview(_rollup(s, d), START, END, SCOPES))
+query("u3_daily_series")(lambda s, d: analytics.daily_series(_rollup(s, d), _targets()))
+for _kind in ("model", "project", "provider", "profile"):
+    query(f"u4_breakdown_{_kind}")(lambda s, d, k=_kind: analytics.breakdown(_rollup(s, d), START, END, k))
+
+def _rhythm(name: str) -> Query:
+    def run(spark, sf_dir):
+        keys = {"hours": (F.col("hour"), 24), "weekdays": (F.col("weekday"), 7), "cells": (F.col("weekday") * 24 + F.col("hour"), 168)}
+        return analytics.rhythm(_rollup(spark, sf_dir), calendar.rhythm_minutes(spark, START, END, ZONE), *keys[name])
+
+    return run
+
+
+for _name in ("hours", "weekdays", "cells"):
+    query(f"u5_rhythm_{_name}")(_rhythm(_name))
+query("d7_hour_exposure")(lambda s, d: calendar.exposure(s, START, END, ZONE, "hour"))
+query("u7_lifetime")(lambda s, d: analytics.lifetime(_rollup(s, d)))
+
+
+@query("u8_availability")
+def available(spark, sf_dir):
+    got = analytics.breakdown(_rollup(spark, sf_dir), START, END, "model")
+    return got.select("dimension_value", *[availability(c).alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens", "total_tokens")])
+
+
+_PAGE = ("timestamp_seconds", "timestamp_nanos", "fingerprint", "session_id", "total_tokens")
+query("u10_activity_page")(lambda s, d: analytics.activity_page(testdata.usage_event(s, d, True), 200).select(*_PAGE))
+query("u10_activity_cursor")(lambda s, d: analytics.activity_page(testdata.usage_event(s, d, True), 100, (1_705_000_000, 0, "")).select(*_PAGE))
+_SESSION = ("provider_id", "profile_id", "session_id", "last_seconds", "last_nanos", "event_count", "sum_total_tokens")
+query("u12_session_page")(lambda s, d: analytics.session_page(rollup.session_rollup(_events(s, d)), 100).select(*_SESSION))
+query("u12_session_cursor")(lambda s, d: analytics.session_page(rollup.session_rollup(_events(s, d)), 100, (1_706_500_000, 0, "", "", "")).select(*_SESSION))
+query("u13_session_detail")(lambda s, d: analytics.session_detail(rollup.session_rollup(_events(s, d)), "local", "profile_0", "session_0"))
+query("u14_session_models")(lambda s, d: analytics.session_detail(rollup.session_rollup(_events(s, d)), "local", "profile_0", "session_0", "model").select("dimension_value", *METRICS))
+
+
+def _in_range(spark, sf_dir):
+    return _events(spark, sf_dir).filter(F.col("timestamp_seconds").between(START, END - 1))
+
+
+def _by_day(events):
+    return events.withColumn("day", F.floor((F.col("timestamp_seconds") - START) / 86_400).cast("bigint"))
+
+
+query("p1_price_basis")(lambda s, d: rollup.price_basis_rows(_in_range(s, d)).orderBy(*rollup.PRICE_KEYS).limit(pricing.ROWS))
+query("p3_price_batch_days")(lambda s, d: pricing.batch(rollup.price_basis_rows(_by_day(_in_range(s, d)), "day"), "day"))
+query("p4_price_batch_projects")(lambda s, d: pricing.batch(rollup.price_basis_rows(_in_range(s, d).withColumn("project", F.coalesce("project_alias", F.lit(""))), "project"), "project"))
+query("p5_price_batch_sessions")(lambda s, d: pricing.batch(rollup.price_basis_rows(_events(s, d), "session_id"), "session_id"))
+query("p6_catalogue")(lambda s, d: pricing.catalogue(s))
+
+
+def _cost(mode: str, *target: str) -> Query:
+    return lambda s, d: pricing.select_cost(rollup.price_basis_rows(_by_day(_in_range(s, d)), *target), pricing.catalogue(s), *target, mode=mode)
+
+
+query("p12_cost_auto_days")(_cost("auto", "day"))
+query("p12_cost_calculated_models")(lambda s, d: pricing.select_cost(rollup.price_basis_rows(_in_range(s, d).withColumn("target", F.col("model")), "target"), pricing.catalogue(s), "target", mode="calculated"))
+query("p12_cost_reported_days")(_cost("reported", "day"))
+query("l5_replay_classes")(lambda s, d: lineage.classify(testdata.turn_observations(s, d)).select("session_id", "ordinal", "disposition"))
+query("l5_replay_open")(lambda s, d: lineage.classify(testdata.turn_observations(s, d).filter((F.col("ordinal") != 1) | F.col("parent_session_id").isNotNull()), False).select("session_id", "ordinal", "disposition"))
+query("l9_replay_quality")(lambda s, d: lineage.replay_quality(lineage.classify(testdata.turn_observations(s, d))))
+query("l3_ancestors")(lambda s, d: lineage.ancestors(testdata.turn_observations(s, d)))
+query("l4_fan_out")(lambda s, d: lineage.fan_out(testdata.turn_observations(s, d)))
+query("c6_canonical_pick")(lambda s, d: lineage.canonical(_copies(s, d)))
+
+
+def _copies(spark, sf_dir):
+    e = testdata.usage_event(spark, sf_dir, True).select("fingerprint", "profile_id", "source_offset", "total_tokens")
+    each = e.select("*", F.explode(F.array(F.lit("b"), F.lit("a"))).alias("file_key"), (F.col("source_offset") % 2).alias("generation"))
+    return each.select("fingerprint", "profile_id", "file_key", "generation", "source_offset", "total_tokens")
+
+
+query("q2_quota_transitions")(lambda s, d: quota.transitions(testdata.quota_samples(s, d)).select("scope_id", "window_id", "observed_at_ms", "observation_id", "signal", "reset_kind", "allowance_change", "epoch", "sequence", "max_used_ppm"))
+query("q9_current_windows")(lambda s, d: quota.current_windows(quota.transitions(testdata.quota_samples(s, d))))
+query("q10_transition_page")(lambda s, d: quota.transition_page(quota.transitions(testdata.quota_samples(s, d)), "profile_1", "click", 50).select("sequence", "observed_at_ms", "reset_kind", "allowance_change"))
+query("q12_redundant_samples")(lambda s, d: quota.redundant(testdata.quota_samples(s, d), 10_000_000))
+query("b1_reconcile")(lambda s, d: benefit.reconcile(testdata.benefit_lots(s, d, False), testdata.benefit_lots(s, d, True)))
+query("b1_reconcile_partial")(lambda s, d: benefit.reconcile(testdata.benefit_lots(s, d, False), testdata.benefit_lots(s, d, True), complete=False))
+query("b4_reminders")(lambda s, d: benefit.schedule(testdata.benefit_lots(s, d, False)))
+query("b5_due_reminders")(lambda s, d: benefit.due(benefit.schedule(testdata.benefit_lots(s, d, False)), NOW_MS))
+query("b8_fefo")(lambda s, d: benefit.first_expired_first(testdata.benefit_lots(s, d, False)))
+query("b9_nearest_expiry")(lambda s, d: benefit.nearest(testdata.benefit_lots(s, d, False)))
+query("g1_day_categories")(lambda s, d: git_output.day_categories(testdata.git_changes(s, d)))
+query("g3_days")(lambda s, d: git_output.days(testdata.git_changes(s, d)))
+query("g5_range_categories")(lambda s, d: git_output.range_categories(git_output.day_categories(testdata.git_changes(s, d)), 9000, 9400))
+
+
+@query("g10_efficiency")
+def efficient(spark, sf_dir):
+    """Cost per product line: repository k goes with project proj_k."""
+    lines = git_output.day_categories(testdata.git_changes(spark, sf_dir)).filter("category = 'product_code'").groupBy(F.concat(F.lit("proj_"), "repository_id").alias("project")).agg(F.sum("added").cast("bigint").alias("lines"))
+    rows = rollup.price_basis_rows(_in_range(spark, sf_dir).withColumn("project", F.coalesce("project_alias", F.lit(""))), "project")
+    cost = pricing.select_cost(rows, pricing.catalogue(spark), "project")
+    return cost.join(lines, "project", "left").select("project", "amount", "lines", git_output.efficiency(F.col("amount"), F.col("lines")).alias("per_100_lines"))
+
+
+query("x1_model_shares")(lambda s, d: status.model_shares(analytics.breakdown(_rollup(s, d), START, END, "model")).select("dimension_value", "share_ppm"))
+query("x2_cache_hits")(lambda s, d: analytics.breakdown(_rollup(s, d), START, END, "model").select("dimension_value", share_ppm(F.col("sum_cached_tokens"), F.col("sum_input_tokens")).alias("cache_hit_ppm")))
+
+
+@query("t1_session_freshness")
+def fresh(spark, sf_dir):
+    last = _events(spark, sf_dir).groupBy("session_id", "provider_id").agg(F.max("timestamp_seconds").alias("last"))
+    return last.select("session_id", freshness(F.lit(1_706_659_200) - F.col("last")).alias("freshness"))
+
+
+@query("t4_worst_freshness")
+def worst(spark, sf_dir):
+    last = _events(spark, sf_dir).groupBy("session_id", "provider_id").agg(F.max("timestamp_seconds").alias("last"))
+    return last.withColumn("f", freshness(F.lit(1_706_659_200) - F.col("last"))).groupBy("provider_id").agg(status.worst(F.col("f")).alias("worst"))
+
+
+@query("t9_prunable_scans")
+def prunable(spark, sf_dir):
+    e = testdata.read(spark, sf_dir, "events")
+    return status.prunable_scans(e.select(F.concat(F.lit("scope_"), F.col("user_id") % 16).alias("scope_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("started_at"), F.col("event_id").alias("scan_id")))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_found)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.statements(START, END, _targets(), SCOPES, NOW_MS)
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    """The model breakdown of three weeks."""
+    return _found["u4_breakdown_model"](spark, "/root/testdata/sf0.001")
