@@ -191,6 +191,13 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
 
 
+def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _count(length: int, whole: bool):
     """Keys of a group of documents and how many stretches have them; if whole, the strings of stretches with a hot key."""
 
@@ -199,7 +206,7 @@ def _count(length: int, whole: bool):
         for text in docs.drop_duplicates(["id", "h"])["t"] if len(chosen) or not whole else ():
             keys, first, last, n = stretches(text, length)
             if whole:
-                on = np.flatnonzero(np.isin(keys, chosen))
+                on = np.flatnonzero(_member(keys, chosen))
                 if len(on):
                     h = _whole_hashes(text, length)
                     keys = np.concatenate([h[first[k] : last[k] + 1] for k in on])
@@ -214,7 +221,7 @@ def _count(length: int, whole: bool):
         return pd.DataFrame({"key": keys.view(np.int64), "g": docs["g"].iloc[0], "n": np.bincount(back, np.concatenate(times), len(keys)).astype(np.int64)})
 
     if whole:
-        return lambda docs, hot: count(docs, hot["key"].to_numpy(np.int64).view(np.uint64))
+        return lambda docs, hot: count(docs, np.sort(hot["key"].to_numpy(np.int64).view(np.uint64)))
     return lambda docs: count(docs, np.zeros(0, np.uint64))
 
 
@@ -234,11 +241,11 @@ def _send(length: int, buckets: int):
         strings = np.sort(known[(keys["kind"] == 2).to_numpy()])
         for r in docs.drop_duplicates(["id", "h"]).sort_values(["id", "h"]).itertuples() if len(keys) else ():
             runs, first, last, _ = stretches(r.t, length)
-            parts = [(int(runs[k]), int(first[k]), int(last[k])) for k in np.flatnonzero(np.isin(runs, plain))]
-            if len(hot) and len(on := np.flatnonzero(np.isin(runs, hot))):
+            parts = [(int(runs[k]), int(first[k]), int(last[k])) for k in np.flatnonzero(_member(runs, plain))]
+            if len(hot) and len(on := np.flatnonzero(_member(runs, hot))):
                 h = _whole_hashes(r.t, length)
                 at = np.concatenate([np.arange(first[k], last[k] + 1) for k in on])
-                parts += [(int(h[x]), int(x), int(x)) for x in at[np.isin(h[at], strings)]]
+                parts += [(int(h[x]), int(x), int(x)) for x in at[_member(h[at], strings)]]
             for key, a, b in sorted(parts, key=lambda p: p[1]):
                 segment = r.t[a : b + length]
                 if segment in seen:
