@@ -151,7 +151,8 @@ def build(texts: list[str], labels: np.ndarray, ids: np.ndarray, terms: np.ndarr
     rest = labels[~some]
     model.empty = float((rest.sum() + labels.mean()) / (len(rest) + 1)) if len(labels) else 0.0
     order = np.flatnonzero(some)
-    order = order[np.argsort(every[order].argmax(1), kind="stable")]  # like examples share blocks, so bounds are close
+    if len(order):
+        order = order[np.argsort(every[order].argmax(1), kind="stable")]  # like examples share blocks, so bounds are close
     model.examples, model.labels, model.ids = every[order], labels[order].astype(np.float64), ids[order]
     starts = np.arange(0, len(order), BLOCK)
     model.block_max = np.maximum.reduceat(model.examples, starts, 0) if len(order) else model.block_max

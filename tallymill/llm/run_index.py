@@ -27,8 +27,8 @@ LENGTH = 100
 PIECE = 32
 #: Bytes of text in one group of documents and in one index, on average; their numbers grow with the input.
 GROUP_BYTES, INDEX_BYTES = 8 << 20, 3 << 20
-#: A key with more stretches than this is dealt out by whole strings instead.
-HOT_KEY = 2000
+#: A key whose stretches would fill an index alone is dealt out by whole strings instead.
+HOT_KEY = INDEX_BYTES // 128
 _SPANS = "g long, id long, h long, s long, e long"
 
 

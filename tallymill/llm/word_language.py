@@ -190,6 +190,8 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     texts = [t or "" for t in texts]
     f = features(texts, int(model.weights.shape[0]).bit_length() - 1)
     L = len(model.labels)
+    if not L:  # nothing was learned
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.bincount(f.doc, minlength=len(texts)).tolist()
     gamma, _ = forward_backward(model.emissions(f), model.moves, f.chain_starts, f.chain_sizes)
     mass = np.stack([np.bincount(f.doc, gamma[:, k] * f.weight, len(texts)) for k in range(L)], 1) if L and len(f.doc) else np.zeros((len(texts), max(L, 1)))
     total, best = mass.sum(1), mass.argmax(1)
