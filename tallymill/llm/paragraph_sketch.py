@@ -174,11 +174,12 @@ def with_next(documents: DataFrame) -> DataFrame:
     width = max(1, math.ceil(((high or 0) - (low or 0) + 1) / max(1, math.ceil(n / STRETCH))))
     # a null id sorts below all others, in a stretch of its own
     docs = docs.withColumn("stretch", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long")))
-    heads = docs.groupBy("stretch").agg(F.max(F.struct("id", "h")).alias("head"))
+    # the first text of each stretch comes out of a partial maximum, so whole texts are shuffled once
+    heads = docs.groupBy("stretch").agg(F.max(F.struct("id", "h", "text")).alias("head"))
     above = Window.orderBy(F.desc("stretch"))
-    host = heads.select(F.col("head.id").alias("id"), F.col("head.h").alias("h"), F.lag("stretch").over(above).alias("host"), F.min("stretch").over(Window.orderBy(F.lit(1))).alias("least"))
+    host = docs.select("stretch").distinct().select("stretch", F.lag("stretch").over(above).alias("host"), F.min("stretch").over(Window.orderBy(F.lit(1))).alias("least"))
     # the very first document visits the lowest stretch, after all its own
-    guests = docs.join(host, ["id", "h"]).dropDuplicates(["id", "h"]).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("id"), "h", F.coalesce("host", "least").alias("stretch"), F.lit(True).alias("guest"))
+    guests = heads.join(host, "stretch").select(F.lit(None).cast("long").alias("doc_id"), "head.text", F.lit(None).cast("long").alias("id"), "head.h", F.coalesce("host", "least").alias("stretch"), F.lit(True).alias("guest"))
     every = docs.select("doc_id", "text", "id", "h", "stretch", F.lit(False).alias("guest")).unionByName(guests)
     order = Window.partitionBy("stretch").orderBy(F.col("guest"), F.desc_nulls_last("id"), F.desc("h"))
     return every.withColumn("following", F.lead("text").over(order)).filter(~F.col("guest")).select("doc_id", "text", "following")

@@ -161,7 +161,7 @@ def groups(documents: DataFrame, size: int = WORDS) -> DataFrame:
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     n = own.count()
     tasks = max(1, math.ceil(n * 32 / ANCHOR_ROWS))
-    spread = anchored(own.select(F.array("fp").alias("fp")), 2).select("key", F.col("fp")[0].alias("f"), F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("part"))
+    spread = anchored(own.select(F.array("fp").alias("fp")).repartition(tasks), 2).select("key", F.col("fp")[0].alias("f"), F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("part"))
     links = spread.repartition(tasks, "part").groupBy("part").applyInPandas(_forest(BITS_APART), "u long, v long")
     roots = components(links)
     joined = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
