@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import Letters, labelled_sample, slices
 
 #: Bound of the labelled examples, and of the terms kept.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 8000, 4096, 15, 64
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 5000, 2048, 15, 64
 _LEAST_Z, _LEAST_DOCS, _BEGINNINGS = 6.0, 5, (4, 5, 6)
 
 
@@ -40,18 +40,20 @@ def _occurrences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def select_terms(texts: list[str], labels: np.ndarray) -> np.ndarray:
     """Hashes of terms whose share of label-1 documents exceeds the others' by several standard errors."""
-    pairs = []
-    for a, b in slices([len(t) for t in texts]):
+    terms, n, hits = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for a, b in slices([len(t) for t in texts], 1 << 20):
         doc, term = _occurrences(texts[a:b])
         order = np.lexsort((doc, term))
         doc, term = doc[order], term[order]
         once = np.ones(len(doc), bool)
         once[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
-        pairs.append((term[once], labels[doc[once] + a]))
-    if not pairs:
-        return np.zeros(0, np.uint64)
-    terms, back, n = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True, return_counts=True)
-    hits = np.bincount(back, np.concatenate([p[1] for p in pairs]), len(terms))
+        doc, term = doc[once], term[once]
+        # counts so far and those of this slice, a row for each term
+        terms, back = np.unique(np.concatenate([terms, term]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([n, np.ones(len(term), np.int64)]), len(terms)).astype(np.int64)
+        hits = np.bincount(back, np.concatenate([hits, labels[doc + a]]), len(terms)).astype(np.int64)
+    if not len(terms):
+        return terms
     ones, zeros = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     share = n / len(texts)
     z = (hits / ones - (n - hits) / zeros) / np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros) + 1e-12)

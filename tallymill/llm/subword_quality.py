@@ -78,11 +78,11 @@ def train(texts: list[str], labels: list[int], bits: int = BITS, width: int = WI
     V = 1 << bits
     model = Model(rng.normal(0, 1 / width, (V, width)), rng.normal(0, 0.5, (width, 2)), np.zeros(2))
     docs = []
-    for a, b in slices([len(t) for t in texts]):
+    for a, b in slices([len(t) for t in texts], 1 << 18):
         numbers, bounds = feature_numbers(texts[a:b], bits)
         for k in range(b - a):
             which, times = np.unique(numbers[bounds[k] : bounds[k + 1]], return_counts=True)
-            docs.append((which, times / max(1, times.sum())))
+            docs.append((which.astype(np.int32), (times / max(1, times.sum())).astype(np.float32)))
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:  # one class, or none: the bias alone
         model.bias[:] = (0, 4) if len(labels) and labels[0] else (4, 0) if len(labels) else (0, 0)

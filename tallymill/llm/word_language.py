@@ -69,6 +69,20 @@ def features(texts: list[str], bits: int = BITS) -> Features:
     return Features(np.stack(affix, 1).astype(np.int64), grams, np.concatenate([[0], np.cumsum(size)[:-1]]), x.hashes(s, e), size, x.doc_of_word, fresh, np.diff(np.append(fresh, len(s))))
 
 
+def gathered(texts: list[str], bits: int = BITS) -> Features:
+    """Features of many texts, taken a slice at a time into narrow arrays."""
+    parts, docs = [], 0
+    for a, b in slices([len(t) for t in texts], 1 << 18):
+        f = features(texts[a:b], bits)
+        parts.append(Features(f.affix.astype(np.int32), f.grams.astype(np.int32), f.gram_at, f.words, f.weight.astype(np.int32), f.doc + docs, f.chain_starts, f.chain_sizes))
+        docs += b - a
+    if not parts:
+        return features([], bits)
+    grams, words = (np.concatenate([[0], np.cumsum([len(x) for x in each])]) for each in ([f.grams for f in parts], [f.words for f in parts]))
+    moved = {"gram_at": grams, "chain_starts": words}
+    return Features(*[np.concatenate([getattr(f, n) + moved[n][k] if n in moved else getattr(f, n) for k, f in enumerate(parts)]) for n in ("affix", "grams", "gram_at", "words", "weight", "doc", "chain_starts", "chain_sizes")])
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -143,7 +157,7 @@ def _mixed(f: Features, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarra
 def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, bits: int = BITS, seed: int = 7) -> Model:
     """Maximum likelihood by stochastic gradients (Adagrad) with every word labelled by its document's language."""
     labels = sorted(set(langs))
-    f = features(texts, bits)
+    f = gathered(texts, bits)
     gold = np.array([labels.index(v) for v in langs], np.int64)[f.doc] if len(f.doc) else np.zeros(0, np.int64)
     words, times = np.unique(f.words, return_counts=True)
     lexicon = words[times >= LEXICON_LEAST]
