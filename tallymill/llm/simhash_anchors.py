@@ -112,9 +112,11 @@ def anchors(block: Column) -> Column:
 
 def anchored(prints: DataFrame, blocks: int) -> DataFrame:
     """(key, ...): each row of `prints` (fp array<long>) once for every anchor of every block; key names block and anchor."""
-    low31 = F.lit((1 << 31) - 1)
-    parts = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.element_at("fp", k // 2 + 1), 32 * (k % 2)).bitwiseAND(low31).alias("b")) for k in range(blocks)]
-    near = F.flatten(F.array(*[F.transform(anchors(p["b"]), lambda a, k=k: F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(a)) for k, p in enumerate(parts)]))
+    def keys(k: int) -> Column:
+        block = F.shiftrightunsigned(F.element_at("fp", k // 2 + 1), 32 * (k % 2)).bitwiseAND(F.lit((1 << 31) - 1))
+        return F.transform(anchors(block), lambda a: a.bitwiseOR(F.lit(k << 32)))
+
+    near = F.flatten(F.array(*map(keys, range(blocks))))
     return prints.select("*", F.explode(near).alias("key"))
 
 
@@ -177,11 +179,18 @@ def jaccard(a: str | None, b: str | None, size: int = SHINGLE) -> float:
 
 
 def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each document at each anchor, the closest and the smallest document before it, within the bits allowed."""
+    """For each document at each of its own anchors, the closest and the smallest document before it, within the bits allowed.
+
+    The own anchor of a block is the code word within one bit: all that differ from the block by a bit at most are there.
+    """
     rows = rows.sort_values(["key", "doc_id"], kind="stable")
     ids, keys, prints = rows["doc_id"].to_numpy(), rows["key"].to_numpy(), np.stack(rows["fp"]).astype(np.int64).view(np.uint64)
+    block = keys >> 32
+    part = (prints[np.arange(len(ids)), block // 2] >> (32 * (block % 2)).astype(np.uint64)) & np.uint64((1 << 31) - 1)
+    own = np.bitwise_count(part ^ (keys & (1 << 32) - 1).astype(np.uint64)) <= 1
     close, small = np.full(len(ids), 1 << 62), np.full(len(ids), 1 << 62)
     for i, j, apart in _pairs(keys, prints, NEAR_BITS):
+        i, j, apart = (x[own[j]] for x in (i, j, apart))
         np.minimum.at(close, j, apart << 40 | i)
         np.minimum.at(small, j, i)
     on = np.flatnonzero(small < 1 << 62)

@@ -138,6 +138,19 @@ def test_anchors_cover(spark):
         assert set(r.x) & set(r.y) and len(r.x) <= 16 and all((w ^ r.a).bit_count() <= 2 for w in r.x)
 
 
+def test_all_close_fingerprints_meet(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    near = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(3)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = spark.createDataFrame([([signed(x)], signed(x)) for x in base + near], "fp array<long>, f long").distinct()
+    got = collections.defaultdict(set)
+    for r in simhash_anchors.anchored(rows, 2).collect():
+        got[r.f].add(r.key)
+    every = base + near
+    assert all(got[signed(x)] & got[signed(y)] for x in every for y in every if (x ^ y).bit_count() <= 3)
+
+
 def test_near_groups(spark, docs):
     got = {r.doc_id: r.component_id for r in simhash_anchors.near_groups(docs).collect()}
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
