@@ -81,3 +81,10 @@ def session_page(sessions: DataFrame, size: int = PAGE, after: tuple[int, int, s
 def session_detail(sessions: DataFrame, provider: str, profile: str, session: str, dimension: str = "all") -> DataFrame:
     rows = sessions.filter((F.col("provider_id") == provider) & (F.col("profile_id") == profile) & (F.col("session_id") == session) & (F.col("dimension") == dimension))
     return rows if dimension == "all" else rows.orderBy(F.desc("sum_total_tokens"), F.desc("event_count"), "dimension_value").limit(ITEMS)
+
+
+def legacy_events(events: DataFrame, sources: DataFrame) -> DataFrame:
+    """Events of the old layout with the provider of their source; `unknown` where it is missing or of another profile."""
+    of = sources.select(F.col("file_key").alias("selected_file_key"), F.col("provider_id").alias("source_provider"), F.col("profile_id").alias("source_profile"))
+    provider = F.when(F.col("source_profile") == F.col("profile_id"), F.col("source_provider")).otherwise("unknown")
+    return events.drop("provider_id").join(of, "selected_file_key", "left").withColumn("provider_id", provider).drop("source_provider", "source_profile")

@@ -57,3 +57,43 @@ def nearest(lots: DataFrame) -> DataFrame:
 def profiles(spark: SparkSession, scopes: DataFrame, overrides: DataFrame, default: str = "default") -> DataFrame:
     """The profile of each scope: its own or the global one."""
     return scopes.join(overrides, "scope_id", "left").withColumn("profile", F.coalesce("profile", F.lit(default)))
+
+
+_LOT = ("scope_id", "lot_id")
+
+
+def removable_changes(changes: DataFrame) -> DataFrame:
+    """Changes with a newer one of the same lot, the oldest first."""
+    newest = F.max("sequence").over(Window.partitionBy(*_LOT))
+    return changes.withColumn("newest", newest).filter("sequence < newest").drop("newest")
+
+
+def orphan_revisions(revisions: DataFrame, current: DataFrame, changes: DataFrame, reminders: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """Lot revisions that no current lot, change, reminder or delivery names; all have scope_id, lot_id, lot_revision, changes have before_revision and after_revision."""
+    key = (*_LOT, "lot_revision")
+    named = [changes.select(*_LOT, F.col(c).alias("lot_revision")) for c in ("before_revision", "after_revision")]
+    used = named[0].unionByName(named[1])
+    for rows in (current, reminders, deliveries):
+        used = used.unionByName(rows.select(*key))
+    return revisions.join(used, [*key], "left_anti")
+
+
+def removable_deliveries(deliveries: DataFrame, acknowledged: DataFrame, current: DataFrame) -> DataFrame:
+    """Acknowledged deliveries of lot revisions that are no longer current."""
+    return deliveries.join(acknowledged, "delivery_id", "left_semi").join(current, [*_LOT, "lot_revision"], "left_anti")
+
+
+def rehydrated(changes: DataFrame, revisions: DataFrame, current: DataFrame, observed: DataFrame) -> DataFrame:
+    """Observed lots whose latest change retired them for good, as ambiguous lots with their last revision; current lots stay out."""
+    last = changes.groupBy(*_LOT).agg(F.max(F.struct("sequence", "kind", "before_revision", "after_revision")).alias("m")).select(*_LOT, "m.*")
+    retired = last.filter((F.col("kind") == "retired_terminal") & F.col("after_revision").isNull()).select(*_LOT, F.col("before_revision").alias("lot_revision"))
+    wanted = retired.join(observed, [*_LOT], "left_semi").join(current, [*_LOT], "left_anti")
+    return wanted.join(revisions, [*_LOT, "lot_revision"]).withColumn("state", F.lit("ambiguous"))
+
+
+def rebuild_due(scheduled: DataFrame, delivered: DataFrame) -> DataFrame:
+    """Scheduled reminders, but for those of a lot and channel of which one as urgent or more has been delivered."""
+    key = [c for c in (*_LOT, "lot_revision", "channel") if c in scheduled.columns]
+    least = delivered.groupBy(*key).agg(F.min("lead_seconds").alias("delivered_lead"))
+    out = scheduled.join(least, key, "left")
+    return out.filter(F.col("delivered_lead").isNull() | (F.col("lead_seconds") < F.col("delivered_lead"))).drop("delivered_lead")

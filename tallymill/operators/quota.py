@@ -69,3 +69,30 @@ def redundant(samples: DataFrame, limit: int = 256) -> DataFrame:
     alike = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in repeated))
     older = samples.join(newest, alike).filter("observed_at_ms < newest")
     return older.select(*KEY, "observation_id", "observed_at_ms").orderBy("observed_at_ms", "observation_id").limit(limit)
+
+
+def maxima(rows: DataFrame) -> DataFrame:
+    """Running maxima of an epoch and the observation that first reached each (columns epoch, used_ppm, unit_id, used_units).
+
+    A sample in another unit clears the maximum of units, and the next one starts anew; samples without units change
+    nothing. After a run of two samples or more in a unit there is a maximum; single ones set and clear it by turns.
+    """
+    measured = F.col("unit_id").isNotNull() & F.col("used_units").isNotNull()
+    rows = rows.withColumn("measured", measured)
+    upto = (Window.unboundedPreceding, 0)
+    epoch = Window.partitionBy(*KEY, "epoch").orderBy("observed_at_ms")
+    seen = Window.partitionBy(*KEY, "epoch", "measured").orderBy("observed_at_ms")
+    rows = rows.withColumn("run", F.sum(F.when(F.col("unit_id").eqNullSafe(F.lag("unit_id").over(seen)), 0).otherwise(1)).over(seen.rowsBetween(*upto)))
+    run = Window.partitionBy(*KEY, "epoch", "measured", "run")
+    along = run.orderBy("observed_at_ms")
+    rows = rows.withColumns({"size": F.count("*").over(run), "at": F.row_number().over(along)})
+    sure = F.when((F.col("at") == 1) & ((F.col("run") == 1) | (F.col("size") > 1)), F.col("run"))
+    rows = rows.withColumn("anchor", F.max(sure).over(seen.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("clears", (F.col("at") == 1) & (F.col("run") > 1) & ((F.col("run") - 1 - F.col("anchor")) % 2 == 0))
+    rows = rows.withColumns({"own_ppm": F.col("used_ppm"), "own_units": F.when(F.col("measured") & ~F.col("clears"), F.col("used_units"))})
+    for name, over in (("ppm", epoch), ("units", along)):
+        before = F.max(f"own_{name}").over(over.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("higher", F.when(F.col(f"own_{name}").isNotNull() & (before.isNull() | (F.col(f"own_{name}") > before)), F.col("observation_id")))
+        rows = rows.withColumns({f"max_{name}": F.max(f"own_{name}").over(over.rowsBetween(*upto)), f"max_{name}_observation": F.last("higher", True).over(over.rowsBetween(*upto))})
+    state = F.last(F.when(F.col("measured"), F.struct("max_units", "max_units_observation", F.when(F.col("max_units").isNotNull(), F.col("unit_id")).alias("max_unit_id"))), True).over(epoch.rowsBetween(*upto))
+    return rows.withColumn("state", state).drop("max_units", "max_units_observation").select(*KEY, "observed_at_ms", "epoch", "max_ppm", "max_ppm_observation", "state.*")

@@ -228,6 +228,22 @@ SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY seen IS NULL,
         "g3_days": f"WITH {GIT}, pc AS (SELECT repository_id, day_index, commit_id, bool_or(is_merge) AS m, sum(added) AS a, sum(removed) AS r FROM gc GROUP BY ALL), d AS (SELECT repository_id, day_index, count(*) AS commits, count(*) FILTER (m) AS merge_commits, CAST(sum(CASE WHEN m THEN 0 ELSE a END) AS BIGINT) AS added, CAST(sum(CASE WHEN m THEN 0 ELSE r END) AS BIGINT) AS removed FROM pc GROUP BY ALL) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY day_index DESC) <= 400",
         "g5_range_categories": f"WITH {GIT}, s AS (SELECT repository_id, category, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed FROM dc WHERE day_index BETWEEN 9000 AND 9400 GROUP BY ALL) SELECT repository_id, category, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed FROM (SELECT DISTINCT repository_id FROM dc) CROSS JOIN (SELECT unnest({list(CATEGORIES)}) AS category) LEFT JOIN s USING (repository_id, category)",
         "g10_efficiency": f"WITH {GIT}, ln AS (SELECT 'proj_' || repository_id AS project, CAST(sum(added) AS BIGINT) AS lines FROM dc WHERE category = 'product_code' GROUP BY 1), co AS ({_cost('project', 'auto', start, end)}) SELECT project, amount, lines, CASE WHEN lines > 0 AND amount IS NOT NULL THEN CAST((CAST(amount AS HUGEINT) * 100 + lines // 2) // lines AS BIGINT) END AS per_100_lines FROM co LEFT JOIN ln USING (project)",
+        "s19_quota_windows": """WITH s AS (SELECT 'account_' || user_id % 4 AS account_id, event_type AS limit_id, epoch_us(ts) // 1000 AS observed_at_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+            w AS (SELECT account_id, observed_at_ms, limit_id || '.primary.' || CASE WHEN k % 4 <> 0 THEN '300' ELSE 'unknown' END AS window_id, k % 103 * 10000 AS used_ppm, CASE WHEN k % 4 <> 0 THEN CAST(18000 AS BIGINT) END AS duration_seconds, CASE WHEN k % 5 <> 0 THEN (observed_at_ms // 1000 + 600) * 1000 END AS advertised_resets_at_ms FROM s WHERE k % 103 <= 100
+              UNION ALL SELECT account_id, observed_at_ms, limit_id || '.secondary.10080', k % 100 * 10000, 604800, NULL FROM s WHERE k % 103 <= 100 AND k % 3 <> 0) SELECT * FROM w""",
+        "b13_removable_changes": "SELECT 'scope_' || o.user_id % 8 AS scope_id, o.user_id AS lot_id, o.event_id AS sequence FROM events o WHERE EXISTS (SELECT 1 FROM events n WHERE n.user_id = o.user_id AND n.event_id > o.event_id)",
+        "b14_rehydrated_lots": "SELECT 'scope_' || user_id % 8 AS scope_id, user_id AS lot_id, max(event_id) AS lot_revision, max(event_id) % 10 AS quantity, 'ambiguous' AS state FROM events WHERE user_id % 5 <> 0 AND user_id % 3 <> 0 GROUP BY user_id HAVING arg_max(event_type, event_id) = 'error'",
+        "b15_due_rebuilt": f"WITH {REMIND} SELECT * FROM rem r WHERE NOT EXISTS (SELECT 1 FROM rem d WHERE d.lot_id = r.lot_id AND d.scope_id = r.scope_id AND d.lot_id % 5 = 0 AND d.lead_seconds = 86400 AND d.lead_seconds <= r.lead_seconds)",
+        "a13_legacy_events": f"WITH {UE} SELECT source_offset, CASE WHEN source_offset % 5 < 3 AND profile_id = 'profile_' || source_offset % 5 THEN 'codex' ELSE 'unknown' END AS provider_id, profile_id, 'f' || source_offset % 5 AS selected_file_key FROM ue",
+        "u11_legacy_page": f"{fp} SELECT {page}, CASE WHEN source_offset % 5 < 3 AND profile_id = 'profile_' || source_offset % 5 THEN 'codex' ELSE 'unknown' END AS provider_id FROM fpd ORDER BY {newest} LIMIT 200",
+        # the fold itself, sample by sample: u, m and o are the unit, its maximum and the observation that reached it
+        "q7_epoch_maxima": f"""WITH RECURSIVE {QTRANS}, n AS (SELECT *, CASE WHEN observation_id % 9 < 6 THEN 'tokens' ELSE 'requests' END AS un, CASE WHEN observation_id % 8 <> 0 THEN used_ppm // 100 END AS us, row_number() OVER (PARTITION BY scope_id, window_id, epoch ORDER BY observed_at_ms) AS i FROM qt),
+            f AS (SELECT scope_id, window_id, epoch, i, observed_at_ms, used_ppm AS p, observation_id AS po, CASE WHEN us IS NOT NULL THEN un END AS u, us AS m, CASE WHEN us IS NOT NULL THEN observation_id END AS o FROM n WHERE i = 1
+              UNION ALL SELECT n.scope_id, n.window_id, n.epoch, n.i, n.observed_at_ms, greatest(p, used_ppm), CASE WHEN used_ppm > p THEN observation_id ELSE po END,
+                CASE WHEN us IS NULL THEN u WHEN u IS NULL THEN un WHEN u = un THEN u END, CASE WHEN us IS NULL THEN m WHEN u IS NULL THEN us WHEN u = un THEN greatest(m, us) END,
+                CASE WHEN us IS NULL THEN o WHEN u IS NULL THEN observation_id WHEN u = un AND us > m THEN observation_id WHEN u = un THEN o END
+              FROM f JOIN n ON n.scope_id = f.scope_id AND n.window_id = f.window_id AND n.epoch = f.epoch AND n.i = f.i + 1)
+            SELECT scope_id, window_id, observed_at_ms, epoch, p AS max_ppm, po AS max_ppm_observation, m AS max_units, o AS max_units_observation, u AS max_unit_id FROM f""",
         "x1_model_shares": f"WITH {UE} SELECT dimension_value, CAST(CAST(sum_total_tokens AS HUGEINT) * 1000000 // max(sum_total_tokens) OVER () AS BIGINT) AS share_ppm FROM ({broken_down('model')})",
         "x2_cache_hits": f"WITH {UE} SELECT dimension_value, CASE WHEN sum_input_tokens > 0 THEN CAST(CAST(sum_cached_tokens AS HUGEINT) * 1000000 // sum_input_tokens AS BIGINT) END AS cache_hit_ppm FROM ({broken_down('model')})",
         "t1_session_freshness": f"{last} SELECT session_id, {fresh} AS freshness FROM la",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallymill.functions.measures import METRICS, availability, freshness, share_ppm
 from tallymill.operators import analytics, benefit, calendar, git_output, lineage, pricing, quota, rollup, status
 from tallymill.plans import oracle
-from tallymill.sources import testdata
+from tallymill.sources import provider, testdata
 
 FIRST, LAST, ZONE = date(2024, 1, 3), date(2024, 1, 24), "America/New_York"
 START, END = calendar.day_start(FIRST, ZONE), calendar.day_start(LAST, ZONE)
@@ -157,6 +157,39 @@ def efficient(spark, sf_dir):
     return cost.join(lines, "project", "left").select("project", "amount", "lines", git_output.efficiency(F.col("amount"), F.col("lines")).alias("per_100_lines"))
 
 
+query("s19_quota_windows")(lambda s, d: provider.quota_windows(testdata.quota_snapshots(s, d)))
+query("b13_removable_changes")(lambda s, d: benefit.removable_changes(testdata.benefit_changes(s, d)).select("scope_id", "lot_id", "sequence"))
+query("b15_due_rebuilt")(lambda s, d: benefit.rebuild_due(_reminders(s, d), _reminders(s, d).filter("lot_id % 5 = 0 AND lead_seconds = 86400")))
+query("a13_legacy_events")(lambda s, d: _legacy(s, d).select("source_offset", "provider_id", "profile_id", "selected_file_key"))
+query("u11_legacy_page")(lambda s, d: analytics.activity_page(_legacy(s, d, True), 200).select(*_PAGE, "provider_id"))
+
+
+def _reminders(spark, sf_dir):
+    return benefit.schedule(testdata.benefit_lots(spark, sf_dir, False))
+
+
+def _legacy(spark, sf_dir, identity=False):
+    e = testdata.usage_event(spark, sf_dir, identity).withColumn("selected_file_key", F.concat(F.lit("f"), F.col("source_offset") % 5))
+    known = e.filter("source_offset % 5 < 3").select(F.col("selected_file_key").alias("file_key"), F.lit("codex").alias("provider_id"), F.concat(F.lit("profile_"), F.col("source_offset") % 5).alias("profile_id")).distinct()
+    return analytics.legacy_events(e, known)
+
+
+@query("b14_rehydrated_lots")
+def rehydrated(spark, sf_dir):
+    changes = testdata.benefit_changes(spark, sf_dir)
+    revisions = changes.select("scope_id", "lot_id", F.col("before_revision").alias("lot_revision"), (F.col("before_revision") % 10).alias("quantity"))
+    lots = changes.select("scope_id", "lot_id").distinct()
+    return benefit.rehydrated(changes, revisions, lots.filter("lot_id % 5 = 0"), lots.filter("lot_id % 3 <> 0"))
+
+
+@query("q7_epoch_maxima")
+def maxima(spark, sf_dir):
+    rows = quota.transitions(testdata.quota_samples(spark, sf_dir))
+    unit = F.when(F.col("observation_id") % 9 < 6, "tokens").otherwise("requests")
+    units = F.when(F.col("observation_id") % 8 != 0, F.floor(F.col("used_ppm") / 100).cast("bigint"))
+    return quota.maxima(rows.withColumns({"unit_id": unit, "used_units": units}))
+
+
 query("x1_model_shares")(lambda s, d: status.model_shares(analytics.breakdown(_rollup(s, d), START, END, "model")).select("dimension_value", "share_ppm"))
 query("x2_cache_hits")(lambda s, d: analytics.breakdown(_rollup(s, d), START, END, "model").select("dimension_value", share_ppm(F.col("sum_cached_tokens"), F.col("sum_input_tokens")).alias("cache_hit_ppm")))
 

@@ -116,3 +116,22 @@ def turn_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("turn") % 5 != 4).alias("strong"),
     )
     return own.unionByName(fork)
+
+
+def benefit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of lots from `events`: a lot for each user, an error retires it, revisions are numbered by event."""
+    raw = read(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "retired_terminal").otherwise("state_changed")
+    after = F.when(F.col("event_type") != "error", F.col("event_id") + 1)
+    return raw.select(F.concat(F.lit("scope_"), F.col("user_id") % 8).alias("scope_id"), F.col("user_id").alias("lot_id"), F.col("event_id").alias("sequence"), kind.alias("kind"), F.col("event_id").alias("before_revision"), after.alias("after_revision"))
+
+
+def quota_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider snapshots as JSON from `events`: two slots, some without a second one, some out of range."""
+    raw = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint")
+    slot = lambda used, minutes, resets: F.struct(used.alias("usedPercent"), minutes.alias("windowDurationMins"), resets.alias("resetsAt"))
+    k, none = F.col("k"), F.lit(None).cast("bigint")
+    first = slot(k % 103, F.when(k % 4 != 0, F.lit(300).cast("bigint")), F.when(k % 5 != 0, F.floor(ms / 1000).cast("bigint") + 600))
+    second = F.when(k % 3 != 0, slot(k % 100, F.lit(10080).cast("bigint"), none))
+    return raw.select(F.concat(F.lit("account_"), F.col("user_id") % 4).alias("account_id"), F.col("event_type").alias("limit_id"), ms.alias("observed_at_ms"), F.to_json(F.struct(first.alias("primary"), second.alias("secondary"))).alias("snapshot"))
