@@ -28,8 +28,10 @@ from .common import MULT, materialize, mix, slices
 from .components import components, local_roots
 
 SEED, WORDS, BITS_APART = 42, 3, 3
-#: Blocks, candidate shingle and bits apart of the fingerprint that finds documents of Jaccard similarity 0.8 on five words.
-NEAR_BLOCKS, NEAR_WORDS, NEAR_BITS, SHINGLE, SIMILARITY = 12, 2, 62, 5, 0.8
+#: Shingle and similarity of the pipeline's near-duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Documents whose frequent shingles go last (a sample), such shingles kept, rows of tokens a task, members of a token's block.
+SAMPLE, USUAL, TOKEN_ROWS, HOT = 5000, 100_000, 200_000, 2000
 #: Rows of anchors that one task compares, on average.
 ANCHOR_ROWS = 200_000
 _BLANK = re.compile(rb"[\x20\x09-\x0d]+")
@@ -178,19 +180,97 @@ def jaccard(a: str | None, b: str | None, size: int = SHINGLE) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each document at each of its own anchors, the closest and the smallest document before it, within the bits allowed.
+def _usual(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (hash, count) that repeat in the sample `rows`, the most frequent, by hash.
+
+    They only order the shingles of a text: any one order for all texts finds the same pairs, a good one at less cost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in slices([len(t) for t in texts], 1 << 20):
+                h = np.array([v for t in texts[a:b] for v in set(shingle_hashes(words_of(t), SHINGLE))], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    got = rows.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(USUAL).collect()
+    h, n = np.array([r.h for r in got], np.int64).view(np.uint64), np.array([r.n for r in got], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
-    The own anchor of a block is the code word within one bit: all that differ from the block by a bit at most are there.
+
+def prefixes(texts: DataFrame, usual: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(node, n, s0 to s3, tokens): size of the set of shingles, its parity sketch, and the shingles one of which any partner has.
+
+    Two sets of similarity 0.8 share at least 0.8 of the larger one, so they share one of the first n - ceil(0.8 n) + 1
+    shingles in an order common to all, here the rarest first. A text without words stands for one shingle of its own kind.
+    The sketch is the parity of the shingles in each of 256 places: as many bits differ as shingles do, or fewer.
     """
-    rows = rows.sort_values(["key", "doc_id"], kind="stable")
-    ids, keys, prints = rows["doc_id"].to_numpy(), rows["key"].to_numpy(), np.stack(rows["fp"]).astype(np.int64).view(np.uint64)
-    block = keys >> 32
-    part = (prints[np.arange(len(ids)), block // 2] >> (32 * (block % 2)).astype(np.uint64)) & np.uint64((1 << 31) - 1)
-    own = np.bitwise_count(part ^ (keys & (1 << 32) - 1).astype(np.uint64)) <= 1
+    shared = texts.sparkSession.sparkContext.broadcast(usual)  # at most USUAL rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for batch in batches:
+            nodes, part = batch.column(0), batch.column(1).to_pylist()
+            for a, b in slices([len(t) for t in part], 1 << 20):
+                each = [set(shingle_hashes(words_of(t), SHINGLE)) for t in part[a:b]]
+                sizes = np.array([len(x) for x in each])
+                h = np.array([v for x in each for v in x or (0,)], np.uint64)
+                held = np.maximum(sizes, 1)
+                starts = np.cumsum(held) - held
+                doc = np.repeat(np.arange(len(each)), held)
+                count = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    count = np.where(known[at] == h, often[at], 0)
+                order = np.lexsort((h, count, doc))
+                first = held - (4 * held + 4) // 5 + 1
+                tokens = h[order][np.arange(len(h)) - starts[doc] < first[doc]]
+                place = (mix(h) >> np.uint64(56)).astype(np.int64)
+                odd = np.bincount(doc * 256 + place, minlength=256 * len(each)).reshape(-1, 256) & 1
+                sketch = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(tokens.view(np.int64)))
+                columns = [nodes.slice(a, b - a), pa.array(sizes.astype(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "s0", "s1", "s2", "s3", "tokens"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, s0 long, s1 long, s2 long, s3 long, tokens array<long>")
+
+
+def _met(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows whose token others have too, with the number that have it."""
+    rows = rows.sort_values("token", kind="stable")
+    _, back, n = np.unique(rows["token"].to_numpy(), return_inverse=True, return_counts=True)
+    rows = rows.assign(members=n[back])
+    return rows[rows["members"] > 1][["token", "node", "members"]]
+
+
+def _possible(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits apart) of rows of one key, sorted by it, whose sizes and sketches allow a similarity of 0.8."""
+    keys, n = rows["key"].to_numpy(), rows["n"].to_numpy()
+    sketch = rows[["s0", "s1", "s2", "s3"]].to_numpy().view(np.uint64)
+    block, own = rows["block"].to_numpy(), rows["same"].to_numpy()
+    at, step = np.arange(len(keys) - 1), 1
+    while len(at):
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        for part in np.array_split(at, max(1, len(at) >> 18)):
+            other = part + step
+            on = (own[part] | (block[part] != block[other])) & (5 * np.minimum(n[part], n[other]) >= 4 * np.maximum(n[part], n[other]))
+            part, other = part[on], other[on]
+            apart = np.bitwise_count(sketch[part] ^ sketch[other]).sum(1, dtype=np.int64)
+            # similarity 0.8 means that at most a ninth of both sizes together differs
+            on = 9 * apart <= n[part] + n[other]
+            if on.any():
+                yield part[on], other[on], apart[on]
+        step += 1
+
+
+def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each document at each token, the closest and the smallest possible partner before it."""
+    rows = rows.sort_values(["key", "node"], kind="stable")
+    ids = rows["node"].to_numpy()
     close, small = np.full(len(ids), 1 << 62), np.full(len(ids), 1 << 62)
-    for i, j, apart in _pairs(keys, prints, NEAR_BITS):
-        i, j, apart = (x[own[j]] for x in (i, j, apart))
+    for i, j, apart in _possible(rows):
         np.minimum.at(close, j, apart << 40 | i)
         np.minimum.at(small, j, i)
     on = np.flatnonzero(small < 1 << 62)
@@ -209,23 +289,47 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
 
 
-def near_groups(documents: DataFrame) -> DataFrame:
-    """(doc_id, component_id): documents whose five-word shingles have Jaccard similarity 0.8 or more are one group.
+def _keyed(documents: DataFrame) -> DataFrame:
+    """The documents with __id (null as the smallest long), __text and __same, the digest of the text without case."""
+    docs = documents.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
+    return docs.withColumn("__same", F.sha2(F.translate("__text", _UPPER.decode(), _LOWER.decode()), 256))
+
+
+def _near(documents: DataFrame) -> DataFrame:
+    """(doc_id, same, component_id, least): each id and text of the table, and the smallest of its near group.
 
-    Equal texts are one from the start. Candidates meet at the anchors of a 12-block fingerprint; each is held against
-    the closest and the smallest document before it at its anchor, and every candidate is verified on the texts.
+    Equal texts are one from the start. Candidates have a shingle of their prefixes in common, which every pair of the
+    required similarity has; each is held against the closest and the smallest before it at each token, and every
+    candidate is verified on the texts.
     """
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = materialize(docs.select("doc_id", F.sha2(F.translate("text", _UPPER.decode(), _LOWER.decode()), 256).alias("same")).distinct())
-    own = keyed.groupBy("same").agg(F.min("doc_id").alias("first"))
-    firsts = docs.join(own.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    prints = materialize(fingerprinted(firsts, NEAR_WORDS, NEAR_BLOCKS // 2).filter(F.exists("fp", lambda x: x != 0)))
-    tasks = max(1, math.ceil(prints.count() * 16 * NEAR_BLOCKS / ANCHOR_ROWS))
-    spread = anchored(prints, NEAR_BLOCKS).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(tasks)))
-    pairs = materialize(spread.repartition(tasks, "part").groupBy("part").applyInPandas(_nearest, "u long, v long").distinct())
-    roots = components(_verified(pairs, firsts))
-    named = own.join(roots.withColumnRenamed("node", "first"), "first", "left").select("same", F.coalesce("root", "first").alias("component_id"))
-    return keyed.join(named, "same").select("doc_id", "component_id")
+    docs = _keyed(documents).select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"), F.col("__same").alias("same"))
+    keyed = materialize(docs.select("doc_id", "same").distinct())
+    own = materialize(keyed.groupBy("same").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    texts = docs.join(own.select(F.col("first").alias("doc_id"), "same", "node"), ["doc_id", "same"]).select("node", "text")
+    share = max(1, own.count() // SAMPLE)
+    sets = materialize(prefixes(texts, _usual(texts.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0))))
+    n = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    tasks = max(1, math.ceil(n / TOKEN_ROWS))
+    tokens = sets.select("node", F.explode("tokens").alias("token")).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(tasks)))
+    met = tokens.repartition(tasks, "part").groupBy("part").applyInPandas(_met, "token long, node long, members long")
+    # a token of many documents is dealt into blocks, each compared with each
+    blocks = F.ceil(F.col("members") / HOT)
+    mine = F.pmod(F.xxhash64("node"), blocks)
+    dealt = met.withColumns({"block": mine, "blocks": blocks}).select("token", "node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
+    dealt = dealt.select("node", "block", (F.col("block") == F.col("to")).alias("same"), F.xxhash64("token", F.least("block", "to"), F.greatest("block", "to")).alias("key"))
+    spread = materialize(dealt.join(sets.drop("tokens"), "node"))
+    near = max(1, math.ceil(spread.count() / TOKEN_ROWS))
+    by_key = lambda rows: rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(near))).repartition(near, "part").groupBy("part")
+    pairs = materialize(by_key(spread).applyInPandas(_nearest, "u long, v long").distinct())
+    roots = components(_verified(pairs, texts.withColumnRenamed("node", "doc_id")))
+    named = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min(F.struct("first", "same")).alias("least"))
+    return keyed.join(named.join(least, "root").select("same", "least"), "same").select("doc_id", "same", F.col("least.first").alias("component_id"), F.col("least.same").alias("least"))
+
+
+def near_groups(documents: DataFrame) -> DataFrame:
+    """(doc_id, component_id): documents whose five-word shingles have Jaccard similarity 0.8 or more are one group."""
+    return _near(documents).select("doc_id", "component_id")
 
 
 def representatives(documents: DataFrame) -> DataFrame:

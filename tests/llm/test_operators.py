@@ -300,3 +300,28 @@ def test_automaton_is_the_tokenizer(spark, docs, odd, empty):
         ids = own.encode(t)
         assert ids == library.encode(t, add_special_tokens=False).ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
     assert merge_automaton.encoded(odd, path).count() == len(ODD) and merge_automaton.encoded(empty, path).count() == 0
+
+
+def planted_edits(bands=((0.80, 0.82), (0.82, 0.85), (0.85, 0.90), (0.90, 0.99)), each=40):
+    """Pairs of texts, one with a block of words added or replaced, and the exact similarity of each."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    out = []
+    for low, high in bands:
+        made = 0
+        while made < each:
+            a = [word() for _ in range(rng.randrange(100, 400))]
+            size, at = rng.randrange(1, len(a) // 4 + 2), rng.randrange(len(a))
+            b = a + [word() for _ in range(size)] if made % 2 else a[:at] + [word() for _ in range(size)] + a[at + size :]
+            s = simhash_anchors.jaccard(" ".join(a), " ".join(b))
+            if low <= s < high:
+                out.append((" ".join(a), " ".join(b), s))
+                made += 1
+    return out
+
+
+def test_all_near_pairs_of_block_edits_are_linked(spark):
+    pairs = planted_edits()
+    rows = [(2 * k + side, p[side]) for k, p in enumerate(pairs) for side in (0, 1)]
+    got = {r.doc_id: r.component_id for r in simhash_anchors.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) == 160 and all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(len(pairs)))
