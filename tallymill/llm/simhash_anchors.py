@@ -278,6 +278,21 @@ def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": ids[np.tile(on, 2)], "v": ids[x]}).drop_duplicates()
 
 
+def _unjoined(rows: pd.DataFrame) -> pd.DataFrame:
+    """All possible pairs of different labels."""
+    rows = rows.sort_values(["key", "node"], kind="stable")
+    ids, label = rows["node"].to_numpy(), rows["label"].to_numpy()
+    out, held = [np.zeros((0, 2), np.int64)], 0
+    for i, j, _ in _possible(rows):
+        on = label[i] != label[j]
+        out.append(np.stack([ids[j[on]], ids[i[on]]], 1))
+        held += len(out[-1])
+        if held > 1 << 20:  # pairs repeat over the tokens
+            out = [np.unique(np.concatenate(out), axis=0)]
+            held = 0
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,8 +314,8 @@ def _near(documents: DataFrame) -> DataFrame:
     """(doc_id, same, component_id, least): each id and text of the table, and the smallest of its near group.
 
     Equal texts are one from the start. Candidates have a shingle of their prefixes in common, which every pair of the
-    required similarity has; each is held against the closest and the smallest before it at each token, and every
-    candidate is verified on the texts.
+    required similarity has. First each is held against the closest and the smallest before it at each token; then
+    every possible pair that these links have not joined is held too. Every candidate is verified on the texts.
     """
     docs = _keyed(documents).select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"), F.col("__same").alias("same"))
     keyed = materialize(docs.select("doc_id", "same").distinct())
@@ -320,8 +335,14 @@ def _near(documents: DataFrame) -> DataFrame:
     spread = materialize(dealt.join(sets.drop("tokens"), "node"))
     near = max(1, math.ceil(spread.count() / TOKEN_ROWS))
     by_key = lambda rows: rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(near))).repartition(near, "part").groupBy("part")
-    pairs = materialize(by_key(spread).applyInPandas(_nearest, "u long, v long").distinct())
-    roots = components(_verified(pairs, texts.withColumnRenamed("node", "doc_id")))
+    checked = texts.withColumnRenamed("node", "doc_id")
+    pairs = by_key(spread).applyInPandas(_nearest, "u long, v long").distinct()
+    links = materialize(_verified(pairs, checked))
+    # what the first links left apart is held against all it could be linked to
+    label = components(links).toDF("node", "label")
+    apart = spread.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more = by_key(apart).applyInPandas(_unjoined, "u long, v long").distinct()
+    roots = components(links.unionByName(_verified(more, checked)))
     named = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min(F.struct("first", "same")).alias("least"))
     return keyed.join(named.join(least, "root").select("same", "least"), "same").select("doc_id", "same", F.col("least.first").alias("component_id"), F.col("least.same").alias("least"))

@@ -325,3 +325,16 @@ def test_all_near_pairs_of_block_edits_are_linked(spark):
     rows = [(2 * k + side, p[side]) for k, p in enumerate(pairs) for side in (0, 1)]
     got = {r.doc_id: r.component_id for r in simhash_anchors.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(pairs) == 160 and all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(len(pairs)))
+
+
+def test_no_near_link_is_lost_in_a_family_of_one_template(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    frame = [word() for _ in range(300)]
+    # only the one short text links the long ones; the 40 middle ones are a little less alike to them and crowd it out
+    rows = [(k, " ".join(frame + [word() for _ in range(n)])) for k, n in enumerate([60] * 30 + [18] * 40 + [12])]
+    sets = [set(simhash_anchors.shingle_hashes(simhash_anchors.words_of(t), 5)) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = components.local_roots(len(rows), np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int))
+    got = {r.doc_id: r.component_id for r in simhash_anchors.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(root.tolist()) == {0} and all(got[i] == rows[root[k]][0] for k, (i, _) in enumerate(rows))
