@@ -354,7 +354,11 @@ def near_groups(documents: DataFrame) -> DataFrame:
 
 
 def representatives(documents: DataFrame) -> DataFrame:
-    """The document of the smallest id of each near group, with all its columns (repeated rows of it once)."""
-    kept = near_groups(documents).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    once = documents.join(kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__kept_id"), "left_semi")
-    return once.dropDuplicates(["doc_id"])
+    """The document of the smallest id of each near group, with all its columns (repeated rows of it once).
+
+    Members are known by id and text, so documents without an id, or of one id, stand for themselves.
+    """
+    kept = _near(documents).filter((F.col("doc_id") == F.col("component_id")) & (F.col("same") == F.col("least")))
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("same").alias("__same")).distinct()
+    once = _keyed(documents).join(kept, ["__id", "__same"], "left_semi").dropDuplicates(["__id", "__same"])
+    return once.select(*documents.columns)

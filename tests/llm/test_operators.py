@@ -338,3 +338,10 @@ def test_no_near_link_is_lost_in_a_family_of_one_template(spark):
     root = components.local_roots(len(rows), np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int))
     got = {r.doc_id: r.component_id for r in simhash_anchors.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(root.tolist()) == {0} and all(got[i] == rows[root[k]][0] for k, (i, _) in enumerate(rows))
+
+
+def test_representatives_of_null_and_repeated_ids(spark):
+    texts = [" ".join(random.Random(k).choices(_WORDS, k=60)) for k in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[3]), (8, texts[0] + " more"), (3, texts[2] + " more")]
+    got = simhash_anchors.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, texts[0]), (0, texts[1]), (3, texts[2] + " more"), (5, texts[3])])
