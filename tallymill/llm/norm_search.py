@@ -7,7 +7,7 @@ Queries travel in blocks to every bucket, after a first round over the longest v
 
 Defined results: null vectors, empty ones and those with null or non-finite components take no part, nor do null ids;
 shorter vectors count as padded with zeros; a repeated vec_id is a candidate of its own, but never of a query with its
-id; ties go to the smaller vec_id; an empty table gives an empty result; further columns do not matter.
+id; a repeated query row has each of its hits again, as in the SQL; ties go to the smaller vec_id; an empty table gives an empty result; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -112,7 +112,6 @@ def top_k(vectors: DataFrame, k: int = K, steps: int = STEPS, every: int = EVERY
     first = _best(start.applyInPandas(lambda q, b: search(one(q), b, k) if len(q) and len(b) else search_none(), _HITS), k)
     floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
     known = queries.join(floors.withColumnRenamed("query_id", "id"), "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    known = known.groupBy("id", "v", "block").agg(F.max("floor").alias("floor"))
     sides = (
         known.select(F.explode(F.sequence(F.lit(0), F.lit(len(set(edges))))).alias("bucket"), "block", "id", "v", "floor").toDF("bucket", "block", "id", "v", "floor"),
         dealt.select("bucket", F.explode(F.sequence(zero, F.lit(blocks - 1).cast("long"))).alias("block"), "id", "v"),

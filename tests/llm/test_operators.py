@@ -345,3 +345,17 @@ def test_representatives_of_null_and_repeated_ids(spark):
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[3]), (8, texts[0] + " more"), (3, texts[2] + " more")]
     got = simhash_anchors.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, texts[0]), (0, texts[1]), (3, texts[2] + " more"), (5, texts[3])])
+
+
+def test_top_k_of_repeated_query_rows_is_the_sqls(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(120)]
+    rows += [rows[50], *[rows[100]] * 4, (0, rows[7][1])]
+    table = pd.DataFrame(rows, columns=["vec_id", "embedding"])
+    table.to_parquet(tmp_path / "embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    got = queries.op5_top_k(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(queries.oracle_sql()["op5_top_k"]).fetchall()) and len(got) == 15
