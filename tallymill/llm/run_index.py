@@ -1,9 +1,13 @@
 """Exact removal of repeated byte strings with a run-length Burrows-Wheeler index (operator 1).
 
 Every `length`-byte string of a text is routed by the smallest hash of its 32-byte pieces, so equal strings meet. A
-first pass counts these keys; only stretches whose key occurs again travel on. In each bucket a run-compressed
-Burrows-Wheeler transform is built over its stretches, with the suffix array kept at the ends of runs alone; from
-those samples the matching statistics of every position are streamed, and strings that also start earlier are marked.
+first pass counts these keys; only stretches whose key occurs again travel on. In each bucket the runs of the
+Burrows-Wheeler transform of its stretches are found, and the suffix array is kept at the ends of runs alone, with what
+neighbouring suffixes share there; from those samples the matching statistics of every position are streamed, and
+strings that also start earlier are marked. The symbols of the runs are not kept: the statistics need only their ends.
+
+Texts are shuffled by group of documents, once for counting and once for the rest; first copies of whole texts, keys
+and spans travel to them as narrow rows.
 
 Defined results: a null text is the empty text; rows that repeat a doc_id with the same text get the same answer, with
 different texts they count in the order of the texts' hash; a null doc_id comes before all others. Texts under
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, mix, total_bytes
@@ -29,6 +33,8 @@ PIECE = 32
 GROUP_BYTES, INDEX_BYTES = 8 << 20, 3 << 20
 #: A key whose stretches would fill an index alone is dealt out by whole strings instead.
 HOT_KEY = INDEX_BYTES // 128
+#: Kind of a side row that names a first copy; 0 is a key, 1 a hot key, 2 a whole string of a hot key.
+FIRST = 3
 _SPANS = "g long, id long, h long, s long, e long"
 
 
@@ -105,9 +111,8 @@ class RunIndex:
         order = self._sort(packed, stop)
         ahead = self.text[order - 1]
         head = np.concatenate([[True], ahead[1:] != ahead[:-1]]) | (ahead == 0)
-        self.run_symbols, self.run_starts = ahead[head], np.flatnonzero(head)
-        at = order[self.run_starts[1:]]
-        before = order[self.run_starts[1:] - 1]
+        starts = np.flatnonzero(head)[1:]
+        at, before = order[starts], order[starts - 1]
         shared = self._shared(at, before, packed, stop)
         by_place = np.argsort(at)
         # the last suffix of a run and the first of the next one, with what they share
@@ -198,12 +203,18 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+def _first_copies(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a group that are first copies of their texts, once each; `side` names them by kind FIRST."""
+    return docs.merge(side[side["kind"] == FIRST][["id", "h"]], on=["id", "h"]).drop_duplicates(["id", "h"])
+
+
 def _count(length: int, whole: bool):
     """Keys of a group of documents and how many stretches have them; if whole, the strings of stretches with a hot key."""
 
-    def count(docs: pd.DataFrame, chosen: np.ndarray) -> pd.DataFrame:
+    def count(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         found, times = [], []
-        for text in docs.drop_duplicates(["id", "h"])["t"] if len(chosen) or not whole else ():
+        chosen = np.sort(side.loc[side["kind"] == 1, "key"].to_numpy(np.int64).view(np.uint64))
+        for text in _first_copies(docs, side)["t"] if len(chosen) or not whole else ():
             keys, first, last, n = stretches(text, length)
             if whole:
                 on = np.flatnonzero(_member(keys, chosen))
@@ -220,26 +231,22 @@ def _count(length: int, whole: bool):
         keys, back = np.unique(np.concatenate(found), return_inverse=True)
         return pd.DataFrame({"key": keys.view(np.int64), "g": docs["g"].iloc[0], "n": np.bincount(back, np.concatenate(times), len(keys)).astype(np.int64)})
 
-    if whole:
-        return lambda docs, hot: count(docs, np.sort(hot["key"].to_numpy(np.int64).view(np.uint64)))
-    return lambda docs: count(docs, np.zeros(0, np.uint64))
+    return count
 
 
 def _repeated(counts: DataFrame) -> DataFrame:
-    """(g, key, n): the groups of each key that occurs at least twice in the corpus."""
-    return counts.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("g").alias("gs")).filter("n > 1").select(F.explode("gs").alias("g"), "key", "n")
+    """(g, key, n): the groups of each key that occurs at least twice in the corpus; a key's rows stay rows, however many."""
+    every = counts.withColumn("n", F.sum("n").over(Window.partitionBy("key")))
+    return every.filter("n > 1").select("g", "key", "n")
 
 
 def _send(length: int, buckets: int):
     """The stretches of a group that can repeat: the first copy of each goes to its bucket, later ones are spans already."""
 
-    def of(docs: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+    def of(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         out, seen = [], set()
-        known = keys["key"].to_numpy(np.int64).view(np.uint64)
-        plain = np.sort(known[(keys["kind"] == 0).to_numpy()])
-        hot = np.sort(known[(keys["kind"] == 1).to_numpy()])
-        strings = np.sort(known[(keys["kind"] == 2).to_numpy()])
-        for r in docs.drop_duplicates(["id", "h"]).sort_values(["id", "h"]).itertuples() if len(keys) else ():
+        plain, hot, strings = (np.sort(side.loc[side["kind"] == kind, "key"].to_numpy(np.int64).view(np.uint64)) for kind in (0, 1, 2))
+        for r in _first_copies(docs, side).sort_values(["id", "h"]).itertuples() if len(plain) or len(hot) else ():
             runs, first, last, _ = stretches(r.t, length)
             parts = [(int(runs[k]), int(first[k]), int(last[k])) for k in np.flatnonzero(_member(runs, plain))]
             if len(hot) and len(on := np.flatnonzero(_member(runs, hot))):
@@ -266,6 +273,11 @@ def _mark(length: int):
         rows = rows[rows["segment"].notna()].sort_values(["id", "h", "s"], kind="stable")
         if not len(rows):
             return done
+        # a stretch that stands whole in an earlier place is covered, and its earlier copy answers for it in the index
+        copy = rows["segment"].duplicated()
+        same = rows[copy]
+        done = pd.concat([done, same[["g", "id", "h", "s"]].assign(e=same["s"] + same["segment"].map(len))])
+        rows = rows[~copy]
         index = RunIndex(rows["segment"].tolist())
         again = index.repeats(length)
         edge = np.flatnonzero(np.diff(again.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
@@ -278,10 +290,10 @@ def _mark(length: int):
     return of
 
 
-def _finish(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-    by = {k: x[["s", "e"]].to_numpy(np.int64) for k, x in spans.groupby(["id", "h"])}
+def _finish(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+    by = {k: x[["s", "e"]].to_numpy(np.int64) for k, x in side[side["kind"] != FIRST].groupby(["id", "h"])}
     out = []
-    for r in docs.drop_duplicates(["id", "h"]).itertuples():
+    for r in _first_copies(docs, side).itertuples():
         cut = merged(by.get((r.id, r.h), np.zeros((0, 2), np.int64)))
         out.append((r.id, r.h, [s for s, _ in cut], [e for _, e in cut], hashlib.sha256(_kept(r.t, cut)).hexdigest()))
     return pd.DataFrame(out, columns=["id", "h", "starts", "ends", "kept_sha256"])
@@ -296,21 +308,24 @@ def removals(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length is {PIECE} or more")
     rows = documents.select(_id().alias("id"), _bytes().alias("t")).withColumn("h", F.xxhash64("t"))
     long = rows.filter(F.octet_length("t") >= length)
-    # later copies of a whole text are covered by the first one, so only first copies are searched
-    first = long.groupBy(F.sha2("t", 256).alias("digest")).agg(F.min(F.struct("id", "h")).alias("m")).select("m.id", "m.h").distinct()
     volume = total_bytes(long, "t")
     groups, buckets = max(1, math.ceil(volume / GROUP_BYTES)), max(1, math.ceil(volume / INDEX_BYTES))
-    docs = long.join(first, ["id", "h"], "left_semi").withColumn("g", F.pmod(F.xxhash64("id", "h"), F.lit(groups))).repartition(groups, "g")
-    by_group = docs.groupBy("g")
-    counts = by_group.applyInPandas(_count(length, False), "key long, g long, n long")
+    group, none = F.pmod(F.xxhash64("id", "h"), F.lit(groups)), F.lit(0).cast("long")
+    # later copies of a whole text are covered by the first one, so only first copies are searched
+    first = long.groupBy(F.sha2("t", 256).alias("digest")).agg(F.min(F.struct("id", "h")).alias("m")).select("m.id", "m.h").distinct()
+    first = materialize(first.withColumns({"g": group, "key": none, "kind": F.lit(FIRST)}))
+    by_group = long.withColumn("g", group).repartition(groups, "g").groupBy("g")
+    beside = lambda keys: first.unionByName(keys.withColumns({"id": none, "h": none}).select(*first.columns)).groupBy("g")
+    counts = by_group.cogroup(first.groupBy("g")).applyInPandas(_count(length, False), "key long, g long, n long")
     keys = materialize(_repeated(counts).withColumn("kind", (F.col("n") > HOT_KEY).cast("int")))
-    hot = keys.filter("kind = 1").select("g", "key")
+    hot = keys.filter("kind = 1")
     if not hot.isEmpty():
-        finer = by_group.cogroup(hot.groupBy("g")).applyInPandas(_count(length, True), "key long, g long, n long")
+        finer = by_group.cogroup(beside(hot)).applyInPandas(_count(length, True), "key long, g long, n long")
         keys = keys.unionByName(_repeated(finer).withColumn("kind", F.lit(2)))
-    sent = by_group.cogroup(keys.groupBy("g")).applyInPandas(_send(length, buckets), f"{_SPANS}, bucket long, segment binary")
-    spans = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_mark(length), _SPANS)
-    return by_group.cogroup(spans.groupBy("g")).applyInPandas(_finish, "id long, h long, starts array<long>, ends array<long>, kept_sha256 string")
+    sent = by_group.cogroup(beside(keys)).applyInPandas(_send(length, buckets), f"{_SPANS}, bucket long, segment binary")
+    spans = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_mark(length), _SPANS).withColumn("kind", F.lit(0))
+    marks = spans.unionByName(first.select("g", "id", "h", none.alias("s"), none.alias("e"), "kind"))
+    return by_group.cogroup(marks.groupBy("g")).applyInPandas(_finish, "id long, h long, starts array<long>, ends array<long>, kept_sha256 string")
 
 
 def _id() -> F.Column:
