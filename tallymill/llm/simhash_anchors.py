@@ -4,10 +4,14 @@ A fingerprint is cut into 31-bit blocks (one bit of 32 left out). The anchors of
 Hamming code of length 31: covering radius 1, 2 ** 26 words. With a threshold of 2 * blocks - 1 bits, two linked
 fingerprints differ by at most one bit in some block, so each goes to every anchor within radius 1 + 1 of it (at most
 16 a block) and meets all its partners at an anchor; there all members are compared. Each anchor reports the links as
-a forest, so copies never become all pairs. Equal fingerprints are one from the start.
+a forest, so copies never become all pairs. Equal fingerprints are one from the start. The members of a hot anchor go on
+to a second level: two of them differ by at most one bit in one half of the other block, so they meet again at an anchor
+of the Hamming code of length 15; where that is hot too, its members are compared block against block over tasks.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; a text with fewer
-words than a shingle is one shingle; repeated rows are one document; a null doc_id is the smallest long. `representatives` keeps every column.
+words than a shingle is one shingle; `groups` returns a row for each row of the table; a null doc_id is returned as null
+and takes no part in the smallest id (a component of null ids alone has a null component_id). `representatives` keeps
+every column.
 """
 
 from __future__ import annotations
@@ -20,9 +24,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import MULT, materialize, mix, slices
 from .components import components, local_roots
@@ -32,8 +36,10 @@ SEED, WORDS, BITS_APART = 42, 3, 3
 SHINGLE, SIMILARITY = 5, 0.8
 #: Documents whose frequent shingles go last (a sample), such shingles kept, rows of tokens a task, members of a token's block.
 SAMPLE, USUAL, TOKEN_ROWS, HOT = 5000, 100_000, 200_000, 2000
-#: Rows of anchors that one task compares, on average.
-ANCHOR_ROWS = 200_000
+#: Partners of one document that one task verifies.
+SHARE = 500
+#: Rows of anchors that one task compares, on average, and the most at one anchor that are compared there.
+ANCHOR_ROWS, HOT_ANCHOR = 200_000, 2000
 _BLANK = re.compile(rb"[\x20\x09-\x0d]+")
 _UPPER = bytes(range(65, 91))
 _LOWER = _UPPER.lower()
@@ -58,29 +64,34 @@ def shingle_hashes(words: list[bytes], size: int) -> list[int]:
     return [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :])]  # noqa: B905
 
 
-def fingerprints(texts: list[str | None], size: int, lanes: int) -> np.ndarray:
-    """A row of `lanes` 64-bit words for each text: bit set where it is set in over half of the shingles' hashes.
+def majority(each: list[list[int]], lanes: int) -> np.ndarray:
+    """A row of `lanes` 64-bit words for each list of hashes: bit set where it is set in over half of them; no hash gives zeros.
 
     Lane 0 uses the hashes themselves, further lanes mix them anew.
     """
-    out = np.zeros((len(texts), lanes), np.uint64)
-    for a, b in slices([len(t or "") for t in texts], 1 << 18):
-        each = [shingle_hashes(words_of(t), size) for t in texts[a:b]]
-        counts = np.array([len(x) for x in each])
-        some = np.flatnonzero(counts)
+    out = np.zeros((len(each), lanes), np.uint64)
+    counts = np.array([len(x) for x in each], np.int64)
+    for a, b in slices(counts, 1 << 17):
+        some = a + np.flatnonzero(counts[a:b])
         if not len(some):
             continue
-        h = np.array([v for x in each for v in x], np.uint64)
-        starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
+        h = np.array([v for x in each[a:b] for v in x], np.uint64)
+        starts = np.cumsum(counts[some]) - counts[some]
         for lane in range(lanes):
             with np.errstate(over="ignore"):
                 now = h if lane == 0 else mix((h + np.uint64(lane)) * MULT)
             bits = np.unpackbits(now[:, None].view(np.uint8), axis=1, bitorder="little")
             sums = np.add.reduceat(bits, starts, 0, dtype=np.int32)
-            out[some + a, lane] = np.packbits(2 * sums > counts[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+            out[some, lane] = np.packbits(2 * sums > counts[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
+def fingerprints(texts: list[str | None], size: int, lanes: int) -> np.ndarray:
+    """The majority words of each text's shingles."""
+    parts = [majority([shingle_hashes(words_of(t), size) for t in texts[a:b]], lanes) for a, b in slices([len(t or "") for t in texts], 1 << 18)]
+    return np.concatenate([np.zeros((0, lanes), np.uint64), *parts])
+
+
 def fingerprinted(documents: DataFrame, size: int = WORDS, lanes: int = 1) -> DataFrame:
     """(doc_id, fp): fp is an array of `lanes` longs."""
 
@@ -90,7 +101,7 @@ def fingerprinted(documents: DataFrame, size: int = WORDS, lanes: int = 1) -> Da
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, lanes), pa.int32()), pa.array(got.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["doc_id", "fp"])
 
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, fp array<long>")
 
 
@@ -98,16 +109,17 @@ def _odd(x: Column, mask: int) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(mask))).cast("long").bitwiseAND(F.lit(1))
 
 
-def anchors(block: Column) -> Column:
-    """All code words within two bits of a 31-bit block, as an array of longs.
+def anchors(block: Column, checks: int = 5) -> Column:
+    """All code words within two bits of a block of 2 ** checks - 1 bits, as an array of longs.
 
-    The syndrome s of the Hamming code is the exclusive or of the places (1 to 31) of set bits; flipping places i and
+    The syndrome s of the Hamming code is the exclusive or of the places (from 1) of set bits; flipping places i and
     i xor s (0 flips none) leads to a code word.
     """
-    masks = [sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1) for k in range(5)]
+    size = (1 << checks) - 1
+    masks = [sum(1 << (p - 1) for p in range(1, size + 1) if p >> k & 1) for k in range(checks)]
     s = sum((F.shiftleft(_odd(block, m), k) for k, m in enumerate(masks)), F.lit(0).cast("long"))
-    flip = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), (i - 1).cast("int")))
-    places = F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))
+    flip = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), (i - 1).cast("int")))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(size).cast("long"))
     found = F.transform(F.filter(places, lambda i: i < i.bitwiseXOR(s)), lambda i: block.bitwiseXOR(flip(i)).bitwiseXOR(flip(i.bitwiseXOR(s))))
     return F.when(s == 0, F.array(block)).otherwise(found)
 
@@ -136,38 +148,87 @@ def _pairs(keys: np.ndarray, prints: np.ndarray, most: int) -> Iterator[tuple[np
         step += 1
 
 
-def _forest(most: int):
-    """Links of one task's anchors as (u, v) of fingerprints, v the first that u reaches at its anchor."""
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("key", kind="stable")
-        prints = rows["f"].to_numpy(np.int64)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        held = 0
-        for i, j, _ in _pairs(rows["key"].to_numpy(), prints.view(np.uint64)[:, None], most):
-            a.append(i)
-            b.append(j)
-            held += len(i)
-            if held > 1 << 20:  # a forest stands for what has been found so far
-                root = local_roots(len(rows), np.concatenate(a), np.concatenate(b))
-                a, b = [np.flatnonzero(root != np.arange(len(rows)))], [root[root != np.arange(len(rows))]]
-                held = len(a[0])
-        root = local_roots(len(rows), np.concatenate(a), np.concatenate(b))
-        on = np.flatnonzero(root != np.arange(len(rows)))
-        return pd.DataFrame({"u": prints[on], "v": prints[root[on]]}).drop_duplicates()
-
-    return of
+def _forest(keys: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the rows of each key (sorted by it) as fingerprints u and v, v the first that u reaches at its anchor."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    held, n = 0, len(keys)
+    for i, j, _ in _pairs(keys, prints.view(np.uint64)[:, None], most):
+        a.append(i)
+        b.append(j)
+        held += len(i)
+        if held > 1 << 20:  # a forest stands for what has been found so far
+            root = local_roots(n, np.concatenate(a), np.concatenate(b))
+            a, b = [np.flatnonzero(root != np.arange(n))], [root[root != np.arange(n)]]
+            held = len(a[0])
+    root = local_roots(n, np.concatenate(a), np.concatenate(b))
+    on = np.flatnonzero(root != np.arange(n))
+    return prints[on], prints[root[on]]
+
+
+def _compare(most: int, hot: int):
+    """Links (u, v) at the anchors of a task, whose rows come sorted by key; rows of a hotter anchor are passed on as (u, null, key)."""
+
+    def out(u, v, key) -> pd.DataFrame:
+        return pd.DataFrame({"u": u, "v": pd.array(v, "Int64"), "key": pd.array(key, "Int64")})
+
+    def whole(keys: np.ndarray, f: np.ndarray) -> Iterator[pd.DataFrame]:
+        _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
+        cold = n[back] <= hot
+        u, v = _forest(keys[cold], f[cold], most)
+        yield out(u, v, [None] * len(u)).drop_duplicates()
+        yield out(f[~cold], [None] * int((~cold).sum()), keys[~cold])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = f = np.zeros(0, np.int64)
+        passed = None
+        for rows in batches:
+            keys, f = np.concatenate([keys, rows["key"].to_numpy(np.int64)]), np.concatenate([f, rows["f"].to_numpy(np.int64)])
+            if passed is not None and len(keys):
+                on = keys == passed
+                yield out(f[on], [None] * int(on.sum()), keys[on])
+                keys, f = keys[~on], f[~on]
+            if not len(keys):
+                continue
+            done = np.searchsorted(keys, keys[-1])
+            yield from whole(keys[:done], f[:done])
+            keys, f = keys[done:], f[done:]
+            if len(keys) > hot:
+                passed = keys[-1]
+                yield out(f, [None] * len(f), keys)
+                keys = f = np.zeros(0, np.int64)
+        yield from whole(keys, f)
+
+    return run
+
+
+def _second_level(over: DataFrame, most: int, tasks: int) -> DataFrame:
+    """(u, v): links of the members (u, key) of hot anchors, by anchors of the halves of the other block."""
+    first_block = F.shiftrightunsigned("key", 32) == 0
+    block = F.when(first_block, F.shiftrightunsigned("u", 32)).otherwise(F.col("u"))
+    halves = [F.transform(anchors(F.shiftrightunsigned(block, 15 * k).bitwiseAND(F.lit((1 << 15) - 1)), 4), lambda a, k=k: a.bitwiseOR(F.lit(k << 15))) for k in (0, 1)]
+    near = over.select("u", "key", F.explode(F.concat(*halves)).alias("half"))
+    # what is still hot is dealt into blocks, each compared with each
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("key", "half")) / HOT_ANCHOR)
+    dealt = near.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("u"), F.col("blocks")))
+    dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = dealt.select(F.xxhash64("key", "half", F.least("mine", "to"), F.greatest("mine", "to")).alias("key"), F.col("u").alias("f"))
+    return rows.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(_compare(most, 1 << 40), "u long, v long, key long").select("u", "v")
+
+
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """(u, v): forests of links between the different fingerprints of `prints` (fp long) at most 3 bits apart."""
+    tasks = max(1, math.ceil(prints.count() * 32 / ANCHOR_ROWS))
+    spread = anchored(prints.select(F.array("fp").alias("fp")).repartition(tasks), 2).select("key", F.col("fp")[0].alias("f"))
+    met = materialize(spread.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(_compare(BITS_APART, HOT_ANCHOR), "u long, v long, key long"))
+    links, over = met.filter("v IS NOT NULL").select("u", "v"), met.filter("v IS NULL").select("u", "key")
+    return links if over.isEmpty() else links.unionByName(_second_level(over, BITS_APART, tasks))
 
 
 def groups(documents: DataFrame, size: int = WORDS) -> DataFrame:
-    """(doc_id, fp long, component_id) of each document: fingerprints of at most 3 differing bits are linked."""
-    prints = materialize(fingerprinted(documents, size).select("doc_id", F.col("fp")[0].alias("fp")).distinct())
+    """(doc_id, fp long, component_id) of each row: fingerprints of at most 3 differing bits are linked."""
+    prints = materialize(fingerprinted(documents, size).select("doc_id", F.col("fp")[0].alias("fp")))
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    n = own.count()
-    tasks = max(1, math.ceil(n * 32 / ANCHOR_ROWS))
-    spread = anchored(own.select(F.array("fp").alias("fp")).repartition(tasks), 2).select("key", F.col("fp")[0].alias("f"), F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("part"))
-    links = spread.repartition(tasks, "part").groupBy("part").applyInPandas(_forest(BITS_APART), "u long, v long")
-    roots = components(links)
+    roots = components(fingerprint_links(own))
     joined = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.join(least, "root").select("fp", "component_id")
@@ -199,21 +260,23 @@ def _usual(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def prefixes(texts: DataFrame, usual: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(node, n, s0 to s3, tokens): size of the set of shingles, its parity sketch, and the shingles one of which any partner has.
+def shingle_sets(texts: DataFrame, usual: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(same, first, fp, n, s0 to s3, tokens) of (same, first, text): fingerprint, size and sketch of the set of shingles, and its prefix.
 
     Two sets of similarity 0.8 share at least 0.8 of the larger one, so they share one of the first n - ceil(0.8 n) + 1
-    shingles in an order common to all, here the rarest first. A text without words stands for one shingle of its own kind.
-    The sketch is the parity of the shingles in each of 256 places: as many bits differ as shingles do, or fewer.
+    shingles (the tokens) in an order common to all, here the rarest first. A text without words stands for one shingle
+    of its own kind. The sketch is the parity of the shingles in each of 256 places: as many bits differ as shingles do, or fewer.
     """
     shared = texts.sparkSession.sparkContext.broadcast(usual)  # at most USUAL rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for batch in batches:
-            nodes, part = batch.column(0), batch.column(1).to_pylist()
+            part = batch.column(2).to_pylist()
             for a, b in slices([len(t) for t in part], 1 << 20):
-                each = [set(shingle_hashes(words_of(t), SHINGLE)) for t in part[a:b]]
+                lists = [shingle_hashes(words_of(t), SHINGLE) for t in part[a:b]]
+                prints = majority(lists, 1)[:, 0]
+                each = [set(x) for x in lists]
                 sizes = np.array([len(x) for x in each])
                 h = np.array([v for x in each for v in x or (0,)], np.uint64)
                 held = np.maximum(sizes, 1)
@@ -229,136 +292,140 @@ def prefixes(texts: DataFrame, usual: tuple[np.ndarray, np.ndarray]) -> DataFram
                 place = (mix(h) >> np.uint64(56)).astype(np.int64)
                 odd = np.bincount(doc * 256 + place, minlength=256 * len(each)).reshape(-1, 256) & 1
                 sketch = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(tokens.view(np.int64)))
-                columns = [nodes.slice(a, b - a), pa.array(sizes.astype(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "s0", "s1", "s2", "s3", "tokens"])
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(tokens.view(np.int64)))
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(prints.view(np.int64)), pa.array(sizes.astype(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)), tokens]
+                yield pa.RecordBatch.from_arrays(columns, names=["same", "first", "fp", "n", "s0", "s1", "s2", "s3", "tokens"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, s0 long, s1 long, s2 long, s3 long, tokens array<long>")
+    return texts.mapInArrow(run, "same binary, first long, fp long, n long, s0 long, s1 long, s2 long, s3 long, tokens array<long>")
 
 
-def _met(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows whose token others have too, with the number that have it."""
-    rows = rows.sort_values("token", kind="stable")
-    _, back, n = np.unique(rows["token"].to_numpy(), return_inverse=True, return_counts=True)
-    rows = rows.assign(members=n[back])
-    return rows[rows["members"] > 1][["token", "node", "members"]]
+def _across(keys: np.ndarray, label: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of one key and of different labels; rows are sorted by key and label."""
+    if not len(keys):
+        return
+    place = np.arange(len(keys))
+    new_key = np.append(keys[1:] != keys[:-1], True)
+    new_run = new_key | np.append(label[1:] != label[:-1], True)
+    key_end = np.flatnonzero(new_key)[np.cumsum(new_key) - new_key] + 1
+    run_end = np.flatnonzero(new_run)[np.cumsum(new_run) - new_run] + 1
+    for a, b in slices(key_end - run_end + 1, most):
+        n = (key_end - run_end)[a:b]
+        ends = np.cumsum(n)
+        yield np.repeat(place[a:b], n), np.arange(ends[-1]) + np.repeat(run_end[a:b] - ends + n, n)
 
 
-def _possible(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, bits apart) of rows of one key, sorted by it, whose sizes and sketches allow a similarity of 0.8."""
-    keys, n = rows["key"].to_numpy(), rows["n"].to_numpy()
+def _unjoined(rows: pd.DataFrame) -> pd.DataFrame:
+    """All pairs of different labels at the keys of a task whose sizes and sketches allow a similarity of 0.8."""
+    rows = rows.sort_values(["key", "label"], kind="stable")
+    keys, label, ids, n = (rows[c].to_numpy() for c in ("key", "label", "node", "n"))
     sketch = rows[["s0", "s1", "s2", "s3"]].to_numpy().view(np.uint64)
     block, own = rows["block"].to_numpy(), rows["same"].to_numpy()
-    at, step = np.arange(len(keys) - 1), 1
-    while len(at):
-        at = at[at + step < len(keys)]
-        at = at[keys[at] == keys[at + step]]
-        for part in np.array_split(at, max(1, len(at) >> 18)):
-            other = part + step
-            on = (own[part] | (block[part] != block[other])) & (5 * np.minimum(n[part], n[other]) >= 4 * np.maximum(n[part], n[other]))
-            part, other = part[on], other[on]
-            apart = np.bitwise_count(sketch[part] ^ sketch[other]).sum(1, dtype=np.int64)
-            # similarity 0.8 means that at most a ninth of both sizes together differs
-            on = 9 * apart <= n[part] + n[other]
-            if on.any():
-                yield part[on], other[on], apart[on]
-        step += 1
-
-
-def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each document at each token, the closest and the smallest possible partner before it."""
-    rows = rows.sort_values(["key", "node"], kind="stable")
-    ids = rows["node"].to_numpy()
-    close, small = np.full(len(ids), 1 << 62), np.full(len(ids), 1 << 62)
-    for i, j, apart in _possible(rows):
-        np.minimum.at(close, j, apart << 40 | i)
-        np.minimum.at(small, j, i)
-    on = np.flatnonzero(small < 1 << 62)
-    x = np.concatenate([close[on] & (1 << 40) - 1, small[on]])
-    return pd.DataFrame({"u": ids[np.tile(on, 2)], "v": ids[x]}).drop_duplicates()
-
-
-def _unjoined(rows: pd.DataFrame) -> pd.DataFrame:
-    """All possible pairs of different labels."""
-    rows = rows.sort_values(["key", "node"], kind="stable")
-    ids, label = rows["node"].to_numpy(), rows["label"].to_numpy()
     out, held = [np.zeros((0, 2), np.int64)], 0
-    for i, j, _ in _possible(rows):
-        on = label[i] != label[j]
-        out.append(np.stack([ids[j[on]], ids[i[on]]], 1))
-        held += len(out[-1])
+    for i, j in _across(keys, label):
+        on = (own[i] | (block[i] != block[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+        i, j = i[on], j[on]
+        # similarity 0.8 means that at most a ninth of both sizes together differs
+        on = 9 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
+        pair = np.stack([ids[i[on]], ids[j[on]]], 1)
+        out.append(np.stack([pair.max(1), pair.min(1)], 1))
+        held += len(pair)
         if held > 1 << 20:  # pairs repeat over the tokens
             out = [np.unique(np.concatenate(out), axis=0)]
             held = 0
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest(sets: DataFrame, label: DataFrame) -> DataFrame:
+    """(u, v): every possible pair of nodes that share a token and have different labels."""
+    every = sets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tokens = every.select("node", "label", F.explode("tokens").alias("token"))
+    # a token whose documents are one group already says nothing new; its rows stay rows, however many
+    at = Window.partitionBy("token")
+    met = tokens.withColumns({"low": F.min("label").over(at), "high": F.max("label").over(at), "members": F.count("*").over(at)}).filter("low < high")
+    # a token of many documents is dealt into blocks, each compared with each
+    blocks = F.ceil(F.col("members") / HOT)
+    dealt = met.withColumns({"block": F.pmod(F.xxhash64("node"), blocks), "blocks": blocks}).select("token", "node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
+    dealt = dealt.select("node", "label", "block", (F.col("block") == F.col("to")).alias("same"), F.xxhash64("token", F.least("block", "to"), F.greatest("block", "to")).alias("key"))
+    spread = materialize(dealt)
+    tasks = max(1, math.ceil(spread.count() / TOKEN_ROWS))
+    whole = spread.join(sets.select("node", "n", "s0", "s1", "s2", "s3"), "node").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(tasks)))
+    return whole.repartition(tasks, "part").groupBy("part").applyInPandas(_unjoined, "u long, v long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of a similarity of 0.8 or more, by their texts (same, text); the partners of a v are dealt out by SHARE."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, other = None, set()
         for batch in batches:
-            keep = [jaccard(a, b) >= SIMILARITY for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if b != known:
+                    known, other = b, set(shingle_hashes(words_of(b), SHINGLE))
+                own = set(shingle_hashes(words_of(a), SHINGLE))
+                keep.append(5 * len(own & other) >= 4 * len(own | other))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
-    both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
+    name = lambda node, same: sets.select(F.col("node").alias(node), F.col("same").alias(same))
+    shares = F.ceil(F.count("*").over(Window.partitionBy("v")) / SHARE)
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), shares))
+    named = materialize(dealt.join(name("u", "us"), "u").join(name("v", "vs"), "v").select("u", "v", "us", "vs", "salt"))
+    left = named.join(texts.select(F.col("same").alias("us"), F.col("text").alias("a")), "us").select("v", "salt", "u", "a")
+    right = named.select("v", "vs", "salt").distinct().join(texts.select(F.col("same").alias("vs"), F.col("text").alias("b")), "vs").select("v", "salt", "b")
+    return left.join(right, ["v", "salt"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("row.text").cast("string"), F.lit(""))
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """The documents with __id (null as the smallest long), __text and __same, the digest of the text without case."""
-    docs = documents.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
-    return docs.withColumn("__same", F.sha2(F.translate("__text", _UPPER.decode(), _LOWER.decode()), 256))
+    """(row, id, text, same): the whole row, its id (null as the smallest long), its text, and the digest of that without case."""
+    rows = documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row"))
+    return rows.select("row", _id().alias("id"), _text().alias("text"), F.unhex(F.sha2(F.translate(_text(), _UPPER.decode(), _LOWER.decode()), 256)).alias("same"))
 
 
-def _near(documents: DataFrame) -> DataFrame:
-    """(doc_id, same, component_id, least): each id and text of the table, and the smallest of its near group.
+def _near(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(same, first, row) of each different text, and (same, component_id, least) with the smallest document of its near group.
 
-    Equal texts are one from the start. Candidates have a shingle of their prefixes in common, which every pair of the
-    required similarity has. First each is held against the closest and the smallest before it at each token; then
-    every possible pair that these links have not joined is held too. Every candidate is verified on the texts.
+    Equal texts are one from the start, combined before the shuffle that deals texts out by digest; that table is kept on
+    disk, since both verifications and the result take texts from it. First SimHash anchors link fingerprints, and each
+    member of a group is verified against the group's root. What these links left apart is held against every document
+    that shares a token of its prefix, as every pair of the required similarity does: no link is lost to SimHash.
     """
-    docs = _keyed(documents).select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"), F.col("__same").alias("same"))
-    keyed = materialize(docs.select("doc_id", "same").distinct())
-    own = materialize(keyed.groupBy("same").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    texts = docs.join(own.select(F.col("first").alias("doc_id"), "same", "node"), ["doc_id", "same"]).select("node", "text")
-    share = max(1, own.count() // SAMPLE)
-    sets = materialize(prefixes(texts, _usual(texts.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0))))
-    n = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    tasks = max(1, math.ceil(n / TOKEN_ROWS))
-    tokens = sets.select("node", F.explode("tokens").alias("token")).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(tasks)))
-    met = tokens.repartition(tasks, "part").groupBy("part").applyInPandas(_met, "token long, node long, members long")
-    # a token of many documents is dealt into blocks, each compared with each
-    blocks = F.ceil(F.col("members") / HOT)
-    mine = F.pmod(F.xxhash64("node"), blocks)
-    dealt = met.withColumns({"block": mine, "blocks": blocks}).select("token", "node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
-    dealt = dealt.select("node", "block", (F.col("block") == F.col("to")).alias("same"), F.xxhash64("token", F.least("block", "to"), F.greatest("block", "to")).alias("key"))
-    spread = materialize(dealt.join(sets.drop("tokens"), "node"))
-    near = max(1, math.ceil(spread.count() / TOKEN_ROWS))
-    by_key = lambda rows: rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(near))).repartition(near, "part").groupBy("part")
-    checked = texts.withColumnRenamed("node", "doc_id")
-    pairs = by_key(spread).applyInPandas(_nearest, "u long, v long").distinct()
-    links = materialize(_verified(pairs, checked))
-    # what the first links left apart is held against all it could be linked to
-    label = components(links).toDF("node", "label")
-    apart = spread.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    more = by_key(apart).applyInPandas(_unjoined, "u long, v long").distinct()
-    roots = components(links.unionByName(_verified(more, checked)))
-    named = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = _keyed(documents).groupBy("same").agg(F.min("id").alias("first"), F.min_by("row", F.struct("id", "text")).alias("row")).persist(StorageLevel.DISK_ONLY)
+    texts = rows.select("same", "first", _text().alias("text"))
+    share = max(1, rows.count() // SAMPLE)
+    usual = _usual(texts.filter(F.pmod(F.xxhash64("same"), F.lit(share)) == 0))
+    sets = materialize(shingle_sets(texts, usual).withColumn("node", F.monotonically_increasing_id()))
+    prints = sets.groupBy("fp").agg(F.min("node").alias("node"))
+    of = lambda side: prints.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node"))
+    links = fingerprint_links(prints).join(of("u"), "u").join(of("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    equal = sets.select("fp", F.col("node").alias("u")).join(prints.withColumnRenamed("node", "v"), "fp").filter("u <> v").select("u", "v")
+    grouped = components(links.unionByName(equal)).filter("node <> root").toDF("u", "v")
+    links = materialize(_verified(grouped, sets, texts))
+    more = materialize(_verified(_rest(sets, components(links).toDF("node", "label")), sets, texts))
+    roots = components(links.unionByName(more))
+    named = sets.select("node", "same", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min(F.struct("first", "same")).alias("least"))
-    return keyed.join(named.join(least, "root").select("same", "least"), "same").select("doc_id", "same", F.col("least.first").alias("component_id"), F.col("least.same").alias("least"))
+    return rows, named.join(least, "root").select("same", F.col("least.first").alias("component_id"), F.col("least.same").alias("least"))
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
     """(doc_id, component_id): documents whose five-word shingles have Jaccard similarity 0.8 or more are one group."""
-    return _near(documents).select("doc_id", "component_id")
+    members = _keyed(documents).select(F.col("id").alias("doc_id"), "same").distinct()
+    return members.join(_near(documents)[1], "same").select("doc_id", "component_id")
 
 
 def representatives(documents: DataFrame) -> DataFrame:
     """The document of the smallest id of each near group, with all its columns (repeated rows of it once).
 
-    Members are known by id and text, so documents without an id, or of one id, stand for themselves.
+    Members are known by their texts, so documents without an id, or of one id, stand for themselves.
     """
-    kept = _near(documents).filter((F.col("doc_id") == F.col("component_id")) & (F.col("same") == F.col("least")))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("same").alias("__same")).distinct()
-    once = _keyed(documents).join(kept, ["__id", "__same"], "left_semi").dropDuplicates(["__id", "__same"])
-    return once.select(*documents.columns)
+    rows, named = _near(documents)
+    kept = named.filter(F.col("same") == F.col("least")).select("same")
+    return rows.join(kept, "same", "left_semi").select("row.*")
