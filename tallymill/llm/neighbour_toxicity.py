@@ -1,18 +1,21 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine (operator 4).
 
-Terms are words and word beginnings of 4 to 6 letters that go with the label in the training rows; their document
-frequencies are counted over all documents. Labelled examples stand in an inverted index, dealt into blocks that keep
-each term's largest weight; a query scores only blocks whose bound can still reach its nearest examples, so the
-neighbours are exact. Their votes are weighted by closeness and calibrated on the examples themselves, each left out.
-
-Defined results: a text without any term (null and empty texts too) has no neighbour and gets the rate of label 1 among
-such examples. Equal similarities prefer the smaller example number; rows are independent; columns pass through.
+Terms are all words, hashed to TERMS numbers; their document frequencies are counted over all documents, and a term that
+goes with a label in the training rows weighs more (no term is left out). All labelled examples of both labels stand in
+an inverted index, dealt into blocks: the postings of a term are cut by block, and each piece keeps its largest weight.
+A document adds up these maxima to a bound for each block, is compared with its most promising block, and then only with
+blocks whose bound reaches its nearest examples so far, so the neighbours are exact. Their votes are weighted by
+closeness and calibrated on the examples themselves, each left out.
+
+Defined results: a text without any word (null and empty texts too), or that shares none with an example, has no
+neighbour and gets the rate of label 1 among such examples. Equal similarities prefer the smaller example number; rows
+are independent; columns pass through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,116 +25,142 @@ from pyspark.sql import types as T
 
 from .common import Letters, labelled_sample, slices
 
-#: Bound of the labelled examples, and of the terms kept.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 5000, 2048, 15, 64
-_LEAST_Z, _LEAST_DOCS, _BEGINNINGS = 6.0, 5, (4, 5, 6)
+#: Bound of the labelled examples, numbers that words are hashed to, neighbours that vote, examples of a block.
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 5000, 1 << 18, 15, 64
+#: Postings that a task adds up at once; bounds memory, not the input.
+AT_ONCE = 1 << 21
 
 
-def _occurrences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Document number and 64-bit hash of each word and word beginning."""
+def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term number and frequency of each term that occurs, sorted by document and term."""
     x = Letters(texts)
-    docs, terms = [x.doc_of_word], [x.hashes(x.starts, x.ends)]
-    for n in _BEGINNINGS:
-        on = x.ends - x.starts > n
-        docs.append(x.doc_of_word[on])
-        terms.append(x.hashes(x.starts[on], x.starts[on] + n) ^ np.uint64(n))
-    return np.concatenate(docs), np.concatenate(terms)
-
-
-def select_terms(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Hashes of terms whose share of label-1 documents exceeds the others' by several standard errors."""
-    terms, n, hits = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for a, b in slices([len(t) for t in texts], 1 << 20):
-        doc, term = _occurrences(texts[a:b])
-        order = np.lexsort((doc, term))
-        doc, term = doc[order], term[order]
-        once = np.ones(len(doc), bool)
-        once[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
-        doc, term = doc[once], term[once]
-        # counts so far and those of this slice, a row for each term
-        terms, back = np.unique(np.concatenate([terms, term]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([n, np.ones(len(term), np.int64)]), len(terms)).astype(np.int64)
-        hits = np.bincount(back, np.concatenate([hits, labels[doc + a]]), len(terms)).astype(np.int64)
-    if not len(terms):
-        return terms
+    term = (x.hashes(x.starts, x.ends) >> np.uint64(64 - TERMS.bit_length() + 1)).astype(np.int64)
+    joint, n = np.unique(x.doc_of_word * np.int64(TERMS) + term, return_counts=True)
+    return joint // TERMS, joint % TERMS, n
+
+
+def label_weights(doc: np.ndarray, term: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Weight of each term: 1 where it says nothing about the label, and more by the third power of its standard score for label 1."""
     ones, zeros = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    share = n / len(texts)
+    n, hits = np.bincount(term, minlength=TERMS), np.bincount(term, labels[doc] if len(doc) else None, TERMS)
+    share = n / max(1, len(labels))
     z = (hits / ones - (n - hits) / zeros) / np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros) + 1e-12)
-    good = np.flatnonzero((z >= _LEAST_Z) & (n >= _LEAST_DOCS))
-    return np.sort(terms[good[np.argsort(-z[good], kind="stable")][:TERMS]])
+    return (1 + np.where((n > 0) & (n < len(labels)), np.maximum(z, 0), 0) ** 3 / 64).astype(np.float32)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size says, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
-def counts(texts: list[str], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, term number and frequency of each selected term that occurs."""
-    doc, term = _occurrences(texts)
-    if not len(terms) or not len(doc):
-        return (np.zeros(0, np.int64),) * 3
-    at = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
-    on = terms[at] == term
-    joint, n = np.unique(doc[on] * np.int64(len(terms)) + at[on], return_counts=True)
-    return joint // len(terms), joint % len(terms), n
+@dataclass
+class Index:
+    """Postings by term, cut into pieces by block; a piece knows its block and its largest weight."""
+
+    examples: int
+    first_piece: np.ndarray
+    piece_block: np.ndarray
+    piece_max: np.ndarray
+    piece_start: np.ndarray
+    posting_example: np.ndarray
+    posting_weight: np.ndarray
+
+    @staticmethod
+    def of(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, examples: int) -> Index:
+        order = np.lexsort((doc, term))
+        doc, term, weight = doc[order], term[order], weight[order]
+        block = doc // BLOCK
+        cut = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(doc) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(weight, cut) if len(cut) else np.zeros(0, np.float32)
+        first = np.searchsorted(term[cut], np.arange(TERMS + 1)).astype(np.int32)
+        return Index(examples, first, block[cut].astype(np.int32), most, np.append(cut, len(doc)).astype(np.int32), doc.astype(np.int32), weight)
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, documents: int, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Example numbers and cosines of the k nearest examples (cosine over 0) of each document, and how many blocks were added up.
+
+        Documents come as their terms, sorted by document; -1 fills missing places. `leave` names one example that each leaves out.
+        """
+        blocks = -(-self.examples // BLOCK)
+        near, value, opened = np.full((documents, k), -1, np.int64), np.zeros((documents, k)), 0
+        if not blocks or not len(doc):
+            return near, value, opened
+        pieces = self.first_piece[term + 1] - self.first_piece[term]
+        sizes = np.bincount(doc, self.piece_start[self.first_piece[term + 1]] - self.piece_start[self.first_piece[term]], documents)
+        for a, b in slices(sizes + self.examples, AT_ONCE):
+            x, y = np.searchsorted(doc, [a, b])
+            piece = _spread(self.first_piece[term[x:y]], pieces[x:y])
+            of, heavy = np.repeat(doc[x:y] - a, pieces[x:y]), np.repeat(weight[x:y], pieces[x:y])
+            cell = of * blocks + self.piece_block[piece]
+            bound = np.bincount(cell, heavy * self.piece_max[piece], (b - a) * blocks).reshape(-1, blocks) * (1 + 1e-5)
+            score = np.zeros((b - a) * self.examples)
+            best, floor = bound.argmax(1), np.zeros(b - a)
+            opening = np.zeros_like(bound, bool)
+            opening[np.arange(b - a), best] = True
+            opening &= bound > 0
+            for turn in (0, 1):
+                opened += int(opening.sum())
+                on = opening.ravel()[cell]
+                size = self.piece_start[piece[on] + 1] - self.piece_start[piece[on]]
+                at = _spread(self.piece_start[piece[on]], size)
+                score += np.bincount(np.repeat(of[on], size) * self.examples + self.posting_example[at], np.repeat(heavy[on], size) * self.posting_weight[at], len(score))
+                if turn == 0:
+                    inside = np.pad(score.reshape(b - a, -1), ((0, 0), (0, blocks * BLOCK - self.examples))).reshape(b - a, blocks, BLOCK)[np.arange(b - a), best]
+                    if leave is not None:
+                        inside[best[:, None] * BLOCK + np.arange(BLOCK) == leave[a:b, None]] = 0
+                    floor = np.sort(inside, 1)[:, -k] if k <= BLOCK else floor
+                    # a block is passed over only if its bound cannot reach the k-th nearest of the first one
+                    opening = (bound > 0) & (bound >= floor[:, None]) & ~opening
+            score = score.reshape(b - a, -1)
+            if leave is not None:
+                score[np.arange(b - a), leave[a:b]] = 0
+            some = min(k, self.examples)
+            least = -np.partition(-score, some - 1, 1)[:, some - 1]
+            for row in range(b - a):
+                found = np.flatnonzero((score[row] >= least[row]) & (score[row] > 0))
+                found = found[np.lexsort((found, -score[row, found]))][:k]
+                near[a + row, : len(found)], value[a + row, : len(found)] = found, score[row, found]
+        return near, value, opened
 
 
 @dataclass
 class Model:
-    terms: np.ndarray
-    idf: np.ndarray
-    examples: np.ndarray
+    weights: np.ndarray
+    index: Index
     labels: np.ndarray
     ids: np.ndarray
-    block_max: np.ndarray
-    steps: np.ndarray
-    levels: np.ndarray
-    empty: float
-
-    def vectors(self, texts: list[str]) -> np.ndarray:
-        doc, term, n = counts(texts, self.terms)
-        out = np.zeros((len(texts), len(self.terms)), np.float32)
-        out[doc, term] = (1 + np.log(n)) * self.idf[term] if len(doc) else 0
-        size = np.sqrt((out**2).sum(1, keepdims=True))
-        return out / np.where(size > 0, size, 1)
-
-    def nearest(self, queries: np.ndarray, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines of the k nearest examples (cosine over 0), exact; -1 fills missing places."""
-        bound = queries @ self.block_max.T
-        best = np.full((len(queries), k), -1, np.int64)
-        value = np.zeros((len(queries), k), np.float32)
-        order = np.argsort(-bound, 1, kind="stable")
-        for turn in range(bound.shape[1]):
-            block = order[:, turn]
-            # a block is passed over only if its bound cannot reach the least kept cosine
-            live = np.flatnonzero((bound[np.arange(len(queries)), block] > 0) & (bound[np.arange(len(queries)), block] + 1e-5 >= value[:, -1]))
-            if not len(live):
-                break
-            for b in np.unique(block[live]):
-                rows = live[block[live] == b]
-                at = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.examples)))
-                found = queries[rows] @ self.examples[at].T
-                if leave is not None:
-                    found[at[None, :] == leave[rows, None]] = 0
-                both = np.concatenate([value[rows], found], 1)
-                ids = np.concatenate([best[rows], np.broadcast_to(at, found.shape)], 1)
-                ids = np.where(both > 0, ids, -1)
-                pick = np.lexsort((np.where(ids < 0, 1 << 40, ids), -both.astype(np.float64)), axis=1)[:, :k]
-                value[rows], best[rows] = np.take_along_axis(both, pick, 1), np.take_along_axis(ids, pick, 1)
-        return best, value
+    steps: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    levels: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    empty: float = 0.0
 
     def votes(self, best: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Share of closeness that votes for label 1, drawn a little towards the rate of texts without terms."""
+        """Share of closeness that votes for label 1, drawn a little towards the rate of texts without neighbours."""
         weight = value.astype(np.float64) ** 2 * (best >= 0)
-        return ((weight * self.labels[np.maximum(best, 0)]).sum(1) + 0.05 * self.empty) / (weight.sum(1) + 0.05) if len(self.labels) else np.full(len(best), self.empty)
+        return ((weight * self.labels[np.maximum(best, 0)]).sum(1) + 1e-4 * self.empty) / (weight.sum(1) + 1e-4) if len(self.labels) else np.full(len(best), self.empty)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated scores and the numbers of the nearest examples."""
-        out, near = np.full(len(texts), self.empty), np.full((len(texts), NEIGHBOURS), -1, np.int64)
-        q = self.vectors([t or "" for t in texts])
-        some = np.flatnonzero(q.any(1))
-        if len(some) and len(self.examples):
-            near[some], value = self.nearest(q[some])
-            out[some] = np.interp(self.votes(near[some], value), self.steps, self.levels)
+        doc, term, weight = vectors([t or "" for t in texts], self.weights)
+        near, value, _ = self.index.nearest(doc, term, weight, len(texts))
+        out = np.full(len(texts), self.empty)
+        some = np.flatnonzero(near[:, 0] >= 0)
+        if len(some):
+            out[some] = np.interp(self.votes(near[some], value[some]), self.steps, self.levels)
         return np.clip(out, 0, 1), near
 
 
+def unit(doc: np.ndarray, term: np.ndarray, n: np.ndarray, documents: int, weights: np.ndarray) -> np.ndarray:
+    """Weights of terms in documents, each document of length 1."""
+    w = (1 + np.log(n)) * weights[term]
+    size = np.sqrt(np.bincount(doc, w * w, documents))
+    return (w / size[doc]).astype(np.float32)
+
+
+def vectors(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    doc, term, n = counts(texts)
+    return doc, term, unit(doc, term, n, len(texts), weights)
+
+
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rising step means of y over x (pool adjacent violators)."""
     parts: list[list[float]] = []
@@ -144,52 +173,59 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] for p in parts]), np.array([p[0] for p in parts])
 
 
-def build(texts: list[str], labels: np.ndarray, ids: np.ndarray, terms: np.ndarray, frequency: np.ndarray, documents: int) -> Model:
+def build(texts: list[str], labels: np.ndarray, ids: np.ndarray, frequency: np.ndarray, documents: int) -> Model:
+    parts = [(a, counts(texts[a:b])) for a, b in slices([len(t) for t in texts])]
+    none = np.zeros(0, np.int64)
+    doc, term, n = (np.concatenate([none, *x]) for x in (([p[0] + a for a, p in parts]), [p[1] for _, p in parts], [p[2] for _, p in parts]))
     idf = np.log1p(documents / (1.0 + frequency)).astype(np.float32)
-    model = Model(terms, idf, np.zeros((0, len(terms)), np.float32), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, len(terms)), np.float32), np.array([0.0, 1.0]), np.array([0.0, 1.0]), 0.0)
-    parts = [model.vectors(texts[a:b]) for a, b in slices([len(t) for t in texts])]
-    every = np.concatenate(parts) if parts else model.examples
-    some = every.any(1)
-    rest = labels[~some]
-    model.empty = float((rest.sum() + labels.mean()) / (len(rest) + 1)) if len(labels) else 0.0
-    order = np.flatnonzero(some)
-    if len(order):
-        order = order[np.argsort(every[order].argmax(1), kind="stable")]  # like examples share blocks, so bounds are close
-    model.examples, model.labels, model.ids = every[order], labels[order].astype(np.float64), ids[order]
-    starts = np.arange(0, len(order), BLOCK)
-    model.block_max = np.maximum.reduceat(model.examples, starts, 0) if len(order) else model.block_max
-    if len(order):
-        best, value = model.nearest(model.examples, leave=np.arange(len(order)))
-        model.steps, model.levels = _isotonic(model.votes(best, value), model.labels)
+    weights = idf * label_weights(doc, term, labels)
+    w = unit(doc, term, n, len(texts), weights)
+    # examples whose heaviest term is one and the same share blocks, so that bounds are close
+    heaviest = np.full(len(texts), TERMS)
+    order = np.lexsort((w, doc))
+    last = np.flatnonzero(np.append(doc[order][1:] != doc[order][:-1], True)) if len(doc) else none
+    heaviest[doc[order][last]] = term[order][last]
+    rank = np.argsort(heaviest, kind="stable")
+    place = np.empty(len(texts), np.int64)
+    place[rank] = np.arange(len(texts))
+    order = np.lexsort((term, place[doc]))
+    doc, term, w = place[doc][order], term[order], w[order]
+    model = Model(weights, Index.of(doc, term, w, len(texts)), labels[rank].astype(np.float64), ids[rank])
+    if len(texts):
+        near, value, _ = model.index.nearest(doc, term, w, len(texts), leave=np.arange(len(texts)))
+        alone = near[:, 0] < 0
+        model.empty = float((model.labels[alone].sum() + model.labels.mean()) / (alone.sum() + 1))
+        if not alone.all():
+            model.steps, model.levels = _isotonic(model.votes(near[~alone], value[~alone]), model.labels[~alone])
     return model
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Model:
-    """Examples and terms from at most `rows` labelled documents; document frequencies from all documents."""
+    """Examples from at most `rows` labelled documents; document frequencies from all documents."""
     got = labelled_sample(documents, labels, "toxic", rows)
     texts, y = [r.text for r in got], np.array([int(r.label == 1) for r in got], np.int64)
-    terms = select_terms(texts, y)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(len(terms) + 1, np.int64), 0
+        total, seen = np.zeros(TERMS + 1, np.int64), 0
         for batch in batches:
             part = batch.column(0).to_pylist()
             seen += len(part)
             for a, b in slices([len(t or "") for t in part]):
-                total[:-1] += np.bincount(counts([t or "" for t in part[a:b]], terms)[1], minlength=len(terms))
+                total[:-1] += np.bincount(counts([t or "" for t in part[a:b]])[1], minlength=TERMS)
         total[-1] = seen
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["term", "n"])
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], names=["term", "n"])
 
-    frequency = np.zeros(len(terms) + 1, np.int64)
-    for r in documents.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most TERMS + 1 rows
-        frequency[r.term] = r.n
-    return build(texts, y, np.array([r.doc_id or 0 for r in got], np.int64), terms, frequency[:-1], int(frequency[-1]))
+    frequency = np.zeros(TERMS + 1, np.int64)
+    found = documents.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most TERMS + 1 rows
+    frequency[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return build(texts, y, np.array([r.doc_id or 0 for r in got], np.int64), frequency[:-1], int(frequency[-1]))
 
 
 def annotate(documents: DataFrame, model: Model) -> DataFrame:
     """The documents with toxic_score and toxic_evidence (ids of the nearest labelled examples); such columns are replaced."""
     kept = documents.drop("toxic_score", "toxic_evidence")
-    shared = kept.sparkSession.sparkContext.broadcast(model)  # at most EXAMPLES x TERMS numbers
+    shared = kept.sparkSession.sparkContext.broadcast(model)  # the terms of at most EXAMPLES texts, and TERMS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
