@@ -6,14 +6,13 @@ passages are cut (a document of which nothing is left goes), and packing gives t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm import cost_packing, run_index, simhash_anchors, subword_quality, word_language
-from tallymill.llm.common import table
+from tallymill.llm.common import shared_folder, table
 from tallymill.llm.queries import tokenizer_path
 
 
@@ -52,9 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; stages are written below spark.checkpoint.dir (a temporary folder where none is set)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tallymill-")
-    at = f"{top}/pipeline-{uuid.uuid4().hex}"
+    """All stages over `documents`; stages are written below spark.checkpoint.dir."""
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
