@@ -1,18 +1,23 @@
 """Chat records of many layouts to one marked text, in DataFrame functions alone (operator 6).
 
-The nested field paths of a record (or of a table's schema) are hashed; the fingerprint selects a declarative mapping to
-turns (role, text). Turns are written `### role: text</turn>` with the signs that marks are made of escaped, so the text
+The nested field paths of a record are hashed; the fingerprint selects a declarative mapping to turns (role, text). A
+record is JSON text, whose paths are its own, or a struct, whose paths are its schema's; a table with one turn a row is
+first nested to one such struct for each conversation. Turns are written `### role: text</turn>` with the signs that marks are made of escaped, so the text
 can be split back exactly; a loss mask holds the byte spans of what assistants say.
 
 Defined results: null texts and null roles are empty; turns go by turn number, then role, then text, null numbers
 first; repeated rows are turns of their own; a conversation with a null id is one conversation; records of an unknown
-layout have a null layout and no turns; an empty table gives an empty one; further columns do not matter.
+layout have a null layout and no turns; where paths of several layouts are there, the one with most paths is taken;
+an empty table gives an empty one; further columns and fields do not matter.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Marks of the template, and what stands for the signs they are made of.
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
@@ -37,91 +42,143 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role.cast("string"), F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
-def _said(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "string")
+@dataclass(frozen=True)
+class Listed:
+    """A layout with a list of turns: names of the list and of its fields; `order` numbers the turns, `rename` makes roles canonical."""
 
+    items: str
+    role: str
+    text: str
+    order: str | None = None
+    rename: bool = True
 
-def _listed(path: str, role: str, text: str):
-    def turns(v: Column) -> Column:
-        each = F.try_variant_get(v, path, f"array<struct<{role}:string,{text}:string>>")
-        return F.transform(each, lambda m: _turn(m[role], m[text]))
+    def paths(self) -> list[str]:
+        return [f"{self.items}[].{f}" for f in (self.role, self.text, self.order) if f]
 
-    return turns
 
+@dataclass(frozen=True)
+class Asked:
+    """A layout with one question and its answer, perhaps with what the system says and more context for the question."""
 
-def _asked(question: str, answer: str, system: str | None = None, context: str | None = None):
-    def turns(v: Column) -> Column:
-        user = _said(v, f"$.{question}")
-        if context:
-            more = _said(v, f"$.{context}")
-            user = F.when(F.coalesce(more, F.lit("")) == "", user).otherwise(F.concat_ws("\n", user, more))
-        parts = [_turn(F.lit("user"), user), _turn(F.lit("assistant"), _said(v, f"$.{answer}"))]
-        if system:
-            head = _said(v, f"$.{system}")
-            return F.when(head.isNull(), F.array(*parts)).otherwise(F.array(_turn(F.lit("system"), head), *parts))
-        return F.array(*parts)
+    question: str
+    answer: str
+    system: str | None = None
+    context: str | None = None
 
-    return turns
+    def paths(self) -> list[str]:
+        return [f for f in (self.question, self.answer, self.system, self.context) if f]
 
 
-#: Layout name: the nested paths that mark it, and how its turns are read. The names of roles are made canonical after.
 LAYOUTS = {
-    "messages": (("messages[].content", "messages[].role"), _listed("$.messages", "role", "content")),
-    "conversations": (("conversations[].from", "conversations[].value"), _listed("$.conversations", "from", "value")),
-    "turns": (("turns[].role", "turns[].text"), _listed("$.turns", "role", "text")),
-    "prompt_response": (("prompt", "response"), _asked("prompt", "response")),
-    "system_prompt_response": (("prompt", "response", "system"), _asked("prompt", "response", "system")),
-    "prompt_completion": (("completion", "prompt"), _asked("prompt", "completion")),
-    "instruction": (("instruction", "output"), _asked("instruction", "output")),
-    "instruction_input": (("input", "instruction", "output"), _asked("instruction", "output", context="input")),
-    "question_answer": (("answer", "question"), _asked("question", "answer")),
+    "prompt_response": Asked("prompt", "response"),
+    "prompt_completion": Asked("prompt", "completion"),
+    "instruction": Asked("instruction", "output"),
+    "question_answer": Asked("question", "answer"),
+    "system_prompt_response": Asked("prompt", "response", system="system"),
+    "instruction_input": Asked("instruction", "output", context="input"),
+    "turns": Listed("turns", "role", "text"),
+    "conversations": Listed("conversations", "from", "value"),
+    "messages": Listed("messages", "role", "content"),
+    "turn_rows": Listed("turns", "role", "text", order="turn", rename=False),
+    "content_rows": Listed("turns", "role", "content", order="index", rename=False),
 }
 #: Other names of the canonical roles.
 ROLES = {"human": "user", "user": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "assistant": "assistant", "system": "system"}
 
 
+class _Json:
+    """Fields and paths of a variant."""
+
+    def __init__(self, v: Column):
+        self.v = v
+        none = F.array().cast("array<string>")
+        fields = F.from_json(F.to_json(v), "map<string,variant>")
+        names = lambda items: F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(F.to_json(x)), none)))
+        items = lambda x: F.try_variant_get(x, "$", "array<variant>")
+        each = F.transform(F.coalesce(F.map_keys(fields), none), lambda k: F.coalesce(F.transform(names(items(fields[k])), lambda n: F.concat(k, F.lit("[]."), n)), F.array(k)))
+        self.paths = F.flatten(each)
+
+    def text(self, name: str) -> Column:
+        return F.try_variant_get(self.v, f"$.{name}", "string")
+
+    def turns(self, layout: Listed) -> Column:
+        number = f",{layout.order}:bigint" if layout.order else ""
+        return F.try_variant_get(self.v, f"$.{layout.items}", f"array<struct<{layout.role}:string,{layout.text}:string{number}>>")
+
+
+class _Fields:
+    """Fields and paths of a struct, by its schema."""
+
+    def __init__(self, column: Column, schema: T.StructType):
+        self.column, self.known = column, set()
+        for f in schema.fields:
+            inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else None
+            self.known |= {f"{f.name}[].{g.name}" for g in inner.fields} if isinstance(inner, T.StructType) else {f.name}
+        self.paths = F.array(*map(F.lit, sorted(self.known))).cast("array<string>")
+
+    def text(self, name: str) -> Column:
+        return self.column[name].cast("string") if name in self.known else F.lit(None).cast("string")
+
+    def turns(self, layout: Listed) -> Column:
+        fields = [(layout.role, "string"), (layout.text, "string"), *([(layout.order, "bigint")] if layout.order else [])]
+        if not set(layout.paths()) <= self.known:
+            return F.lit(None).cast(f"array<struct<{','.join(f'{f}:{t}' for f, t in fields)}>>")
+        return F.transform(self.column[layout.items], lambda m: F.struct(*[m[f].cast(t).alias(f) for f, t in fields]))
+
+
+def _read(record: _Json | _Fields, layout: Listed | Asked) -> Column:
+    """The turns that a layout's mapping gives for a record."""
+    if isinstance(layout, Listed):
+        each = record.turns(layout)
+        if layout.order:
+            number = lambda m: F.struct(m[layout.order].alias("turn"), _turn(m[layout.role], m[layout.text])["role"].alias("role"), _turn(m[layout.role], m[layout.text])["text"].alias("text"))
+            return F.transform(F.array_sort(F.transform(each, number)), lambda m: _turn(m["role"], m["text"]))
+        names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+        role = (lambda r: F.coalesce(names[F.lower(r)], r)) if layout.rename else (lambda r: r)
+        return F.transform(each, lambda m: _turn(role(m[layout.role]), m[layout.text]))
+    user = record.text(layout.question)
+    if layout.context:
+        more = record.text(layout.context)
+        user = F.when(F.coalesce(more, F.lit("")) == "", user).otherwise(F.concat_ws("\n", user, more))
+    parts = [_turn(F.lit("user"), user), _turn(F.lit("assistant"), record.text(layout.answer))]
+    if layout.system:
+        head = record.text(layout.system)
+        return F.when(head.isNull(), F.array(*parts)).otherwise(F.array(_turn(F.lit("system"), head), *parts))
+    return F.array(*parts)
+
+
 def fingerprint(paths: Column) -> Column:
     """Hash of an array of nested field paths, whatever their order."""
     return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
 
 
-def record_paths(v: Column) -> Column:
-    """Nested field paths of one record (variant): top-level names, and names in the first item of each top-level list."""
-    top = F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
-    lists = F.from_json(F.to_json(v), "map<string,string>")
-    nested = F.flatten(F.transform(top, lambda k: F.coalesce(F.transform(F.json_object_keys(F.get_json_object(F.element_at(lists, k), "$[0]")), lambda n: F.concat(k, F.lit("[]."), n)), F.array(k))))
-    return nested
-
-
 def canonical(records: DataFrame, column: str = "record") -> DataFrame:
-    """The records (JSON text) with fingerprint, layout and turns; a layout is chosen by the fingerprint of its paths.
+    """The records (JSON text or a struct) with fingerprint, layout and turns.
 
-    Names that no layout uses (ids, sources and the like) do not count for the fingerprint.
+    The fingerprint is that of the paths that some layout uses; ids, sources and the like do not count. A layout is
+    selected where the paths it has in common with the record hash to its own fingerprint.
     """
-    v = F.try_parse_json(F.col(column).cast("string"))
-    used = sorted({p for paths, _ in LAYOUTS.values() for p in paths})
-    marked = fingerprint(F.array_intersect(record_paths(v), F.array(*map(F.lit, used))))
-    out = records.withColumn("fingerprint", marked)
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for name, (paths, read) in LAYOUTS.items():
-        is_it = F.col("fingerprint") == fingerprint(F.array(*map(F.lit, paths)))
-        layout = F.when(is_it, F.lit(name)).otherwise(layout)
-        turns = F.when(is_it, read(v).cast(TURNS)).otherwise(turns)
-    names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    plain = F.transform(turns, lambda t: _turn(F.coalesce(names[F.lower(t["role"])], t["role"]), t["text"]))
-    return out.withColumns({"layout": layout, "turns": plain})
-
-
-def from_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns) of a table with one turn a row. The schema's own fingerprint selects the names of its columns."""
-    layouts = {("conv_id", "role", "text", "turn"): ("conv_id", "turn", "role", "text"), ("conversation_id", "content", "index", "role"): ("conversation_id", "index", "role", "content")}
-    names = next((to for paths, to in layouts.items() if set(paths) <= set(rows.columns)), None)
-    if names is None:
+    kind = records.schema[column].dataType
+    record = _Fields(F.col(column), kind) if isinstance(kind, T.StructType) else _Json(F.try_parse_json(F.col(column).cast("string")))
+    of = lambda paths: F.array(*map(F.lit, sorted(paths)))
+    used = {p for layout in LAYOUTS.values() for p in layout.paths()}
+    out = records.withColumn("fingerprint", fingerprint(F.array_intersect(record.paths, of(used))))
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for key, layout in sorted(LAYOUTS.items(), key=lambda x: len(x[1].paths())):
+        is_it = fingerprint(F.array_intersect(record.paths, of(layout.paths()))) == fingerprint(of(layout.paths()))
+        name = F.when(is_it, F.lit(key)).otherwise(name)
+        turns = F.when(is_it, _read(record, layout).cast(TURNS)).otherwise(turns)
+    return out.withColumns({"layout": name, "turns": turns})
+
+
+def from_rows(rows: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(conv_id, fingerprint, layout, turns) of a table with one turn a row: its rows are nested under `turns`, and `canonical` reads that record."""
+    used = {p for layout in LAYOUTS.values() for p in layout.paths()}
+    fields = [c for c in rows.columns if c != key and f"turns[].{c}" in used]
+    if key not in rows.columns or not fields:
         raise ValueError(f"no layout for the columns {rows.columns}")
-    conv, turn, role, text = map(F.col, names)
-    each = F.struct(turn.cast("long").alias("turn"), F.coalesce(role.cast("string"), F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-    grouped = rows.groupBy(conv.cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(each)).alias("turns"))
-    return grouped.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+    nested = rows.groupBy(F.col(key).cast("long").alias("conv_id")).agg(F.struct(F.collect_list(F.struct(*[F.col(c) for c in fields])).alias("turns")).alias("record"))
+    return canonical(nested).drop("record")
 
 
 def formatted(conversations: DataFrame) -> DataFrame:

@@ -234,6 +234,32 @@ def test_chat_layouts(spark):
     assert all(g == (None, []) for g in got[4:])
 
 
+def test_chat_layouts_by_all_items_and_most_paths(spark):
+    records = [
+        '{"messages":[{"role":"assistant","tool":1},{"role":"user","content":"hi"}]}',  # the first item has no content
+        '{"messages":[{"role":"user","content":"x"}],"system":"s","prompt":"p"}',  # names that other layouts use
+        '{"prompt":"[1, 2]","response":"{}"}',  # texts that look like lists
+        '{"prompt":"p","response":"r","system":"s","source":"w"}',
+        '{"prompt":"p","completion":"c","response":"r"}',
+    ]
+    got = [(r.layout, [tuple(t) for t in r.turns or []]) for r in chat_format.canonical(spark.createDataFrame([(r,) for r in records], "record string")).collect()]
+    assert got[0] == ("messages", [("assistant", ""), ("user", "hi")]) and got[1] == ("messages", [("user", "x")])
+    assert got[2] == ("prompt_response", [("user", "[1, 2]"), ("assistant", "{}")]) and got[3][0] == "system_prompt_response" and got[4][0].startswith("prompt_")
+
+
+def test_chat_rows_go_through_the_fingerprint(spark):
+    rows = [(3, 1, "assistant", "b", "m"), (3, 0, "Human", "a", None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, model string")
+    (got,) = chat_format.from_rows(table).collect()
+    assert got.layout == "turn_rows" and [tuple(t) for t in got.turns] == [("Human", "a"), ("assistant", "b")]
+    (other,) = chat_format.from_rows(table.toDF("chat", "index", "role", "content", "content2"), "chat").collect()
+    assert other.layout == "content_rows" and other.fingerprint != got.fingerprint
+    (known,) = chat_format.canonical(spark.createDataFrame([('{"turns":[{"turn":0,"role":"Human","text":"a"},{"turn":1,"role":"assistant","text":"b"}]}',)], "record string")).collect()
+    assert (known.fingerprint, known.layout, known.turns) == (got.fingerprint, got.layout, got.turns)
+    with pytest.raises(ValueError):
+        chat_format.from_rows(table.select("conv_id", "model"))
+
+
 def test_sketches(spark, docs, odd, empty):
     got = {r.doc_id: r for r in queries.op7_document_fingerprint(spark, SF).collect()}
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
