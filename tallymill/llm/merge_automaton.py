@@ -1,13 +1,18 @@
 """Byte-level BPE by a tokenization automaton (operator 10).
 
 The automaton reads tokens: a state stands for the last token, and its arcs are the tokens that may follow in a correct
-tokenization. It starts with all bytes following each other. Each merge (u, v) -> w in turn is a gadget: the arc v
-leaves the state of u, the state of w is a copy of v's, and an arc w is laid wherever there is an arc u. A copy shares
-its arcs with the state it was made from, so an arc is looked up along the two chains of copies and then kept in the
-transition table. A merge whose own arc is gone by its turn can never apply and is dropped.
+tokenization. It starts with all bytes following each other. Each merge (u, v) -> w in turn is a gadget: the state of w
+is a copy of v's, an arc w is laid wherever there is an arc u, and the arc v leaves the state of u. A merge whose own
+arc is gone by its turn can never apply and is dropped.
 
-A pre-split word is encoded by transitions of two tables: byte by byte through the labels, token by token through the
-arcs. Decoding emits the labels of the arcs.
+Compiled, a state keeps only what it does not share with the state it was copied from (its default). Tokens are numbered
+so that what an arc leaving takes along, the token itself and all that are laid on it later, is one range of numbers;
+a state's row is the list of range edges with the earliest turn at which an arc in the range left. An arc is looked up
+in the rows along the chain of defaults, each read up to the turn of the copy.
+
+A pre-split word is encoded by transitions alone, byte by byte and without a step back: one table leads from node to
+node of a trie of all labels (with its fallbacks), each node names the tokens that end there, and the one whose arc
+leaves the state of the place where it begins is the state of this place. Decoding emits the labels of the arcs.
 
 Defined results: a null text is the empty text (no ids, empty string); control strings of the vocabulary inside a text
 are their own ids, as the tokenizers library has it. Rows are independent; further columns pass through `encoded`.
@@ -18,6 +23,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
+from bisect import bisect_right
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +35,9 @@ from pyspark.sql import types as T
 
 from .common import has_odd
 
-#: Words and arcs a Python worker remembers; beyond that it starts anew.
+#: Words a Python worker remembers; beyond that it starts anew.
 MEMORY = 400_000
+_NEVER = (1 << 31) - 1
 #: How byte-level BPE splits a text into words before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: The same for a text without signs that Python's classes take differently (`has_odd`).
@@ -55,41 +64,25 @@ class Automaton:
         self.born: dict[int, int] = {}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
-        self.cut: dict[tuple[int, int], int] = {}
-        self.tokens: dict[bytes, int] = {}
-        self._arcs: dict[int, bool] = {}
         self._words: dict[str, tuple[int, ...]] = {}
+        cut: dict[tuple[int, int], int] = {}
         for s, i in vocab.items():
             if s in letters:
-                self.tokens[raw(s)], self.born[i] = i, -1
+                self.born[i] = -1
         for turn, (a, b) in enumerate(merges):
-            self._gadget(turn, vocab[a], vocab[b], vocab[a + b])
-        self._steps, self._ends = self._table()
+            u, v, w = vocab[a], vocab[b], vocab[a + b]
+            if u in self.born and v in self.born and w not in self.born and not self._gone(cut, u, v, turn):
+                cut[u, v] = turn
+                self.born[w], self.left[w], self.right[w] = turn, u, v
+        self._compile_arcs(cut)
+        self._compile_bytes()
         self._plain, self._exact = re.compile(PLAIN_SPLIT), regex.compile(SPLIT)
         self._control = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.control, key=len, reverse=True)) + ")") if self.control else None
 
-    def _gadget(self, turn: int, u: int, v: int, w: int) -> None:
-        if u not in self.born or v not in self.born or w in self.born or self._gone(u, v, turn):
-            return
-        self.cut[u, v] = turn
-        self.born[w], self.left[w], self.right[w] = turn, u, v
-        self.tokens[self.labels[w]] = w
-
-    def _table(self) -> tuple[dict[int, int], dict[int, int]]:
-        """(node, byte) -> node over the labels of all tokens laid, and node -> token."""
-        steps: dict[int, int] = {}
-        ends: dict[int, int] = {}
-        for label, t in self.tokens.items():
-            node = 0
-            for b in label:
-                node = steps.setdefault(node << 8 | b, len(steps) + 1)
-            ends[node] = t
-        return steps, ends
-
-    def _gone(self, a: int, b: int, before: int) -> bool:
-        """Whether the arc b had left the state of a before that turn."""
+    def _gone(self, cut: dict[tuple[int, int], int], a: int, b: int, before: int) -> bool:
+        """Whether the arc b had left the state of a before that turn, while gadgets are still being laid."""
         while True:
-            if self.cut.get((a, b), before) < before:
+            if cut.get((a, b), before) < before:
                 return True
             x, y = self.born[a], self.born[b]
             if x == y == -1:
@@ -104,53 +97,115 @@ class Automaton:
                     return True
                 b, before = u, y
 
-    def arc(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        known = self._arcs.get(key)
-        if known is None:
-            if len(self._arcs) >= MEMORY:
-                self._arcs.clear()
-            known = self._arcs[key] = not self._gone(a, b, 1 << 60)
-        return known
+    def _compile_arcs(self, cut: dict[tuple[int, int], int]) -> None:
+        """Number the tokens, and give each state its row: range edges, and the earliest turn at which an arc in the range left."""
+        laid = defaultdict(list)  # on each token, what begins with it, newest first
+        for w in sorted(self.left, key=self.born.__getitem__, reverse=True):
+            laid[self.left[w]].append(w)
+        self._number: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        stack = [(t, False) for t in self.born if self.born[t] == -1]
+        while stack:
+            t, done = stack.pop()
+            if done:
+                ends[t] = len(self._number)
+                continue
+            self._number[t] = len(self._number)
+            stack.append((t, True))
+            stack += [(w, False) for w in reversed(laid[t])]
+        ranges = defaultdict(list)
+        for (u, v), turn in cut.items():
+            # the arc v leaves, and with it what was laid on v in this turn (only where v is u) or later
+            older = next((w for w in laid[v] if self.born[w] < turn), None)
+            ranges[u].append((self._number[v], ends[v] if older is None else self._number[older], turn))
+        self._rows: dict[int, tuple[array, array]] = {}
+        for u, found in ranges.items():
+            found.sort(key=lambda r: (r[0], -r[1]))
+            edges, turns, open_ = array("i", [-1]), array("i", [_NEVER]), []
 
-    def word(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one pre-split word.
+            def edge(at: int) -> None:
+                while open_ and open_[-1][0] <= at:
+                    end = open_.pop()[0]
+                    put(end, open_[-1][1] if open_ else _NEVER)
 
-        From the place reached, the table is read byte by byte for the tokens that begin there, and the longest whose
-        arc leaves the present state is followed. A dead end steps back; as each prefix has one correct tokenization,
-        a place that led nowhere is never entered again.
-        """
-        steps, ends, arc, n = self._steps, self._ends, self.arc, len(word)
-        out: list[int] = []
-        places, dead = [0], set()
-        options: list[list[int]] = []
+            def put(at: int, turn: int, edges=edges, turns=turns) -> None:
+                if edges[-1] == at:
+                    turns[-1] = turn
+                else:
+                    edges.append(at)
+                    turns.append(turn)
+
+            for low, high, turn in found:  # ranges lie inside each other or apart
+                edge(low)
+                least = min(turn, open_[-1][1]) if open_ else turn
+                open_.append((high, least))
+                put(low, least)
+            edge(_NEVER)
+            self._rows[u] = edges, turns
+
+    def _compile_bytes(self) -> None:
+        """The trie of the labels of all tokens laid: (node, byte) -> node, and the tokens that end at each node, longest first."""
+        steps: dict[int, int] = {}
+        ends: list[tuple[tuple[int, int], ...]] = [()]
+        for t in self.born:
+            node = 0
+            for b in self.labels[t]:
+                node = steps.setdefault(node << 8 | b, len(steps) + 1)
+                if node == len(ends):
+                    ends.append(())
+            ends[node] = ((t, len(self.labels[t])),)
+        below = defaultdict(list)
+        for key, node in steps.items():
+            below[key >> 8].append((key & 255, node))
+        back = [0] * len(ends)
+        queue = deque([0])
+        while queue:  # by depth, so that the fallback of a node is whole before the node
+            at = queue.popleft()
+            for b, node in below[at]:
+                if at:
+                    other = back[at]
+                    while other and other << 8 | b not in steps:
+                        other = back[other]
+                    back[node] = steps.get(other << 8 | b, 0)
+                ends[node] = ends[node] + ends[back[node]]
+                queue.append(node)
+        self._steps, self._back, self._ends = steps, back, ends
+
+    def arc(self, a: int, b: int) -> bool:
+        """Whether token b may follow token a."""
+        number, rows, born, right, copied = self._number[b], self._rows, self.born, self.right, _NEVER
         while True:
-            at = places[-1]
-            if at == n:
-                return tuple(out)
-            if len(options) < len(places):
-                node, found = 0, []
-                for k in range(at, n):
-                    node = steps.get(node << 8 | word[k])
-                    if node is None:
-                        break
-                    if node in ends:
-                        found.append(ends[node])
-                options.append(found)
-            choice, moved = options[-1], False
-            while choice:
-                t = choice.pop()
-                to = at + len(self.labels[t])
-                if to not in dead and (not out or arc(out[-1], t)):
-                    out.append(t)
-                    places.append(to)
-                    moved = True
+            row = rows.get(a)
+            if row is not None and row[1][bisect_right(row[0], number) - 1] < copied:
+                return False
+            copied = born[a]
+            if copied == -1:
+                return True
+            a = right[a]
+
+    def word(self, word: bytes) -> tuple[int, ...]:
+        """Ids of one pre-split word: the state after each byte, then the arcs read from the end."""
+        steps, back, ends, arc = self._steps, self._back, self._ends, self.arc
+        states: list[tuple[int, int]] = [(-1, 0)]
+        node = 0
+        for at, b in enumerate(word, 1):
+            to = steps.get(node << 8 | b)
+            while to is None:
+                node = back[node]
+                to = steps.get(node << 8 | b)
+            node = to
+            # each beginning of a word has one correct tokenization, so one token fits
+            for t, size in ends[node]:
+                if size == at or arc(states[at - size][0], t):
+                    states.append((t, size))
                     break
-            if not moved:
-                dead.add(at)
-                options.pop()
-                places.pop()
-                out.pop()
+        out: list[int] = []
+        at = len(word)
+        while at:
+            t, size = states[at]
+            out.append(t)
+            at -= size
+        return tuple(out[::-1])
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
