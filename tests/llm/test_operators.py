@@ -216,6 +216,48 @@ def test_pruned_search_is_whole():
         assert sorted(got[got.query_id == 10_000 + k].score.tolist()) == np.sort(s[k])[-5:].tolist()
 
 
+def test_search_prunes_for_each_query():
+    rng = np.random.default_rng(8)
+    p = rng.normal(size=(4000, 16)) * np.exp(rng.normal(size=(4000, 1)) * 1.5) * 40
+    q = rng.normal(size=(300, 16)) * 40
+    p, q = np.floor(p).astype(np.int64), np.floor(q).astype(np.int64)
+    s = q @ p.T
+    floors = np.sort(s, 1)[:, -5].astype(float)
+    done = []
+    bucket = pd.DataFrame({"id": np.arange(4000), "v": list(p)})
+    got = norm_search.search(pd.DataFrame({"id": 10_000 + np.arange(300), "v": list(q), "floor": floors}), bucket, 5, done)
+    assert sum(done) < 0.2 * s.size
+    for k in range(300):
+        assert sorted(got[got.query_id == 10_000 + k].score.tolist()) == np.sort(s[k])[-5:].tolist()
+    # vectors of one length: only the coordinate can tell
+    u = np.floor(400 * p / np.maximum(np.sqrt((p**2).sum(1, keepdims=True)), 1)).astype(np.int64)
+    near, done = u[:50] + rng.integers(-3, 4, (50, 16)), []
+    floors = np.sort(near @ u.T, 1)[:, -1].astype(float)
+    got = norm_search.search(pd.DataFrame({"id": 10_000 + np.arange(50), "v": list(near), "floor": floors}), pd.DataFrame({"id": np.arange(4000), "v": list(u)}), 1, done)
+    assert sum(done) < 0.2 * 50 * 4000 and sorted(got.score) == sorted(floors)
+
+
+def test_layers_out_of_reach_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(norm_search, "BUCKET", 200)
+    monkeypatch.setattr(norm_search, "BLOCK", 20)
+    monkeypatch.setattr(norm_search, "FIRST", 50)
+    rng = np.random.default_rng(5)
+    rows = [(k, (rng.normal(size=8) * np.exp(rng.normal() * 2)).tolist()) for k in range(4000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    usable = norm_search.materialize(norm_search._usable(table, 256, "vec_id", "embedding"))
+    queries = norm_search.materialize(norm_search._thresholds(usable, usable.filter("id % 50 = 0"), 5))
+    q, p = norm_search.live_pairs(norm_search._layered(usable, 20), queries)
+    # all pairs would be 80 queries in 20 buckets and 4,000 vectors in 4 blocks
+    assert q.count() < 0.5 * 80 * 20 and p.count() < 0.5 * 4000 * 4
+    x = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v in rows}
+    got = collections.defaultdict(list)
+    for r in norm_search.top_k(table).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    for i in range(0, 4000, 50):
+        want = sorted((-int(x[i] @ v), j) for j, v in x.items() if j != i)[:5]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(want)]
+
+
 def test_chat_round_trip(spark):
     texts = ["a", "\\h # < \\b </turn>\n### user: x", "", None, "ünï : \n", "\\\\l"]
     rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["system", "user", "assistant", "assistant", "us:er#", None], texts))]
