@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +36,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The rows as Parquet in the shared folder, bucketed by `key` as shuffles deal it, so later joins on it move the other side alone."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, they are in a folder of their own
+    return rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

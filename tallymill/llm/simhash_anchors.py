@@ -24,11 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MULT, materialize, mix, slices
+from .common import MULT, bucketed, materialize, mix, slices
 from .components import components, local_roots
 
 SEED, WORDS, BITS_APART = 42, 3, 3
@@ -205,8 +204,8 @@ def _second_level(over: DataFrame, most: int, tasks: int) -> DataFrame:
     """(u, v): links of the members (u, key) of hot anchors, by anchors of the halves of the other block."""
     first_block = F.shiftrightunsigned("key", 32) == 0
     block = F.when(first_block, F.shiftrightunsigned("u", 32)).otherwise(F.col("u"))
-    halves = [F.transform(anchors(F.shiftrightunsigned(block, 15 * k).bitwiseAND(F.lit((1 << 15) - 1)), 4), lambda a, k=k: a.bitwiseOR(F.lit(k << 15))) for k in (0, 1)]
-    near = over.select("u", "key", F.explode(F.concat(*halves)).alias("half"))
+    half = lambda k: F.transform(anchors(F.shiftrightunsigned(block, 15 * k).bitwiseAND(F.lit((1 << 15) - 1)), 4), lambda a: a.bitwiseOR(F.lit(k << 15)))
+    near = over.select("u", "key", F.explode(F.concat(half(0), half(1))).alias("half"))
     # what is still hot is dealt into blocks, each compared with each
     blocks = F.ceil(F.count("*").over(Window.partitionBy("key", "half")) / HOT_ANCHOR)
     dealt = near.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("u"), F.col("blocks")))
@@ -392,12 +391,13 @@ def _keyed(documents: DataFrame) -> DataFrame:
 def _near(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(same, first, row) of each different text, and (same, component_id, least) with the smallest document of its near group.
 
-    Equal texts are one from the start, combined before the shuffle that deals texts out by digest; that table is kept on
-    disk, since both verifications and the result take texts from it. First SimHash anchors link fingerprints, and each
+    Equal texts are one from the start, combined before the shuffle that deals texts out by digest; that table is
+    written in buckets, since both verifications and the result take texts from it without moving them. First SimHash anchors link fingerprints, and each
     member of a group is verified against the group's root. What these links left apart is held against every document
     that shares a token of its prefix, as every pair of the required similarity does: no link is lost to SimHash.
     """
-    rows = _keyed(documents).groupBy("same").agg(F.min("id").alias("first"), F.min_by("row", F.struct("id", "text")).alias("row")).persist(StorageLevel.DISK_ONLY)
+    least = F.min_by("row", F.struct("id", F.xxhash64("text")))
+    rows = bucketed(_keyed(documents).groupBy("same").agg(F.min("id").alias("first"), least.alias("row")), "same")
     texts = rows.select("same", "first", _text().alias("text"))
     share = max(1, rows.count() // SAMPLE)
     usual = _usual(texts.filter(F.pmod(F.xxhash64("same"), F.lit(share)) == 0))
