@@ -18,16 +18,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, MULT, mix, powers, slices
+from .common import BASE, MULT, mix, powers, slices, total_bytes
 
 #: Cells of the published sketch, and of the first try at a difference.
 CELLS, HASHES = 16, 3
-#: Documents in one stretch of ids, on average.
-STRETCH = 3000
+#: Bytes of text in one stretch of documents on average, most stretches, and sampled rows a stretch for their edges.
+STRETCH, STRETCHES, SAMPLED = 16 << 20, 1 << 16, 20
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, paragraphs long, changed long"
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
@@ -162,18 +163,43 @@ def compare(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(columns, names=[f.split(" ")[0] for f in SCHEMA.split(", ")])
 
 
+def _edges(docs: DataFrame, stretches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and text hashes at which stretches begin, rising: even steps through a sample of at most about SAMPLED rows a stretch."""
+    n = docs.count()
+    share = max(1, n // max(1, stretches * SAMPLED))
+    got = docs.filter(F.pmod(F.xxhash64("id", "h"), F.lit(share)) == 0).select("id", "h").distinct().toArrow()
+    ids, h = got.column("id").to_numpy(), got.column("h").to_numpy()
+    order = np.lexsort((h, ids))[:: max(1, len(ids) // max(1, stretches))][1:]
+    return ids[order], h[order]
+
+
+def _stretch(edges: tuple[np.ndarray, np.ndarray]):
+    """How many edges a row (id, h) has reached, as a column function of narrow columns."""
+    at, h = edges  # edges of one id stand together, by hash
+
+    @F.pandas_udf("long")
+    def of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        x, y = ids.to_numpy(np.int64), hashes.to_numpy(np.int64)
+        below, upto = np.searchsorted(at, x, side="left"), np.searchsorted(at, x, side="right")
+        out = upto.copy()
+        for k in np.flatnonzero(upto > below):
+            out[k] = below[k] + np.searchsorted(h[below[k] : upto[k]], y[k], side="right")
+        return pd.Series(out)
+
+    return of
+
+
 def with_next(documents: DataFrame) -> DataFrame:
     """(doc_id, text, following): each text with that of the next document in descending order of doc_id.
 
-    Ids are dealt in stretches; a stretch gets the first document of the one below as a guest, so no task sees more
-    than a stretch. Only one row a stretch goes through a window over all stretches.
+    Documents are dealt in stretches of about STRETCH bytes, at most STRETCHES, by edges from a bounded sample of (id,
+    text hash), so neither sparse ids, nor null or repeated ones pile up. A stretch gets the first document of the one
+    below as a guest. Only one narrow row a stretch goes through a window over all stretches.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumns({"id": F.coalesce("doc_id", F.lit(-(1 << 63))), "h": F.xxhash64("text")})
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, math.ceil(((high or 0) - (low or 0) + 1) / max(1, math.ceil(n / STRETCH))))
-    # a null id sorts below all others, in a stretch of its own
-    docs = docs.withColumn("stretch", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long")))
+    stretches = min(STRETCHES, max(1, math.ceil(total_bytes(docs, "text") / STRETCH)))
+    docs = docs.withColumn("stretch", _stretch(_edges(docs, stretches))("id", "h"))
     # the first text of each stretch comes out of a partial maximum, so whole texts are shuffled once
     heads = docs.groupBy("stretch").agg(F.max(F.struct("id", "h", "text")).alias("head"))
     above = Window.orderBy(F.desc("stretch"))

@@ -3,11 +3,13 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallymill.llm import chat_format, components, cost_packing, merge_automaton, neighbour_toxicity, norm_search, paragraph_sketch, queries, run_index, simhash_anchors, subword_quality, word_language
@@ -117,16 +119,53 @@ def test_forward_backward_is_exact():
     assert np.allclose(gamma, want) and np.allclose(pairs, moved)
 
 
+def plain_fingerprint(text, size=3):
+    """The contract's fingerprint, word for word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + size]) for k in range(len(words) - size + 1)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
 def test_simhash_groups(spark, docs, odd, empty):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op3_simhash_dedup(spark, SF).collect()}
+    assert {i: f for i, (f, _) in got.items()} == {r.doc_id: f"{plain_fingerprint(r.text):016x}" for r in docs.collect()}
     ids = sorted(got)
     f = np.array([int(got[i][0], 16) for i in ids], np.uint64)
     a, b = np.nonzero(np.triu(np.bitwise_count(f[:, None] ^ f[None, :]) <= 3, 1))
     root = components.local_roots(len(ids), a, b)
     assert all(got[i][1] == ids[root[k]] for k, i in enumerate(ids))
-    rows = {r.doc_id: r for r in simhash_anchors.groups(odd).collect()}
-    assert rows[1].fp == rows[2].fp == rows[3].fp == 0 and {rows[i].component_id for i in (1, 2, 3)} == {1} and rows[5].component_id == 4
-    assert simhash_anchors.groups(empty).count() == 0
+    rows = simhash_anchors.groups(odd).collect()
+    assert sorted(r.doc_id or 0 for r in rows) == sorted(i or 0 for i, *_ in ODD)
+    by = {r.doc_id: r for r in rows}
+    assert by[1].fp == by[2].fp == by[3].fp == 0 and {by[i].component_id for i in (1, 2, 3)} == {1} and by[5].component_id == 4
+    assert by[None].component_id is None and simhash_anchors.groups(empty).count() == 0
+    twins = simhash_anchors.groups(spark.createDataFrame([(None, "a b c"), (3, "A b c"), (3, "a b c")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in twins) == [(0, 3), (3, 3), (3, 3)]
+
+
+def test_hot_anchors_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash_anchors, "HOT_ANCHOR", 8)
+    rng = random.Random(21)
+    base = rng.getrandbits(64)
+    # one first block for all, so all meet at its anchors; their other halves differ widely, in families
+    heads = [(base & ((1 << 31) - 1)) | rng.getrandbits(33) << 31 for _ in range(40)]
+    prints = sorted({h ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4))) for h in heads for _ in range(6)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    links = simhash_anchors.fingerprint_links(spark.createDataFrame([(signed(x),) for x in prints], "fp long"))
+    got = {r.node: r.root for r in components.components(links).collect()}
+    f = np.array(prints, np.uint64)
+    a, b = np.nonzero(np.triu(np.bitwise_count(f[:, None] ^ f[None, :]) <= 3, 1))
+    root = components.local_roots(len(f), a, b)
+    want = collections.defaultdict(set)
+    for k, x in enumerate(prints):
+        want[root[k]].add(signed(x))
+    found = collections.defaultdict(set)
+    for x in prints:
+        found[got.get(signed(x), signed(x))].add(signed(x))
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
 
 
 def test_anchors_cover(spark):
@@ -180,14 +219,42 @@ def test_toxicity(spark, docs, odd, empty):
     assert {r.toxic_score for r in neighbour_toxicity.annotate(odd, none).collect()} == {0.0}
 
 
-def test_nearest_examples_are_exact():
-    rng = np.random.default_rng(4)
-    x = np.abs(rng.normal(size=(500, 12))) * (rng.random((500, 12)) < 0.3)
-    x = (x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-9)).astype(np.float32)
-    model = neighbour_toxicity.Model(np.zeros(12, np.uint64), np.ones(12), x[:450], np.zeros(450), np.arange(450), np.maximum.reduceat(x[:450], np.arange(0, 450, neighbour_toxicity.BLOCK), 0), None, None, 0.0)
-    best, value = model.nearest(x[450:], 7)
-    exact = -np.sort(-(x[450:] @ x[:450].T), 1)[:, :7]
-    assert np.allclose(value, np.maximum(exact, 0), atol=1e-6)
+def plain_neighbours(model, texts, examples, k):
+    """Every cosine of dense TF-IDF rows over the whole vocabulary."""
+    def dense(rows):
+        out = np.zeros((len(rows), neighbour_toxicity.TERMS), np.float32)
+        for i, t in enumerate(rows):
+            doc, term, n = neighbour_toxicity.counts([t])
+            out[i, term] = (1 + np.log(n)) * model.weights[term]
+        size = np.sqrt((out.astype(np.float64) ** 2).sum(1, keepdims=True))
+        return out / np.where(size > 0, size, 1)
+
+    return -np.sort(-(dense(texts) @ dense(examples).T), 1)[:, :k]
+
+
+def test_nearest_examples_are_exact(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = neighbour_toxicity.fit(docs, labels)
+    by = {r.doc_id: r.text for r in docs.collect()}
+    texts, examples = [t or "" for t in by.values()], [by[i] for i in model.ids]
+    doc, term, weight = neighbour_toxicity.vectors(texts, model.weights)
+    near, value, _ = model.index.nearest(doc, term, weight, len(texts))
+    assert 0 < model.labels.sum() < len(model.labels) == len(examples)
+    assert np.allclose(value, plain_neighbours(model, texts, examples, near.shape[1]), atol=1e-5)
+    df = collections.Counter(t for text in texts for t in set(neighbour_toxicity.counts([text])[1].tolist()))
+    built = neighbour_toxicity.build(examples, model.labels.astype(int), model.ids, np.array([df[t] for t in range(neighbour_toxicity.TERMS)]), len(texts))
+    assert np.allclose(built.weights, model.weights)  # document frequencies are those of all documents
+
+
+def test_blocks_out_of_reach_are_passed_over(monkeypatch):
+    monkeypatch.setattr(neighbour_toxicity, "BLOCK", 16)
+    rng = random.Random(12)
+    topics = [["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(30)] for _ in range(20)]
+    texts = [" ".join(rng.choices(topics[k % 20], k=12) + rng.choices(topics[(k + 1) % 20], k=1)) for k in range(640)]
+    model = neighbour_toxicity.build(texts, np.array([k % 2 for k in range(640)]), np.arange(640), np.ones(neighbour_toxicity.TERMS), 640)
+    doc, term, weight = neighbour_toxicity.vectors(texts[:100], model.weights)
+    near, value, opened = model.index.nearest(doc, term, weight, 100, k=3)
+    assert opened < 0.5 * 100 * 40 and np.allclose(value, plain_neighbours(model, texts[:100], [texts[i] for i in model.ids], 3), atol=1e-5)
 
 
 def test_top_k(spark):
@@ -312,6 +379,33 @@ def test_sketches(spark, docs, odd, empty):
     lone = paragraph_sketch.fingerprinted(odd.filter("doc_id = 6")).first()
     assert lone.near_next == 1.0
 
+    def pieces(text):
+        return collections.Counter(x for x in re.split(r"[.!?\n]", text) if any(ord(c) > 32 for c in x))
+
+    def like(a, b):
+        x, y = pieces(a), pieces(b)
+        every = sum((x | y).values())
+        return sum((x & y).values()) / every if every else 1.0
+
+    of = collections.defaultdict(set)
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        edited = paragraph_sketch.edit(t, following)
+        assert got[i].near_next == pytest.approx(like(t, following)) and got[i].near_edited == pytest.approx(like(t, edited))
+        of[t].add(got[i].fingerprint)
+        of[edited].add(got[i].edited_fingerprint)
+    assert all(len(v) == 1 for v in of.values())
+
+
+def test_next_documents_of_wide_sparse_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(paragraph_sketch, "STRETCH", 200)
+    ids = [None] * 30 + [7] * 30 + [-(1 << 63) + 5, (1 << 63) - 1, -3] + [*range(100, 160)]
+    table = spark.createDataFrame([(i, f"text {k}.") for k, i in enumerate(ids)], "doc_id long, text string").repartition(5).cache()
+    seen = table.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()
+    rows = sorted(seen, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h), reverse=True)
+    got = {r.text: r.following for r in paragraph_sketch.with_next(table).collect()}
+    assert got == {r.text: rows[(k + 1) % len(rows)].text for k, r in enumerate(rows)}
+
 
 def test_peeling_recovers_all_differences():
     texts = [". ".join(random.choice(_WORDS) for _ in range(n)) for n in (0, 1, 30, 900)]
@@ -427,3 +521,66 @@ def test_top_k_of_repeated_query_rows_is_the_sqls(spark, tmp_path):
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
     got = queries.op5_top_k(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(db.execute(queries.oracle_sql()["op5_top_k"]).fetchall()) and len(got) == 15
+
+
+def test_packing_query_is_whole(spark, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in queries.op9_packing(spark, SF).collect():
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert set(pieces) == {r.doc_id for r in docs.collect()}
+    for r in docs.collect():
+        ids, at = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4"), 0
+        for start, length, crc, n in sorted(pieces[r.doc_id]):
+            assert start == at and n == len(ids) and crc == zlib.crc32(ids[start : start + length].tobytes())
+            at += length
+        assert at == len(ids)
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
+def test_bpe_query_is_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    want = {}
+    for r in docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    assert {r.doc_id: tuple(r)[1:] for r in queries.op10_bpe(spark, SF).collect()} == want
+
+
+def test_arcs_are_correct_pairs():
+    own = merge_automaton.automaton(queries.tokenizer_path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    rng, tokens = random.Random(2), [t for t in own.born if own.labels[t].isalpha()]
+    short = [t for t in tokens if len(own.labels[t]) <= 3]
+    for _ in range(4000):
+        a, b = rng.choice(tokens if rng.random() < 0.5 else short), rng.choice(short)
+        word = (own.labels[a] + own.labels[b]).decode()
+        assert own.arc(a, b) == (library.encode(word, add_special_tokens=False).ids == [a, b])
+
+
+@pytest.mark.parametrize("name", ["op5_top_k", "op6_chat_format"])
+def test_registered_sql(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    got = queries.queries()[name](spark, SF)
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
