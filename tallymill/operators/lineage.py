@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymill.functions.checkpoints import materialize
+
 DEPTH, CHILDREN = 32, 256
+#: Order of observations along a session.
+ORDER = ("ordinal", "file_key", "generation", "source_offset", "fingerprint")
 
 
 def canonical(observations: DataFrame, key: str = "fingerprint", order: tuple[str, ...] = ("profile_id", "file_key", "generation", "source_offset")) -> DataFrame:
@@ -15,50 +19,89 @@ def canonical(observations: DataFrame, key: str = "fingerprint", order: tuple[st
     return least.select(key, "m.*").select(*observations.columns)
 
 
+def relations(observations: DataFrame) -> DataFrame:
+    """(session_id, parent_session_id, relation_conflict) of each session; a session that names two parents has none and a conflict."""
+    per = observations.groupBy("session_id").agg(F.min("parent_session_id").alias("low"), F.max("parent_session_id").alias("high"), F.max("relation_conflict").alias("said"))
+    two = F.coalesce(F.col("low") != F.col("high"), F.lit(False))
+    itself = F.coalesce(F.col("low") == F.col("session_id"), F.lit(False))
+    return per.select("session_id", F.when(~two & ~itself, F.col("low")).alias("parent_session_id"), (F.col("said") | two | itself).alias("relation_conflict"))
+
+
 def ancestors(relations: DataFrame) -> DataFrame:
-    """(session, depth, cycle, over): how far each session's chain of parents goes, up to 33; a chain that returns is a cycle.
+    """(session_id, depth, cycle, conflict, over): how far each session's chain of parents goes, up to 33.
 
-    Each of six joins doubles the path that is known, so paths stay under 65 names.
+    A chain that returns is a cycle; it stops at an ancestor whose own relation is in conflict, and is over where it is
+    longer than 32. Each of six joins doubles the path that is known, so paths stay under 65 names.
     """
-    hop = relations.filter(F.col("parent_session_id").isNotNull()).select(F.col("session_id").alias("s"), F.array("parent_session_id").alias("path")).distinct()
-    walk = hop
+    bad = relations.select(F.col("session_id").alias("parent_session_id"), F.col("relation_conflict").alias("bad")).distinct()
+    hop = relations.filter(F.col("parent_session_id").isNotNull()).select("session_id", "parent_session_id").distinct().join(bad, "parent_session_id", "left")
+    hop = hop.select(F.col("session_id").alias("s"), F.array(F.struct(F.col("parent_session_id").alias("name"), F.coalesce("bad", F.lit(False)).alias("bad"))).alias("path"))
+    walk = materialize(hop)
     for _ in range(6):
         step = walk.select(F.col("s").alias("at"), F.col("path").alias("more"))
-        walk = walk.withColumn("at", F.element_at("path", -1)).join(step, "at", "left").select("s", F.concat("path", F.coalesce("more", F.array().cast("array<string>"))).alias("path"))
-    depth = F.least(F.size("path"), F.lit(DEPTH + 1))
+        # a path goes no further than an ancestor in conflict
+        end = F.when(~F.element_at("path", -1)["bad"], F.element_at("path", -1)["name"])
+        walk = materialize(walk.withColumn("at", end).join(step, "at", "left").select("s", F.concat("path", F.coalesce("more", F.filter("path", lambda p: F.lit(False)))).alias("path")))
     first = F.slice("path", 1, DEPTH + 1)
-    cycle = F.array_contains("path", F.col("s")) | (F.size(F.array_distinct(first)) < F.size(first))
-    return walk.select(F.col("s").alias("session_id"), depth.alias("depth"), cycle.alias("cycle"), (depth > DEPTH).alias("over"))
+    names = F.transform(first, lambda p: p["name"])
+    bads = F.transform(F.slice("path", 1, DEPTH), lambda p: p["bad"])
+    stop = F.array_position(bads, True)
+    cycle = F.array_contains(names, F.col("s")) | (F.size(F.array_distinct(names)) < F.size(names))
+    # names differ up to the first that comes back
+    back = F.when(F.array_contains(names, F.col("s")), F.array_position(names, F.col("s"))).otherwise(F.size(F.array_distinct(names)) + 1)
+    depth = F.when(cycle, back).when(stop > 0, stop).otherwise(F.least(F.size("path"), F.lit(DEPTH + 1))).cast("int")
+    conflict = (stop > 0) & ~cycle
+    return walk.select(F.col("s").alias("session_id"), depth.alias("depth"), cycle.alias("cycle"), conflict.alias("conflict"), ((depth > DEPTH) & ~cycle & ~conflict).alias("over"))
 
 
 def fan_out(relations: DataFrame) -> DataFrame:
     return relations.filter(F.col("parent_session_id").isNotNull()).select("session_id", "parent_session_id").distinct().groupBy("parent_session_id").agg(F.least(F.count("*"), F.lit(CHILDREN + 1)).alias("children"))
 
 
+def parent_facts(observations: DataFrame) -> DataFrame:
+    """(parent_session_id, ordinal, parent): what a parent says at an ordinal, the first by file, generation, offset and fingerprint."""
+    fact = F.struct(*ORDER[1:], "signature", "strong", "declared_conflict", "relation_conflict")
+    return observations.groupBy(F.col("session_id").alias("parent_session_id"), "ordinal").agg(F.min(fact).alias("parent"))
+
+
 def classify(observations: DataFrame, complete: bool = True) -> DataFrame:
-    """Each observation as eligible, replay or pending: a child repeats its parent until the first difference.
+    """Each observation as eligible, replay, pending or conflict: a child repeats its parent until the first cause to stop.
 
-    Where the parent has no such ordinal, the child has diverged if the manifest is complete; else it is pending from
-    there on. The fold is a running maximum along the session.
+    A difference, or a gap in the parent under a complete manifest, makes the rest eligible; a gap under an open one
+    leaves the rest pending; whichever comes first rules. A declared conflict, of the child or of the parent at its
+    ordinal, makes the rest conflict; a conflicting relation, or a cycle, all. Chains over 32 are pending. The fold is a
+    running first value along the session. Roots take no part in the join with parents, so no null key gathers them.
     """
-    parents = observations.groupBy(F.col("session_id").alias("parent_session_id"), "ordinal").agg(F.min(F.struct("signature", "strong")).alias("parent"))
-    joined = observations.join(parents, ["parent_session_id", "ordinal"], "left")
-    child = F.col("parent_session_id").isNotNull()
-    both = F.col("strong") & F.col("parent.strong")
-    gone = child & F.col("parent").isNull()
-    differs = F.coalesce(both & (F.col("signature") != F.col("parent.signature")), F.lit(False))
-    along = Window.partitionBy("session_id").orderBy("ordinal", "signature").rowsBetween(Window.unboundedPreceding, 0)
-    broken = F.max(F.when(child & (differs | (gone if complete else F.lit(False))), 1).otherwise(0)).over(along) == 1
-    halted = F.lit(False) if complete else F.max(gone.cast("int")).over(along) == 1
-    disposition: Column = F.when(~child, "eligible").when(broken, "eligible").when(halted, "pending").when(both, "replay").otherwise("pending")
-    return joined.withColumn("disposition", disposition).drop("parent")
+    known = relations(observations)
+    facts = known.join(ancestors(known), "session_id", "left").select("session_id", F.col("parent_session_id").alias("__parent"), F.col("relation_conflict").alias("__bad"), "cycle", "conflict", "over")
+    rows = observations.drop("relation_conflict").join(facts, "session_id")
+    child = rows.filter(F.col("__parent").isNotNull())
+    parents = parent_facts(observations.drop("relation_conflict").join(known.select("session_id", "relation_conflict"), "session_id"))
+    met = child.join(parents.withColumnRenamed("parent_session_id", "__parent"), ["__parent", "ordinal"], "left")
+    alone = rows.filter(F.col("__parent").isNull()).withColumn("parent", F.lit(None).cast(parents.schema["parent"].dataType))
+    every = met.unionByName(alone)
+    of_child, gone = F.col("__parent").isNotNull(), F.col("parent").isNull()
+    both = F.coalesce(F.col("strong") & F.col("parent.strong"), F.lit(False))
+    along = Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    cause = F.when(of_child & gone, "eligible" if complete else "pending").when(of_child & both & (F.col("signature") != F.col("parent.signature")), "eligible")
+    ruled = F.first(cause, ignorenulls=True).over(along)
+    said = F.col("declared_conflict") | F.coalesce(F.col("parent.declared_conflict") | F.col("parent.relation_conflict"), F.lit(False))
+    broken = F.col("__bad") | F.coalesce("cycle", F.lit(False)) | F.coalesce("conflict", F.lit(False)) | F.max(said).over(along)
+    disposition = F.when(broken, "conflict").when(F.coalesce("over", F.lit(False)), "pending").when(~of_child, "eligible").when(ruled.isNotNull(), ruled).when(both, "replay").otherwise("pending")
+    return every.withColumn("disposition", disposition).select(*[c for c in observations.columns if c != "relation_conflict"], "disposition")
+
+
+def selection(classified: DataFrame) -> DataFrame:
+    """The canonical pick of each fingerprint among eligible observations."""
+    return canonical(classified.filter(F.col("disposition") == "eligible"), order=("profile_id", *ORDER[1:4]))
 
 
 def replay_quality(classified: DataFrame) -> DataFrame:
     return classified.agg(*[F.count_if(F.col("disposition") == d).alias(d) for d in ("eligible", "replay", "pending", "conflict")])
 
 
-def materialize_selection(prior: DataFrame, selected: DataFrame, replay_only: DataFrame, key: str = "fingerprint") -> DataFrame:
-    """Selected events, and prior ones that were not proven replays, kept as retained."""
-    kept = prior.join(selected.select(key), key, "left_anti").join(replay_only.select(key), key, "left_anti")
+def materialize_selection(prior: DataFrame, selected: DataFrame, classified: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """Selected events, and prior ones kept as retained: those once projected that are not proven replays (a conflict keeps them)."""
+    proven = classified.groupBy(key).agg(F.max(F.col("disposition") == "replay").alias("replay"), F.max(F.col("disposition") == "conflict").alias("conflict")).filter("replay AND NOT conflict")
+    kept = prior.filter("projected").drop("projected").join(selected.select(key), key, "left_anti").join(proven.select(key), key, "left_anti")
     return selected.withColumn("retained", F.lit(0)).unionByName(kept.withColumn("retained", F.lit(1)))

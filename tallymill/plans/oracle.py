@@ -121,17 +121,6 @@ q5 AS (SELECT *, CASE WHEN signal IS NULL THEN NULL WHEN signal = 'manual' THEN
 q6 AS (SELECT *, CAST(sum(CAST(reset_kind IS NOT NULL AS BIGINT)) OVER w AS BIGINT) AS epoch, CAST(sum(CAST(reset_kind IS NOT NULL OR allowance_change IS NOT NULL AS BIGINT)) OVER w AS BIGINT) AS sequence FROM q5 WINDOW w AS (PARTITION BY scope_id, window_id ORDER BY observed_at_ms)),
 qt AS (SELECT scope_id, window_id, observed_at_ms, observation_id, used_ppm, signal, reset_kind, allowance_change, epoch, sequence, max(used_ppm) OVER (PARTITION BY scope_id, window_id, epoch ORDER BY observed_at_ms) AS max_used_ppm FROM q6)"""
 
-TURNS = """ob AS (SELECT 's' || conv_id AS session_id, NULL AS parent_session_id, turn AS ordinal, sha256(text) AS signature, turn % 5 <> 4 AS strong FROM conversations
-  UNION ALL SELECT 'f' || conv_id, 's' || conv_id, turn, sha256(CASE WHEN turn >= 3 THEN text || '!' ELSE text END), turn % 5 <> 4 FROM conversations WHERE conv_id % 3 = 0)"""
-
-
-def _classes(source: str, closed: bool) -> str:
-    gone = "child AND missing" if closed else "false"
-    halt = "false" if closed else "max(CAST(child AND missing AS INT)) OVER w = 1"
-    return f"""pa AS (SELECT session_id AS ps, ordinal AS po, min(struct_pack(s := signature, t := strong)) AS p FROM {source} GROUP BY ALL),
-jo AS (SELECT o.*, parent_session_id IS NOT NULL AS child, p IS NULL AS missing, coalesce(strong AND p.t, false) AS both_, coalesce(strong AND p.t AND signature <> p.s, false) AS differs FROM {source} o LEFT JOIN pa ON ps = parent_session_id AND po = ordinal),
-cl AS (SELECT session_id, ordinal, both_, child, max(CAST(child AND differs OR {gone} AS INT)) OVER w = 1 AS broken, {halt} AS halted FROM jo WINDOW w AS (PARTITION BY session_id ORDER BY ordinal, signature ROWS UNBOUNDED PRECEDING)),
-cd AS (SELECT session_id, ordinal, CASE WHEN NOT child OR broken THEN 'eligible' WHEN halted THEN 'pending' WHEN both_ THEN 'replay' ELSE 'pending' END AS disposition FROM cl)"""
 
 
 def statements(start: int, end: int, targets: list, scopes: list, now_ms: int) -> dict[str, str]:
@@ -208,11 +197,6 @@ SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY seen IS NULL,
         "p12_cost_auto_days": _cost("day", "auto", start, end),
         "p12_cost_calculated_models": _cost("target", "calculated", start, end),
         "p12_cost_reported_days": _cost("day", "reported", start, end),
-        "l5_replay_classes": f"WITH {TURNS}, {_classes('ob', True)} SELECT * FROM cd",
-        "l5_replay_open": f"WITH {TURNS}, oo AS (SELECT * FROM ob WHERE ordinal <> 1 OR parent_session_id IS NOT NULL), {_classes('oo', False)} SELECT * FROM cd",
-        "l9_replay_quality": f"WITH {TURNS}, {_classes('ob', True)} SELECT " + ", ".join(f"count(*) FILTER (disposition = '{d}') AS {d}" for d in ("eligible", "replay", "pending", "conflict")) + " FROM cd",
-        "l3_ancestors": f"WITH {TURNS} SELECT DISTINCT session_id, 1 AS depth, false AS cycle, false AS over FROM ob WHERE parent_session_id IS NOT NULL",
-        "l4_fan_out": f"WITH {TURNS} SELECT parent_session_id, least(count(DISTINCT session_id), 257) AS children FROM ob WHERE parent_session_id IS NOT NULL GROUP BY 1",
         "c6_canonical_pick": f"{fp}, c AS (SELECT fingerprint, profile_id, f.file_key, source_offset % 2 AS generation, source_offset, total_tokens FROM fpd, (VALUES ('a'), ('b')) f(file_key)) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY profile_id, file_key, generation, source_offset) = 1",
         "q2_quota_transitions": f"WITH {QTRANS} SELECT scope_id, window_id, observed_at_ms, observation_id, signal, reset_kind, allowance_change, epoch, sequence, max_used_ppm FROM qt",
         "q9_current_windows": f"WITH {QTRANS} SELECT scope_id, window_id, observed_at_ms, epoch, sequence, used_ppm, max_used_ppm FROM qt QUALIFY row_number() OVER (PARTITION BY scope_id, window_id ORDER BY observed_at_ms DESC) = 1",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.measures import METRICS, availability, freshness, share_ppm
 from tallymill.operators import analytics, benefit, calendar, git_output, lineage, pricing, quota, rollup, status
-from tallymill.plans import oracle
+from tallymill.plans import oracle, replay
 from tallymill.sources import provider, testdata
 
 FIRST, LAST, ZONE = date(2024, 1, 3), date(2024, 1, 24), "America/New_York"
@@ -119,11 +119,6 @@ def _cost(mode: str, *target: str) -> Query:
 query("p12_cost_auto_days")(_cost("auto", "day"))
 query("p12_cost_calculated_models")(lambda s, d: pricing.select_cost(rollup.price_basis_rows(_in_range(s, d).withColumn("target", F.col("model")), "target"), pricing.catalogue(s), "target", mode="calculated"))
 query("p12_cost_reported_days")(_cost("reported", "day"))
-query("l5_replay_classes")(lambda s, d: lineage.classify(testdata.turn_observations(s, d)).select("session_id", "ordinal", "disposition"))
-query("l5_replay_open")(lambda s, d: lineage.classify(testdata.turn_observations(s, d).filter((F.col("ordinal") != 1) | F.col("parent_session_id").isNotNull()), False).select("session_id", "ordinal", "disposition"))
-query("l9_replay_quality")(lambda s, d: lineage.replay_quality(lineage.classify(testdata.turn_observations(s, d))))
-query("l3_ancestors")(lambda s, d: lineage.ancestors(testdata.turn_observations(s, d)))
-query("l4_fan_out")(lambda s, d: lineage.fan_out(testdata.turn_observations(s, d)))
 query("c6_canonical_pick")(lambda s, d: lineage.canonical(_copies(s, d)))
 
 
@@ -212,12 +207,22 @@ def prunable(spark, sf_dir):
     return status.prunable_scans(e.select(F.concat(F.lit("scope_"), F.col("user_id") % 16).alias("scope_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("started_at"), F.col("event_id").alias("scan_id")))
 
 
+#: Groups of queries with their SQL beside them.
+MODULES = (replay,)
+
+
 def queries() -> dict[str, Query]:
-    return dict(_found)
+    found = dict(_found)
+    for module in MODULES:
+        found |= module.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements(START, END, _targets(), SCOPES, NOW_MS)
+    found = oracle.statements(START, END, _targets(), SCOPES, NOW_MS)
+    for module in MODULES:
+        found |= module.SQL
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:

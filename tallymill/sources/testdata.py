@@ -105,17 +105,54 @@ def git_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session observations from `conversations`: each third one has a fork whose turns differ from turn 3 on."""
-    raw = read(spark, sf_dir, "conversations")
-    own = raw.select(F.concat(F.lit("s"), F.col("conv_id")).alias("session_id"), F.lit(None).cast("string").alias("parent_session_id"), F.col("turn").alias("ordinal"), F.sha2("text", 256).alias("signature"), (F.col("turn") % 5 != 4).alias("strong"))
-    fork = raw.filter(F.col("conv_id") % 3 == 0).select(
-        F.concat(F.lit("f"), F.col("conv_id")).alias("session_id"),
-        F.concat(F.lit("s"), F.col("conv_id")).alias("parent_session_id"),
-        F.col("turn").alias("ordinal"),
-        F.sha2(F.when(F.col("turn") >= 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("signature"),
-        (F.col("turn") % 5 != 4).alias("strong"),
+    """Session observations from `conversations`, with every kind of lineage.
+
+    s: the conversation, a root. f: each third one's fork, whose turns differ from turn 3 on (and, for each fifth fork,
+    that skips turn 1 of a parent without it). h: a fork of each second fork, equal to it. c: chains of 50 conversations.
+    x: two sessions that name each other. Some turns declare a conflict, some sessions one of their relation.
+    """
+    raw = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    c, t = F.col("conv_id"), F.col("turn")
+    name = lambda kind, of=c: F.concat(F.lit(kind), of.cast("string"))
+    none = F.lit(None).cast("string")
+
+    def session(kind: str, where, parent, text) -> DataFrame:
+        return raw.filter(where).select(name(kind).alias("session_id"), parent.alias("parent_session_id"), text.alias("said"), "conv_id", "turn", F.lit(kind).alias("kind"))
+
+    changed = F.when(t >= 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    every = [
+        session("s", (c % 15 != 0) | (t != 1), none, F.col("text")),
+        session("f", c % 3 == 0, name("s"), changed),
+        session("h", c % 6 == 0, name("f"), changed),
+        session("c", c >= 0, F.when(c % 50 != 0, name("c", c - 1)), F.lit("same")),
+        session("x", c % 40 == 7, name("y"), F.col("text")),
+        session("y", c % 40 == 7, name("x"), F.col("text")),
+    ]
+    rows = every[0]
+    for more in every[1:]:
+        rows = rows.unionByName(more)
+    out = rows.select(
+        "session_id",
+        "parent_session_id",
+        t.alias("ordinal"),
+        F.sha2("said", 256).alias("signature"),
+        (t % 5 != 4).alias("strong"),
+        F.concat(F.lit("profile_"), c % 4).alias("profile_id"),
+        F.concat(F.lit("file_"), "kind").alias("file_key"),
+        F.lit(0).alias("generation"),
+        (c * 100 + t).alias("source_offset"),
+        F.sha2(F.concat_ws("|", "said", t.cast("string")), 256).alias("fingerprint"),
+        ((c % 31 == 0) & (t == 2) & (F.col("kind") == "s")).alias("declared_conflict"),
+        ((c % 29 == 0) & (F.col("kind") == "f")).alias("relation_conflict"),
     )
-    return own.unionByName(fork)
+    return out
+
+
+def prior_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of an earlier revision: every third observation's, some never projected, and some that are seen no more."""
+    seen = turn_observations(spark, sf_dir).filter("source_offset % 3 = 0").select("fingerprint", "source_offset").groupBy("fingerprint").agg(F.min("source_offset").alias("source_offset"))
+    gone = read(spark, sf_dir, "conversations").select(F.sha2(F.concat_ws("|", F.lit("gone"), "conv_id"), 256).alias("fingerprint"), (F.col("conv_id") * 100).alias("source_offset")).distinct()
+    return seen.unionByName(gone).withColumn("projected", F.col("source_offset") % 5 != 0)
 
 
 def benefit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
