@@ -27,9 +27,11 @@ def fingerprint(ordinal: str = "source_offset") -> Column:
     return F.sha2(F.concat(F.encode(F.lit(TAG), "UTF-8"), _text("provider_id"), _text("profile_id"), _text("session_id"), _big(F.col(ordinal), 8), _text("model"), *map(_count, COUNTS)), 256)
 
 
-def replay_signature() -> Column:
-    """Identity of what an event says whatever its session: the model and the counts."""
-    return F.sha2(F.concat(F.encode(F.lit(TAG + ".replay"), "UTF-8"), _text("model"), *map(_count, COUNTS)), 256)
+def replay_signature(cumulative: str) -> Column:
+    """Identity of what an event says whatever its session: the model, the counts, and the cumulative counts (a struct) if known."""
+    whole = F.concat(F.unhex(F.lit("01")), *[_count(f"{cumulative}.{c}") for c in COUNTS])
+    known = F.when(F.col(cumulative).isNull(), F.unhex(F.lit("00"))).otherwise(whole)
+    return F.sha2(F.concat(F.encode(F.lit(TAG + ".replay"), "UTF-8"), _text("model"), *map(_count, COUNTS), known), 256)
 
 
 def event_id(fp: Column) -> Column:

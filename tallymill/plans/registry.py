@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.measures import METRICS, availability, freshness, share_ppm
 from tallymill.operators import analytics, benefit, calendar, git_output, lineage, pricing, quota, rollup, status
-from tallymill.plans import oracle, replay
+from tallymill.plans import ingest, oracle, replay
 from tallymill.sources import provider, testdata
 
 FIRST, LAST, ZONE = date(2024, 1, 3), date(2024, 1, 24), "America/New_York"
@@ -208,7 +208,7 @@ def prunable(spark, sf_dir):
 
 
 #: Groups of queries with their SQL beside them.
-MODULES = (replay,)
+MODULES = (replay, ingest)
 
 
 def queries() -> dict[str, Query]:

@@ -1,4 +1,8 @@
-"""JSONL agent logs to usage observations: discovery, line filter, lenient fields, carried state, deltas, activities."""
+"""JSONL agent logs to usage observations: discovery, line filter, lenient fields, carried state, deltas, activities.
+
+Lines become narrow facts; what a file says is carried along it by windows. A file's state at a place (`state_after`) is
+a row of facts again, so a grown file is read on from there (`tail`), with the same result as reading it whole.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LINE_BYTES, LONG = 16 << 20, 272_000
-#: What a relevant line contains, and names of the counters and models, in order of precedence.
-MARKERS = ("token_count", "usage", "session_meta", "turn_context", "function_call", "custom_tool_call", "response", "result", "data")
+from tallymill.functions.identity import replay_signature
+
+LINE_BYTES, LONG, DEPTH, ID_BYTES = 16 << 20, 272_000, 64, 512
+#: What a relevant line contains (or a backslash).
+MARKERS = ("token_count", "turn_context", "session_meta", "sessionMeta", '"usage"', "function_call", "tool_call", "exec_command", "mcp")
+#: Names of the counters, in order of precedence.
 ALIASES = {
     "input": ("input_tokens", "prompt_tokens", "input"),
     "cached": ("cached_input_tokens", "cache_read_input_tokens", "cached_tokens"),
@@ -17,33 +24,69 @@ ALIASES = {
     "reasoning": ("reasoning_output_tokens", "reasoning_tokens"),
     "total": ("total_tokens",),
 }
-MODELS = ("$.payload.model", "$.payload.model_name", "$.payload.model_slug", "$.payload.model_id", "$.payload.info.model", "$.payload.info.model_name", "$.payload.requested_model", "$.payload.default_model")
-TIMES = ("$.timestamp", "$.created_at", "$.payload.timestamp", "$.data.created_at", "$.result.created_at", "$.response.created_at")
-#: Parts of a tool's name and its activity, tried in this order.
-TOOLS = (("read", "read|cat|view"), ("edit_write", "write|edit|patch|create"), ("search", "search|grep|find"), ("git", "git"), ("build_test", "test|build|compile"), ("web", "web|browser|http"), ("subagents", "agent|delegate|spawn"))
+COUNTS = tuple(ALIASES)
+#: Where a model stands in a count line, in metadata, and in a result; and where a parent stands.
+COUNT_MODELS = ("payload.model", "payload.model_name", "payload.model_slug", "payload.model_id", "payload.info.model", "payload.info.model_name", "payload.requested_model", "payload.default_model")
+META_MODELS = ("payload.model", "payload.model_name", "payload.model_slug", "payload.model_id", "payload.requested_model", "payload.default_model")
+PARENTS = ("forked_from_id", "parent_thread_id", "payload.forked_from_id", "payload.parent_thread_id", "payload.source.subagent.thread_spawn.parent_thread_id")
+TIMES = ("timestamp", "created_at", "createdAt")
+#: Kinds of a tool call, parts of a tool's name and its activity, tried in this order.
+TOOL_KINDS = ("function_call", "tool_call", "exec_command", "mcp")
+TOOLS = (
+    ("read", ("read", "cat", "view")),
+    ("edit_write", ("write", "edit", "patch", "create")),
+    ("search", ("search", "grep", "find")),
+    ("git", ("git",)),
+    ("build_test", ("test", "build", "compile")),
+    ("web", ("web", "browser", "http")),
+    ("subagents", ("agent", "delegate", "spawn")),
+)
+ACTIVITIES = (*(t for t, _ in TOOLS), "terminal")
 WRAPPERS = ("data", "result", "response")
+#: What a file carries along, by the name of the fact on a line.
+CARRIED = {"line_session": "session_id", "line_project": "project_alias", "line_originator": "originator", "line_branch": "branch", "line_tier": "service_tier", "line_source": "source_alias", "line_window": "context_window", "line_model": "model"}
+
+
+def discover(spark: SparkSession, root: str, paths: list[str] | None = None, pattern: str = "*.jsonl") -> DataFrame:
+    """(file, relative, place, source_offset, value) of all whole lines below sessions and archived_sessions.
 
+    `source_offset` is the line's first byte. A line end takes one carriage return with it; a last line without an end
+    is not taken yet; lines over 16 MiB are left out. An archived file with an active namesake is left out, even where
+    the active one is empty. `paths` (relative) limits the work to files that changed.
+    """
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(file, relative, place, block, line_no, value) of all lines below sessions and archived_sessions; an archived file with an active namesake is left out."""
+    def listed(place: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(f"{root}/{place}")
+        return files.select(F.substring_index("path", f"/{place}/", -1).alias("relative"))
 
     def lines(place: str) -> DataFrame:
-        # the file's own size decides the splits; order inside a file is block, then row
-        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(f"{root}/{place}")
-        return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.lit(place).alias("place"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(f"{root}/{place}")
+        meta = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+        return meta.withColumns({"place": F.lit(place), "relative": F.substring_index("file", f"/{place}/", -1)})
 
-    active, archived = lines("sessions"), lines("archived_sessions")
-    relative = lambda d, place: d.withColumn("relative", F.substring_index("file", f"/{place}/", -1))
-    active, archived = relative(active, "sessions"), relative(archived, "archived_sessions")
-    names = active.select("relative").distinct()
-    every = active.unionByName(archived.join(names, "relative", "left_anti"))
-    return every.filter(F.octet_length("value") <= LINE_BYTES)
+    archived = lines("archived_sessions").join(listed("sessions"), "relative", "left_anti")
+    every = lines("sessions").unionByName(archived).filter(F.size(F.split("relative", "/")) <= DEPTH)
+    if paths is not None:
+        every = every.filter(F.col("relative").isin(paths))
+    before = Window.partitionBy("file").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.octet_length("value").cast("bigint") + 1).over(before), F.lit(0).cast("bigint"))
+    whole = every.withColumn("source_offset", at).filter(F.col("source_offset") + F.octet_length("value") < F.col("size"))
+    return whole.filter(F.octet_length("value") <= LINE_BYTES).select("file", "relative", "place", "source_offset", F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def relevant(value: Column) -> Column:
     return reduce(lambda a, b: a | b, (value.contains(m) for m in MARKERS), value.contains("\\"))
 
 
+def _at(value: Column, path: str) -> Column:
+    return F.get_json_object(value, f"$.{path}")
+
+
+def _name(text: Column) -> Column:
+    """A text that can be an identity."""
+    return F.when((text != "") & (F.octet_length(text) <= ID_BYTES), text)
+
+
 def lenient(text: Column) -> Column:
     """A whole number written as such or as a string of at most 20 digits; anything else is absent."""
     trimmed = F.trim(text)
@@ -51,73 +94,182 @@ def lenient(text: Column) -> Column:
 
 
 def counter(value: Column, base: str, name: str) -> Column:
-    return F.coalesce(*[lenient(F.get_json_object(value, f"{base}.{a}")) for a in ALIASES[name]])
+    return F.coalesce(*[lenient(_at(value, f"{base}.{a}")) for a in ALIASES[name]])
 
 
 def counters(value: Column, base: str) -> Column:
-    return F.struct(*[counter(value, base, n).alias(n) for n in ALIASES])
+    """Counts of a usage object: cached is at most the input and needs it; a total of zero or none is the sum of its parts."""
+    u = {n: counter(value, base, n) for n in COUNTS}
+    u["cached"] = F.when(u["cached"].isNotNull() & u["input"].isNotNull(), F.least(u["cached"], u["input"]))
+    u["total"] = F.when(u["total"] > 0, u["total"]).otherwise(u["input"] + u["output"] + u["reasoning"])
+    return F.when(_at(value, base).startswith("{"), F.struct(*[c.alias(n) for n, c in u.items()]))
 
 
-def normalized(u: Column) -> dict[str, Column]:
-    """Cached is at most the input and needs it; a total of zero or none is the sum of input, output and reasoning."""
-    total = F.when(u["total"] > 0, u["total"]).otherwise(u["input"] + u["output"] + u["reasoning"])
-    return {"input_tokens": u["input"], "cached_tokens": F.when(u["cached"].isNotNull() & u["input"].isNotNull(), F.least(u["cached"], u["input"])), "output_tokens": u["output"], "reasoning_tokens": u["reasoning"], "total_tokens": total}
-
-
-def seconds_and_nanos(value: Column) -> tuple[Column, Column]:
-    raw = F.coalesce(*[F.get_json_object(value, t) for t in TIMES])
-    number = F.when(raw.rlike("^[0-9]{1,15}$"), raw.try_cast("bigint"))
-    whole = F.try_to_timestamp(F.regexp_replace(raw, r"\.[0-9]+", ""))
+def moment(raw: Column) -> Column:
+    """(seconds, nanos) of RFC 3339 text or of a whole number (over 1e12: milliseconds); null where it is neither."""
+    number = F.when(raw.rlike("^-?[0-9]{1,18}$"), raw.try_cast("bigint"))
+    written = raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$")
+    whole = F.when(written, F.unix_seconds(F.try_to_timestamp(F.regexp_replace(F.upper(raw), r"\.[0-9]+", ""))))
     fraction = F.rpad(F.regexp_extract(raw, r"\.([0-9]{1,9})", 1), 9, "0").try_cast("bigint")
     millis = number > 10**12
-    seconds = F.when(number.isNotNull(), F.when(millis, F.floor(number / 1000)).otherwise(number)).otherwise(F.unix_seconds(whole)).cast("bigint")
-    nanos = F.when(number.isNotNull(), F.when(millis, number % 1000 * 1_000_000).otherwise(0)).otherwise(F.coalesce(fraction, F.lit(0))).cast("bigint")
-    return seconds, nanos
+    seconds = F.when(number.isNotNull(), F.when(millis, F.floor(number / 1000)).otherwise(number)).otherwise(whole).cast("bigint")
+    nanos = F.when(number.isNotNull(), F.when(millis, F.pmod(number, F.lit(1000)) * 1_000_000).otherwise(0)).otherwise(F.coalesce(fraction, F.lit(0))).cast("bigint")
+    in_range = seconds.between(-62_167_219_200, 253_402_300_799)
+    return F.when(in_range, F.struct(seconds.alias("seconds"), nanos.alias("nanos")))
+
+
+def first_moment(value: Column, *paths: str) -> Column:
+    """The first valid of the times at these paths."""
+    return F.coalesce(*[moment(_at(value, p)) for p in paths])
 
 
 def tool_activity(name: Column) -> Column:
     low = F.lower(name)
     out = F.lit("terminal")
     for activity, marks in TOOLS[::-1]:
-        out = F.when(low.rlike(marks), activity).otherwise(out)
+        out = F.when(reduce(lambda a, b: a | b, (low.contains(m) for m in marks)), activity).otherwise(out)
     return F.when(name.isNotNull(), out)
 
 
-def observations(lines: DataFrame) -> DataFrame:
-    """One row for each line that uses tokens, with what the file said before it."""
+def tool_call(value: Column) -> Column:
+    """The tool that a line names: any kind that holds a marker of calls, or a response item with a name."""
+    kind, inner, name = _at(value, "type"), _at(value, "payload.type"), _at(value, "payload.name")
+    told = F.lower(F.coalesce(inner, kind))
+    marked = reduce(lambda a, b: a | b, (told.contains(m) for m in TOOL_KINDS))
+    named = (kind == "response_item") & (name != "")
+    is_call = _at(value, "payload").isNotNull() & F.coalesce(marked | named, F.lit(False))
+    said = F.trim(F.coalesce(F.when(name != "", name), inner, F.lit("unknown")))
+    return F.when(is_call, F.when(said == "", F.lit("unknown")).otherwise(said))
+
+
+def model_key(text: Column) -> Column:
+    """A model's own name where it is a plain key, else a digest of it."""
+    plain = text.rlike(r"^[A-Za-z0-9._:/+-]{1,128}$")
+    return F.when(F.trim(text) == "", None).when(plain, text).otherwise(F.concat(F.lit("unknown_"), F.substring(F.sha2(text, 256), 1, 32)))
+
+
+def facts(lines: DataFrame) -> DataFrame:
+    """What each relevant line says: usage, time, and what the file carries on from it. Lines with usage but no valid time say nothing."""
     v = F.col("value")
-    at = lambda p: F.get_json_object(v, p)
-    kind, inner = at("$.type"), at("$.payload.type")
-    counted = (kind == "event_msg") & (inner == "token_count")
-    some = lambda u: F.coalesce(*[u[n] for n in ALIASES]).isNotNull()
-    plain = [counters(v, f"$.{w}.usage") for w in WRAPPERS] + [counters(v, "$.usage")]
-    direct = F.coalesce(*[F.when(some(u), u) for u in plain])
-    last, whole = counters(v, "$.payload.info.last_token_usage"), counters(v, "$.payload.info.total_token_usage")
-    seconds, nanos = seconds_and_nanos(v)
-    model = F.coalesce(*[F.when(F.trim(at(m)) != "", F.trim(at(m))) for m in (*MODELS, "$.model", *(f"$.{w}.model" for w in WRAPPERS))])
-    rows = lines.filter(relevant(v)).select(
-        "file", "relative", "block", "line_no", seconds.alias("timestamp_seconds"), nanos.alias("timestamp_nanos"), model.alias("line_model"),
-        F.when(counted & some(last), last).alias("last"), F.when(counted & some(whole), whole).alias("cumulative"), F.when(~F.coalesce(counted, F.lit(False)), direct).alias("direct"),
-        F.when(kind == "session_meta", at("$.payload.id")).alias("line_session"), F.when(kind == "session_meta", at("$.payload.forked_from_id")).alias("line_parent"),
-        F.regexp_extract(F.coalesce(at("$.payload.cwd"), F.lit("")), r"([^/\\]+)[/\\]*$", 1).alias("line_project"), at("$.payload.originator").alias("line_originator"), at("$.payload.git.branch").alias("line_branch"), at("$.payload.service_tier").alias("line_tier"),
-        F.when((kind == "response_item") & inner.isin("function_call", "custom_tool_call"), tool_activity(at("$.payload.name"))).alias("activity"),
+    first = lambda *paths: F.coalesce(*[F.when(_at(v, p) != "", _at(v, p)) for p in paths])
+    counted = F.coalesce((_at(v, "type") == "event_msg") & (_at(v, "payload.type") == "token_count"), F.lit(False))
+    last, whole = counters(v, "payload.info.last_token_usage"), counters(v, "payload.info.total_token_usage")
+    # the first wrapper that is there decides
+    wrapped = [(_at(v, w).startswith("{"), counters(v, f"{w}.usage"), first(f"{w}.model", f"{w}.model_name", "model", "model_name"), first_moment(v, *(f"{w}.{t}" for t in TIMES), *TIMES)) for w in WRAPPERS]
+    of_wrapper = lambda k: reduce(lambda rest, x: F.when(x[0], x[k]).otherwise(rest), wrapped[::-1], F.lit(None))
+    inside, top = of_wrapper(1), counters(v, "usage")
+    direct = F.when(~counted, F.coalesce(inside, top))
+    raw = lines.filter(relevant(v)).select(
+        "file", "relative", "source_offset", "value",
+        F.when(counted, last).alias("last"), F.when(counted, whole).alias("cumulative"), direct.alias("direct"),
+        F.when(counted, first(*COUNT_MODELS)).when(~counted & inside.isNotNull(), of_wrapper(2)).when(direct.isNotNull(), first("model", "model_name")).alias("explicit"),
+        F.when(~counted & inside.isNotNull(), of_wrapper(3)).otherwise(first_moment(v, *TIMES)).alias("moment"),
+        first(*META_MODELS).alias("meta_model"),
     )
-    order = Window.partitionBy("file").orderBy("block", "line_no")
-    carried = order.rowsBetween(Window.unboundedPreceding, 0)
-    keep = lambda c: F.last(F.when(F.col(c) != "", F.col(c)), ignorenulls=True).over(carried)
-    before = F.last("cumulative", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    delta = F.struct(*[F.when(before[n].isNull() | (F.col("cumulative")[n] < before[n]), F.col("cumulative")[n]).otherwise(F.col("cumulative")[n] - before[n]).alias(n) for n in ALIASES])
-    rows = rows.withColumn("usage", F.coalesce("last", F.when(F.col("cumulative").isNotNull(), delta), "direct"))
-    rows = rows.withColumns({
-        "session_id": F.coalesce(keep("line_session"), F.regexp_extract("relative", r"([^/]+)\.jsonl$", 1)), "parent_session_id": keep("line_parent"), "project_alias": keep("line_project"), "originator": keep("line_originator"),
-        "branch": keep("line_branch"), "service_tier": keep("line_tier"), "model": F.coalesce(keep("line_model"), F.lit("unknown")),
-    })
-    emits = F.coalesce(F.greatest(*[F.coalesce(F.col("usage")[n], F.lit(0)) for n in ALIASES]) > 0, F.lit(False))
-    rows = rows.withColumn("emits", emits)
-    rows = rows.withColumn("batch", F.coalesce(F.sum(F.col("emits").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    uses = F.coalesce("last", "cumulative", "direct").isNotNull()
+    raw = raw.filter(~uses | F.col("moment").isNotNull())
+    at, meta = (lambda p: _at(v, p)), _at(v, "type").isin("session_meta", "sessionMeta")
+    parents = F.array_distinct(F.array_compact(F.array(*[_name(at(p)) for p in PARENTS])))
+    text = lambda p: F.when(F.trim(at(p)) != "", F.trim(at(p)))
+    cwd = text("payload.cwd")
+    strange = cwd.rlike(r"(^|[/\\])\.{1,2}([/\\]|$)")
+    payload = at("payload").startswith("{")
+    return raw.select(
+        "file", "relative", "source_offset", "last", "cumulative", "direct", "explicit", "meta_model", "moment",
+        F.coalesce(F.when(meta, _name(at("payload.id"))), _name(at("payload.session_id"))).alias("line_session"),
+        F.when(payload & ~F.coalesce(strange, F.lit(False)), F.nullif(F.regexp_extract(cwd, r"([^/\\]+)[/\\]*$", 1), F.lit(""))).alias("line_project"),
+        text("payload.originator").alias("line_originator"), text("payload.git.branch").alias("line_branch"), text("payload.service_tier").alias("line_tier"),
+        F.when(~at("payload.source").startswith("{"), text("payload.source")).alias("line_source"),
+        F.when(lenient(at("payload.model_context_window")) > 0, lenient(at("payload.model_context_window"))).alias("line_window"),
+        F.when(payload, F.get(parents, 0)).alias("line_parent"), (payload & (F.size(parents) > 1)).alias("line_conflict"),
+        tool_activity(tool_call(v)).alias("activity"),
+        F.lit(0).cast("bigint").alias("emitted_before"), *[F.lit(0).cast("bigint").alias(f"pending_{a}") for a in ACTIVITIES],
+    )
+
+
+def _followed(rows: DataFrame) -> DataFrame:
+    """Facts with usage, deltas, and everything carried along each file."""
+    order = Window.partitionBy("file").orderBy("source_offset")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    previous = F.last("cumulative", ignorenulls=True).over(before)
+    now = F.col("cumulative")
+    delta = F.struct(*[F.when(previous[n].isNull() | (now[n] < previous[n]), now[n]).otherwise(now[n] - previous[n]).alias(n) for n in COUNTS])
+    rows = rows.withColumn("usage", F.coalesce("last", F.when(now.isNotNull(), delta), "direct"))
+    rows = rows.withColumn("emits", (F.col("source_offset") >= 0) & F.coalesce(F.greatest(*[F.coalesce(F.col("usage")[n], F.lit(0)) for n in COUNTS]) > 0, F.lit(False)))
+    # a line that emits names its model, else its metadata do; a line of zero usage has metadata alone
+    rows = rows.withColumn("line_model", model_key(F.coalesce(F.when(F.col("emits"), F.col("explicit")), F.col("meta_model"))))
+    rows = rows.withColumns({name: F.last(line, ignorenulls=True).over(so_far) for line, name in CARRIED.items()})
+    stem = F.regexp_extract("relative", r"([^/]+)\.[^./]+$", 1)
+    hint = F.coalesce(_name(stem), F.concat(F.lit("file_"), F.substring(F.sha2(F.col("relative"), 256), 1, 32)))
+    rows = rows.withColumn("session_id", F.coalesce("session_id", hint))
+    first_parent = F.first("line_parent", ignorenulls=True).over(so_far)
+    itself = F.coalesce(F.coalesce("line_parent", first_parent) == F.col("session_id"), F.lit(False))
+    clash = F.col("line_conflict") | itself | F.coalesce(F.col("line_parent") != first_parent, F.lit(False))
+    rows = rows.withColumns({"parent_session_id": F.coalesce("line_parent", first_parent), "first_parent": first_parent, "clash": clash})
+    rows = rows.withColumn("lineage_conflict", F.max("clash").over(so_far))
+    rows = rows.withColumn("batch", F.coalesce(F.sum(F.col("emits").cast("bigint")).over(before), F.lit(0).cast("bigint")))
+    rows = rows.withColumn("ordinal", F.col("batch") + F.first("emitted_before").over(so_far))
     within = Window.partitionBy("file", "batch")
-    rows = rows.withColumns({f"activity_{a}": F.count_if(F.col("activity") == a).over(within) for a in (*[t for t, _ in TOOLS], "terminal")})
-    out = rows.filter("emits").withColumns(normalized(F.col("usage")))
-    flag = F.when(F.col("input_tokens").isNull(), "unavailable").when(F.col("input_tokens") > LONG, "yes").otherwise("no")
-    ordinal = F.row_number().over(Window.partitionBy("file", "session_id").orderBy("block", "line_no")) - 1
-    return out.withColumns({"long_context": flag, "ordinal": ordinal.cast("bigint"), "fallback_model": (F.col("model") == "unknown").cast("bigint")}).drop("usage", "last", "direct", "emits", "batch", "activity", *[c for c in rows.columns if c.startswith("line_") and c != "line_no"])
+    return rows.withColumns({f"activity_{a}": (F.count_if(F.col("activity") == a).over(within) + F.sum(f"pending_{a}").over(within)).cast("bigint") for a in ACTIVITIES})
+
+
+def observations(lines: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """One row for each line that uses tokens, with what the file said before it; `state` is where files were left before."""
+    rows = facts(lines)
+    out = _followed(rows if state is None else rows.unionByName(state)).filter("emits")
+    flag = F.when(F.col("usage.input").isNull(), "unavailable").when(F.col("usage.input") > LONG, "yes").otherwise("no")
+    cumulative = F.when(F.col("cumulative").isNotNull(), F.struct(*[F.col("cumulative")[n].alias(f"{n}_tokens") for n in COUNTS]))
+    return out.select(
+        "file", "relative", "source_offset", "ordinal", F.col("moment.seconds").alias("timestamp_seconds"), F.col("moment.nanos").alias("timestamp_nanos"),
+        "session_id", "parent_session_id", "lineage_conflict", F.coalesce("model", F.lit("unknown")).alias("model"), F.col("model").isNull().cast("bigint").alias("fallback_model"),
+        *[F.col("usage")[n].alias(f"{n}_tokens") for n in COUNTS], cumulative.alias("cumulative"), flag.alias("long_context"),
+        "project_alias", "originator", "branch", "service_tier", "source_alias", "context_window", *[f"activity_{a}" for a in ACTIVITIES],
+    )
+
+
+def state_after(lines: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """A row of facts for each file that stands for all of it so far: carried values, baseline, open activities, events emitted."""
+    rows = facts(lines)
+    rows = _followed(rows if state is None else rows.unionByName(state))
+    end = rows.groupBy("file").agg(
+        F.max("source_offset").alias("at"), F.max_by("relative", "source_offset").alias("relative"), F.max_by("cumulative", F.when(F.col("cumulative").isNotNull(), F.col("source_offset"))).alias("cumulative"),
+        *[F.max_by(name, F.when(F.col(name).isNotNull(), F.col("source_offset"))).alias(line) for line, name in CARRIED.items() if line not in ("line_session", "line_model")],
+        F.max_by("line_session", F.when(F.col("line_session").isNotNull(), F.col("source_offset"))).alias("line_session"), F.max_by("model", F.when(F.col("model").isNotNull(), F.col("source_offset"))).alias("meta_model"),
+        F.max("first_parent").alias("line_parent"), F.max("lineage_conflict").alias("line_conflict"), F.max(F.col("ordinal") + F.col("emits").cast("bigint")).alias("emitted_before"),
+        *[F.max_by(F.when(F.col("emits"), F.lit(0)).otherwise(F.col(f"activity_{a}")), "source_offset").alias(f"pending_{a}") for a in ACTIVITIES],
+    )
+    shape = facts(lines.limit(0)).schema
+    given = {"source_offset": F.lit(-1).cast("bigint")}
+    return end.select(*[(given.get(f.name, F.col(f.name)) if f.name in given or f.name in end.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
+
+
+def prefix_proofs(lines: DataFrame) -> DataFrame:
+    """(file, consumed, proof) of the whole lines of each file: the end of the last one, and a digest of all with their places."""
+    end = F.col("source_offset") + F.octet_length("value") + 1
+    return lines.groupBy("file").agg(F.max(end).alias("consumed"), F.bit_xor(F.xxhash64("source_offset", "value")).alias("proof"))
+
+
+def tail(lines: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new lines with generation, new checkpoints) against (file, consumed, proof, generation) of an earlier reading.
+
+    A file whose lines up to `consumed` have the same proof has grown: only later lines are new, in its generation. Any
+    other known file was rewritten, cut or replaced: all its lines are new, in the next generation.
+    """
+    end = F.col("source_offset") + F.octet_length("value") + 1
+    known = lines.join(checkpoints.select("file", F.col("consumed").alias("was"), F.col("proof").alias("told"), F.col("generation").alias("old")), "file", "left")
+    again = known.filter(F.col("was").isNotNull() & (end <= F.col("was"))).groupBy("file").agg(F.max(end).alias("upto"), F.bit_xor(F.xxhash64("source_offset", "value")).alias("now"))
+    judged = known.join(again, "file", "left")
+    same = F.coalesce((F.col("upto") == F.col("was")) & (F.col("now") == F.col("told")), F.lit(False))
+    generation = F.when(F.col("was").isNull(), F.lit(0)).when(same, F.col("old")).otherwise(F.col("old") + 1).cast("int")
+    fresh = judged.withColumns({"same": same, "generation": generation}).filter(~F.col("same") | (F.col("source_offset") >= F.col("was"))).select(*lines.columns, "generation")
+    marks = judged.withColumn("generation", generation).groupBy("file").agg(F.max("generation").alias("generation"))
+    return fresh, prefix_proofs(lines).join(marks, "file")
+
+
+def canonical_events(observed: DataFrame) -> DataFrame:
+    """Observations that can be counted, with evidence and replay signature: no cumulative count is less than its delta."""
+    counts = [f"{n}_tokens" for n in COUNTS]
+    covers = reduce(lambda a, b: a & b, (F.coalesce(F.col("cumulative")[c] >= F.col(c), F.lit(True)) for c in counts))
+    positive = F.greatest(*[F.coalesce(F.col(c), F.lit(0)) for c in counts]) > 0
+    strong = F.coalesce(F.col("cumulative.total_tokens").isNotNull(), F.lit(False))
+    return observed.filter(positive & covers).withColumns({"evidence": F.when(strong, "strong").otherwise("weak"), "replay_signature": replay_signature("cumulative")})
