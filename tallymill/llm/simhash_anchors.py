@@ -35,6 +35,8 @@ SEED, WORDS, BITS_APART = 42, 3, 3
 SHINGLE, SIMILARITY = 5, 0.8
 #: Documents whose frequent shingles go last (a sample), such shingles kept, rows of tokens a task, members of a token's block.
 SAMPLE, USUAL, TOKEN_ROWS, HOT = 5000, 100_000, 200_000, 2000
+#: Bits of the wide sketch.
+WIDE = 1024
 #: Partners of one document that one task verifies.
 SHARE = 500
 #: Rows of anchors that one task compares, on average, and the most at one anchor that are compared there.
@@ -260,11 +262,12 @@ def _usual(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: DataFrame, usual: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(same, first, fp, n, s0 to s3, tokens) of (same, first, text): fingerprint, size and sketch of the set of shingles, and its prefix.
+    """(same, first, fp, n, s0 to s3, wide, tokens) of (same, first, text): fingerprint, size and sketches of the set of shingles, and its prefix.
 
     Two sets of similarity 0.8 share at least 0.8 of the larger one, so they share one of the first n - ceil(0.8 n) + 1
     shingles (the tokens) in an order common to all, here the rarest first. A text without words stands for one shingle
-    of its own kind. The sketch is the parity of the shingles in each of 256 places: as many bits differ as shingles do, or fewer.
+    of its own kind. The wide sketch is the parity of the shingles in each of WIDE places: as many bits differ as shingles
+    do, or fewer; the other one is folded from it to 256 bits.
     """
     shared = texts.sparkSession.sparkContext.broadcast(usual)  # at most USUAL rows
 
@@ -288,14 +291,15 @@ def shingle_sets(texts: DataFrame, usual: tuple[np.ndarray, np.ndarray]) -> Data
                 order = np.lexsort((h, count, doc))
                 first = held - (4 * held + 4) // 5 + 1
                 tokens = h[order][np.arange(len(h)) - starts[doc] < first[doc]]
-                place = (mix(h) >> np.uint64(56)).astype(np.int64)
-                odd = np.bincount(doc * 256 + place, minlength=256 * len(each)).reshape(-1, 256) & 1
-                sketch = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+                place = (mix(h) >> np.uint64(54)).astype(np.int64)
+                odd = np.bincount(doc * WIDE + place, minlength=WIDE * len(each)).reshape(-1, WIDE) & 1
+                wide = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+                sketch = np.bitwise_xor.reduce(wide.reshape(len(each), -1, 4), axis=1)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(tokens.view(np.int64)))
-                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(prints.view(np.int64)), pa.array(sizes.astype(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)), tokens]
-                yield pa.RecordBatch.from_arrays(columns, names=["same", "first", "fp", "n", "s0", "s1", "s2", "s3", "tokens"])
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(prints.view(np.int64)), pa.array(sizes.astype(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)), pa.array(list(wide), pa.list_(pa.int64())), tokens]
+                yield pa.RecordBatch.from_arrays(columns, names=["same", "first", "fp", "n", "s0", "s1", "s2", "s3", "wide", "tokens"])
 
-    return texts.mapInArrow(run, "same binary, first long, fp long, n long, s0 long, s1 long, s2 long, s3 long, tokens array<long>")
+    return texts.mapInArrow(run, "same binary, first long, fp long, n long, s0 long, s1 long, s2 long, s3 long, wide array<long>, tokens array<long>")
 
 
 def _across(keys: np.ndarray, label: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -334,13 +338,31 @@ def _unjoined(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
 
 
+def _tokens(sets: DataFrame, label: DataFrame) -> DataFrame:
+    every = sets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return every.select("node", "label", F.explode("tokens").alias("token"))
+
+
+def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sizes and wide sketches allow a similarity of 0.8: at most a ninth of both sizes together differs."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("wide").alias(f"{side}_wide"))
+    met = pairs.join(of("u"), "u").join(of("v"), "v")
+    apart = F.aggregate(F.zip_with("u_wide", "v_wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    sizes = 5 * F.least("u_n", "v_n") >= 4 * F.greatest("u_n", "v_n")
+    return met.filter(sizes & (9 * apart <= F.col("u_n") + F.col("v_n"))).select("u", "v")
+
+
+def _to_smallest(sets: DataFrame, label: DataFrame) -> DataFrame:
+    """(u, v): each node and the smallest node at one of its tokens, where labels differ."""
+    low = F.min(F.struct("node", "label")).over(Window.partitionBy("token"))
+    return _tokens(sets, label).withColumn("low", low).filter(F.col("label") != F.col("low.label")).select(F.col("node").alias("u"), F.col("low.node").alias("v")).distinct()
+
+
 def _rest(sets: DataFrame, label: DataFrame) -> DataFrame:
     """(u, v): every possible pair of nodes that share a token and have different labels."""
-    every = sets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tokens = every.select("node", "label", F.explode("tokens").alias("token"))
     # a token whose documents are one group already says nothing new; its rows stay rows, however many
     at = Window.partitionBy("token")
-    met = tokens.withColumns({"low": F.min("label").over(at), "high": F.max("label").over(at), "members": F.count("*").over(at)}).filter("low < high")
+    met = _tokens(sets, label).withColumns({"low": F.min("label").over(at), "high": F.max("label").over(at), "members": F.count("*").over(at)}).filter("low < high")
     # a token of many documents is dealt into blocks, each compared with each
     blocks = F.ceil(F.col("members") / HOT)
     dealt = met.withColumns({"block": F.pmod(F.xxhash64("node"), blocks), "blocks": blocks}).select("token", "node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
@@ -392,9 +414,11 @@ def _near(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(same, first, row) of each different text, and (same, component_id, least) with the smallest document of its near group.
 
     Equal texts are one from the start, combined before the shuffle that deals texts out by digest; that table is
-    written in buckets, since both verifications and the result take texts from it without moving them. First SimHash anchors link fingerprints, and each
-    member of a group is verified against the group's root. What these links left apart is held against every document
-    that shares a token of its prefix, as every pair of the required similarity does: no link is lost to SimHash.
+    written in buckets, since the verifications and the result take texts from it without moving them. First SimHash
+    anchors link fingerprints, and each member of a group is verified against the group's root. What is apart is then
+    held against the smallest document at each token of its prefix, which joins families of copies by few
+    pairs. What is still apart is held against every document that shares a token, as every pair of the required
+    similarity does: no link is lost to SimHash or to the order of the rounds.
     """
     least = F.min_by("row", F.struct("id", F.xxhash64("text")))
     rows = bucketed(_keyed(documents).groupBy("same").agg(F.min("id").alias("first"), least.alias("row")), "same")
@@ -408,8 +432,11 @@ def _near(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     equal = sets.select("fp", F.col("node").alias("u")).join(prints.withColumnRenamed("node", "v"), "fp").filter("u <> v").select("u", "v")
     grouped = components(links.unionByName(equal)).filter("node <> root").toDF("u", "v")
     links = materialize(_verified(grouped, sets, texts))
-    more = materialize(_verified(_rest(sets, components(links).toDF("node", "label")), sets, texts))
-    roots = components(links.unionByName(more))
+    for find in (_to_smallest, _rest):
+        found = find(sets, components(links).toDF("node", "label"))
+        more = _verified(_allowed(found, sets), sets, texts)
+        links = materialize(links.unionByName(more))
+    roots = components(links)
     named = sets.select("node", "same", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min(F.struct("first", "same")).alias("least"))
     return rows, named.join(least, "root").select("same", F.col("least.first").alias("component_id"), F.col("least.same").alias("least"))
