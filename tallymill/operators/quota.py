@@ -18,57 +18,122 @@ def accepted(samples: DataFrame) -> DataFrame:
     return first.select(*KEY, "observed_at_ms", "m.*")
 
 
-def _previous(name: str) -> Column:
-    return F.lag(name).over(Window.partitionBy(*KEY).orderBy("observed_at_ms"))
+def _id(kind: str, *fields: Column) -> Column:
+    """Identity of an epoch or a transition from its fields, each as text behind its length."""
+    return F.sha2(F.concat_ws("|", F.lit(f"tallymill.quota.{kind}"), *[F.concat(F.length(f.cast("string")).cast("string"), F.lit(":"), f.cast("string")) for f in fields]), 256)
 
 
-def transitions(samples: DataFrame, thresholds: tuple[int, int, int] = THRESHOLDS) -> DataFrame:
-    """Accepted samples with the signal, reset kind, allowance change, epoch and running maximum of use in the epoch."""
-    names = ("used_ppm", "remaining_ppm", "capacity_units", "advertised_resets_at_ms", "observed_at_ms")
-    rows = accepted(samples).withColumns({f"p_{n}": _previous(n) for n in names})
-    has = F.col("p_observed_at_ms").isNotNull()
+def transitions(samples: DataFrame, thresholds: tuple[int | None, int | None, int | None] = THRESHOLDS) -> DataFrame:
+    """Accepted samples with signal, reset kind, allowance change, epoch, sequence, ids, confidence and detection time.
+
+    A reset is told by hand, by another epoch of the provider, explicitly, or by thresholds: those count in fixed windows
+    for samples of sure quality and confidence; a threshold that is not set passes, a value that is not known fails it.
+    What a sample means depends on the accepted one before it alone, so a lag stands for the state. One window is one
+    task's rows: it has one sample a poll, and is spilled, not held.
+    """
+    names = ("observation_id", "used_ppm", "remaining_ppm", "unit_id", "used_units", "capacity_units", "advertised_resets_at_ms", "observed_at_ms", "provider_epoch_id")
+    order = Window.partitionBy(*KEY).orderBy("observed_at_ms")
+    rows = accepted(samples).withColumns({f"p_{n}": F.lag(n).over(order) for n in names})
+    has, now, was = F.col("p_observed_at_ms").isNotNull(), F.col("observed_at_ms"), F.col("p_observed_at_ms")
+    known = lambda c: F.coalesce(c, F.lit(False))
     most, least, drop = thresholds
-    recovered = (F.col("used_ppm") < F.col("p_used_ppm")) | (F.col("remaining_ppm") > F.col("p_remaining_ppm"))
-    fell = (F.col("used_ppm") <= most) & (F.col("remaining_ppm") >= least) & (F.col("p_used_ppm") - F.col("used_ppm") >= drop) & recovered & (F.col("confidence") != "low")
-    advanced = F.col("advertised_resets_at_ms") > F.col("p_advertised_resets_at_ms")
+    used, before = F.col("used_ppm"), F.col("p_used_ppm")
+    recovered = known(used < before) | known(F.col("remaining_ppm") > F.col("p_remaining_ppm"))
+    fell = recovered
+    for bound, passes in ((most, lambda x: used <= x), (least, lambda x: F.col("remaining_ppm") >= x), (drop, lambda x: before - used >= x)):
+        fell = fell if bound is None else fell & known(passes(bound))
+    sure = (F.col("semantics") == "fixed") & ~F.col("quality").isin("conflict", "unknown") & ~F.col("confidence").isin("low", "unknown")
+    boundary, told = F.col("p_advertised_resets_at_ms"), F.col("advertised_resets_at_ms")
     evidence = F.col("reset_evidence")
     signal = (
         F.when(~has, None)
         .when(evidence == "manual_or_banked", "manual")
+        .when(F.col("provider_epoch_id") != F.col("p_provider_epoch_id"), "provider_epoch")
         .when(evidence.isin("explicit_provider", "explicit_local"), "explicit")
-        .when(fell & advanced, "threshold_advanced")
-        .when(fell & (F.col("advertised_resets_at_ms").isNull() | F.col("p_advertised_resets_at_ms").isNull()), "threshold_unknown")
+        .when(sure & fell & (told > boundary), "threshold_advanced")
+        .when(sure & fell & (told.isNull() | boundary.isNull()), "threshold_unknown")
     )
-    boundary = F.col("p_advertised_resets_at_ms")
-    kind = F.when(signal.isNull(), None).when(signal == "manual", "manual_or_banked").when((signal == "threshold_unknown") | boundary.isNull(), "unknown").when(F.col("observed_at_ms") >= boundary, "scheduled").otherwise("early")
-    allowance = F.when(F.col("capacity_units") > F.col("p_capacity_units"), "increased").when(F.col("capacity_units") < F.col("p_capacity_units"), "decreased")
+    exact = F.when(F.col("reset_occurred_at_ms") > was, F.col("reset_occurred_at_ms"))
+    kind = F.when(signal.isNull(), None).when(signal == "manual", "manual_or_banked").when((signal == "threshold_unknown") | boundary.isNull(), "unknown").when(F.coalesce(exact, now) >= boundary, "scheduled").otherwise("early")
+    more, less = F.col("capacity_units") > F.col("p_capacity_units"), F.col("capacity_units") < F.col("p_capacity_units")
+    both = F.col("capacity_units").isNotNull() & F.col("p_capacity_units").isNotNull()
+    allowance = F.when(both & (F.col("unit_id") != F.col("p_unit_id")), "unit_changed").when(more, "increased").when(less, "decreased")
+    doubtful = (signal == "threshold_unknown") | ((signal == "threshold_advanced") & (F.col("quality") == "partial"))
     rows = rows.withColumns({"signal": signal, "reset_kind": kind, "allowance_change": allowance})
-    along = Window.partitionBy(*KEY).orderBy("observed_at_ms").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("epoch", F.sum(F.col("reset_kind").isNotNull().cast("bigint")).over(along))
-    rows = rows.withColumn("sequence", F.sum((F.col("reset_kind").isNotNull() | F.col("allowance_change").isNotNull()).cast("bigint")).over(along))
+    changed, resets = F.col("reset_kind").isNotNull() | F.col("allowance_change").isNotNull(), F.col("reset_kind").isNotNull()
+    rows = rows.withColumns({
+        "transition_confidence": F.when(changed, F.when(known(doubtful), "low").otherwise(F.col("confidence"))),
+        "occurred_at_ms": F.when(resets, exact), "after_ms": F.when(changed & ~(resets & exact.isNotNull()), was), "at_or_before_ms": F.when(changed & ~(resets & exact.isNotNull()), now),
+    })
+    along = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("epoch", F.sum(resets.cast("bigint")).over(along))
+    rows = rows.withColumn("sequence", F.sum(changed.cast("bigint")).over(along))
+    first = F.last(F.when(resets | F.col("p_observed_at_ms").isNull(), F.col("observation_id")), True).over(along)
+    rows = rows.withColumn("epoch_id", _id("epoch", *map(F.col, KEY), first))
+    rows = rows.withColumn("previous_epoch_id", F.lag("epoch_id").over(order))
+    transition = _id("transition", *map(F.col, KEY), F.col("sequence"), F.coalesce("reset_kind", F.lit("allowance_changed")), F.col("previous_epoch_id"), F.col("epoch_id"), F.col("p_observation_id"), F.col("observation_id"))
+    rows = rows.withColumn("transition_id", F.when(changed, transition))
     within = Window.partitionBy(*KEY, "epoch").orderBy("observed_at_ms").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("max_used_ppm", F.max("used_ppm").over(within)).drop(*[f"p_{n}" for n in names])
+    rows = rows.withColumn("max_used_ppm", F.max("used_ppm").over(within)).withColumnRenamed("p_observation_id", "pre_observation_id")
+    return rows.drop(*[f"p_{n}" for n in names])
 
 
 def current_windows(changes: DataFrame) -> DataFrame:
     """The newest state of each window."""
-    latest = changes.groupBy(*KEY).agg(F.max(F.struct("observed_at_ms", "epoch", "sequence", "used_ppm", "max_used_ppm")).alias("m"))
+    columns = ("observed_at_ms", "epoch", "sequence", "used_ppm", "max_used_ppm", "observation_id", "epoch_id", "fresh_until_ms", "stale_after_ms", "quality")
+    latest = changes.groupBy(*KEY).agg(F.max(F.struct(*columns)).alias("m"))
     return latest.select(*KEY, "m.*")
 
 
-def transition_page(changes: DataFrame, scope: str, window: str, size: int = 256, before: int | None = None) -> DataFrame:
-    rows = changes.filter((F.col("scope_id") == scope) & (F.col("window_id") == window) & (F.col("reset_kind").isNotNull() | F.col("allowance_change").isNotNull()))
-    return (rows.filter(F.col("sequence") < before) if before is not None else rows).orderBy(F.desc("sequence")).limit(min(size, 256))
+def requested(current: DataFrame, filters: list[tuple[str, str]], now_ms: int) -> DataFrame:
+    """The windows asked for, in that order (at most 256), with freshness and quality; a missing one is unavailable and unknown."""
+    if len(filters) > 256:
+        raise ValueError("at most 256 windows")
+    asked = current.sparkSession.createDataFrame([(k, *f) for k, f in enumerate(filters)], "place int, scope_id string, window_id string")
+    got = asked.join(current, list(KEY), "left")
+    return got.withColumns({"freshness": sample_freshness(F.lit(now_ms)), "quality": F.coalesce("quality", F.lit("unknown"))}).orderBy("place")
+
+
+def sample_freshness(now_ms: Column) -> Column:
+    """fresh, aging or stale by a sample's own limits; unavailable where there is none or it lies in the future."""
+    at = F.col("observed_at_ms")
+    return F.when(at.isNull() | (now_ms < at), "unavailable").when(now_ms <= F.col("fresh_until_ms"), "fresh").when(now_ms <= F.col("stale_after_ms"), "aging").otherwise("stale")
+
+
+def transition_page(changes: DataFrame, scope: str, window: str, size: int = 256, before: tuple[int, str] | None = None) -> DataFrame:
+    """Transitions of a window, newest first, with the samples before and after; `before` is the key of the last row of the page before."""
+    pre = changes.select(*KEY, F.col("observation_id").alias("pre_observation_id"), F.col("used_ppm").alias("pre_used_ppm"), F.col("observed_at_ms").alias("pre_observed_at_ms"))
+    of = (F.col("scope_id") == scope) & (F.col("window_id") == window)
+    rows = changes.filter(of & F.col("transition_id").isNotNull())
+    if before is not None:
+        rows = rows.filter(F.struct("sequence", "transition_id") < F.struct(F.lit(before[0]).cast("bigint").alias("sequence"), F.lit(before[1]).alias("transition_id")))
+    page = rows.orderBy(F.desc("sequence"), F.desc("transition_id")).limit(min(size, 256))
+    return page.join(pre.filter(of), [*KEY, "pre_observation_id"], "left").orderBy(F.desc("sequence"), F.desc("transition_id"))
+
+
+def referenced(changes: DataFrame) -> DataFrame:
+    """(scope_id, window_id, observation_id) that a current window, an epoch or a transition still names."""
+    ends = changes.groupBy(*KEY, "epoch").agg(F.min_by("observation_id", "observed_at_ms").alias("a"), F.max_by("observation_id", "observed_at_ms").alias("z"))
+    best = maxima(changes)
+    top = best.groupBy(*KEY, "epoch").agg(F.max_by("max_ppm_observation", "observed_at_ms").alias("r"), F.max_by("max_units_observation", "observed_at_ms").alias("u"))
+    moved = changes.filter(F.col("transition_id").isNotNull())
+    last = Window.partitionBy(*KEY).orderBy("observed_at_ms")
+    before = best.withColumns({"r": F.lag("max_ppm_observation").over(last), "u": F.lag("max_units_observation").over(last)}).join(moved.select(*KEY, "observed_at_ms"), [*KEY, "observed_at_ms"], "left_semi")
+    name = lambda d, *cols: d.select(*KEY, F.explode(F.array(*map(F.col, cols))).alias("observation_id"))
+    return name(ends, "a", "z").unionByName(name(top, "r", "u")).unionByName(name(moved, "pre_observation_id", "observation_id")).unionByName(name(before, "r", "u")).filter("observation_id IS NOT NULL").distinct()
 
 
-def redundant(samples: DataFrame, limit: int = 256) -> DataFrame:
-    """Samples that a newer one of the same window repeats in every value; the oldest first."""
-    same = [c for c in samples.columns if c not in (*KEY, "observation_id", "observed_at_ms")]
+def redundant(samples: DataFrame, named: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Samples that a newer one of the same window repeats in every value and that nothing names; the oldest first."""
+    same = [c for c in samples.columns if c not in (*KEY, "observation_id", "observed_at_ms", "fresh_until_ms", "stale_after_ms")]
     repeated = (*KEY, *same)
-    newest = samples.groupBy(*repeated).agg(F.max("observed_at_ms").alias("newest")).toDF(*[f"n_{c}" for c in repeated], "newest")
+    newest = samples.groupBy(*repeated).agg(F.max(F.struct("observed_at_ms", "observation_id")).alias("newest")).toDF(*[f"n_{c}" for c in repeated], "newest")
     alike = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in repeated))
-    older = samples.join(newest, alike).filter("observed_at_ms < newest")
-    return older.select(*KEY, "observation_id", "observed_at_ms").orderBy("observed_at_ms", "observation_id").limit(limit)
+    older = samples.join(newest, alike).filter(F.struct("observed_at_ms", "observation_id") < F.col("newest"))
+    if named is not None:
+        older = older.join(named, [*KEY, "observation_id"], "left_anti")
+    out = older.select(*KEY, "observation_id", "observed_at_ms").orderBy("observed_at_ms", "observation_id")
+    return out if limit is None else out.limit(limit)
 
 
 def maxima(rows: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ FRESHNESS = ("fresh", "aging", "stale", "unavailable")
 SCANS = 32
 
 
-def worst(state: Column) -> Column:
-    """The worst of a group's states."""
-    rank = F.array_position(F.array(*map(F.lit, FRESHNESS)), state)
-    return F.element_at(F.array(*map(F.lit, FRESHNESS)), F.max(rank).cast("int"))
+def worst(state: Column, order: tuple[str, ...] = FRESHNESS) -> Column:
+    """The worst of a group's states, which are listed from best to worst."""
+    known = F.array(*map(F.lit, order))
+    return F.element_at(known, F.max(F.array_position(known, state)).cast("int"))
 
 
 def model_shares(breakdown: DataFrame, value: str = "sum_total_tokens") -> DataFrame:

@@ -43,23 +43,29 @@ def _lines(spark, sf_dir):
     return jsonl.discover(spark, logs(spark, sf_dir), pattern="*.txt")
 
 
-_FILE = F.regexp_extract("relative", r"f=([0-9]+)", 1).cast("bigint").alias("f")
-_SAID = F.when(F.col("session_id").startswith("part-"), "hint").otherwise(F.col("session_id")).alias("session_id")
+def _file():
+    return F.regexp_extract("relative", r"f=([0-9]+)", 1).cast("bigint").alias("f")
+
+
+def _said():
+    return F.when(F.col("session_id").startswith("part-"), "hint").otherwise(F.col("session_id")).alias("session_id")
+
+
 _OUT = ("ordinal", "timestamp_seconds", "timestamp_nanos", "parent_session_id", "lineage_conflict", "model", "fallback_model", *COUNTS, "long_context", "project_alias", "originator", "branch", *(f"activity_{a}" for a in jsonl.ACTIVITIES))
 
 
 def _shown(observed):
-    return observed.select(_FILE, _SAID, *_OUT)
+    return observed.select(_file(), _said(), *_OUT)
 
 
 def _canonical(spark, sf_dir):
     got = jsonl.canonical_events(jsonl.observations(_lines(spark, sf_dir)))
-    return got.select(_FILE, "ordinal", "evidence", "replay_signature")
+    return got.select(_file(), "ordinal", "evidence", "replay_signature")
 
 
 def _halves(spark, sf_dir):
     """Lines now, and as they were: half of them in even files, all in files 1 and 5, other ones in files 3 and 7."""
-    lines = materialize(_lines(spark, sf_dir).withColumn("f", _FILE))
+    lines = materialize(_lines(spark, sf_dir).withColumn("f", _file()))
     per = Window.partitionBy("file")
     n = F.row_number().over(per.orderBy("source_offset"))
     ranked = lines.withColumns({"n": n, "every": F.count("*").over(per)})
@@ -73,7 +79,7 @@ def _tail(spark, sf_dir):
     fresh, after = jsonl.tail(now, marks)
     n = fresh.groupBy("file", "relative").agg(F.count("*").alias("lines"))
     named = now.select("file", "relative").distinct()
-    return named.join(after, "file").join(n, ["file", "relative"], "left").select(_FILE, F.coalesce("lines", F.lit(0)).alias("lines"), "generation")
+    return named.join(after, "file").join(n, ["file", "relative"], "left").select(_file(), F.coalesce("lines", F.lit(0)).alias("lines"), "generation")
 
 
 def _resumed(spark, sf_dir):
@@ -91,7 +97,7 @@ def _tools(spark, sf_dir):
 
 
 QUERIES = {
-    "s3_lines": lambda s, d: _lines(s, d).groupBy(_FILE).agg(F.count("*").alias("lines"), F.min("source_offset").alias("at")),
+    "s3_lines": lambda s, d: _lines(s, d).groupBy(_file()).agg(F.count("*").alias("lines"), F.min("source_offset").alias("at")),
     "s4_tail": _tail,
     "s6_observations": lambda s, d: _shown(jsonl.observations(_lines(s, d))),
     "s15_tools": _tools,

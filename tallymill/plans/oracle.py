@@ -109,18 +109,6 @@ def _lots(observed: bool) -> str:
 REMIND = f"""lots AS ({_lots(False)}), rem AS (SELECT scope_id, lot_id, expires_at_ms, lead_seconds, 'in_app' AS channel, expires_at_ms - lead_seconds * 1000 AS due_at_ms
   FROM lots, (VALUES (CAST(604800 AS BIGINT)), (86400), (43200), (21600), (3600)) l(lead_seconds) WHERE state = 'available' AND expires_at_ms IS NOT NULL)"""
 
-QUOTA = """q0 AS (SELECT 'profile_' || user_id % 4 AS scope_id, event_type AS window_id, event_id AS observation_id, epoch_us(ts) // 1000 AS observed_at_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
-q1 AS (SELECT *, k * 7919 % 1000001 AS used_ppm, 1000000 - k * 7919 % 1000001 AS remaining_ppm, CASE WHEN k % 29 = 0 THEN NULL ELSE 1000 + k % 3 END AS capacity_units,
-  observed_at_ms // 86400000 * 86400000 + 86400000 AS adv, CASE WHEN k % 31 = 0 THEN 'manual_or_banked' WHEN k % 37 = 0 THEN 'explicit_provider' ELSE 'none' END AS ev, CASE WHEN k % 6 = 0 THEN 'low' ELSE 'high' END AS conf FROM q0)"""
-QTRANS = f"""{QUOTA}, q2 AS (SELECT * FROM q1 QUALIFY row_number() OVER (PARTITION BY scope_id, window_id, observed_at_ms ORDER BY observation_id) = 1),
-q3 AS (SELECT *, lag(observed_at_ms) OVER w AS pt, lag(used_ppm) OVER w AS pu, lag(remaining_ppm) OVER w AS prem, lag(capacity_units) OVER w AS pc, lag(adv) OVER w AS padv FROM q2 WINDOW w AS (PARTITION BY scope_id, window_id ORDER BY observed_at_ms)),
-q4 AS (SELECT *, CASE WHEN pt IS NULL THEN NULL WHEN ev = 'manual_or_banked' THEN 'manual' WHEN ev = 'explicit_provider' THEN 'explicit'
-  WHEN used_ppm <= 100000 AND remaining_ppm >= 900000 AND pu - used_ppm >= 300000 AND conf <> 'low' AND adv > padv THEN 'threshold_advanced' END AS signal,
-  CASE WHEN capacity_units > pc THEN 'increased' WHEN capacity_units < pc THEN 'decreased' END AS allowance_change FROM q3),
-q5 AS (SELECT *, CASE WHEN signal IS NULL THEN NULL WHEN signal = 'manual' THEN 'manual_or_banked' WHEN observed_at_ms >= padv THEN 'scheduled' ELSE 'early' END AS reset_kind FROM q4),
-q6 AS (SELECT *, CAST(sum(CAST(reset_kind IS NOT NULL AS BIGINT)) OVER w AS BIGINT) AS epoch, CAST(sum(CAST(reset_kind IS NOT NULL OR allowance_change IS NOT NULL AS BIGINT)) OVER w AS BIGINT) AS sequence FROM q5 WINDOW w AS (PARTITION BY scope_id, window_id ORDER BY observed_at_ms)),
-qt AS (SELECT scope_id, window_id, observed_at_ms, observation_id, used_ppm, signal, reset_kind, allowance_change, epoch, sequence, max(used_ppm) OVER (PARTITION BY scope_id, window_id, epoch ORDER BY observed_at_ms) AS max_used_ppm FROM q6)"""
-
 
 
 def statements(start: int, end: int, targets: list, scopes: list, now_ms: int) -> dict[str, str]:
@@ -198,10 +186,6 @@ SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY seen IS NULL,
         "p12_cost_calculated_models": _cost("target", "calculated", start, end),
         "p12_cost_reported_days": _cost("day", "reported", start, end),
         "c6_canonical_pick": f"{fp}, c AS (SELECT fingerprint, profile_id, f.file_key, source_offset % 2 AS generation, source_offset, total_tokens FROM fpd, (VALUES ('a'), ('b')) f(file_key)) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY profile_id, file_key, generation, source_offset) = 1",
-        "q2_quota_transitions": f"WITH {QTRANS} SELECT scope_id, window_id, observed_at_ms, observation_id, signal, reset_kind, allowance_change, epoch, sequence, max_used_ppm FROM qt",
-        "q9_current_windows": f"WITH {QTRANS} SELECT scope_id, window_id, observed_at_ms, epoch, sequence, used_ppm, max_used_ppm FROM qt QUALIFY row_number() OVER (PARTITION BY scope_id, window_id ORDER BY observed_at_ms DESC) = 1",
-        "q10_transition_page": f"WITH {QTRANS} SELECT sequence, observed_at_ms, reset_kind, allowance_change FROM qt WHERE scope_id = 'profile_1' AND window_id = 'click' AND (reset_kind IS NOT NULL OR allowance_change IS NOT NULL) ORDER BY sequence DESC LIMIT 50",
-        "q12_redundant_samples": f"WITH {QUOTA} SELECT scope_id, window_id, observation_id, observed_at_ms FROM q1 QUALIFY observed_at_ms < max(observed_at_ms) OVER (PARTITION BY scope_id, window_id, used_ppm, remaining_ppm, capacity_units, adv, ev, conf)",
         "b1_reconcile": reconcile(True),
         "b1_reconcile_partial": reconcile(False),
         "b4_reminders": f"WITH {REMIND} SELECT * FROM rem",
@@ -221,13 +205,6 @@ SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY seen IS NULL,
         "a13_legacy_events": f"WITH {UE} SELECT source_offset, CASE WHEN source_offset % 5 < 3 AND profile_id = 'profile_' || source_offset % 5 THEN 'codex' ELSE 'unknown' END AS provider_id, profile_id, 'f' || source_offset % 5 AS selected_file_key FROM ue",
         "u11_legacy_page": f"{fp} SELECT {page}, CASE WHEN source_offset % 5 < 3 AND profile_id = 'profile_' || source_offset % 5 THEN 'codex' ELSE 'unknown' END AS provider_id FROM fpd ORDER BY {newest} LIMIT 200",
         # the fold itself, sample by sample: u, m and o are the unit, its maximum and the observation that reached it
-        "q7_epoch_maxima": f"""WITH RECURSIVE {QTRANS}, n AS (SELECT *, CASE WHEN observation_id % 9 < 6 THEN 'tokens' ELSE 'requests' END AS un, CASE WHEN observation_id % 8 <> 0 THEN used_ppm // 100 END AS us, row_number() OVER (PARTITION BY scope_id, window_id, epoch ORDER BY observed_at_ms) AS i FROM qt),
-            f AS (SELECT scope_id, window_id, epoch, i, observed_at_ms, used_ppm AS p, observation_id AS po, CASE WHEN us IS NOT NULL THEN un END AS u, us AS m, CASE WHEN us IS NOT NULL THEN observation_id END AS o FROM n WHERE i = 1
-              UNION ALL SELECT n.scope_id, n.window_id, n.epoch, n.i, n.observed_at_ms, greatest(p, used_ppm), CASE WHEN used_ppm > p THEN observation_id ELSE po END,
-                CASE WHEN us IS NULL THEN u WHEN u IS NULL THEN un WHEN u = un THEN u END, CASE WHEN us IS NULL THEN m WHEN u IS NULL THEN us WHEN u = un THEN greatest(m, us) END,
-                CASE WHEN us IS NULL THEN o WHEN u IS NULL THEN observation_id WHEN u = un AND us > m THEN observation_id WHEN u = un THEN o END
-              FROM f JOIN n ON n.scope_id = f.scope_id AND n.window_id = f.window_id AND n.epoch = f.epoch AND n.i = f.i + 1)
-            SELECT scope_id, window_id, observed_at_ms, epoch, p AS max_ppm, po AS max_ppm_observation, m AS max_units, o AS max_units_observation, u AS max_unit_id FROM f""",
         "x1_model_shares": f"WITH {UE} SELECT dimension_value, CAST(CAST(sum_total_tokens AS HUGEINT) * 1000000 // max(sum_total_tokens) OVER () AS BIGINT) AS share_ppm FROM ({broken_down('model')})",
         "x2_cache_hits": f"WITH {UE} SELECT dimension_value, CASE WHEN sum_input_tokens > 0 THEN CAST(CAST(sum_cached_tokens AS HUGEINT) * 1000000 // sum_input_tokens AS BIGINT) END AS cache_hit_ppm FROM ({broken_down('model')})",
         "t1_session_freshness": f"{last} SELECT session_id, {fresh} AS freshness FROM la",

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions.measures import METRICS, availability, freshness, share_ppm
-from tallymill.operators import analytics, benefit, calendar, git_output, lineage, pricing, quota, rollup, status
-from tallymill.plans import ingest, oracle, replay
+from tallymill.operators import analytics, benefit, calendar, git_output, lineage, pricing, rollup, status
+from tallymill.plans import ingest, oracle, replay, windows
 from tallymill.sources import provider, testdata
 
 FIRST, LAST, ZONE = date(2024, 1, 3), date(2024, 1, 24), "America/New_York"
@@ -128,10 +128,6 @@ def _copies(spark, sf_dir):
     return each.select("fingerprint", "profile_id", "file_key", "generation", "source_offset", "total_tokens")
 
 
-query("q2_quota_transitions")(lambda s, d: quota.transitions(testdata.quota_samples(s, d)).select("scope_id", "window_id", "observed_at_ms", "observation_id", "signal", "reset_kind", "allowance_change", "epoch", "sequence", "max_used_ppm"))
-query("q9_current_windows")(lambda s, d: quota.current_windows(quota.transitions(testdata.quota_samples(s, d))))
-query("q10_transition_page")(lambda s, d: quota.transition_page(quota.transitions(testdata.quota_samples(s, d)), "profile_1", "click", 50).select("sequence", "observed_at_ms", "reset_kind", "allowance_change"))
-query("q12_redundant_samples")(lambda s, d: quota.redundant(testdata.quota_samples(s, d), 10_000_000))
 query("b1_reconcile")(lambda s, d: benefit.reconcile(testdata.benefit_lots(s, d, False), testdata.benefit_lots(s, d, True)))
 query("b1_reconcile_partial")(lambda s, d: benefit.reconcile(testdata.benefit_lots(s, d, False), testdata.benefit_lots(s, d, True), complete=False))
 query("b4_reminders")(lambda s, d: benefit.schedule(testdata.benefit_lots(s, d, False)))
@@ -177,14 +173,6 @@ def rehydrated(spark, sf_dir):
     return benefit.rehydrated(changes, revisions, lots.filter("lot_id % 5 = 0"), lots.filter("lot_id % 3 <> 0"))
 
 
-@query("q7_epoch_maxima")
-def maxima(spark, sf_dir):
-    rows = quota.transitions(testdata.quota_samples(spark, sf_dir))
-    unit = F.when(F.col("observation_id") % 9 < 6, "tokens").otherwise("requests")
-    units = F.when(F.col("observation_id") % 8 != 0, F.floor(F.col("used_ppm") / 100).cast("bigint"))
-    return quota.maxima(rows.withColumns({"unit_id": unit, "used_units": units}))
-
-
 query("x1_model_shares")(lambda s, d: status.model_shares(analytics.breakdown(_rollup(s, d), START, END, "model")).select("dimension_value", "share_ppm"))
 query("x2_cache_hits")(lambda s, d: analytics.breakdown(_rollup(s, d), START, END, "model").select("dimension_value", share_ppm(F.col("sum_cached_tokens"), F.col("sum_input_tokens")).alias("cache_hit_ppm")))
 
@@ -208,7 +196,7 @@ def prunable(spark, sf_dir):
 
 
 #: Groups of queries with their SQL beside them.
-MODULES = (replay, ingest)
+MODULES = (replay, ingest, windows)
 
 
 def queries() -> dict[str, Query]:

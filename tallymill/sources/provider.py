@@ -32,3 +32,29 @@ def quota_windows(snapshots: DataFrame, longest_name: int = 80) -> DataFrame:
         (minutes * 60).alias("duration_seconds"),
         (F.col("resetsAt") * 1000).alias("advertised_resets_at_ms"),
     )
+
+
+#: States of a credit by its status.
+CREDIT_STATES = {"available": "available", "redeeming": "activation_pending", "redeemed": "activated"}
+CREDIT = "struct<availableCount:bigint,credits:array<struct<id:string,resetType:string,status:string,grantedAt:bigint,expiresAt:bigint>>>"
+
+
+def credit_lots(summaries: DataFrame) -> DataFrame:
+    """Benefit lots of each summary of reset credits: one for each detail, and one for what is available beyond the details.
+
+    Left out whole: summaries with a negative count, with one id twice, or with more details available than told.
+    """
+    s = F.from_json("summary", CREDIT)
+    details = F.coalesce(F.col("s.credits"), F.array().cast("array<struct<id:string,resetType:string,status:string,grantedAt:bigint,expiresAt:bigint>>"))
+    rows = summaries.withColumn("s", s).withColumn("details", details)
+    rows = rows.withColumn("rest", F.col("s.availableCount") - F.size(F.filter("details", lambda c: c["status"] == "available")))
+    rows = rows.filter((F.col("rest") >= 0) & (F.size(F.array_distinct(F.transform("details", lambda c: c["id"]))) == F.size("details")))
+    lot = lambda kind, *parts: F.sha2(F.concat_ws("|", F.lit(f"tallymill.lot.{kind}"), *parts), 256).alias("lot_id")
+    each = rows.select("account_id", "observed_at_ms", F.explode("details").alias("c"))
+    known = F.col("c.resetType") == "codexRateLimits"
+    state = F.coalesce(F.create_map(*[F.lit(x) for p in CREDIT_STATES.items() for x in p])[F.col("c.status")], F.lit("ambiguous"))
+    sure = known & F.col("c.status").isin(*CREDIT_STATES)
+    detailed = each.select("account_id", "observed_at_ms", lot("detail", F.col("account_id"), F.col("c.id")), F.when(known, "banked_rate_limit_reset").otherwise("unknown").alias("kind"), F.lit(1).cast("bigint").alias("quantity"), state.alias("state"), (F.col("c.grantedAt") * 1000).alias("granted_at_ms"), (F.col("c.expiresAt") * 1000).alias("expires_at_ms"), F.when(sure, "high").otherwise("low").alias("confidence"), F.lit("provider_detail").alias("detail_kind"))
+    none = F.lit(None).cast("bigint")
+    whole = rows.filter("rest > 0").select("account_id", "observed_at_ms", lot("rest", F.col("account_id")), F.lit("banked_rate_limit_reset").alias("kind"), F.col("rest").alias("quantity"), F.lit("available").alias("state"), none.alias("granted_at_ms"), none.alias("expires_at_ms"), F.lit("medium").alias("confidence"), F.lit("provider_aggregate").alias("detail_kind"))
+    return detailed.unionByName(whole)

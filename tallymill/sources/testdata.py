@@ -65,7 +65,15 @@ def quota_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 29 == 0, None).otherwise((F.lit(1000) + F.col("k") % 3).cast("bigint")).alias("capacity_units"),
         (F.floor(ms / 86_400_000).cast("bigint") * 86_400_000 + 86_400_000).alias("advertised_resets_at_ms"),
         F.when(F.col("k") % 31 == 0, "manual_or_banked").when(F.col("k") % 37 == 0, "explicit_provider").otherwise("none").alias("reset_evidence"),
-        F.when(F.col("k") % 6 == 0, "low").otherwise("high").alias("confidence"),
+        F.when(F.col("k") % 6 == 0, "low").when(F.col("k") % 47 == 0, "unknown").otherwise("high").alias("confidence"),
+        F.when(F.col("k") % 41 == 0, "conflict").when(F.col("k") % 43 == 0, "unknown").when(F.col("k") % 5 == 0, "partial").otherwise("authoritative").alias("quality"),
+        F.when(F.col("event_type") == "view", "rolling").otherwise("fixed").alias("semantics"),
+        F.when(F.col("k") % 23 != 0, F.concat(F.lit("e"), F.floor(ms / 432_000_000).cast("string"))).alias("provider_epoch_id"),
+        F.when(F.col("event_id") % 9 < 6, "tokens").otherwise("requests").alias("unit_id"),
+        F.when(F.col("event_id") % 8 != 0, F.floor(used / 100).cast("bigint")).alias("used_units"),
+        F.when(F.col("k") % 3 == 0, ms - 1000 * F.col("k")).alias("reset_occurred_at_ms"),
+        (ms + 600_000).alias("fresh_until_ms"),
+        (ms + 3_600_000).alias("stale_after_ms"),
     )
 
 
@@ -163,6 +171,18 @@ def benefit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(F.concat(F.lit("scope_"), F.col("user_id") % 8).alias("scope_id"), F.col("user_id").alias("lot_id"), F.col("event_id").alias("sequence"), kind.alias("kind"), F.col("event_id").alias("before_revision"), after.alias("after_revision"))
 
 
+def reset_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of reset credits as JSON from `orders`: details of an account's orders of one day, more available than told for some."""
+    raw = read(spark, sf_dir, "orders")
+    at = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    key = F.col("o_orderkey").cast("bigint")
+    status = F.when(key % 4 == 0, "redeemed").when(key % 4 == 1, "redeeming").when(key % 17 == 0, "other").otherwise("available")
+    credit = F.struct(key.cast("string").alias("id"), F.when(key % 13 == 0, "other").otherwise("codexRateLimits").alias("resetType"), status.alias("status"), at.alias("grantedAt"), F.when(key % 3 != 0, at + 86_400).alias("expiresAt"))
+    per = raw.groupBy(F.concat(F.lit("account_"), F.col("o_custkey") % 16).alias("account_id"), F.floor(at / 2_592_000).alias("day")).agg(F.collect_list(credit).alias("credits"), F.count_if(status == "available").alias("told"))
+    summary = F.struct((F.col("told") + F.col("day") % 3).alias("availableCount"), F.col("credits"))
+    return per.select("account_id", (F.col("day") * 2_592_000_000).alias("observed_at_ms"), F.to_json(summary).alias("summary"))
+
+
 def quota_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provider snapshots as JSON from `events`: two slots, some without a second one, some out of range."""
     raw = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))

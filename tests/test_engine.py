@@ -80,7 +80,7 @@ def test_rates_round_once(spark):
 
 def test_lineage_of_deep_and_round_chains(spark):
     chain = [(f"n{k}", f"n{k + 1}" if k < 40 else None) for k in range(41)]
-    rows = spark.createDataFrame([*chain, ("x", "y"), ("y", "z"), ("z", "x")], "session_id string, parent_session_id string")
+    rows = spark.createDataFrame([(*r, False) for r in (*chain, ("x", "y"), ("y", "z"), ("z", "x"))], "session_id string, parent_session_id string, relation_conflict boolean")
     got = {r.session_id: r for r in lineage.ancestors(rows).collect()}
     assert got["n0"].over and not got["n9"].over and got["n39"].depth == 1 and got["x"].cycle and got["y"].cycle and not got["n5"].cycle
 
