@@ -22,10 +22,22 @@ FILES = {
     "product_code": ("meson.build", "build.gradle", "build.gradle.kts"),
 }
 EXTENSIONS = {
-    "docs_spec": "md mdx adoc asciidoc rst",
-    "config_build": "toml yaml yml json json5 ini cfg conf xml",
-    "asset": "png jpg jpeg gif webp ico svg woff woff2 ttf otf mp3 wav ogg mp4 webm zip 7z rar pdf",
-    "product_code": "rs c h cc cpp cxx hpp cs go java kt kts swift m mm py pyi rb php js jsx ts tsx vue svelte scala sh ps1 sql proto graphql gql slint html css scss sass less lua zig ex exs erl hrl fs fsx vb",
+    "docs_spec": (
+        "md", "mdx", "adoc", "asciidoc", "rst",
+    ),
+    "config_build": (
+        "toml", "yaml", "yml", "json", "json5", "ini", "cfg", "conf", "xml",
+    ),
+    "asset": (
+        "png", "jpg", "jpeg", "gif", "webp", "ico", "svg", "woff", "woff2", "ttf", "otf", "mp3", "wav",
+        "ogg", "mp4", "webm", "zip", "7z", "rar", "pdf",
+    ),
+    "product_code": (
+        "rs", "c", "h", "cc", "cpp", "cxx", "hpp", "cs", "go", "java", "kt", "kts", "swift", "m", "mm", "py",
+        "pyi", "rb", "php", "js", "jsx", "ts", "tsx", "vue", "svelte", "scala", "sh", "ps1", "sql", "proto",
+        "graphql", "gql", "slint", "html", "css", "scss", "sass", "less", "lua", "zig", "ex", "exs", "erl",
+        "hrl", "fs", "fsx", "vb",
+    ),
 }
 NAMES = {"vendor_generated": r"\.min\.js$|\.min\.css$|\.map$", "schema_migration": r"^migration|^schema\.|_migration\.sql$", "test": r"\.test\.|_test\.|\.spec\.|_spec\."}
 
@@ -44,7 +56,7 @@ def category(path: Column) -> Column:
         if name in FILES:
             hit = hit | file.isin(*FILES[name])
         if name in EXTENSIONS:
-            hit = hit | ext.isin(*EXTENSIONS[name].split())
+            hit = hit | ext.isin(*EXTENSIONS[name])
         if name in NAMES:
             hit = hit | file.rlike(NAMES[name])
         out = F.when(hit, name).otherwise(out)
@@ -77,3 +89,148 @@ def range_categories(by_day: DataFrame, first_day: int, last_day: int) -> DataFr
 def efficiency(cost: Column, lines: Column) -> Column:
     """Micro-dollars for 100 added product lines, half up; null without cost or lines."""
     return F.when((lines > 0) & cost.isNotNull(), F.floor((cost.cast("decimal(30,0)") * 100 + F.floor(lines / 2)) / lines)).cast("bigint")
+
+
+def unavailable_reason(lines: Column, cost: str = "cost") -> Column:
+    """Why a repository has no efficiency: the first that holds; null where it has one.
+
+    Columns range_complete, quality, project_key, git_freshness, forced_reason, usage_quality_complete, usage_freshness,
+    and the struct `cost` (amount, availability, conflict_events).
+    """
+    old = lambda c: F.col(c).isin("stale", "unavailable")
+    poor = ~F.col(f"{cost}.availability").isin("complete", "zero") | (F.col(f"{cost}.conflict_events") != 0)
+    return (
+        F.when(~F.col("range_complete"), "git_range_incomplete")
+        .when(F.col("quality") != "complete", "git_quality_incomplete")
+        .when(F.col("project_key").isNull(), "association_unavailable")
+        .when(lines == 0, "zero_product_code_lines")
+        .when(old("git_freshness"), "git_stale")
+        .when(F.col("forced_reason").isNotNull(), F.col("forced_reason"))
+        .when(F.col(cost).isNull(), "project_not_in_usage_snapshot")
+        .when(~F.col("usage_quality_complete"), "usage_quality_incomplete")
+        .when(old("usage_freshness"), "usage_stale")
+        .when(poor, "usage_cost_unavailable")
+    )
+
+
+def parse_log(logs: DataFrame, authors: list[str]) -> DataFrame:
+    """(repository_id, commit, day_index, parents, selected, path, kind, added, removed) of `log`, records behind 0x1e with fields ended by NUL.
+
+    A record has object id, seconds, raw and canonical author, parents, then raw entries and their line counts; a rename
+    names the old and the new path behind an entry. A commit is selected by either author. Merges have no paths: one row
+    with a null path stands for a commit without any. The day is that of UTC, before 1970 too.
+    """
+    record = logs.select("repository_id", F.explode(F.split("log", "\x1e")).alias("record")).filter("record <> ''")
+    t = F.split("record", "\x00")
+    rows = record.select("repository_id", t[0].alias("commit"), t[1].try_cast("bigint").alias("at"), t[2].alias("raw_author"), t[3].alias("author"), t[4].alias("parent_ids"), F.slice(t, 6, F.greatest(F.size(t) - 5, F.lit(0))).alias("t"))
+    places = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
+    token = lambda i: F.get("t", i)
+    raw = F.filter(places, lambda i: token(i).rlike("^:[0-7]{6} [0-7]{6} [0-9a-f]+ [0-9a-f]+ [A-Z][0-9]*$"))
+    modules = F.transform(F.filter(raw, lambda i: token(i).rlike("^:160000 |^:[0-7]{6} 160000 ")), lambda i: F.when(token(i).rlike(" [RC][0-9]*$"), token(i + 2)).otherwise(token(i + 1)))
+    counted = F.filter(places, lambda i: token(i).rlike(r"^([0-9]+|-)\t([0-9]+|-)\t"))
+    part = lambda i, k: F.get(F.split(token(i), "\t", 3), k)
+    each = F.transform(counted, lambda i: F.struct(F.when(part(i, 2) == "", token(i + 2)).otherwise(part(i, 2)).alias("path"), part(i, 0).try_cast("bigint").alias("added"), part(i, 1).try_cast("bigint").alias("removed")))
+    chosen = F.array(*map(F.lit, authors)) if authors else F.array().cast("array<string>")
+    heads = rows.select("repository_id", "commit", F.floor(F.col("at") / 86_400).cast("bigint").alias("day_index"), F.size(F.filter(F.split("parent_ids", " "), lambda p: p != "")).alias("parents"), (F.array_contains(chosen, F.col("raw_author")) | F.array_contains(chosen, F.col("author"))).alias("selected"), modules.alias("modules"), F.explode_outer(each).alias("e"))
+    kind = F.when(F.col("e").isNull(), None).when(F.array_contains("modules", F.col("e.path")), "submodule").when(F.col("e.added").isNull(), "binary").otherwise("text")
+    text = lambda c: F.when(kind == "text", F.col(f"e.{c}")).alias(c)
+    return heads.select("repository_id", "commit", "day_index", "parents", "selected", "e.path", kind.alias("kind"), text("added"), text("removed"))
+
+
+def commits(changes: DataFrame) -> DataFrame:
+    """Lines, binary files, submodule changes and paths of each commit (columns as parse_log has them); merges bring no lines."""
+    lines = lambda c: F.coalesce(F.sum(F.when((F.col("kind") == "text") & (F.col("parents") < 2), F.col(c))), F.lit(0)).cast("bigint").alias(c)
+    of = lambda k: F.count_if(F.col("kind") == k).alias({"binary": "binary_files", "submodule": "submodule_changes"}[k])
+    return changes.groupBy("repository_id", "commit", "day_index", "parents").agg(lines("added"), lines("removed"), of("binary"), of("submodule"), F.count("path").alias("changed_paths"))
+
+
+def refresh_kinds(before: DataFrame, now: DataFrame, ancestry: DataFrame) -> DataFrame:
+    """(repository_id, refresh): unchanged where all refs are the same, append where every old one is an ancestor of the new one of its name, else rebuild.
+
+    before and now have (repository_id, ref, object_id), now also `shallow`; ancestry has the pairs (old_id, new_id) that hold.
+    """
+    old = before.select("repository_id", "ref", F.col("object_id").alias("old_id"))
+    both = old.join(now.select("repository_id", "ref", F.col("object_id").alias("new_id"), "shallow"), ["repository_id", "ref"], "full")
+    both = both.join(ancestry.select("old_id", "new_id", F.lit(True).alias("reaches")), ["old_id", "new_id"], "left")
+    same = F.coalesce(F.col("old_id") == F.col("new_id"), F.lit(False))
+    kept = F.col("old_id").isNull() | same | F.coalesce("reaches", F.lit(False))
+    per = both.groupBy("repository_id").agg(F.bool_and(same).alias("same"), F.bool_and(kept).alias("kept"), F.coalesce(F.bool_or("shallow"), F.lit(False)).alias("shallow"), F.count("old_id").alias("known"))
+    return per.select("repository_id", F.when(F.col("known") == 0, "rebuild").when(F.col("same"), "unchanged").when(F.col("kept") & ~F.col("shallow"), "append").otherwise("rebuild").alias("refresh"))
+
+
+def published(active: DataFrame, scanned: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Day categories after a refresh: rebuilt from the scan, summed with what was appended, or left as they are."""
+    had = active.join(kinds.filter("refresh <> 'rebuild'").select("repository_id"), "repository_id", "left_semi")
+    got = scanned.join(kinds.filter("refresh <> 'unchanged'").select("repository_id"), "repository_id", "left_semi")
+    sums = [F.sum(c).cast("bigint").alias(c) for c in ("added", "removed")]
+    return had.unionByName(got).groupBy("repository_id", "day_index", "category").agg(*sums)
+
+
+def day_range(start_seconds: int, end_seconds: int) -> tuple[int, int]:
+    """First day and the day after the last of a range of whole days of UTC."""
+    if start_seconds % 86_400 or end_seconds % 86_400 or start_seconds >= end_seconds:
+        raise ValueError("the range must be of whole days of UTC")
+    return start_seconds // 86_400, end_seconds // 86_400
+
+
+def range_totals(by_day: DataFrame, first_day: int, last_day: int) -> DataFrame:
+    """Commits, merges and lines of each repository in a range of days; zeros where it has none."""
+    inside = F.col("day_index").between(first_day, last_day)
+    return by_day.groupBy("repository_id").agg(*[F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0)).cast("bigint").alias(c) for c in ("commits", "merge_commits", "added", "removed")])
+
+
+def associations(rows: DataFrame) -> DataFrame:
+    """(repository_id, association_id, project_key, associated): the latest association; a project only if all rows name one and the same."""
+    one = (F.count("*") == F.count("project_key")) & (F.count_distinct("project_key") == 1)
+    latest = F.min(F.struct((-F.col("last_activity_at_ms")).alias("at"), "association_id"))["association_id"]
+    return rows.groupBy("repository_id").agg(latest.alias("association_id"), F.when(one, F.min("project_key")).alias("project_key"), one.alias("associated"))
+
+
+def project_key(salt: str, project: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(f"tallymill.project.{salt}"), project), 256)
+
+
+def project_matches(keys: DataFrame, projects: DataFrame, salt: str) -> DataFrame:
+    """The keys with the project whose salted fingerprint each is; null for those of none."""
+    return keys.join(projects.withColumn("project_key", project_key(salt, F.col("project"))), "project_key", "left")
+
+
+def captures(repositories: DataFrame, by_day: DataFrame, linked: DataFrame, first_day: int) -> DataFrame:
+    """Repositories with project, effective quality, and whether the range from first_day on is complete.
+
+    A range is complete unless the repository is unavailable, or its days are truncated and the range starts before them.
+    """
+    since = by_day.groupBy("repository_id").agg(F.min("day_index").alias("retained_from"))
+    rows = repositories.join(since, "repository_id", "left").join(linked, "repository_id", "left")
+    there = F.col("quality") != "unavailable"
+    complete = there & (~F.col("truncated") | F.coalesce(F.lit(first_day) >= F.col("retained_from"), F.lit(False)))
+    partial = F.col("rebuild_required") | (there & ~F.coalesce("associated", F.lit(False)))
+    return rows.withColumns({"range_complete": complete, "quality": F.when(partial, "partial").otherwise(F.col("quality"))})
+
+
+def repository_page(repositories: DataFrame, size: int, after: int | None = None) -> DataFrame:
+    """Repositories by id with `has_more`, whether others follow the page."""
+    rows = (repositories if after is None else repositories.filter(F.col("repository_id") > after)).orderBy("repository_id").limit(size + 1)
+    n = F.row_number().over(Window.orderBy("repository_id"))  # at most size + 1 rows
+    return rows.withColumns({"n": n, "has_more": F.lead("repository_id", size).over(Window.orderBy("repository_id")).isNotNull()}).withColumn("has_more", F.max("has_more").over(Window.partitionBy())).filter(F.col("n") <= size).drop("n")
+
+
+def project_code(repositories: DataFrame) -> DataFrame:
+    """Code totals and one efficiency for each project of several repositories (sorted by repository_id).
+
+    Columns project, repository_id, commits, added, removed, range_complete, quality, freshness, reason, cost, dataset,
+    product_lines. The first reason of a repository rules; so does a difference of cost or dataset, as evidence mismatch.
+    """
+    reason = F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("repository_id")))
+    at = F.min(F.when(F.col("reason").isNotNull(), F.col("repository_id")))
+    sound = F.col("reason").isNull()
+    first = F.first(F.when(sound, F.struct("cost", "dataset")), True).over(Window.partitionBy("project").orderBy("repository_id"))
+    rows = repositories.withColumn("odd", F.coalesce(sound & (F.struct("cost", "dataset") != first), F.lit(False)))
+    per = rows.groupBy("project").agg(
+        F.count("*").alias("repositories"), *[F.sum(c).cast("bigint").alias(c) for c in ("commits", "added", "removed")], F.bool_and(F.col("range_complete") & (F.col("quality") == "complete")).alias("complete"),
+        reason.alias("reason"), at.alias("at"), F.min(F.when(F.col("odd"), F.col("repository_id"))).alias("odd_at"),
+        F.min("cost").alias("cost"), F.sum("product_lines").cast("bigint").alias("lines"),
+    )
+    mismatch = F.col("odd_at").isNotNull() & (F.col("at").isNull() | (F.col("odd_at") < F.col("at")))
+    why = F.when(mismatch, "efficiency_evidence_mismatch").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("cost").isNull() | (F.col("lines") == 0), "zero_product_code_lines")
+    return per.select("project", "repositories", "commits", "added", "removed", (F.col("added") - F.col("removed")).alias("net"), "complete", F.when(why.isNull(), efficiency(F.col("cost"), F.col("lines"))).alias("efficiency"), why.alias("reason"))

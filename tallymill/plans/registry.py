@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.measures import METRICS, availability, freshness, share_ppm
 from tallymill.operators import analytics, benefit, calendar, git_output, lineage, pricing, rollup, status
-from tallymill.plans import ingest, oracle, replay, windows
+from tallymill.plans import ingest, oracle, output, replay, windows
 from tallymill.sources import provider, testdata
 
 FIRST, LAST, ZONE = date(2024, 1, 3), date(2024, 1, 24), "America/New_York"
@@ -196,7 +196,7 @@ def prunable(spark, sf_dir):
 
 
 #: Groups of queries with their SQL beside them.
-MODULES = (replay, ingest, windows)
+MODULES = (replay, ingest, windows, output)
 
 
 def queries() -> dict[str, Query]:

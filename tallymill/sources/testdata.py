@@ -112,6 +112,55 @@ def git_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def git_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text of log records for each thousand orders of a repository, from `lineitem`: an order is a commit, a line a path."""
+    raw = read(spark, sf_dir, "lineitem")
+    key, n = F.col("l_orderkey").cast("bigint"), F.col("l_partkey") % len(PATHS)
+    path = F.element_at(F.array(*map(F.lit, PATHS)), (n + 1).cast("int"))
+    renamed, module, binary = F.col("l_linenumber") == 2, n == 7, n == 5
+    mode = F.when(module, F.lit(":160000 160000 aa bb ")).otherwise(F.lit(":100644 100644 aa bb "))
+    nul = F.lit("\0")
+    entry = F.when(renamed, F.concat(mode, F.lit("R090"), nul, F.lit("old/"), path, nul, path, nul)).otherwise(F.concat(mode, F.lit("M"), nul, path, nul))
+    lines = F.when(binary, F.lit("-\t-\t")).otherwise(F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit("\t"), F.floor(F.col("l_quantity") / 2).cast("string"), F.lit("\t")))
+    count = F.when(renamed, F.concat(lines, nul, F.lit("old/"), path, nul, path, nul)).otherwise(F.concat(lines, path, nul))
+    rows = raw.select(key.alias("k"), "l_linenumber", entry.alias("entry"), count.alias("count"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("at"))
+    per = rows.groupBy("k").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("l_linenumber", "entry", "count"))).alias("e"))
+    author = lambda m: F.concat(F.lit("dev"), (F.col("k") % m).cast("string"), F.lit("@x"))
+    merge = F.col("k") % 17 == 0
+    body = F.when(merge, "").otherwise(F.concat(F.array_join(F.transform("e", lambda x: x["entry"]), ""), F.array_join(F.transform("e", lambda x: x["count"]), "")))
+    record = F.concat(F.lit("\x1e"), F.sha2(F.col("k").cast("string"), 256), nul, F.col("at").cast("string"), nul, author(3), nul, author(4), nul, F.when(merge, "p q").when(F.col("k") % 100 == 1, "").otherwise("p"), nul, body)
+    of = per.select((F.col("k") % 5).alias("repository_id"), F.floor(F.col("k") / 1000).alias("part"), "k", record.alias("record"))
+    joined = of.groupBy("repository_id", "part").agg(F.array_sort(F.collect_list(F.struct("k", "record"))).alias("r"))
+    return joined.select("repository_id", F.array_join(F.transform("r", lambda x: x["record"]), "").alias("log"))
+
+
+def git_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repositories of the synthetic commits: one truncated, one to be rebuilt, one partial, one seen long ago."""
+    ids = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5).cast("bigint").alias("repository_id")).distinct()
+    r = F.col("repository_id")
+    return ids.select("repository_id", F.when(r == 3, "partial").otherwise("complete").alias("quality"), (r == 2).alias("truncated"), (r == 4).alias("rebuild_required"), F.when(r == 1, "stale").otherwise("fresh").alias("git_freshness"))
+
+
+def git_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activities of repositories from `supplier`, each with a project's salted key; repository 4 has some without."""
+    raw = read(spark, sf_dir, "supplier")
+    r = (F.col("s_suppkey") % 5).cast("bigint")
+    project = F.concat(F.lit("proj_"), (r % 3).cast("string"))
+    key = F.sha2(F.concat_ws("|", F.lit("tallymill.project.salt"), project), 256)
+    return raw.select(F.format_string("a%05d", F.col("s_suppkey")).alias("association_id"), r.alias("repository_id"), F.when((r != 4) | (F.col("s_suppkey") % 2 == 0), key).alias("project_key"), (F.col("s_suppkey") % 7 * 1000).cast("bigint").alias("last_activity_at_ms"))
+
+
+def git_refs(spark: SparkSession, sf_dir: str, now: bool) -> DataFrame:
+    """Branches of repositories from `part` (100 each): before, and now, when some have moved, gone or come."""
+    raw = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("k"))
+    repo = F.floor(F.col("k") / 10).cast("bigint")
+    moved = (repo % 4 == 1) & (F.col("k") % 2 == 0) | (repo % 4 == 2)
+    tip = F.when(moved, 2).otherwise(1) if now else F.lit(1)
+    rows = raw.select(repo.alias("repository_id"), F.concat(F.lit("refs/heads/b"), F.col("k") % 10).alias("ref"), F.concat_ws("-", F.lit("o"), F.col("k"), tip).alias("object_id"), (repo % 8 == 5).alias("shallow"), "k")
+    gone = (F.col("repository_id") % 16 == 3) & (F.col("k") % 10 == 4) if now else (F.col("repository_id") % 8 == 0) & (F.col("k") % 10 == 9)
+    return rows.filter(~gone).drop("k")
+
+
 def turn_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session observations from `conversations`, with every kind of lineage.
 
