@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.measures import METRICS, merged_metrics
 from tallymill.operators.calendar import segment_buckets
 
-PAGE, ITEMS = 256, 256
+PAGE, ITEMS, TARGETS, DAYS = 256, 256, 401, 400
 
 
 def scoped(frame: DataFrame, scopes: list[tuple[str, str]]) -> DataFrame:
@@ -22,8 +22,14 @@ def scoped(frame: DataFrame, scopes: list[tuple[str, str]]) -> DataFrame:
 
 
 def in_range(rollup: DataFrame, targets: list[tuple[int, int, int]]) -> DataFrame:
-    """Rollup rows of each target's buckets; at most 401 targets of at most 400 days, so buckets are broadcast."""
-    return rollup.join(F.broadcast(segment_buckets(rollup.sparkSession, targets)), ["bucket_width", "bucket_start"])
+    """Rollup rows of each target's buckets; at most 401 targets of at most 400 days, so buckets are broadcast.
+
+    The outer bounds are a plain filter, which reaches the files.
+    """
+    if len(targets) > TARGETS or any(b - a > DAYS * 86_400 + 86_400 for _, a, b in targets):
+        raise ValueError("at most 401 targets of at most 400 days")
+    inside = rollup.filter(F.col("bucket_start").between(min((a for _, a, _ in targets), default=0), max((b for _, _, b in targets), default=0)))
+    return inside.join(F.broadcast(segment_buckets(rollup.sparkSession, targets)), ["bucket_width", "bucket_start"])
 
 
 def overview(rollup: DataFrame, start: int, end: int, scopes: list[tuple[str, str]] = ()) -> DataFrame:
@@ -47,6 +53,70 @@ def breakdown(rollup: DataFrame, start: int, end: int, kind: str, limit: int = I
     return got.orderBy(F.desc("sum_total_tokens"), F.desc("event_count"), *keys).limit(limit)
 
 
+def with_lookahead(rows: DataFrame, order: list[Column | str], size: int) -> DataFrame:
+    """The first `size` rows in order, with `has_more`: whether others follow."""
+    size = max(1, min(size, PAGE))
+    few = rows.orderBy(*order).limit(size + 1)
+    ranked = few.withColumn("n", F.row_number().over(Window.orderBy(*order)))  # at most size + 1 rows
+    return ranked.withColumn("has_more", F.max("n").over(Window.partitionBy()) > size).filter(F.col("n") <= size).drop("n")
+
+
+def full_analytics(rollup: DataFrame, start: int, end: int, targets: list[tuple[int, int, int]], scopes: list[tuple[str, str]] = (), limit: int = ITEMS) -> DataFrame:
+    """Overview, days and the four breakdowns in one pass and one shuffle: (kind, key, key2, metrics, rank, truncated).
+
+    kind is overview, day, model, project, provider or profile. A breakdown has its first `limit` items by tokens.
+    """
+    rows = in_range(scoped(rollup, list(scopes)), [(-1, start, end), *targets])
+    one = lambda kind, key, key2: F.struct(F.lit(kind).alias("kind"), key.alias("key"), key2.alias("key2"))
+    none = F.lit("")
+    whole = F.col("target") == -1
+    of_all = F.array(one("overview", none, none), one("provider", F.col("provider_id"), none), one("profile", F.col("provider_id"), F.col("profile_id")))
+    day = F.array(one("day", F.col("target").cast("string"), none))
+    item = F.array(F.struct(F.col("dimension").alias("kind"), F.col("dimension_value").alias("key"), none.alias("key2")))
+    keys = F.when(F.col("dimension") == "all", F.when(whole, of_all).otherwise(day)).when(whole, item)
+    sums = rows.withColumn("k", F.explode(keys)).groupBy("k").agg(*merged_metrics()).select("k.*", *METRICS)
+    by = Window.partitionBy("kind").orderBy(F.desc("sum_total_tokens"), F.desc("event_count"), "key", "key2")
+    ranked = sums.withColumn("rank", F.row_number().over(by))
+    cut = ~F.col("kind").isin("day", "overview") & (F.col("rank") > limit)
+    return ranked.withColumn("truncated", F.max(cut).over(Window.partitionBy("kind"))).filter(~cut)
+
+
+def rhythm_sums(rollup: DataFrame, minutes: DataFrame) -> DataFrame:
+    """(grouping, metrics): what the rhythm's hours, weekdays and cells add up to; each must be the overview of the same range."""
+    groupings = {"hours": (F.col("hour"), 24), "weekdays": (F.col("weekday"), 7), "cells": (F.col("weekday") * 24 + F.col("hour"), 168)}
+    out = None
+    for name, (key, cells) in groupings.items():
+        one = rhythm(rollup, minutes, key, cells).agg(*merged_metrics()).select(F.lit(name).alias("grouping"), *METRICS)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def broken_metrics(rollup: DataFrame) -> DataFrame:
+    """Rollup rows whose metrics cannot be: more fallbacks or known counts than events, contexts that do not add up, counts under zero."""
+    events = F.col("event_count")
+    known = F.greatest(*[F.col(m) for m in METRICS if m.startswith("known_")])
+    contexts = F.col("long_yes") + F.col("long_no") + F.col("long_unavailable")
+    return rollup.filter((F.col("fallback_events") > events) | (known > events) | (contexts != events) | (F.least(*map(F.col, METRICS)) < 0))
+
+
+def cursor(dataset: str, *key: object) -> tuple:
+    """A place in a page walk, bound to the dataset it was read from."""
+    return (dataset, *key)
+
+
+def resume(at: tuple | None, dataset: str) -> tuple | None:
+    """The key of a cursor; one of another dataset is stale."""
+    if at is not None and at[0] != dataset:
+        raise ValueError("stale revision: the cursor belongs to another dataset")
+    return None if at is None else tuple(at[1:])
+
+
+def probe_page(rows: DataFrame, size: int, before: int | None = None, key: str = "id") -> DataFrame:
+    """Rows by falling id, before an id if one is given; the size is held to 1 to 256."""
+    some = rows if before is None else rows.filter(F.col(key) < before)
+    return some.orderBy(F.desc(key)).limit(max(1, min(size, PAGE)))
+
+
 def rhythm(rollup: DataFrame, minutes: DataFrame, key: Column, cells: int) -> DataFrame:
     """Metrics of each local hour, weekday or cell (dense from 0), by minute buckets."""
     rows = rollup.filter((F.col("dimension") == "all") & (F.col("bucket_width") == 60))

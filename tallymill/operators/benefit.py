@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TERMINAL = ("used", "expired")
@@ -44,8 +44,64 @@ def due(reminders: DataFrame, now_ms: int, receipts: DataFrame | None = None) ->
     return out
 
 
-def first_expired_first(lots: DataFrame, size: int = 256) -> DataFrame:
-    return lots.orderBy(F.asc_nulls_last("expires_at_ms"), "lot_id").limit(size)
+#: Kinds of lots in the order in which they are used.
+KINDS = ("banked_rate_limit_reset", "usage_credit", "temporary_usage", "unknown")
+
+
+def first_expired_first(lots: DataFrame, size: int = 256, scope: str | None = None) -> DataFrame:
+    """Lots (of a scope) in the order of use: by expiry, unknown ones last, then by kind and id."""
+    rank = [F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))] if "kind" in lots.columns else []
+    rows = lots if scope is None else lots.filter(F.col("scope_id") == scope)
+    return rows.orderBy(F.asc_nulls_last("expires_at_ms"), *rank, "lot_id").limit(size)
+
+
+def observation_status(states: DataFrame, observations: DataFrame, changes: DataFrame) -> DataFrame:
+    """(scope_id, status) of observations (scope_id, observation_id, observed_at_ms) against the state of their scopes.
+
+    Older than the state: stale; the state's own observation again: duplicate, or conflict where it would change
+    something; else changed or freshness_only, by whether there are changes (scope_id).
+    """
+    n = changes.groupBy("scope_id").agg(F.count("*").alias("n"))
+    rows = observations.join(states, "scope_id", "left").join(n, "scope_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    same = F.coalesce(F.col("observation_id") == F.col("last_observation_id"), F.lit(False))
+    old = F.coalesce(F.col("observed_at_ms") < F.col("last_observed_at_ms"), F.lit(False))
+    status = F.when(old, "stale").when(same & (F.col("n") == 0), "duplicate").when(same, "conflict").when(F.col("n") > 0, "changed").otherwise("freshness_only")
+    return rows.select("scope_id", status.alias("status"))
+
+
+def process_due(pending: DataFrame, receipts: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(deliveries, counts by scope) of the pending reminders that are due: expired ones go, the most urgent of each lot revision and channel is delivered.
+
+    One as urgent or more that was delivered before (receipts) suppresses it.
+    """
+    key = (*_LOT, "lot_revision", "channel")
+    on = pending.filter(F.col("due_at_ms") <= now_ms)
+    dead = F.col("expires_at_ms") <= now_ms
+    best = on.filter(~dead).groupBy(*key).agg(F.min(F.struct("lead_seconds", "expires_at_ms", "due_at_ms")).alias("m"))
+    done = receipts.groupBy(*key).agg(F.min("lead_seconds").alias("done"))
+    judged = best.select(*key, "m.*").join(done, list(key), "left").withColumn("sent", F.col("done").isNull() | (F.col("lead_seconds") < F.col("done")))
+    deliveries = judged.filter("sent").drop("done", "sent")
+    gone = on.groupBy("scope_id").agg(F.count("*").alias("taken"), F.count_if(dead).alias("expired"))
+    sent = judged.groupBy("scope_id").agg(F.count_if("sent").alias("delivered"), F.count_if(~F.col("sent")).alias("suppressed"))
+    return deliveries, gone.join(sent, "scope_id", "left").fillna(0)
+
+
+def unacknowledged(deliveries: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    return deliveries.join(acknowledged.select("delivery_id").distinct(), "delivery_id", "left_anti")
+
+
+def change_page(changes: DataFrame, revisions: DataFrame, scope: str, size: int = 256, before: int | None = None) -> DataFrame:
+    """Changes of a scope, newest first, with the lot's quantity before and after."""
+    rows = changes.filter(F.col("scope_id") == scope)
+    page = (rows if before is None else rows.filter(F.col("sequence") < before)).orderBy(F.desc("sequence")).limit(min(size, 256))
+    of = lambda side: revisions.select(*_LOT, F.col("lot_revision").alias(f"{side}_revision"), F.col("quantity").alias(f"{side}_quantity"))
+    return page.join(of("before"), [*_LOT, "before_revision"], "left").join(of("after"), [*_LOT, "after_revision"], "left").orderBy(F.desc("sequence"))
+
+
+def overview(lots: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Lots, nearest expiry and the state of each scope, by id, at most 32 scopes; a scope without lots has zeros."""
+    per = lots.groupBy("scope_id").agg(F.count("*").alias("lots"), F.count_if(F.col("state") == "available").alias("available"), F.min("expires_at_ms").alias("nearest_ms"))
+    return scopes.orderBy("scope_id").limit(32).join(per, "scope_id", "left").fillna(0, ["lots", "available"]).orderBy("scope_id")
 
 
 def nearest(lots: DataFrame) -> DataFrame:
@@ -54,9 +110,18 @@ def nearest(lots: DataFrame) -> DataFrame:
     return rows.groupBy("scope_id").agg(F.min(F.struct("expires_at_ms", "lot_id")).alias("m"), F.count("*").alias("lots")).select("scope_id", "m.expires_at_ms", "m.lot_id", "lots")
 
 
-def profiles(spark: SparkSession, scopes: DataFrame, overrides: DataFrame, default: str = "default") -> DataFrame:
-    """The profile of each scope: its own or the global one."""
-    return scopes.join(overrides, "scope_id", "left").withColumn("profile", F.coalesce("profile", F.lit(default)))
+def profiles(scopes: DataFrame, overrides: DataFrame, default: list[int]) -> DataFrame:
+    """(scope_id, leads, inherited): the leads of each scope's own profile, or those of the global one."""
+    own = overrides.select("scope_id", "leads")
+    everyone = F.array(*[F.lit(v).cast("bigint") for v in default])
+    return scopes.select("scope_id").join(own, "scope_id", "left").select("scope_id", F.coalesce("leads", everyone).alias("leads"), F.col("leads").isNull().alias("inherited"))
+
+
+def replace_profile(lots: DataFrame, known: DataFrame, delivered: DataFrame) -> DataFrame:
+    """Due rows of every scope by its profile (`profiles`), without those that a delivery as urgent has taken."""
+    each = lots.filter((F.col("state") == "available") & F.col("expires_at_ms").isNotNull()).join(known.select("scope_id", "leads"), "scope_id")
+    rows = each.select("scope_id", "lot_id", "expires_at_ms", F.explode("leads").alias("lead_seconds")).withColumn("channel", F.lit("in_app"))
+    return rebuild_due(rows.withColumn("due_at_ms", F.col("expires_at_ms") - F.col("lead_seconds") * 1000), delivered)
 
 
 _LOT = ("scope_id", "lot_id")

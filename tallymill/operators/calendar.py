@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from datetime import UTC, date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_DAYS, HOUR, MINUTE = 400, 3600, 60
@@ -83,12 +83,25 @@ def day_targets(first: date, last: date, zone: str) -> list[tuple[int, int, int]
     return [(k, day_start(first + timedelta(k), zone), day_start(first + timedelta(k + 1), zone)) for k in range((last - first).days)]
 
 
+def local_clock(seconds: Column, zone: str) -> Column:
+    """The clock time of a zone at UTC seconds, as a timestamp without zone, whatever the session's own zone."""
+    utc = F.timestamp_add("SECOND", seconds, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+
+
+def local_day(seconds: Column, first: date, zone: str) -> Column:
+    """Number of the local day from `first`; days have 23 to 25 hours where clocks change."""
+    return F.date_diff(local_clock(seconds, zone).cast("date"), F.lit(first)).cast("bigint")
+
+
 def rhythm_minutes(spark: SparkSession, start: int, end: int, zone: str) -> DataFrame:
-    """(minute, hour, weekday) of every minute of a range, by local clock; weekdays from Monday = 0."""
-    local = F.from_utc_timestamp(F.timestamp_seconds(F.col("id")), zone)
-    return spark.range(start, end, MINUTE).select(F.col("id").alias("minute"), F.hour(local).cast("bigint").alias("hour"), F.weekday(local).cast("bigint").alias("weekday"))
+    """(minute, hour, weekday, date, offset) of every minute of a range, by local clock; weekdays from Monday = 0, offset in seconds from UTC."""
+    local = local_clock(F.col("id"), zone)
+    offset = F.timestamp_diff("SECOND", F.timestamp_add("SECOND", F.col("id"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), local)
+    return spark.range(start, end, MINUTE).select(F.col("id").alias("minute"), F.hour(local).cast("bigint").alias("hour"), F.weekday(local).cast("bigint").alias("weekday"), local.cast("date").alias("date"), offset.cast("bigint").alias("offset"))
 
 
 def exposure(spark: SparkSession, start: int, end: int, zone: str, key: str) -> DataFrame:
-    """Elapsed minutes of each local hour or weekday in a range."""
-    return rhythm_minutes(spark, start, end, zone).groupBy(key).agg(F.count("*").alias("elapsed_minutes"))
+    """Elapsed minutes of each local hour or weekday in a range, and its occurrences: runs of one date, hour and offset from UTC."""
+    run = F.struct("date", "offset", "hour")
+    return rhythm_minutes(spark, start, end, zone).groupBy(key).agg(F.count("*").alias("elapsed_minutes"), F.count_distinct(run).alias("occurrences"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,68 @@ def catalogue(spark: SparkSession, overrides: list[tuple] = ()) -> DataFrame:
     return joined.select("name", F.coalesce("n0", "canonical").alias("canonical"), "tier_class", "context", *[F.coalesce(f"n{k}", c).alias(c) for k, c in enumerate(("uncached_rate", "cached_rate", "output_rate"), 1)])
 
 
+def parse_rate(text: Column) -> Column:
+    """Micro-dollars of a rate in dollars: digits, at most six after a point, at most a million dollars; else null."""
+    micros = F.when(text.rlike(r"^[0-9]{1,12}(\.[0-9]{1,6})?$"), (text.cast("decimal(20,6)") * 1_000_000).cast("bigint"))
+    return F.when(micros <= 10**12, micros)
+
+
+def snapshot(models: dict[str, dict[tuple[str, str], tuple]], aliases: dict[str, str]) -> tuple[list[tuple], str]:
+    """(override rows for `catalogue`, revision) of price overrides, all or none.
+
+    models: by model, the three rates (None keeps the built-in one) of each (tier class, context). aliases: name to
+    target, which is a model of its own, built in or given here. At most 512 entries; an alias may be no built-in name
+    and point to no other alias; a new model needs whole standard rates of short context.
+    """
+    built, names = {r[1] for r in rate_rows()}, {r[0] for r in rate_rows()}
+    valid = lambda x: x and len(x) <= 128 and all(c.isascii() and (c.isalnum() or c in "._:/+-") for c in x)
+    if len(models) + len(aliases) > ROWS or models.keys() & aliases.keys() or not all(map(valid, (*models, *aliases, *aliases.values()))):
+        raise ValueError("overrides are at most 512, valid and named once")
+    if (models.keys() & (names - built)) or (aliases.keys() & names):
+        raise ValueError("an override may not take a built-in alias, an alias no built-in name")
+    if any(t in aliases or t in names - built for t in aliases.values()):
+        raise ValueError("an alias points to a model, not to an alias")
+    if any(t not in built and t not in models for t in aliases.values()):
+        raise ValueError("an alias points to no known model")
+    base = {(r[0], r[2], r[3]): r[4:] for r in rate_rows()}
+    merged = dict(base)
+    for model, rates in models.items():
+        if not any(x is not None for r in rates.values() for x in r):
+            raise ValueError("an override changes a rate")
+        for (tier, context), r in rates.items():
+            old = base.get((model, tier, context), (None, None, None))
+            merged[model, tier, context] = tuple(o if n is None else n for o, n in zip(old, r, strict=True))
+        if any(None in merged[model, *k] for k in rates) or (model, "standard", "short") not in merged:
+            raise ValueError("a rule has all three rates")
+    rows = [(m, m, *k, *merged[m, *k]) for m in sorted(models) for k in sorted(models[m])]
+    # built-in aliases of a changed model follow it
+    rows += [(n, c, *k, *merged[c, *k]) for n, c in sorted({r[:2] for r in rate_rows()}) if n != c and c in models for k in sorted(models[c])]
+    rows += [(a, t, *k[1:], *r) for a, t in sorted(aliases.items()) for k, r in sorted(merged.items()) if k[0] == t]
+    return rows, hashlib.sha256(repr((sorted((m, sorted(v.items())) for m, v in models.items()), sorted(aliases.items()))).encode()).hexdigest()
+
+
+def page(rows: DataFrame, limit: int = ROWS) -> DataFrame:
+    """The first price-basis rows by key, with the events of all rows and of those that the page omits."""
+    every = rows.agg(F.coalesce(F.sum("event_count"), F.lit(0)).cast("bigint").alias("all_events"))
+    kept = rows.orderBy(*PRICE_KEYS).limit(limit)
+    shown = kept.agg(F.coalesce(F.sum("event_count"), F.lit(0)).cast("bigint").alias("shown"))
+    return kept.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(shown)).withColumn("omitted_events", F.col("all_events") - F.col("shown")).drop("shown")
+
+
+def incoherent(rows: DataFrame) -> DataFrame:
+    """Price-basis rows that cannot be: no events, more calculable than all, or costs told for some events only."""
+    none = (F.col("reported_events") == 0) & F.col("reported_cost").isNull()
+    every = F.col("reported_cost").isNotNull() & (F.col("reported_events") == F.col("event_count"))
+    return rows.filter((F.col("event_count") <= 0) | (F.col("calculable_events") > F.col("event_count")) | ~(none | every))
+
+
+def unaccounted(rows: DataFrame, expected: DataFrame, *target: str) -> DataFrame:
+    """Targets whose price-basis rows do not hold as many events as their metrics (`event_count`) say."""
+    got = rows.groupBy(*target).agg(F.sum("event_count").cast("bigint").alias("priced_events"))
+    both = expected.select(*target, F.col("event_count").alias("metric_events")).join(got, list(target), "full").fillna(0, ["priced_events", "metric_events"])
+    return both.filter(F.col("priced_events") != F.col("metric_events"))
+
+
 def _half_up(numerator: Column) -> Column:
     return F.floor((numerator + 500_000) / F.lit(1_000_000)).cast("bigint")
 

@@ -97,7 +97,7 @@ GIT = f"""gc AS (SELECT CAST(l_suppkey % 5 AS BIGINT) AS repository_id, CAST(l_o
 dc AS (SELECT repository_id, day_index, category, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed FROM gc WHERE NOT is_merge GROUP BY ALL)"""
 
 
-def _lots(observed: bool) -> str:
+def lots_sql(observed: bool) -> str:
     more = "CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END" if observed else "0"
     first = "used" if observed else "available"
     where = "o_orderkey % 3 <> 0" if observed else "o_orderkey % 4 <> 1"
@@ -106,11 +106,14 @@ def _lots(observed: bool) -> str:
   CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(epoch_us(o_orderdate) // 1000 + 86400000 * (o_orderkey % 40) AS BIGINT) END AS expires_at_ms FROM orders WHERE {where}"""
 
 
-REMIND = f"""lots AS ({_lots(False)}), rem AS (SELECT scope_id, lot_id, expires_at_ms, lead_seconds, 'in_app' AS channel, expires_at_ms - lead_seconds * 1000 AS due_at_ms
+REMIND = f"""lots AS ({lots_sql(False)}), rem AS (SELECT scope_id, lot_id, expires_at_ms, lead_seconds, 'in_app' AS channel, expires_at_ms - lead_seconds * 1000 AS due_at_ms
   FROM lots, (VALUES (CAST(604800 AS BIGINT)), (86400), (43200), (21600), (3600)) l(lead_seconds) WHERE state = 'available' AND expires_at_ms IS NOT NULL)"""
 
 
 
+FINGERPRINTED = f"WITH {UE}, fpd AS (SELECT *, {_fingerprint()} AS fingerprint FROM ue)"
+
+
 def statements(start: int, end: int, targets: list, scopes: list, now_ms: int) -> dict[str, str]:
     rng = f"timestamp_seconds >= {start} AND timestamp_seconds < {end}"
     days = ", ".join(f"({t}, {a}, {b})" for t, a, b in targets)
@@ -138,7 +141,7 @@ ss AS (SELECT * EXCLUDE (a, z), {", ".join(f"CASE WHEN dimension = 'all' THEN {v
     avail = lambda c: f"CASE WHEN event_count = 0 OR known_{c} = event_count THEN 'known' WHEN known_{c} = 0 THEN 'unavailable' ELSE 'partial' END AS {c}"
     page = "timestamp_seconds, timestamp_nanos, fingerprint, session_id, total_tokens"
     newest = "timestamp_seconds DESC, timestamp_nanos DESC, fingerprint DESC"
-    fp = f"WITH {UE}, fpd AS (SELECT *, {_fingerprint()} AS fingerprint FROM ue)"
+    fp = FINGERPRINTED
     s_page = "provider_id, profile_id, session_id, last_seconds, last_nanos, event_count, sum_total_tokens"
     s_order = "last_seconds DESC, last_nanos DESC, provider_id, profile_id, session_id"
     fresh = "CASE WHEN age < 0 THEN 'unavailable' WHEN age <= 1200 THEN 'fresh' WHEN age <= 7200 THEN 'aging' ELSE 'stale' END"
@@ -147,7 +150,7 @@ ss AS (SELECT * EXCLUDE (a, z), {", ".join(f"CASE WHEN dimension = 'all' THEN {v
 
     def reconcile(complete: bool) -> str:
         missing = "CASE WHEN os IN ('used', 'expired') THEN 'retired_terminal' WHEN os = 'ambiguous' THEN NULL ELSE 'disappeared_ambiguous' END" if complete else "NULL"
-        return f"""WITH cur AS ({_lots(False)}), obs AS ({_lots(True)}), j AS (SELECT coalesce(o.lot_id, c.lot_id) AS lot_id, coalesce(o.scope_id, c.scope_id) AS scope_id, c.lot_id AS was, o.lot_id AS seen, o.quantity, o.state, o.expires_at_ms, c.quantity AS oq, c.state AS os, c.expires_at_ms AS oe
+        return f"""WITH cur AS ({lots_sql(False)}), obs AS ({lots_sql(True)}), j AS (SELECT coalesce(o.lot_id, c.lot_id) AS lot_id, coalesce(o.scope_id, c.scope_id) AS scope_id, c.lot_id AS was, o.lot_id AS seen, o.quantity, o.state, o.expires_at_ms, c.quantity AS oq, c.state AS os, c.expires_at_ms AS oe
   FROM cur c FULL JOIN obs o ON c.lot_id = o.lot_id), k AS (SELECT *, {changed} AS n FROM j),
 l AS (SELECT *, CASE WHEN was IS NULL THEN 'awarded' WHEN seen IS NULL THEN {missing} WHEN n = 0 THEN NULL WHEN n > 1 THEN 'corrected' WHEN quantity IS DISTINCT FROM oq THEN 'quantity_changed'
   WHEN state IS DISTINCT FROM os THEN CASE WHEN os = 'ambiguous' THEN 'reappeared' ELSE 'state_changed' END ELSE 'expiry_changed' END AS kind FROM k)
@@ -190,8 +193,8 @@ SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY seen IS NULL,
         "b1_reconcile_partial": reconcile(False),
         "b4_reminders": f"WITH {REMIND} SELECT * FROM rem",
         "b5_due_reminders": f"WITH {REMIND} SELECT scope_id, lot_id, channel, min(lead_seconds) AS lead_seconds, min(expires_at_ms) AS expires_at_ms FROM rem WHERE due_at_ms <= {now_ms} AND expires_at_ms > {now_ms} GROUP BY ALL",
-        "b8_fefo": f"{_lots(False)} ORDER BY expires_at_ms NULLS LAST, lot_id LIMIT 256",
-        "b9_nearest_expiry": f"WITH lots AS ({_lots(False)}) SELECT scope_id, min(expires_at_ms) AS expires_at_ms, (min(struct_pack(e := expires_at_ms, l := lot_id))).l AS lot_id, count(*) AS lots FROM lots WHERE state = 'available' AND expires_at_ms IS NOT NULL GROUP BY 1",
+        "b8_fefo": f"{lots_sql(False)} ORDER BY expires_at_ms NULLS LAST, lot_id LIMIT 256",
+        "b9_nearest_expiry": f"WITH lots AS ({lots_sql(False)}) SELECT scope_id, min(expires_at_ms) AS expires_at_ms, (min(struct_pack(e := expires_at_ms, l := lot_id))).l AS lot_id, count(*) AS lots FROM lots WHERE state = 'available' AND expires_at_ms IS NOT NULL GROUP BY 1",
         "g1_day_categories": f"WITH {GIT} SELECT * FROM dc",
         "g3_days": f"WITH {GIT}, pc AS (SELECT repository_id, day_index, commit_id, bool_or(is_merge) AS m, sum(added) AS a, sum(removed) AS r FROM gc GROUP BY ALL), d AS (SELECT repository_id, day_index, count(*) AS commits, count(*) FILTER (m) AS merge_commits, CAST(sum(CASE WHEN m THEN 0 ELSE a END) AS BIGINT) AS added, CAST(sum(CASE WHEN m THEN 0 ELSE r END) AS BIGINT) AS removed FROM pc GROUP BY ALL) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY day_index DESC) <= 400",
         "g5_range_categories": f"WITH {GIT}, s AS (SELECT repository_id, category, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed FROM dc WHERE day_index BETWEEN 9000 AND 9400 GROUP BY ALL) SELECT repository_id, category, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed FROM (SELECT DISTINCT repository_id FROM dc) CROSS JOIN (SELECT unnest({list(CATEGORIES)}) AS category) LEFT JOIN s USING (repository_id, category)",

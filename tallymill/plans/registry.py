@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.measures import METRICS, availability, freshness, share_ppm
 from tallymill.operators import analytics, benefit, calendar, git_output, lineage, pricing, rollup, status
-from tallymill.plans import ingest, oracle, output, replay, windows
+from tallymill.plans import benefits, ingest, oracle, output, replay, usage, windows
 from tallymill.sources import provider, testdata
 
 FIRST, LAST, ZONE = date(2024, 1, 3), date(2024, 1, 24), "America/New_York"
@@ -37,6 +37,10 @@ def _rollup(spark, sf_dir):
     return rollup.time_rollup(_events(spark, sf_dir))
 
 
+def _kept(spark, sf_dir):
+    return usage.kept(spark, sf_dir)
+
+
 def _targets():
     return calendar.day_targets(FIRST, LAST, ZONE)
 
@@ -61,29 +65,29 @@ def retracted(spark, sf_dir):
     return rollup.retract(rollup.time_rollup(e), rollup.time_rollup(e.filter(F.col("source_offset") % 3 == 0)))
 
 
-query("u1_overview")(lambda s, d: analytics.overview(_rollup(s, d), START, END))
-query("u2_scoped_overview")(lambda s, d: analytics.overview(_rollup(s, d), START, END, SCOPES))
-query("u3_daily_series")(lambda s, d: analytics.daily_series(_rollup(s, d), _targets()))
+query("u1_overview")(lambda s, d: analytics.overview(_kept(s, d), START, END))
+query("u2_scoped_overview")(lambda s, d: analytics.overview(_kept(s, d), START, END, SCOPES))
+query("u3_daily_series")(lambda s, d: analytics.daily_series(_kept(s, d), _targets()))
 for _kind in ("model", "project", "provider", "profile"):
-    query(f"u4_breakdown_{_kind}")(lambda s, d, k=_kind: analytics.breakdown(_rollup(s, d), START, END, k))
+    query(f"u4_breakdown_{_kind}")(lambda s, d, k=_kind: analytics.breakdown(_kept(s, d), START, END, k))
 
 def _rhythm(name: str) -> Query:
     def run(spark, sf_dir):
         keys = {"hours": (F.col("hour"), 24), "weekdays": (F.col("weekday"), 7), "cells": (F.col("weekday") * 24 + F.col("hour"), 168)}
-        return analytics.rhythm(_rollup(spark, sf_dir), calendar.rhythm_minutes(spark, START, END, ZONE), *keys[name])
+        return analytics.rhythm(_kept(spark, sf_dir), calendar.rhythm_minutes(spark, START, END, ZONE), *keys[name])
 
     return run
 
 
 for _name in ("hours", "weekdays", "cells"):
     query(f"u5_rhythm_{_name}")(_rhythm(_name))
-query("d7_hour_exposure")(lambda s, d: calendar.exposure(s, START, END, ZONE, "hour"))
-query("u7_lifetime")(lambda s, d: analytics.lifetime(_rollup(s, d)))
+query("d7_hour_exposure")(lambda s, d: calendar.exposure(s, START, END, ZONE, "hour").drop("occurrences"))
+query("u7_lifetime")(lambda s, d: analytics.lifetime(_kept(s, d)))
 
 
 @query("u8_availability")
 def available(spark, sf_dir):
-    got = analytics.breakdown(_rollup(spark, sf_dir), START, END, "model")
+    got = analytics.breakdown(_kept(spark, sf_dir), START, END, "model")
     return got.select("dimension_value", *[availability(c).alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens", "total_tokens")])
 
 
@@ -102,7 +106,7 @@ def _in_range(spark, sf_dir):
 
 
 def _by_day(events):
-    return events.withColumn("day", F.floor((F.col("timestamp_seconds") - START) / 86_400).cast("bigint"))
+    return events.withColumn("day", calendar.local_day(F.col("timestamp_seconds"), FIRST, ZONE))
 
 
 query("p1_price_basis")(lambda s, d: rollup.price_basis_rows(_in_range(s, d)).orderBy(*rollup.PRICE_KEYS).limit(pricing.ROWS))
@@ -173,8 +177,8 @@ def rehydrated(spark, sf_dir):
     return benefit.rehydrated(changes, revisions, lots.filter("lot_id % 5 = 0"), lots.filter("lot_id % 3 <> 0"))
 
 
-query("x1_model_shares")(lambda s, d: status.model_shares(analytics.breakdown(_rollup(s, d), START, END, "model")).select("dimension_value", "share_ppm"))
-query("x2_cache_hits")(lambda s, d: analytics.breakdown(_rollup(s, d), START, END, "model").select("dimension_value", share_ppm(F.col("sum_cached_tokens"), F.col("sum_input_tokens")).alias("cache_hit_ppm")))
+query("x1_model_shares")(lambda s, d: status.model_shares(analytics.breakdown(_kept(s, d), START, END, "model")).select("dimension_value", "share_ppm"))
+query("x2_cache_hits")(lambda s, d: analytics.breakdown(_kept(s, d), START, END, "model").select("dimension_value", share_ppm(F.col("sum_cached_tokens"), F.col("sum_input_tokens")).alias("cache_hit_ppm")))
 
 
 @query("t1_session_freshness")
@@ -196,7 +200,7 @@ def prunable(spark, sf_dir):
 
 
 #: Groups of queries with their SQL beside them.
-MODULES = (replay, ingest, windows, output)
+MODULES = (replay, ingest, windows, output, benefits, usage)
 
 
 def queries() -> dict[str, Query]:
@@ -209,7 +213,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     found = oracle.statements(START, END, _targets(), SCOPES, NOW_MS)
     for module in MODULES:
-        found |= module.SQL
+        found |= module.sql(oracle.FINGERPRINTED) if module is usage else module.SQL
     return found
 
 

@@ -1,41 +1,57 @@
-"""Keeping rollups up to date from a stream of events: each micro-batch becomes a new generation, swapped in by a pointer."""
+"""Keeping rollups up to date from a stream of events: each micro-batch adds its own delta, and deltas are compacted."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.operators.rollup import TIME_KEYS, merge, time_rollup
+from tallymill.operators.rollup import merge, time_rollup
+from tallymill.sources.stored import exists, read, write
 
 
 class RollupStore:
-    """Generations of the time rollup below one shared folder; the pointer table names the last whole one."""
+    """Deltas of the time rollup below one shared folder, one for each batch, and bases that stand for all up to a batch.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    A batch writes only its own events' buckets. Reading adds the newest whole base and the deltas after it; rollups
+    add up, so late events just change their bucket. A delta counts once it is whole.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 16):
+        self.spark, self.path, self.every = spark, path, every
+
+    def _whole(self, kind: str) -> list[int]:
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(top)] if files.exists(top) else []
+        return sorted(int(n.split("-")[1]) for n in names if n.startswith(f"{kind}-") and exists(self.spark, f"{self.path}/{n}"))
 
     def active(self) -> int:
-        """The newest generation whose pointer row was written, -1 for none. A batch writes its pointer last."""
-        try:
-            row = self.spark.read.parquet(f"{self.path}/pointer").agg(F.max("generation")).first()
-        except Exception as e:  # the first batch finds no pointer
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return -1
-        return -1 if row[0] is None else row[0]
+        """The newest batch that is whole, -1 for none."""
+        return max([*self._whole("delta"), *self._whole("base")], default=-1)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/generation={self.active()}")
+        base = max(self._whole("base"), default=-1)
+        parts = [f"base-{base}"] * (base >= 0) + [f"delta-{d}" for d in self._whole("delta") if d > base]
+        return merge(*self._ends([read(self.spark, f"{self.path}/{p}") for p in parts]))
+
+    @staticmethod
+    def _ends(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+        rest = parts[0].limit(0)
+        for part in parts[1:]:
+            rest = rest.unionByName(part)
+        return parts[0], rest
 
     def apply(self, events: DataFrame, batch_id: int) -> None:
-        """Add a batch once: a batch that ran before is left as it is. Late events just change their bucket."""
-        now = self.active()
-        if batch_id <= now:
+        """Add a batch once: a batch that ran before is left as it is."""
+        if batch_id <= self.active():
             return
-        fresh = time_rollup(events)
-        whole = merge(self.read(), fresh) if now >= 0 else fresh
-        whole.select(*TIME_KEYS, *[c for c in fresh.columns if c not in TIME_KEYS]).write.mode("overwrite").parquet(f"{self.path}/generation={batch_id}")
-        self.spark.createDataFrame([(batch_id,)], "generation long").write.mode("append").parquet(f"{self.path}/pointer")
+        write(time_rollup(events), f"{self.path}/delta-{batch_id}")
+        if (batch_id + 1) % self.every == 0:
+            self.compact()
+
+    def compact(self) -> None:
+        """Write a base of all that is whole; older bases and deltas are not read any more."""
+        write(self.read(), f"{self.path}/base-{self.active()}")
 
 
 def maintain(events: DataFrame, store: RollupStore, checkpoint: str):
