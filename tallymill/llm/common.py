@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -30,17 +32,31 @@ def shared_folder(spark: SparkSession) -> str:
     return top
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when the query has ended; for jobs whose result is written, so that nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the cluster's shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with released(df.sparkSession):
+        return df.select("*").checkpoint()  # a query of its own, which takes the setting
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """The rows as Parquet in the shared folder, bucketed by `key` as shuffles deal it, so later joins on it move the other side alone."""
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    with released(spark):
+        df.select("*").write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     rows = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, they are in a folder of their own
     return rows

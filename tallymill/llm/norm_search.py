@@ -179,8 +179,10 @@ def live_pairs(rows: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFram
     allowed = lambda at: F.col("norm") * F.element_at(greatest, at + 1) * (1 + 1e-9) >= F.col("floor")
     lives = F.coalesce(F.array_max(F.filter(reach, allowed)), F.lit(-1)).alias("last")
     blocks = max(1, math.ceil(queries.count() / BLOCK))
-    dealt = queries.select("id", "v", "floor", lives).filter("last >= 0").repartitionByRange(blocks, F.desc("last"), "id").withColumn("block", F.spark_partition_id())
-    dealt = materialize(dealt)
+    ranged = queries.select("id", "v", "floor", lives).filter("last >= 0").repartitionByRange(blocks, F.desc("last"), "id")
+    # partitions in a row make up a block, should there be more of them than blocks
+    parts = max(1, ranged.rdd.getNumPartitions())
+    dealt = materialize(ranged.withColumn("block", F.floor(F.spark_partition_id() * F.lit(min(blocks, parts)) / F.lit(parts)).cast("int")))
     # blocks go by falling reach, so the blocks that want a layer are the first ones
     wanted = {r["last"]: r.block for r in dealt.groupBy("last").agg(F.max("block").alias("block")).collect()}  # at most LAYERS rows
     table = [(layer, starts[i], n, max((b for last, b in wanted.items() if last >= i), default=-1)) for i, (layer, _, n) in enumerate(layers)]

@@ -338,9 +338,14 @@ def _unjoined(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
 
 
-def _tokens(sets: DataFrame, label: DataFrame) -> DataFrame:
-    every = sets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return every.select("node", "label", F.explode("tokens").alias("token"))
+def _shared_tokens(sets: DataFrame) -> DataFrame:
+    """(token, node, members) of the tokens that several nodes have; a token's rows stay rows, however many."""
+    every = sets.select("node", F.explode("tokens").alias("token"))
+    return every.withColumn("members", F.count("*").over(Window.partitionBy("token"))).filter("members > 1")
+
+
+def _labelled(met: DataFrame, label: DataFrame) -> DataFrame:
+    return met.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -352,17 +357,17 @@ def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(sizes & (9 * apart <= F.col("u_n") + F.col("v_n"))).select("u", "v")
 
 
-def _to_smallest(sets: DataFrame, label: DataFrame) -> DataFrame:
+def _to_smallest(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): each node and the smallest node at one of its tokens, where labels differ."""
     low = F.min(F.struct("node", "label")).over(Window.partitionBy("token"))
-    return _tokens(sets, label).withColumn("low", low).filter(F.col("label") != F.col("low.label")).select(F.col("node").alias("u"), F.col("low.node").alias("v")).distinct()
+    return _labelled(met, label).withColumn("low", low).filter(F.col("label") != F.col("low.label")).select(F.col("node").alias("u"), F.col("low.node").alias("v")).distinct()
 
 
-def _rest(sets: DataFrame, label: DataFrame) -> DataFrame:
+def _rest(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): every possible pair of nodes that share a token and have different labels."""
-    # a token whose documents are one group already says nothing new; its rows stay rows, however many
+    # a token whose documents are one group already says nothing new
     at = Window.partitionBy("token")
-    met = _tokens(sets, label).withColumns({"low": F.min("label").over(at), "high": F.max("label").over(at), "members": F.count("*").over(at)}).filter("low < high")
+    met = _labelled(met, label).withColumns({"low": F.min("label").over(at), "high": F.max("label").over(at)}).filter("low < high")
     # a token of many documents is dealt into blocks, each compared with each
     blocks = F.ceil(F.col("members") / HOT)
     dealt = met.withColumns({"block": F.pmod(F.xxhash64("node"), blocks), "blocks": blocks}).select("token", "node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
@@ -432,8 +437,9 @@ def _near(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     equal = sets.select("fp", F.col("node").alias("u")).join(prints.withColumnRenamed("node", "v"), "fp").filter("u <> v").select("u", "v")
     grouped = components(links.unionByName(equal)).filter("node <> root").toDF("u", "v")
     links = materialize(_verified(grouped, sets, texts))
+    met = materialize(_shared_tokens(sets))
     for find in (_to_smallest, _rest):
-        found = find(sets, components(links).toDF("node", "label"))
+        found = find(met, components(links).toDF("node", "label"), sets)
         more = _verified(_allowed(found, sets), sets, texts)
         links = materialize(links.unionByName(more))
     roots = components(links)
