@@ -92,7 +92,7 @@ def _resumed(spark, sf_dir):
 
 def _tools(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    tool = jsonl.tool_call(F.col("value"))
+    tool = jsonl.tool_call(jsonl.parsed(F.col("value")))
     return lines.select(tool.alias("tool"), jsonl.tool_activity(tool).alias("activity")).filter("tool IS NOT NULL").groupBy("tool", "activity").agg(F.count("*").alias("n"))
 
 

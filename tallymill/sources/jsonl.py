@@ -51,8 +51,8 @@ def discover(spark: SparkSession, root: str, paths: list[str] | None = None, pat
     """(file, relative, place, source_offset, value) of all whole lines below sessions and archived_sessions.
 
     `source_offset` is the line's first byte. A line end takes one carriage return with it; a last line without an end
-    is not taken yet; lines over 16 MiB are left out. An archived file with an active namesake is left out, even where
-    the active one is empty. `paths` (relative) limits the work to files that changed.
+    is not taken yet; lines over 16 MiB are left out. An archived file with an active namesake is left out (an empty active
+    one has no lines to be seen by). `paths` (relative) limits the work to files that changed.
     """
 
     def listed(place: str) -> DataFrame:
@@ -71,15 +71,36 @@ def discover(spark: SparkSession, root: str, paths: list[str] | None = None, pat
     before = Window.partitionBy("file").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.octet_length("value").cast("bigint") + 1).over(before), F.lit(0).cast("bigint"))
     whole = every.withColumn("source_offset", at).filter(F.col("source_offset") + F.octet_length("value") < F.col("size"))
-    return whole.filter(F.octet_length("value") <= LINE_BYTES).select("file", "relative", "place", "source_offset", F.regexp_replace("value", "\r$", "").alias("value"))
+    return whole.filter(F.octet_length("value") <= LINE_BYTES).select("file", "relative", "place", "source_offset", F.regexp_replace("value", "\\r\\z", "").alias("value"))
 
 
 def relevant(value: Column) -> Column:
     return reduce(lambda a, b: a | b, (value.contains(m) for m in MARKERS), value.contains("\\"))
 
 
-def _at(value: Column, path: str) -> Column:
-    return F.get_json_object(value, f"$.{path}")
+def _texts(*names: str) -> str:
+    return ",".join(f"{n}:string" for n in names)
+
+
+_USAGE = f"struct<{_texts(*(a for aliases in ALIASES.values() for a in aliases))}>"
+_RESULT = f"struct<{_texts('model', 'model_name', *TIMES)},usage:{_USAGE}>"
+_INFO = f"struct<{_texts('model', 'model_name')},last_token_usage:{_USAGE},total_token_usage:{_USAGE}>"
+_PAYLOAD_TEXTS = ("type", "name", "id", "session_id", "cwd", "originator", "service_tier", "source", "model_context_window", "model", "model_name", "model_slug", "model_id", "requested_model", "default_model", "forked_from_id", "parent_thread_id")
+#: A line as far as it is read; what is no object where one belongs is absent.
+LINE = f"{_texts('type', *TIMES, 'model', 'model_name', 'forked_from_id', 'parent_thread_id')},usage:{_USAGE},{','.join(f'{w}:{_RESULT}' for w in WRAPPERS)},payload:struct<{_texts(*_PAYLOAD_TEXTS)},git:struct<branch:string>,info:{_INFO}>"
+
+
+def parsed(value: Column) -> Column:
+    """The fields of a line, parsed once; all values as text."""
+    return F.from_json(value, f"struct<{LINE}>")
+
+
+def _at(line: Column, path: str) -> Column:
+    if path.startswith("payload.source."):
+        return F.get_json_object(line["payload"]["source"], "$." + path.removeprefix("payload.source."))
+    for field in path.split("."):
+        line = line[field]
+    return line
 
 
 def _name(text: Column) -> Column:
@@ -102,7 +123,7 @@ def counters(value: Column, base: str) -> Column:
     u = {n: counter(value, base, n) for n in COUNTS}
     u["cached"] = F.when(u["cached"].isNotNull() & u["input"].isNotNull(), F.least(u["cached"], u["input"]))
     u["total"] = F.when(u["total"] > 0, u["total"]).otherwise(u["input"] + u["output"] + u["reasoning"])
-    return F.when(_at(value, base).startswith("{"), F.struct(*[c.alias(n) for n, c in u.items()]))
+    return F.when(_at(value, base).isNotNull(), F.struct(*[c.alias(n) for n, c in u.items()]))
 
 
 def moment(raw: Column) -> Column:
@@ -150,17 +171,17 @@ def model_key(text: Column) -> Column:
 
 def facts(lines: DataFrame) -> DataFrame:
     """What each relevant line says: usage, time, and what the file carries on from it. Lines with usage but no valid time say nothing."""
-    v = F.col("value")
+    v = F.col("line")
     first = lambda *paths: F.coalesce(*[F.when(_at(v, p) != "", _at(v, p)) for p in paths])
     counted = F.coalesce((_at(v, "type") == "event_msg") & (_at(v, "payload.type") == "token_count"), F.lit(False))
     last, whole = counters(v, "payload.info.last_token_usage"), counters(v, "payload.info.total_token_usage")
     # the first wrapper that is there decides
-    wrapped = [(_at(v, w).startswith("{"), counters(v, f"{w}.usage"), first(f"{w}.model", f"{w}.model_name", "model", "model_name"), first_moment(v, *(f"{w}.{t}" for t in TIMES), *TIMES)) for w in WRAPPERS]
+    wrapped = [(_at(v, w).isNotNull(), counters(v, f"{w}.usage"), first(f"{w}.model", f"{w}.model_name", "model", "model_name"), first_moment(v, *(f"{w}.{t}" for t in TIMES), *TIMES)) for w in WRAPPERS]
     of_wrapper = lambda k: reduce(lambda rest, x: F.when(x[0], x[k]).otherwise(rest), wrapped[::-1], F.lit(None))
     inside, top = of_wrapper(1), counters(v, "usage")
     direct = F.when(~counted, F.coalesce(inside, top))
-    raw = lines.filter(relevant(v)).select(
-        "file", "relative", "source_offset", "value",
+    raw = lines.filter(relevant(F.col("value"))).select("file", "relative", "source_offset", parsed(F.col("value")).alias("line")).select(
+        "file", "relative", "source_offset", "line",
         F.when(counted, last).alias("last"), F.when(counted, whole).alias("cumulative"), direct.alias("direct"),
         F.when(counted, first(*COUNT_MODELS)).when(~counted & inside.isNotNull(), of_wrapper(2)).when(direct.isNotNull(), first("model", "model_name")).alias("explicit"),
         F.when(~counted & inside.isNotNull(), of_wrapper(3)).otherwise(first_moment(v, *TIMES)).alias("moment"),
@@ -173,7 +194,7 @@ def facts(lines: DataFrame) -> DataFrame:
     text = lambda p: F.when(F.trim(at(p)) != "", F.trim(at(p)))
     cwd = text("payload.cwd")
     strange = cwd.rlike(r"(^|[/\\])\.{1,2}([/\\]|$)")
-    payload = at("payload").startswith("{")
+    payload = at("payload").isNotNull()
     return raw.select(
         "file", "relative", "source_offset", "last", "cumulative", "direct", "explicit", "meta_model", "moment",
         F.coalesce(F.when(meta, _name(at("payload.id"))), _name(at("payload.session_id"))).alias("line_session"),

@@ -130,10 +130,131 @@ def test_streamed_rollup_is_the_batch_rollup(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(3):
         events.filter(F.col("source_offset") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    store = RollupStore(spark, str(tmp_path / "store"))
+    store = RollupStore(spark, str(tmp_path / "store"), every=2)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     maintain(stream, store, str(tmp_path / "cp")).awaitTermination()
-    assert store.active() == 2
+    assert store.active() == 2 and store._whole("base") == [1]
     store.apply(events, 2)  # a batch that is given again changes nothing
     want = rollup.time_rollup(events)
     assert store.read().select(want.columns).exceptAll(want).isEmpty() and store.read().count() == want.count()
+    store.compact()
+    assert store.read().select(want.columns).exceptAll(want).isEmpty() and store.active() == 2
+
+
+def test_stored_rollup_is_of_its_files(spark, tmp_path):
+    from tallymill.sources import stored
+
+    events = testdata.usage_event(spark, SF)
+    (tmp_path / "e.parquet").mkdir()
+    spark.range(3).write.mode("overwrite").parquet(str(tmp_path / "e.parquet"))
+    first = stored.stored_rollup(spark, events, str(tmp_path / "e.parquet"))
+    again = stored.stored_rollup(spark, events.limit(0), str(tmp_path / "e.parquet"))
+    assert again.count() == first.count() > 0  # the store is read, not built
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "e.parquet"))
+    assert stored.stored_rollup(spark, events.limit(0), str(tmp_path / "e.parquet")).count() == 0
+    text = first.filter("dimension = 'all' AND bucket_width = 3600")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull" in text
+
+
+def _fold(rows, complete):
+    """The state table, row by row: (child strong, signature, declared) against (parent strong, signature, declared) or None."""
+    state, out = "matching", []
+    for (strong, signature, bad), parent in rows:
+        if state == "conflict" or bad or (parent and parent[2]):
+            state, said = "conflict", "conflict"
+        elif state == "diverged":
+            said = "eligible"
+        elif state == "pending":
+            said = "pending"
+        elif parent is None:
+            state, said = ("diverged", "eligible") if complete else ("pending", "pending")
+        elif not (strong and parent[0]):
+            said = "pending"
+        elif signature == parent[1]:
+            said = "replay"
+        else:
+            state, said = "diverged", "eligible"
+        out.append(said)
+    return out
+
+
+@pytest.mark.parametrize("complete", [True, False])
+def test_replay_is_the_state_table(spark, complete):
+    import random
+
+    rng, rows, want = random.Random(7), [], {}
+    for k in range(120):
+        parent = {o: (rng.random() < 0.9, rng.choice("ab"), rng.random() < 0.04) for o in range(8) if rng.random() < 0.85}
+        child = [(o, (rng.random() < 0.9, parent[o][1] if o in parent and rng.random() < 0.8 else "c", rng.random() < 0.03)) for o in range(8)]
+        rows += [(f"p{k}", None, o, *v) for o, v in parent.items()] + [(f"c{k}", f"p{k}", o, *v) for o, v in child]
+        want |= {(f"c{k}", o): d for (o, _), d in zip(child, _fold([(v, parent.get(o)) for o, v in child], complete))} if parent else {}
+    table = spark.createDataFrame([(s, p, o, g, a, "f", 0, o, f"{s}{o}", d, False) for s, p, o, a, g, d in rows], "session_id string, parent_session_id string, ordinal long, signature string, strong boolean, file_key string, generation int, source_offset long, fingerprint string, declared_conflict boolean, relation_conflict boolean")
+    got = {(r.session_id, r.ordinal): r.disposition for r in lineage.classify(table, complete).filter("session_id LIKE 'c%'").collect()}
+    assert all(got[k] == v for k, v in want.items()) and {"conflict", "replay", "eligible", "pending"} <= set(got.values())
+
+
+def test_lines_that_matter(spark):
+    keep = ["token_count", "turn_context", "session_meta", "sessionMeta", '"usage"', "function_call", "tool_call", "exec_command", "mcp", "back\\slash"]
+    rows = spark.createDataFrame([(f"x{k}y",) for k in keep] + [("usage",), ("data",), ("result",), ("response",)], "value string")
+    assert [r.value for r in rows.filter(jsonl.relevant(F.col("value"))).collect()] == [f"x{k}y" for k in keep]
+
+
+def test_whole_lines_only(spark, tmp_path):
+    for place in ("sessions", "archived_sessions"):
+        (tmp_path / place).mkdir()
+    (tmp_path / "sessions/a.jsonl").write_bytes(b"one\r\r\n\ntw\xc3\xb6\nopen")
+    (tmp_path / "archived_sessions/a.jsonl").write_bytes(b"shadowed\n")
+    (tmp_path / "archived_sessions/b.jsonl").write_bytes(b"old\n")
+    got = sorted((r.relative, r.source_offset, r.value) for r in jsonl.discover(spark, str(tmp_path)).collect())
+    assert got == [("a.jsonl", 0, "one\r"), ("a.jsonl", 6, ""), ("a.jsonl", 7, "two".replace("o", "ö")), ("b.jsonl", 0, "old")]
+    assert jsonl.discover(spark, str(tmp_path), ["b.jsonl"]).count() == 1
+
+
+@pytest.mark.parametrize(("text", "want"), [("2024-01-01T00:00:00.25Z", (1_704_067_200, 250_000_000)), ("2024-01-01T01:00:00+01:00", (1_704_067_200, 0)), ("1704067200", (1_704_067_200, 0)), ("1704067200123", (1_704_067_200, 123_000_000)), ("soon", None), ("2024-13-01T00:00:00Z", None)])
+def test_moments(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(jsonl.moment(F.col("t")).alias("m")).first().m
+    assert (tuple(got) if got else None) == want
+
+
+def test_parents_and_tools(spark):
+    lines = [
+        {"type": "turn_context", "parent_thread_id": "A", "payload": {"source": {"subagent": {"thread_spawn": {"parent_thread_id": "A"}}}}},
+        {"type": "x", "payload": {"type": "local_mcp_CALL", "name": " Open_Browser "}},
+        {"type": "response_item", "payload": {"type": "message", "name": "grep", "text": "a\nb"}},
+        {"type": "event_msg", "timestamp": 5, "payload": {"type": "token_count", "session_id": "S", "info": {"last_token_usage": {"input_tokens": 3}}}},
+        {"type": "turn_context", "forked_from_id": "B", "payload": {}},
+        {"timestamp": 6, "usage": {"input_tokens": 4}, "result": {"status": "no usage here"}},
+        {"timestamp": "never", "usage": {"input_tokens": 4}},
+    ]
+    rows = [("f", "f.jsonl", "sessions", k * 10, json.dumps(x)) for k, x in enumerate(lines)]
+    got = jsonl.observations(spark.createDataFrame(rows, "file string, relative string, place string, source_offset long, value string")).orderBy("ordinal").collect()
+    assert [(r.parent_session_id, r.lineage_conflict, r.session_id, r.input_tokens) for r in got] == [("A", False, "S", 3), ("A", True, "S", 4)]
+    assert (got[0].activity_web, got[0].activity_search, got[1].activity_web, got[0].fallback_model) == (1, 1, 0, 1)
+
+
+def test_costs_follow_local_days(spark):
+    first = date(2024, 3, 9)
+    starts = [calendar.day_start(date.fromordinal(first.toordinal() + k), "America/New_York") for k in range(4)]
+    rows = spark.createDataFrame([(s + d, k + (0 if d >= 0 else -1)) for k, s in enumerate(starts) for d in (-1, 0, 1)], "s long, want long")
+    assert rows.filter(calendar.local_day(F.col("s"), first, "America/New_York") != F.col("want")).count() == 0
+    assert (starts[2] - starts[1]) == 23 * 3600
+
+
+def test_override_snapshots_are_all_or_none():
+    ok = {("standard", "short"): (1, 2, 3)}
+    rows, revision = pricing.snapshot({"m": ok}, {"nick": "m", "five": "gpt-5"})
+    assert ("nick", "m", "standard", "short", 1, 2, 3) in rows and any(r[0] == "five" and r[1] == "gpt-5" for r in rows)
+    assert revision != pricing.snapshot({"m": ok}, {"nick": "m"})[1] == pricing.snapshot({"m": dict(ok)}, {"nick": "m"})[1]
+    for models, aliases in (({"gpt-5.6": ok}, {}), ({}, {"gpt-5": "gpt-5.1"}), ({"m": ok}, {"a": "b", "b": "m"}), ({}, {"a": "nothing"}), ({"m": {("standard", "short"): (1, None, 3)}}, {}), ({"m": {}}, {}), ({"m!": ok}, {}), ({}, {"a": "gpt-5.6"})):
+        with pytest.raises(ValueError):
+            pricing.snapshot(models, aliases)
+
+
+def test_cursors_belong_to_a_dataset():
+    at = analytics.cursor("g7", 5, 0, "f")
+    assert analytics.resume(at, "g7") == (5, 0, "f") and analytics.resume(None, "g7") is None
+    with pytest.raises(ValueError):
+        analytics.resume(at, "g8")
+    with pytest.raises(ValueError):
+        git_output.day_range(0, 86_401)
+    assert git_output.day_range(-86_400, 86_400) == (-1, 1)
