@@ -351,23 +351,36 @@ def report(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), sha.alias("kept_sha256"), "starts", "ends", "h")
 
 
-def _cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        texts = []
-        for text, starts, ends in zip(rows["text"], rows.pop("__cut_starts"), rows.pop("__cut_ends"), strict=True):
-            if text is None or starts is None or not len(starts):
-                texts.append(text)
-                continue
-            raw = text.encode()
-            # whole characters go; one that is only partly covered stays
-            inward = lambda k, step: k if k <= 0 or k >= len(raw) or raw[k] & 0xC0 != 0x80 else inward(k + step, step)
-            spans = [(inward(int(s), 1), inward(int(e), -1)) for s, e in zip(starts, ends, strict=True)]
-            texts.append(_kept(raw, [(s, e) for s, e in spans if s < e]).decode())
-        yield rows.assign(text=texts)
-
-
-def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with repeated strings cut from their texts (whole characters); all columns stay."""
-    spans = report(documents, length).filter(F.size("starts") > 0).select(_id().alias("__cut_id"), F.col("h").alias("__cut_h"), F.col("starts").alias("__cut_starts"), F.col("ends").alias("__cut_ends")).dropDuplicates(["__cut_id", "__cut_h"])
-    joined = documents.join(spans, (_id() == F.col("__cut_id")) & (F.xxhash64(_bytes()) == F.col("__cut_h")), "left").drop("__cut_id", "__cut_h")
-    return joined.mapInPandas(_cut_texts, documents.schema)
+def _cut_texts(starts: str, ends: str, emptied: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            texts = []
+            for text, a, b in zip(rows["text"], rows.pop(starts), rows.pop(ends), strict=True):
+                if text is None or a is None or not len(a):
+                    texts.append(text)
+                    continue
+                raw = text.encode()
+                # whole characters go; one that is only partly covered stays
+                inward = lambda k, step: k if k <= 0 or k >= len(raw) or raw[k] & 0xC0 != 0x80 else inward(k + step, step)
+                spans = [(inward(int(s), 1), inward(int(e), -1)) for s, e in zip(a, b, strict=True)]
+                texts.append(_kept(raw, [(s, e) for s, e in spans if s < e]).decode())
+            had = rows["text"].map(bool)
+            out = rows.assign(text=texts)
+            yield out if emptied else out[~had | out["text"].map(bool)]
+
+    return run
+
+
+def dedup(documents: DataFrame, length: int = LENGTH, emptied: bool = True) -> DataFrame:
+    """The documents with repeated strings cut from their texts (whole characters); all columns stay.
+
+    Documents that lose all their text stay with an empty one, unless `emptied` is false.
+    """
+    mark = "__cut"
+    while any(c.startswith(mark) for c in documents.columns):  # names of the input are its own
+        mark = f"_{mark}"
+    key, h, starts, ends = (f"{mark}_{x}" for x in ("id", "h", "starts", "ends"))
+    found = report(documents, length).filter(F.size("starts") > 0)
+    spans = found.select(_id().alias(key), F.col("h").alias(h), F.col("starts").alias(starts), F.col("ends").alias(ends)).dropDuplicates([key, h])
+    joined = documents.join(spans, (_id() == F.col(key)) & (F.xxhash64(_bytes()) == F.col(h)), "left").drop(key, h)
+    return joined.mapInPandas(_cut_texts(starts, ends, emptied), documents.schema)

@@ -35,8 +35,8 @@ SEED, WORDS, BITS_APART = 42, 3, 3
 SHINGLE, SIMILARITY = 5, 0.8
 #: Documents whose frequent shingles go last (a sample), such shingles kept, rows of tokens a task, members of a token's block.
 SAMPLE, USUAL, TOKEN_ROWS, HOT = 5000, 100_000, 200_000, 2000
-#: Bits of the wide sketch.
-WIDE = 1024
+#: Bits of the wide sketch, and smallest texts that a text is held against before all the rest.
+WIDE, KIN = 1024, 3
 #: Partners of one document that one task verifies.
 SHARE = 500
 #: Rows of anchors that one task compares, on average, and the most at one anchor that are compared there.
@@ -261,11 +261,16 @@ def _usual(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
+def common(n: np.ndarray) -> np.ndarray:
+    """How many tokens sets of these sizes must share: one for short ones, a fiftieth of the set for long ones."""
+    return np.maximum(1, n // 50)
+
+
 def shingle_sets(texts: DataFrame, usual: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(same, first, fp, n, s0 to s3, wide, tokens) of (same, first, text): fingerprint, size and sketches of the set of shingles, and its prefix.
 
-    Two sets of similarity 0.8 share at least 0.8 of the larger one, so they share one of the first n - ceil(0.8 n) + 1
-    shingles (the tokens) in an order common to all, here the rarest first. A text without words stands for one shingle
+    Two sets of similarity 0.8 share at least 0.8 of the larger one, so they share k of the first n - ceil(0.8 n) + k
+    shingles (the tokens) in an order common to all, here the rarest first, where k is the lesser `common` of both. A text without words stands for one shingle
     of its own kind. The wide sketch is the parity of the shingles in each of WIDE places: as many bits differ as shingles
     do, or fewer; the other one is folded from it to 256 bits.
     """
@@ -289,7 +294,7 @@ def shingle_sets(texts: DataFrame, usual: tuple[np.ndarray, np.ndarray]) -> Data
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     count = np.where(known[at] == h, often[at], 0)
                 order = np.lexsort((h, count, doc))
-                first = held - (4 * held + 4) // 5 + 1
+                first = held - (4 * held + 4) // 5 + common(held)
                 tokens = h[order][np.arange(len(h)) - starts[doc] < first[doc]]
                 place = (mix(h) >> np.uint64(54)).astype(np.int64)
                 odd = np.bincount(doc * WIDE + place, minlength=WIDE * len(each)).reshape(-1, WIDE) & 1
@@ -318,24 +323,35 @@ def _across(keys: np.ndarray, label: np.ndarray, most: int = 1 << 20) -> Iterato
 
 
 def _unjoined(rows: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of different labels at the keys of a task whose sizes and sketches allow a similarity of 0.8."""
+    """(u, v, k, shared): pairs of different labels at the keys of a task whose sizes and sketches allow a similarity of 0.8.
+
+    shared counts the keys where they meet, k how many there must be over all tasks.
+    """
     rows = rows.sort_values(["key", "label"], kind="stable")
     keys, label, ids, n = (rows[c].to_numpy() for c in ("key", "label", "node", "n"))
     sketch = rows[["s0", "s1", "s2", "s3"]].to_numpy().view(np.uint64)
-    block, own = rows["block"].to_numpy(), rows["same"].to_numpy()
-    out, held = [np.zeros((0, 2), np.int64)], 0
+    block, own, least = rows["block"].to_numpy(), rows["same"].to_numpy(), common(n)
+    pairs, shared, held = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), 0
+
+    def merged(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        every, back = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
+        return every, np.bincount(back.ravel(), np.concatenate(counts), len(every)).astype(np.int64)
+
+    parts, counts = [pairs], [shared]
     for i, j in _across(keys, label):
         on = (own[i] | (block[i] != block[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
         i, j = i[on], j[on]
         # similarity 0.8 means that at most a ninth of both sizes together differs
         on = 9 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
-        pair = np.stack([ids[i[on]], ids[j[on]]], 1)
-        out.append(np.stack([pair.max(1), pair.min(1)], 1))
-        held += len(pair)
+        a, b = ids[i[on]], ids[j[on]]
+        parts.append(np.stack([np.maximum(a, b), np.minimum(a, b), np.minimum(least[i[on]], least[j[on]])], 1))
+        counts.append(np.ones(len(a), np.int64))
+        held += len(a)
         if held > 1 << 20:  # pairs repeat over the tokens
-            out = [np.unique(np.concatenate(out), axis=0)]
-            held = 0
-    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
+            pairs, shared = merged(parts, counts)
+            parts, counts, held = [pairs], [shared], 0
+    pairs, shared = merged(parts, counts)
+    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "k": pairs[:, 2], "shared": shared})
 
 
 def _shared_tokens(sets: DataFrame) -> DataFrame:
@@ -358,9 +374,12 @@ def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _to_smallest(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): each node and the smallest node at one of its tokens, where labels differ."""
+    """(u, v): each node and the KIN ones that are the smallest at most of its tokens, where labels differ."""
     low = F.min(F.struct("node", "label")).over(Window.partitionBy("token"))
-    return _labelled(met, label).withColumn("low", low).filter(F.col("label") != F.col("low.label")).select(F.col("node").alias("u"), F.col("low.node").alias("v")).distinct()
+    apart = _labelled(met, label).withColumn("low", low).filter(F.col("label") != F.col("low.label"))
+    often = apart.groupBy(F.col("node").alias("u"), F.col("low.node").alias("v")).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("n"), "v"))
+    return often.withColumn("rank", rank).filter(F.col("rank") <= KIN).select("u", "v")
 
 
 def _rest(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
@@ -375,7 +394,7 @@ def _rest(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
     spread = materialize(dealt)
     tasks = max(1, math.ceil(spread.count() / TOKEN_ROWS))
     whole = spread.join(sets.select("node", "n", "s0", "s1", "s2", "s3"), "node").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(tasks)))
-    return whole.repartition(tasks, "part").groupBy("part").applyInPandas(_unjoined, "u long, v long").distinct()
+    return whole.repartition(tasks, "part").groupBy("part").applyInPandas(_unjoined, "u long, v long, k long, shared long").groupBy("u", "v", "k").agg(F.sum("shared").alias("shared")).filter("shared >= k").select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -421,9 +440,9 @@ def _near(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     Equal texts are one from the start, combined before the shuffle that deals texts out by digest; that table is
     written in buckets, since the verifications and the result take texts from it without moving them. First SimHash
     anchors link fingerprints, and each member of a group is verified against the group's root. What is apart is then
-    held against the smallest document at each token of its prefix, which joins families of copies by few
-    pairs. What is still apart is held against every document that shares a token, as every pair of the required
-    similarity does: no link is lost to SimHash or to the order of the rounds.
+    held against the smallest document at most of its tokens, which joins families of copies by few pairs. What is
+    still apart is held against every document that shares as many tokens as every pair of the required similarity
+    does: no link is lost to SimHash or to the order of the rounds.
     """
     least = F.min_by("row", F.struct("id", F.xxhash64("text")))
     rows = bucketed(_keyed(documents).groupBy("same").agg(F.min("id").alias("first"), least.alias("row")), "same")

@@ -1,23 +1,53 @@
-"""The pipeline's stages: columns, decisions and the pieces at the end."""
+"""The pipeline's stages: columns, decisions and the pieces at the end, each against brute force on its own input."""
+
+import collections
+import random
 
 import corpus_pipeline
-from tallymill.llm import simhash_anchors
+import numpy as np
+
+from tallymill.llm import components, run_index, simhash_anchors, subword_quality, word_language
+from tests.llm.test_operators import brute_removal
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, seen = docs.columns, {}
+    columns, seen = docs.columns, {"documents": docs}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         seen[name] = docs
         if k < 4:
             assert docs.columns == columns and docs.count() > 0
-    ids = lambda name: {r.doc_id for r in seen[name].select("doc_id").collect()}
-    assert ids("quality") <= ids("language_id") and ids("near_dedup") <= ids("quality") and ids("suffix_dedup") <= ids("near_dedup")
-    groups = {r.doc_id: r.component_id for r in simhash_anchors.near_groups(seen["quality"]).collect()}
-    assert ids("near_dedup") == set(groups.values())
-    assert ids("packing") == ids("suffix_dedup")
+    texts = {name: {r.doc_id: r.text for r in d.select("doc_id", "text").collect()} for name, d in seen.items() if name != "packing"}
+    known = {r.doc_id for r in word_language.annotate(seen["documents"], word_language.fit(seen["documents"])).filter("lang_pred <> 'und'").collect()}
+    assert set(texts["language_id"]) == known
+    model = subword_quality.fit(seen["language_id"], spark.read.parquet(f"{SF}/labels.parquet"))
+    assert set(texts["quality"]) == {r.doc_id for r in subword_quality.annotate(seen["language_id"], model).filter("quality_score >= 0.5").collect()}
+    rows = sorted(texts["quality"].items())
+    sets = [set(simhash_anchors.shingle_hashes(simhash_anchors.words_of(t), 5)) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = components.local_roots(len(rows), np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int))
+    assert set(texts["near_dedup"]) == {rows[r][0] for r in root}
+    want = brute_removal(sorted((i, (t or "").encode()) for i, t in texts["near_dedup"].items()))
+    assert set(texts["suffix_dedup"]) == {i for i, (n, removed, _, _) in want.items() if removed < n or n == 0}
+    for i, t in texts["suffix_dedup"].items():
+        # a character that is only partly covered stays whole
+        assert 0 <= len(t.encode()) - (want[i][0] - want[i][1]) <= 6 * want[i][2]
+    sizes = collections.Counter()
+    for r in seen["packing"].collect():
+        sizes[r.doc_id, r.doc_tokens] += r.length
+    assert {i for i, _ in sizes} == set(texts["suffix_dedup"]) and all(n == got for (_, n), got in sizes.items())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality", "near_dedup", "suffix_dedup", "packing"]
+
+
+def test_cutting_keeps_columns_of_clashing_names(spark):
+    text = "".join(random.Random(8).choice("abcdefghij ") for _ in range(300))
+    rows = [(1, text, "a", 5), (2, "x" + text, "b", 6), (3, text, "c", 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __cut_id string, __had long")
+    got = {r.doc_id: r for r in run_index.dedup(table).collect()}
+    assert table.columns == run_index.dedup(table).columns and [got[k]["__cut_id"] for k in (1, 2, 3)] == ["a", "b", "c"]
+    assert (got[1].text, got[3].text) == (text, "") and len(got[2].text) < 10
+    assert {r.doc_id for r in run_index.dedup(table, emptied=False).collect()} == {1, 2}
