@@ -34,8 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts what repeats an earlier 100-byte string; a document that loses all its text goes."""
-    cut = run_index.dedup(docs.withColumn("__had", F.length("text") > 0))
-    kept = cut.filter(~F.col("__had") | F.col("__had").isNull() | (F.length("text") > 0)).drop("__had")
+    kept = run_index.dedup(docs, emptied=False)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
@@ -46,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("quality", quality), ("near_dedup", near_dedup), ("suffix_dedup", passage_dedup), ("packing", packing)]
 
-#: No SQL expresses the trained stages; tests/llm holds each stage against a brute-force version.
+#: No SQL expresses the trained stages. tests/llm holds near-dedup, passages and packing against brute force on each stage's own input.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.checkpoints import materialize, shared_folder
-from tallymill.functions.identity import COUNTS, TAG
+from tallymill.functions.identity import COUNTS, TAG, fingerprint
+from tallymill.operators import analytics, lineage, rollup
+from tallymill.plans.oracle import ZERO
 from tallymill.sources import jsonl, testdata
 
 #: Names of the tools that the synthetic logs call.
@@ -90,6 +92,13 @@ def _resumed(spark, sf_dir):
     return _shown(jsonl.observations(fresh.drop("generation"), jsonl.state_after(before)))
 
 
+def _full_run(spark, sf_dir):
+    """Logs to lifetime totals: lines, observations, events that count, one of each identity, the time rollup."""
+    seen = jsonl.canonical_events(jsonl.observations(_lines(spark, sf_dir))).withColumns({"provider_id": F.lit("codex"), "profile_id": F.concat(F.lit("profile_"), _file()), "session_id": _said()})
+    events = seen.withColumns({"fingerprint": fingerprint("ordinal"), "file_key": F.col("relative"), "generation": F.lit(0)}).drop("cumulative")
+    return analytics.lifetime(rollup.time_rollup(lineage.canonical(events)))
+
+
 def _tools(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     tool = jsonl.tool_call(jsonl.parsed(F.col("value")))
@@ -102,6 +111,7 @@ QUERIES = {
     "s6_observations": lambda s, d: _shown(jsonl.observations(_lines(s, d))),
     "s15_tools": _tools,
     "c1_canonical_events": _canonical,
+    "r1_full_run": _full_run,
     "r4_resumed_observations": _resumed,
 }
 
@@ -151,5 +161,6 @@ SQL = {
     "s6_observations": f"WITH {_E} SELECT {_COLUMNS} FROM ob",
     "s15_tools": f"WITH {_E} SELECT CASE k % 9 {_T} END AS tool, act AS activity, count(*) AS n FROM l WHERE kind = 4 GROUP BY 1, 2",
     "c1_canonical_events": f"WITH {_E} SELECT f, ordinal, CASE WHEN kind = 3 THEN 'weak' ELSE 'strong' END AS evidence, {_signature()} AS replay_signature FROM ob WHERE kind = 3 OR (ci >= input_tokens AND co >= output_tokens AND coalesce(cr >= reasoning_tokens, true) AND coalesce(ct >= total_tokens, true))",
+    "r1_full_run": f"WITH {_E} SELECT {ZERO} FROM ob WHERE kind = 3 OR (ci >= input_tokens AND co >= output_tokens AND coalesce(cr >= reasoning_tokens, true) AND coalesce(ct >= total_tokens, true))",
     "r4_resumed_observations": f"WITH {_E} SELECT {_COLUMNS} FROM ob WHERE f % 2 = 0 AND n * 2 > every",
 }

@@ -157,7 +157,7 @@ l AS (SELECT *, CASE WHEN was IS NULL THEN 'awarded' WHEN seen IS NULL THEN {mis
 SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY seen IS NULL, lot_id) AS sequence, lot_id, kind FROM l WHERE kind IS NOT NULL"""
 
     out = {
-        "s8_usage_event": f"WITH {UE} SELECT * FROM ue",
+        "a0_usage_events": f"WITH {UE} SELECT * FROM ue",
         "c2_event_identity": f"{fp} SELECT source_offset, fingerprint, 'event_' || substr(fingerprint, 1, 20) AS event_id FROM fpd",
         "a2_time_rollup": rolled(),
         "a4_merged_rollup": rolled(),

@@ -45,7 +45,7 @@ def _targets():
     return calendar.day_targets(FIRST, LAST, ZONE)
 
 
-query("s8_usage_event")(_events)
+query("a0_usage_events")(_events)
 query("c2_event_identity")(lambda s, d: testdata.usage_event(s, d, True).select("source_offset", "fingerprint", "event_id"))
 query("a2_time_rollup")(_rollup)
 query("a5_session_rollup")(lambda s, d: rollup.session_rollup(_events(s, d)))
