@@ -44,7 +44,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_cutting_keeps_columns_of_clashing_names(spark):
-    text = "".join(random.Random(8).choice("abcdefghij ") for _ in range(300))
+    text = "".join(random.Random(8).choices("abcdefghij ", k=300))
     rows = [(1, text, "a", 5), (2, "x" + text, "b", 6), (3, text, "c", 7)]
     table = spark.createDataFrame(rows, "doc_id long, text string, __cut_id string, __had long")
     got = {r.doc_id: r for r in run_index.dedup(table).collect()}
