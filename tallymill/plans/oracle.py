@@ -80,7 +80,7 @@ SELECT {target}, total_events, priced_events, reported_events, assumed_events, u
   CASE WHEN priced_events > 0 AND reported_events > 0 THEN 'mixed' WHEN priced_events > 0 THEN 'calculated' WHEN reported_events > 0 THEN 'reported' ELSE 'none' END AS composition FROM h"""
 
 
-def _batch(target: str, expr: str, where: str) -> str:
+def batch_sql(target: str, expr: str, where: str) -> str:
     return f"""WITH {UE}, {PRICED}, b AS (SELECT {expr} AS {target}, {PKEYS}, count(*) AS event_count FROM pb {where} GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY {target} ORDER BY {PKEYS}) AS key_rank FROM b), kept AS (SELECT * FROM k WHERE key_rank <= 512 ORDER BY key_rank, {target} LIMIT 512)
 SELECT {target}, target_events, coalesce(shown_events, 0) AS shown_events, coalesce(keys, 0) AS keys, target_events - coalesce(shown_events, 0) AS omitted_events
@@ -181,9 +181,9 @@ SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY seen IS NULL,
         "u13_session_detail": f"{sess} SELECT * FROM ss WHERE provider_id = 'local' AND profile_id = 'profile_0' AND session_id = 'session_0' AND dimension = 'all'",
         "u14_session_models": f"{sess} SELECT dimension_value, {metrics} FROM ss WHERE provider_id = 'local' AND profile_id = 'profile_0' AND session_id = 'session_0' AND dimension = 'model'",
         "p1_price_basis": f"WITH {UE}, {PRICED} SELECT {PKEYS}, {PSUMS} FROM pb WHERE {rng} GROUP BY ALL ORDER BY {PKEYS} LIMIT 512",
-        "p3_price_batch_days": _batch("day", f"(timestamp_seconds - {start}) // 86400", f"WHERE {rng}"),
-        "p4_price_batch_projects": _batch("project", "project", f"WHERE {rng}"),
-        "p5_price_batch_sessions": _batch("session_id", "session_id", ""),
+        "p3_price_batch_days": batch_sql("day", f"(timestamp_seconds - {start}) // 86400", f"WHERE {rng}"),
+        "p4_price_batch_projects": batch_sql("project", "project", f"WHERE {rng}"),
+        "p5_price_batch_sessions": batch_sql("session_id", "session_id", ""),
         "p6_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{m}', '{t}', '{c}', CAST({u} AS BIGINT), CAST({a} AS BIGINT), CAST({o} AS BIGINT))" for n, m, t, c, u, a, o in rate_rows()) + ") v(name, canonical, tier_class, context, uncached_rate, cached_rate, output_rate)",
         "p12_cost_auto_days": _cost("day", "auto", start, end),
         "p12_cost_calculated_models": _cost("target", "calculated", start, end),

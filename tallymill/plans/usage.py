@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.measures import METRICS, elapsed_ppm
 from tallymill.operators import analytics, calendar, pricing, rollup, status
-from tallymill.plans.oracle import AGGS, PRICED, PKEYS, PSUMS, UE, ZERO
+from tallymill.plans.oracle import PKEYS, PRICED, PSUMS, UE, ZERO, batch_sql
 from tallymill.sources import testdata
 from tallymill.sources.stored import stored_rollup
 
@@ -57,6 +57,11 @@ def _session(spark, sf_dir):
     return rollup.price_basis_rows(e).orderBy(*rollup.PRICE_KEYS).limit(pricing.ROWS)
 
 
+def _session_items(spark, sf_dir):
+    e = testdata.usage_event(spark, sf_dir).filter("session_id = 'session_1'").withColumn("item", F.col("model"))
+    return pricing.batch(rollup.price_basis_rows(e, "item"), "item")
+
+
 def _rates(spark, sf_dir):
     parts = testdata.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     text = F.when(F.col("k") % 5 == 0, F.concat("k", F.lit(".1234567"))).when(F.col("k") % 5 == 1, F.concat("k", F.lit("."))).when(F.col("k") % 5 == 2, F.concat("k", F.lit(".25"))).when(F.col("k") % 5 == 3, F.concat("k", F.lit("000000"))).otherwise(F.concat("k", F.lit(".000001")))
@@ -103,6 +108,7 @@ QUERIES = {
     "d7_occurrences": lambda s, d: calendar.exposure(s, START, END, ZONE, "weekday"),
     "p1_omitted_events": lambda s, d: pricing.page(rollup.price_basis_rows(_basis(s, d)), 10).select(*rollup.PRICE_KEYS, "event_count", "all_events", "omitted_events"),
     "p2_session_basis": _session,
+    "p5_session_breakdown": _session_items,
     "p8_rates": _rates,
     "p11_overrides": _overridden,
     "p14_incoherent_rows": _incoherent,
@@ -136,6 +142,7 @@ def sql(fingerprinted: str) -> dict[str, str]:
         "d7_occurrences": f"SELECT CAST(isodow(l) - 1 AS BIGINT) AS weekday, count(*) AS elapsed_minutes, count(DISTINCT date_trunc('hour', l)) AS occurrences FROM (SELECT timezone('America/New_York', timezone('UTC', make_timestamp(range * 1000000))) AS l FROM range({START}, {END}, 60)) GROUP BY 1",
         "p1_omitted_events": f"WITH {UE}, {PRICED}, g AS (SELECT {PKEYS}, {PSUMS} FROM pb WHERE {_RANGE} GROUP BY ALL), k AS (SELECT * FROM g ORDER BY {PKEYS} LIMIT 10) SELECT {PKEYS}, event_count, (SELECT CAST(sum(event_count) AS BIGINT) FROM g) AS all_events, (SELECT CAST(sum(event_count) AS BIGINT) FROM g) - (SELECT CAST(sum(event_count) AS BIGINT) FROM k) AS omitted_events FROM k",
         "p2_session_basis": f"WITH {UE}, {PRICED} SELECT {PKEYS}, {PSUMS} FROM pb WHERE session_id = 'session_1' GROUP BY ALL",
+        "p5_session_breakdown": batch_sql("item", "model", "WHERE session_id = 'session_1'"),
         "p8_rates": "SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 2 THEN p_partkey * 1000000 + 250000 WHEN 3 THEN CASE WHEN p_partkey <= 1 THEN p_partkey * 1000000000000 END WHEN 4 THEN p_partkey * 1000000 + 1 END AS micros FROM part",
         "p11_overrides": "SELECT * FROM (VALUES ('gpt-5-nano', 'gpt-5-nano', 60000, 5000, 400000), ('gpt-5-nano-2025-08-07', 'gpt-5-nano', 60000, 5000, 400000), ('own-model', 'own-model', 1000000, 100000, 2000000), ('unpriced-model', 'own-model', 1000000, 100000, 2000000)) v(name, canonical, uncached_rate, cached_rate, output_rate), (VALUES ('standard', 'short')) w(tier_class, context)",
         "p14_incoherent_rows": f"WITH {UE}, {PRICED} SELECT DISTINCT {PKEYS} FROM pb WHERE {_RANGE} AND model = 'gpt-5.5'",
