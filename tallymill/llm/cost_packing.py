@@ -32,7 +32,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Tokens packed at once in a task.
 BIN_TOKENS = 1 << 21
 #: Words a Python worker remembers; beyond that it starts anew.
-MEMORY = 1_000_000
+MEMORY = 150_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -355,8 +355,8 @@ def _unjoined(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _shared_tokens(sets: DataFrame) -> DataFrame:
-    """(token, node, members) of the tokens that several nodes have; a token's rows stay rows, however many."""
-    every = sets.select("node", F.explode("tokens").alias("token"))
+    """(token, node, n, members) of the tokens that several nodes have; a token's rows stay rows, however many."""
+    every = sets.select("node", "n", F.explode("tokens").alias("token"))
     return every.withColumn("members", F.count("*").over(Window.partitionBy("token"))).filter("members > 1")
 
 
@@ -373,15 +373,24 @@ def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(sizes & (9 * apart <= F.col("u_n") + F.col("v_n"))).select("u", "v")
 
 
-def _to_smallest(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): each node and the KIN ones that are the smallest at most of its tokens, where labels differ."""
-    low = F.min(F.struct("node", "label")).over(Window.partitionBy("token"))
-    apart = _labelled(met, label).withColumn("low", low).filter(F.col("label") != F.col("low.label"))
-    often = apart.groupBy(F.col("node").alias("u"), F.col("low.node").alias("v")).agg(F.count("*").alias("n"))
+def _kin(met: DataFrame, label: DataFrame, other: Column) -> DataFrame:
+    """(u, v): each node and the KIN ones that `other` names at most of its tokens, where labels differ."""
+    apart = _labelled(met, label).withColumn("other", other).filter(F.col("label") != F.col("other.label"))
+    often = apart.groupBy(F.col("node").alias("u"), F.col("other.node").alias("v")).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("n"), "v"))
     return often.withColumn("rank", rank).filter(F.col("rank") <= KIN).select("u", "v")
 
 
+def _to_smallest(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with the smallest node at a token."""
+    return _kin(met, label, F.min(F.struct("node", "label")).over(Window.partitionBy("token")))
+
+
+def _to_previous(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with the node before at a token, by size of the set: one that is most alike in size."""
+    return _kin(met, label, F.lag(F.struct("node", "label")).over(Window.partitionBy("token").orderBy("n", "node")))
+
+
 def _rest(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): every possible pair of nodes that share a token and have different labels."""
     # a token whose documents are one group already says nothing new
@@ -440,8 +449,8 @@ def _near(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     Equal texts are one from the start, combined before the shuffle that deals texts out by digest; that table is
     written in buckets, since the verifications and the result take texts from it without moving them. First SimHash
     anchors link fingerprints, and each member of a group is verified against the group's root. What is apart is then
-    held against the smallest document at most of its tokens, which joins families of copies by few pairs. What is
-    still apart is held against every document that shares as many tokens as every pair of the required similarity
+    held against the smallest document, then against the one next in size, at most of its tokens, which joins
+    families of copies by few pairs a document. What is still apart is held against every document that shares as many tokens as every pair of the required similarity
     does: no link is lost to SimHash or to the order of the rounds.
     """
     least = F.min_by("row", F.struct("id", F.xxhash64("text")))
@@ -457,7 +466,7 @@ def _near(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouped = components(links.unionByName(equal)).filter("node <> root").toDF("u", "v")
     links = materialize(_verified(grouped, sets, texts))
     met = materialize(_shared_tokens(sets))
-    for find in (_to_smallest, _rest):
+    for find in (_to_smallest, _to_previous, _rest):
         found = find(met, components(links).toDF("node", "label"), sets)
         more = _verified(_allowed(found, sets), sets, texts)
         links = materialize(links.unionByName(more))
