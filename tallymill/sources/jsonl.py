@@ -180,7 +180,8 @@ def facts(lines: DataFrame) -> DataFrame:
     of_wrapper = lambda k: reduce(lambda rest, x: F.when(x[0], x[k]).otherwise(rest), wrapped[::-1], F.lit(None))
     inside, top = of_wrapper(1), counters(v, "usage")
     direct = F.when(~counted, F.coalesce(inside, top))
-    raw = lines.filter(relevant(F.col("value"))).select("file", "relative", "source_offset", parsed(F.col("value")).alias("line")).select(
+    # a filter is not moved below a generator, so lines are parsed once, not once more for each field that it names
+    raw = lines.filter(relevant(F.col("value"))).select("file", "relative", "source_offset", F.explode(F.array(parsed(F.col("value")))).alias("line")).select(
         "file", "relative", "source_offset", "line",
         F.when(counted, last).alias("last"), F.when(counted, whole).alias("cumulative"), direct.alias("direct"),
         F.when(counted, first(*COUNT_MODELS)).when(~counted & inside.isNotNull(), of_wrapper(2)).when(direct.isNotNull(), first("model", "model_name")).alias("explicit"),
