@@ -1,4 +1,4 @@
-"""The ten corpus operators and the pipeline as registered queries over the synthetic tables."""
+"""The corpus operators as registered queries over the synthetic tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cost_packing, merge_automaton, neighbour_toxicity, norm_search, paragraph_sketch, run_index, simhash_anchors, subword_quality, word_language
+from . import cell_codes, chat_format, cost_packing, credential_links, joint_counts, merge_automaton, neighbour_toxicity, norm_search, paragraph_sketch, run_index, simhash_anchors, statements, subword_quality, word_language
 from .common import held_out, table
 
 
@@ -69,8 +69,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_automaton.encoded(docs, tokenizer_path("byte_bpe_50k.json"), lists=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cell_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joint_counts.report(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credential_links.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_language_id, op3_simhash_dedup, op4_toxicity, op5_top_k, op6_chat_format, op7_document_fingerprint, op8_quality, op9_packing, op10_bpe)
+    found = (op1_suffix_dedup, op2_language_id, op3_simhash_dedup, op4_toxicity, op5_top_k, op6_chat_format, op7_document_fingerprint, op8_quality, op9_packing, op10_bpe, op11_vector_codes, op12_source_divergence, op13_secret_scan)
     return {f.__name__: f for f in found}
 
 
@@ -104,4 +116,4 @@ FROM g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_top_k": _OP5, "op6_chat_format": _OP6}
+    return {"op5_top_k": _OP5, "op6_chat_format": _OP6, **statements.SQL}
