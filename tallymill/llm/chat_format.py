@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh_names
+
 #: Marks of the template, and what stands for the signs they are made of.
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
@@ -185,13 +187,14 @@ def formatted(conversations: DataFrame) -> DataFrame:
     """The conversations with `formatted` and `loss_spans` (start and size in bytes of what assistants say)."""
     heads = F.transform("turns", lambda t: F.concat(F.lit(OPEN), escape(t["role"], True), F.lit(COLON)))
     bodies = F.transform("turns", lambda t: escape(t["text"]))
-    out = conversations.withColumns({"__heads": heads, "__bodies": bodies})
-    whole = F.array_join(F.zip_with("__heads", "__bodies", lambda h, b: F.concat(h, b, F.lit(CLOSE))), "")
-    sizes = F.zip_with("__heads", "__bodies", lambda h, b: F.struct(F.octet_length(h).cast("long").alias("h"), F.octet_length(b).cast("long").alias("b")))
-    out = out.withColumns({"formatted": whole, "__sizes": F.zip_with(sizes, "turns", lambda s, t: F.struct(s["h"].alias("h"), s["b"].alias("b"), (t["role"] == "assistant").alias("on")))})
+    head, body, size = fresh_names(conversations.columns, "heads", "bodies", "sizes")
+    out = conversations.withColumns({head: heads, body: bodies})
+    whole = F.array_join(F.zip_with(head, body, lambda h, b: F.concat(h, b, F.lit(CLOSE))), "")
+    sizes = F.zip_with(head, body, lambda h, b: F.struct(F.octet_length(h).cast("long").alias("h"), F.octet_length(b).cast("long").alias("b")))
+    out = out.withColumns({"formatted": whole, size: F.zip_with(sizes, "turns", lambda s, t: F.struct(s["h"].alias("h"), s["b"].alias("b"), (t["role"] == "assistant").alias("on")))})
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,size:bigint>>").alias("spans"))
     add = lambda a, s: F.struct((a["at"] + s["h"] + s["b"] + len(CLOSE)).alias("at"), F.when(s["on"], F.concat(a["spans"], F.array(F.struct((a["at"] + s["h"]).alias("start"), s["b"].alias("size"))))).otherwise(a["spans"]).alias("spans"))
-    return out.withColumn("loss_spans", F.aggregate("__sizes", empty, add)["spans"]).drop("__heads", "__bodies", "__sizes")
+    return out.withColumn("loss_spans", F.aggregate(size, empty, add)["spans"]).drop(head, body, size)
 
 
 def read_back(conversations: DataFrame) -> DataFrame:

@@ -51,6 +51,15 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return rows
 
 
+def fresh_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has (names differ by more than case), so that an input's own columns stay."""
+    taken = {c.lower() for c in columns}
+    mark = ""
+    while any(f"{mark}{w}".lower() in taken for w in wanted):
+        mark += "_"
+    return [f"{mark}{w}" for w in wanted]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MULT, Letters, held_out, mix, slices
+from .common import MULT, Letters, fresh_names, held_out, mix, slices
 
 UNKNOWN = "und"
 #: Bound of the labelled rows the model is fitted on; whole texts are used.
@@ -230,10 +230,15 @@ def fit(documents: DataFrame, rows: int = TRAIN_DOCS) -> Model:
     return train([r.text for r in got], [r.lang for r in got])
 
 
-def annotate(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents with lang_pred, lang_score and lang_words; columns of these names are replaced."""
-    kept = documents.drop("lang_pred", "lang_score", "lang_words")
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_words", T.LongType())])
+#: What annotate adds, if not told otherwise.
+NAMES = ("lang_pred", "lang_score", "lang_words")
+
+
+def annotate(documents: DataFrame, model: Model, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """The documents with prediction, score and number of words under these names; columns that have them are replaced."""
+    kept = documents.drop(*names)
+    added = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.LongType()), strict=True)]
+    schema = T.StructType([*kept.schema.fields, *added])
     shared = kept.sparkSession.sparkContext.broadcast(model)  # its size is set by BITS, the lexicon and the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,15 +247,17 @@ def annotate(documents: DataFrame, model: Model) -> DataFrame:
             for a, b in slices([len(t or "") for t in texts]):
                 for into, part in zip(got, predict(shared.value, texts[a:b]), strict=True):
                     into.extend(part)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.int64())], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.int64())], names=[*batch.schema.names, *names])
 
     return kept.mapInArrow(run, schema)
 
 
 def accepted(documents: DataFrame, least: float = 0.3) -> DataFrame:
-    """Documents whose language is known with a probability of `least` or more, with their own columns."""
+    """Documents whose language is known with a probability of `least` or more, with their own columns, whatever their names."""
     model = fit(documents)
-    return annotate(documents, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select(*documents.columns)
+    names = tuple(fresh_names(documents.columns, *NAMES))
+    rows = annotate(documents, model, names)
+    return rows.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).drop(*names)
 
 
 __all__ = ["Model", "accepted", "annotate", "fit", "forward_backward", "label_words", "predict", "train"]

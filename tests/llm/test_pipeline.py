@@ -51,3 +51,48 @@ def test_cutting_keeps_columns_of_clashing_names(spark):
     assert table.columns == run_index.dedup(table).columns and [got[k]["__cut_id"] for k in (1, 2, 3)] == ["a", "b", "c"]
     assert (got[1].text, got[3].text) == (text, "") and len(got[2].text) < 10
     assert {r.doc_id for r in run_index.dedup(table, emptied=False).collect()} == {1, 2}
+
+
+def _through(spark, docs, tmp_path, keep=lambda name, rows: None):
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.columns
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert k == 4 or docs.columns == before
+        keep(name, docs)
+    return docs
+
+
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    rows = docs.collect()
+    odd = [(r.doc_id if k % 9 else None, r.text, r.lang, "en", f"q{k}", k / 2, k, "s") for k, r in enumerate(rows)]
+    odd += [odd[1], odd[1], (7, None, "en", "x", "q", 0.0, 0, "s"), (None, "", None, "x", "q", 0.0, 0, "s"), (8, " \n\t", "en", "x", "q", 0.0, 0, "s"), (9, rows[3].text * 40, "en", "x", "long", 1.0, 1, "s")]
+    table = spark.createDataFrame(odd, "doc_id long, text string, lang string, lang_pred string, quality_score string, lang_score double, same long, row string").repartition(3)
+    given = collections.Counter((r.doc_id, r.lang_pred, r.quality_score, r.lang_score, r.same, r.row) for r in table.collect())
+    left = {}
+
+    def keep(name, got):
+        if name != "packing":
+            now = collections.Counter((r.doc_id, r.lang_pred, r.quality_score, r.lang_score, r.same, r.row) for r in got.collect())
+            assert not now - given
+            left[name] = now
+
+    packed = _through(spark, table, tmp_path, keep)
+    assert sum(left["language_id"].values()) > 100 and sum(left["suffix_dedup"].values()) > 10
+    assert left["language_id"][odd[1][0], "en", "q1", 0.5, 1, "s"] in (0, 3) and max(left["near_dedup"].values()) == 1
+    assert {r.doc_id for r in packed.collect()} == {k[0] for k in left["suffix_dedup"]}
+
+
+def test_stages_take_an_empty_table(spark, tmp_path):
+    table = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, lang_words string")
+    assert _through(spark, table, tmp_path).count() == 0
+
+
+def test_formatting_keeps_columns_of_clashing_names(spark):
+    from tallymill.llm import chat_format
+
+    turns = "array<struct<role:string,text:string>>"
+    rows = spark.createDataFrame([(1, [("user", "a"), ("assistant", "b")], "h", "b", "s")], f"conv_id long, turns {turns}, heads string, bodies string, SIZES string")
+    got = chat_format.formatted(rows)
+    assert got.columns[: len(rows.columns)] == rows.columns and tuple(got.first())[2:5] == ("h", "b", "s")
