@@ -17,29 +17,38 @@ from tallymill.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known."""
+    """Keeps documents whose language is known.
+
+    A null or empty text has no language and goes; repeated rows and null ids are judged by their texts like any others;
+    all columns stay as they are, whatever their names.
+    """
     return word_language.accepted(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a quality of one half or more."""
-    model = subword_quality.fit(docs, table(spark, sf_dir, "labels"))
-    return subword_quality.annotate(docs, model).filter("quality_score >= 0.5").select(*docs.columns)
+    """Keeps documents with a quality of one half or more; an untrained model (no labels) keeps all. Rows and columns as before."""
+    return subword_quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group (five-word shingles, similarity 0.8 or more)."""
+    """Keeps one document of each near-duplicate group (five-word shingles, similarity 0.8 or more), the smallest id's.
+
+    Repeated rows are one; documents without an id stand for themselves; those of fewer than five words are their own shingle.
+    """
     return simhash_anchors.representatives(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts what repeats an earlier 100-byte string; a document that loses all its text goes."""
+    """Cuts what repeats an earlier 100-byte string; a document that loses all its text goes, and n_chars follows the text.
+
+    A null id comes before all others; rows of one id and text are one place, so neither cuts the other.
+    """
     kept = run_index.dedup(docs, emptied=False)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4,096 tokens."""
+    """Pieces of sequences of at most 4,096 tokens; a row is a document, null texts are empty, and further columns do not matter."""
     return cost_packing.packed(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymill.sources import git_log
+
 DAYS = 400
 #: What places a path in a category, tried in this order.
 CATEGORIES = ("vendor_generated", "schema_migration", "test", "docs_spec", "config_build", "asset", "product_code", "other")
@@ -114,27 +116,18 @@ def unavailable_reason(lines: Column, cost: str = "cost") -> Column:
 
 
 def parse_log(logs: DataFrame, authors: list[str]) -> DataFrame:
-    """(repository_id, commit, day_index, parents, selected, path, kind, added, removed) of `log`, records behind 0x1e with fields ended by NUL.
+    """(repository_id, commit, day_index, parents, selected, path, kind, added, removed, error) of `log`, as `sources.git_log` reads it.
 
-    A record has object id, seconds, raw and canonical author, parents, then raw entries and their line counts; a rename
-    names the old and the new path behind an entry. A commit is selected by either author. Merges have no paths: one row
-    with a null path stands for a commit without any. The day is that of UTC, before 1970 too.
+    A commit is selected by either author. Merges have no paths: one row with a null path stands for a commit without any.
+    The day is that of UTC, before 1970 too. A text that breaks the protocol is one row with `error` alone.
     """
-    record = logs.select("repository_id", F.explode(F.split("log", "\x1e")).alias("record")).filter("record <> ''")
-    t = F.split("record", "\x00")
-    rows = record.select("repository_id", t[0].alias("commit"), t[1].try_cast("bigint").alias("at"), t[2].alias("raw_author"), t[3].alias("author"), t[4].alias("parent_ids"), F.slice(t, 6, F.greatest(F.size(t) - 5, F.lit(0))).alias("t"))
-    places = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
-    token = lambda i: F.get("t", i)
-    raw = F.filter(places, lambda i: token(i).rlike("^:[0-7]{6} [0-7]{6} [0-9a-f]+ [0-9a-f]+ [A-Z][0-9]*$"))
-    modules = F.transform(F.filter(raw, lambda i: token(i).rlike("^:160000 |^:[0-7]{6} 160000 ")), lambda i: F.when(token(i).rlike(" [RC][0-9]*$"), token(i + 2)).otherwise(token(i + 1)))
-    counted = F.filter(places, lambda i: token(i).rlike(r"^([0-9]+|-)\t([0-9]+|-)\t"))
-    part = lambda i, k: F.get(F.split(token(i), "\t", 3), k)
-    each = F.transform(counted, lambda i: F.struct(F.when(part(i, 2) == "", token(i + 2)).otherwise(part(i, 2)).alias("path"), part(i, 0).try_cast("bigint").alias("added"), part(i, 1).try_cast("bigint").alias("removed")))
-    chosen = F.array(*map(F.lit, authors)) if authors else F.array().cast("array<string>")
-    heads = rows.select("repository_id", "commit", F.floor(F.col("at") / 86_400).cast("bigint").alias("day_index"), F.size(F.filter(F.split("parent_ids", " "), lambda p: p != "")).alias("parents"), (F.array_contains(chosen, F.col("raw_author")) | F.array_contains(chosen, F.col("author"))).alias("selected"), modules.alias("modules"), F.explode_outer(each).alias("e"))
-    kind = F.when(F.col("e").isNull(), None).when(F.array_contains("modules", F.col("e.path")), "submodule").when(F.col("e.added").isNull(), "binary").otherwise("text")
-    text = lambda c: F.when(kind == "text", F.col(f"e.{c}")).alias(c)
-    return heads.select("repository_id", "commit", "day_index", "parents", "selected", "e.path", kind.alias("kind"), text("added"), text("removed"))
+    return git_log.changes(logs, authors)
+
+
+def sound(changes: DataFrame) -> DataFrame:
+    """The changes of repositories of which no text is in error: a scan that failed in part is not published."""
+    failed = changes.filter(F.col("error").isNotNull()).select("repository_id").distinct()
+    return changes.filter(F.col("error").isNull()).join(failed, "repository_id", "left_anti").drop("error")
 
 
 def commits(changes: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallymill.functions.checkpoints import materialize
 
 DEPTH, CHILDREN = 32, 256
+#: What a session is known by.
+KEY = ("provider_id", "profile_id", "session_id")
 #: Order of observations along a session.
 ORDER = ("ordinal", "file_key", "generation", "source_offset", "fingerprint")
 
@@ -20,48 +22,80 @@ def canonical(observations: DataFrame, key: str = "fingerprint", order: tuple[st
 
 
 def relations(observations: DataFrame) -> DataFrame:
-    """(session_id, parent_session_id, relation_conflict) of each session; a session that names two parents has none and a conflict."""
-    per = observations.groupBy("session_id").agg(F.min("parent_session_id").alias("low"), F.max("parent_session_id").alias("high"), F.max("relation_conflict").alias("said"))
+    """(key, parent_session_id, relation_conflict) of each session; a session that names two parents has none and a conflict.
+
+    A session is known by provider, profile and name (KEY), and its parent is one of the same provider and profile.
+    """
+    return settled(declared(observations))
+
+
+def declared(observations: DataFrame) -> DataFrame:
+    """(key, low, high, said): what rows declare of a session; minima and maxima, so parts of it can be merged."""
+    return observations.groupBy(*KEY).agg(F.min("parent_session_id").alias("low"), F.max("parent_session_id").alias("high"), F.max("relation_conflict").alias("said"))
+
+
+def settled(said: DataFrame) -> DataFrame:
+    """The relations that merged declarations amount to."""
     two = F.coalesce(F.col("low") != F.col("high"), F.lit(False))
     itself = F.coalesce(F.col("low") == F.col("session_id"), F.lit(False))
-    return per.select("session_id", F.when(~two & ~itself, F.col("low")).alias("parent_session_id"), (F.col("said") | two | itself).alias("relation_conflict"))
+    return said.select(*KEY, F.when(~two & ~itself, F.col("low")).alias("parent_session_id"), (F.coalesce("said", F.lit(False)) | two | itself).alias("relation_conflict"))
+
+
+def paths(relations: DataFrame) -> DataFrame:
+    """(key, path): the ancestors of each session that has a parent, nearest first, each with `bad`, whether its own relation is in conflict.
+
+    A path goes no further than an ancestor in conflict, and holds all of the first 33. Each join doubles what is known;
+    joins end when no path grows, after six at the latest, so paths stay under 65 names. Two joins share a checkpoint.
+    """
+    place = list(KEY[:2])
+    bad = relations.select(*place, F.col("session_id").alias("parent_session_id"), F.col("relation_conflict").alias("bad"))
+    hop = relations.filter(F.col("parent_session_id").isNotNull()).select(*KEY, "parent_session_id").join(bad, [*place, "parent_session_id"], "left")
+    walk = hop.select(*KEY, F.array(F.struct(F.col("parent_session_id").alias("name"), F.coalesce("bad", F.lit(False)).alias("bad"))).alias("path"), F.lit(True).alias("grew"))
+    walk = materialize(walk)
+    for _ in range(3):
+        for _ in range(2):
+            step = walk.select(*place, F.col("session_id").alias("at"), F.col("path").alias("more"))
+            end = F.when(~F.element_at("path", -1)["bad"], F.element_at("path", -1)["name"])
+            met = walk.withColumn("at", end).join(step, [*place, "at"], "left")
+            walk = met.select(*KEY, F.concat("path", F.coalesce("more", F.filter("path", lambda p: F.lit(False)))).alias("path"), F.col("more").isNotNull().alias("grew"))
+        walk = materialize(walk)
+        if walk.filter("grew").isEmpty():
+            break
+    return walk.select(*KEY, "path")
 
 
 def ancestors(relations: DataFrame) -> DataFrame:
-    """(session_id, depth, cycle, conflict, over): how far each session's chain of parents goes, up to 33.
+    """(key, depth, cycle, conflict, over): how far each session's chain of parents goes, up to 33.
 
     A chain that returns is a cycle; it stops at an ancestor whose own relation is in conflict, and is over where it is
-    longer than 32. Each of six joins doubles the path that is known, so paths stay under 65 names.
+    longer than 32.
     """
-    bad = relations.select(F.col("session_id").alias("parent_session_id"), F.col("relation_conflict").alias("bad")).distinct()
-    hop = relations.filter(F.col("parent_session_id").isNotNull()).select("session_id", "parent_session_id").distinct().join(bad, "parent_session_id", "left")
-    hop = hop.select(F.col("session_id").alias("s"), F.array(F.struct(F.col("parent_session_id").alias("name"), F.coalesce("bad", F.lit(False)).alias("bad"))).alias("path"))
-    walk = materialize(hop)
-    for _ in range(6):
-        step = walk.select(F.col("s").alias("at"), F.col("path").alias("more"))
-        # a path goes no further than an ancestor in conflict
-        end = F.when(~F.element_at("path", -1)["bad"], F.element_at("path", -1)["name"])
-        walk = materialize(walk.withColumn("at", end).join(step, "at", "left").select("s", F.concat("path", F.coalesce("more", F.filter("path", lambda p: F.lit(False)))).alias("path")))
+    return chain_facts(paths(relations))
+
+
+def chain_facts(walk: DataFrame) -> DataFrame:
     first = F.slice("path", 1, DEPTH + 1)
     names = F.transform(first, lambda p: p["name"])
     bads = F.transform(F.slice("path", 1, DEPTH), lambda p: p["bad"])
     stop = F.array_position(bads, True)
-    cycle = F.array_contains(names, F.col("s")) | (F.size(F.array_distinct(names)) < F.size(names))
+    s = F.col("session_id")
+    cycle = F.array_contains(names, s) | (F.size(F.array_distinct(names)) < F.size(names))
     # names differ up to the first that comes back
-    back = F.when(F.array_contains(names, F.col("s")), F.array_position(names, F.col("s"))).otherwise(F.size(F.array_distinct(names)) + 1)
+    back = F.when(F.array_contains(names, s), F.array_position(names, s)).otherwise(F.size(F.array_distinct(names)) + 1)
     depth = F.when(cycle, back).when(stop > 0, stop).otherwise(F.least(F.size("path"), F.lit(DEPTH + 1))).cast("int")
     conflict = (stop > 0) & ~cycle
-    return walk.select(F.col("s").alias("session_id"), depth.alias("depth"), cycle.alias("cycle"), conflict.alias("conflict"), ((depth > DEPTH) & ~cycle & ~conflict).alias("over"))
+    return walk.select(*KEY, depth.alias("depth"), cycle.alias("cycle"), conflict.alias("conflict"), ((depth > DEPTH) & ~cycle & ~conflict).alias("over"))
 
 
 def fan_out(relations: DataFrame) -> DataFrame:
-    return relations.filter(F.col("parent_session_id").isNotNull()).select("session_id", "parent_session_id").distinct().groupBy("parent_session_id").agg(F.least(F.count("*"), F.lit(CHILDREN + 1)).alias("children"))
+    of_parent = (*KEY[:2], "parent_session_id")
+    return relations.filter(F.col("parent_session_id").isNotNull()).groupBy(*of_parent).agg(F.least(F.count("*"), F.lit(CHILDREN + 1)).alias("children"))
 
 
 def parent_facts(observations: DataFrame) -> DataFrame:
-    """(parent_session_id, ordinal, parent): what a parent says at an ordinal, the first by file, generation, offset and fingerprint."""
+    """(provider_id, profile_id, parent_session_id, ordinal, parent): what a parent says at an ordinal, the first by file, generation, offset and fingerprint."""
     fact = F.struct(*ORDER[1:], "signature", "strong", "declared_conflict", "relation_conflict")
-    return observations.groupBy(F.col("session_id").alias("parent_session_id"), "ordinal").agg(F.min(fact).alias("parent"))
+    return observations.groupBy(*KEY[:2], F.col("session_id").alias("parent_session_id"), "ordinal").agg(F.min(fact).alias("parent"))
 
 
 def classify(observations: DataFrame, complete: bool = True) -> DataFrame:
@@ -72,17 +106,28 @@ def classify(observations: DataFrame, complete: bool = True) -> DataFrame:
     ordinal, makes the rest conflict; a conflicting relation, or a cycle, all. Chains over 32 are pending. The fold is a
     running first value along the session. Roots take no part in the join with parents, so no null key gathers them.
     """
-    known = relations(observations)
-    facts = known.join(ancestors(known), "session_id", "left").select("session_id", F.col("parent_session_id").alias("__parent"), F.col("relation_conflict").alias("__bad"), "cycle", "conflict", "over")
-    rows = observations.drop("relation_conflict").join(facts, "session_id")
+    known = materialize(relations(observations))
+    return judged(observations, known, known.join(ancestors(known), list(KEY), "left"), observations, complete)
+
+
+def judged(observations: DataFrame, relations: DataFrame, facts: DataFrame, of_parents: DataFrame, complete: bool) -> DataFrame:
+    """The observations with `disposition`.
+
+    facts has a row for each of their sessions: relation, cycle, conflict and over; of_parents holds their parents' rows, and
+    relations those of the parents.
+    """
+    named = facts.select(*KEY, F.col("parent_session_id").alias("__parent"), F.col("relation_conflict").alias("__bad"), "cycle", "conflict", "over")
+    rows = observations.drop("relation_conflict").join(named, list(KEY))
     child = rows.filter(F.col("__parent").isNotNull())
-    parents = parent_facts(observations.drop("relation_conflict").join(known.select("session_id", "relation_conflict"), "session_id"))
-    met = child.join(parents.withColumnRenamed("parent_session_id", "__parent"), ["__parent", "ordinal"], "left")
+    up = facts.filter(F.col("parent_session_id").isNotNull()).select(*KEY[:2], F.col("parent_session_id").alias("session_id")).distinct()
+    needed = of_parents.drop("relation_conflict").join(up, list(KEY), "left_semi").join(relations.select(*KEY, "relation_conflict"), list(KEY))
+    parents = parent_facts(needed)
+    met = child.join(parents.withColumnRenamed("parent_session_id", "__parent"), [*KEY[:2], "__parent", "ordinal"], "left")
     alone = rows.filter(F.col("__parent").isNull()).withColumn("parent", F.lit(None).cast(parents.schema["parent"].dataType))
     every = met.unionByName(alone)
     of_child, gone = F.col("__parent").isNotNull(), F.col("parent").isNull()
     both = F.coalesce(F.col("strong") & F.col("parent.strong"), F.lit(False))
-    along = Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*KEY).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     cause = F.when(of_child & gone, "eligible" if complete else "pending").when(of_child & both & (F.col("signature") != F.col("parent.signature")), "eligible")
     ruled = F.first(cause, ignorenulls=True).over(along)
     said = F.col("declared_conflict") | F.coalesce(F.col("parent.declared_conflict") | F.col("parent.relation_conflict"), F.lit(False))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallymill.operators.rollup import PRICE_KEYS
 
 ROWS = 512
+#: The sums by which price-basis rows are ranked, in this order.
+PRICE_SUMS_BY_WEIGHT = ("event_count", "calculable_events", "reported_events", "uncached", "cached", "billable", "reported_cost")
 #: Micro-dollars a million uncached, cached and output tokens, short then long context; priority likewise.
 RATES = (
     ("gpt-5.6-sol", ("gpt-5.6",), (5_000_000, 500_000, 30_000_000), (10_000_000, 1_000_000, 45_000_000), (10_000_000, 1_000_000, 60_000_000), None),
@@ -94,10 +96,15 @@ def snapshot(models: dict[str, dict[tuple[str, str], tuple]], aliases: dict[str,
     return rows, hashlib.sha256(repr((sorted((m, sorted(v.items())) for m, v in models.items()), sorted(aliases.items()))).encode()).hexdigest()
 
 
+def rank() -> list[Column]:
+    """The order in which price-basis rows are shown: those of most events first, then by the other sums, then by key."""
+    return [*map(F.desc, PRICE_SUMS_BY_WEIGHT), *map(F.col, PRICE_KEYS)]
+
+
 def page(rows: DataFrame, limit: int = ROWS) -> DataFrame:
-    """The first price-basis rows by key, with the events of all rows and of those that the page omits."""
+    """The first price-basis rows by rank, with the events of all rows and of those that the page omits."""
     every = rows.agg(F.coalesce(F.sum("event_count"), F.lit(0)).cast("bigint").alias("all_events"))
-    kept = rows.orderBy(*PRICE_KEYS).limit(limit)
+    kept = rows.orderBy(*rank()).limit(limit)
     shown = kept.agg(F.coalesce(F.sum("event_count"), F.lit(0)).cast("bigint").alias("shown"))
     return kept.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(shown)).withColumn("omitted_events", F.col("all_events") - F.col("shown")).drop("shown")
 
@@ -180,13 +187,13 @@ def select_cost(rows: DataFrame, rates: DataFrame, *target: str, mode: str = "au
     return got.withColumn("amount", amount).withColumn("availability", available).withColumn("composition", mixed).withColumn("missing", F.array_join("missing", ",")).drop("numerator")
 
 
-def batch(rows: DataFrame, target: str, limit: int = ROWS) -> DataFrame:
-    """At most `limit` rows over all targets, each target's first key before any second one; with what was left out.
+def batch(rows: DataFrame, *target: str, limit: int = ROWS) -> DataFrame:
+    """At most `limit` rows over all targets, each target's first row by rank before any second one; with what was left out.
 
     Ranks come from a rank-only window, which keeps a limit for each group; totals are a grouping of their own.
     """
-    keys = Window.partitionBy(target).orderBy(*PRICE_KEYS)
-    kept = rows.withColumn("key_rank", F.row_number().over(keys)).filter(F.col("key_rank") <= limit).orderBy("key_rank", target).limit(limit)
-    totals = rows.groupBy(target).agg(F.sum("event_count").cast("bigint").alias("target_events"))
-    shown = kept.groupBy(target).agg(F.sum("event_count").cast("bigint").alias("shown_events"), F.count("*").alias("keys"))
-    return totals.join(shown, target, "left").fillna(0).withColumn("omitted_events", F.col("target_events") - F.col("shown_events"))
+    keys = Window.partitionBy(*target).orderBy(*rank())
+    kept = rows.withColumn("key_rank", F.row_number().over(keys)).filter(F.col("key_rank") <= limit).orderBy("key_rank", *target).limit(limit)
+    totals = rows.groupBy(*target).agg(F.sum("event_count").cast("bigint").alias("target_events"))
+    shown = kept.groupBy(*target).agg(F.sum("event_count").cast("bigint").alias("shown_events"), F.count("*").alias("keys"))
+    return totals.join(shown, list(target), "left").fillna(0).withColumn("omitted_events", F.col("target_events") - F.col("shown_events"))

@@ -23,6 +23,15 @@ def _id(kind: str, *fields: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(f"tallymill.quota.{kind}"), *[F.concat(F.length(f.cast("string")).cast("string"), F.lit(":"), f.cast("string")) for f in fields]), 256)
 
 
+def epoch_id(first: Column) -> Column:
+    """The id of the epoch that begins with an observation of the row's window."""
+    return _id("epoch", *map(F.col, KEY), first)
+
+
+def transition_id() -> Column:
+    return _id("transition", *map(F.col, KEY), F.col("sequence"), F.coalesce("reset_kind", F.lit("allowance_changed")), F.col("previous_epoch_id"), F.col("epoch_id"), F.col("pre_observation_id"), F.col("observation_id"))
+
+
 def transitions(samples: DataFrame, thresholds: tuple[int | None, int | None, int | None] = THRESHOLDS) -> DataFrame:
     """Accepted samples with signal, reset kind, allowance change, epoch, sequence, ids, confidence and detection time.
 
@@ -69,12 +78,12 @@ def transitions(samples: DataFrame, thresholds: tuple[int | None, int | None, in
     rows = rows.withColumn("epoch", F.sum(resets.cast("bigint")).over(along))
     rows = rows.withColumn("sequence", F.sum(changed.cast("bigint")).over(along))
     first = F.last(F.when(resets | F.col("p_observed_at_ms").isNull(), F.col("observation_id")), True).over(along)
-    rows = rows.withColumn("epoch_id", _id("epoch", *map(F.col, KEY), first))
+    rows = rows.withColumn("epoch_id", epoch_id(first))
     rows = rows.withColumn("previous_epoch_id", F.lag("epoch_id").over(order))
-    transition = _id("transition", *map(F.col, KEY), F.col("sequence"), F.coalesce("reset_kind", F.lit("allowance_changed")), F.col("previous_epoch_id"), F.col("epoch_id"), F.col("p_observation_id"), F.col("observation_id"))
-    rows = rows.withColumn("transition_id", F.when(changed, transition))
+    rows = rows.withColumnRenamed("p_observation_id", "pre_observation_id")
+    rows = rows.withColumn("transition_id", F.when(changed, transition_id()))
     within = Window.partitionBy(*KEY, "epoch").orderBy("observed_at_ms").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("max_used_ppm", F.max("used_ppm").over(within)).withColumnRenamed("p_observation_id", "pre_observation_id")
+    rows = rows.withColumn("max_used_ppm", F.max("used_ppm").over(within))
     return rows.drop(*[f"p_{n}" for n in names])
 
 

@@ -67,6 +67,28 @@ def _price_sums() -> list[Column]:
     return sums + [F.sum("reported_cost_usd_micros").cast("bigint").alias("reported_cost")]
 
 
+PRICE_SUMS = ("event_count", "calculable_events", "reported_events", "uncached", "cached", "billable", "reported_cost")
+PRICE_TIME_KEYS = ("bucket_width", "bucket_start", "provider_id", "profile_id", "project", *PRICE_KEYS)
+PRICE_SESSION_KEYS = ("provider_id", "profile_id", "session_id", "project", *PRICE_KEYS)
+
+
+def price_merged() -> list[Column]:
+    """Sums of price-basis rows; no reported cost at all stays unknown."""
+    return [F.sum(s).cast("bigint").alias(s) for s in PRICE_SUMS]
+
+
+def price_rows(kept: DataFrame, *target: Column | str) -> DataFrame:
+    """Price-basis rows of each target from kept price rollups, as price_basis_rows gives them from events."""
+    return kept.groupBy(*target, *PRICE_KEYS).agg(*price_merged())
+
+
+def price_widths(events: DataFrame) -> DataFrame:
+    """The price rollup by minutes and by hours; hours are sums of minutes."""
+    minutes = price_time_rollup(events, MINUTE).withColumnRenamed("bucket_start", "minute")
+    both = minutes.select("*", F.explode(F.array(F.lit(MINUTE), F.lit(HOUR))).alias("w")).withColumn("bucket_width", F.col("w").cast("bigint"))
+    return both.groupBy("bucket_width", bucket(F.col("minute"), F.col("bucket_width")).alias("bucket_start"), *PRICE_TIME_KEYS[2:]).agg(*price_merged())
+
+
 def price_time_rollup(events: DataFrame, width: int = HOUR) -> DataFrame:
     at = bucket(F.col("timestamp_seconds"), width).alias("bucket_start")
     return _priced(events).groupBy(at, "provider_id", "profile_id", F.coalesce("project_alias", F.lit("")).alias("project"), *PRICE_KEYS).agg(*_price_sums())

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymill.operators import benefit
+from tallymill.plans import batches
 from tallymill.plans.oracle import REMIND, lots_sql
 from tallymill.sources import testdata
+from tallymill.streaming import reminders
 
 NOW_MS = 807_000_000_000
+#: Moments of the clock in the streamed reminders.
+CLOCK = (NOW_MS - 90_000_000, NOW_MS - 3_000_000, NOW_MS, NOW_MS + 700_000_000)
 
 
 def _lots(spark, sf_dir):
@@ -29,6 +33,22 @@ def _deliveries(spark, sf_dir):
     return got.withColumn("delivery_id", F.concat_ws("-", "scope_id", "lot_id", "lead_seconds"))
 
 
+def _clocked(spark, sf_dir):
+    """Reminders and receipts as a stream: those of odd lots come with the first tick, the others with the third."""
+    rows = _pending(spark, sf_dir)
+    given = _receipts(spark, sf_dir).withColumns({"due_at_ms": F.lit(None).cast("bigint"), "expires_at_ms": F.lit(None).cast("bigint")})
+    every = rows.select(*given.columns).unionByName(given)
+    columns = [c.split()[0] for c in reminders.SCHEMA.split(", ")]
+    tick = spark.range(1).select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in reminders.SCHEMA.split(", ")[1:]])
+    some = (every.filter("lot_id % 2 = 1"), every.limit(0), every.filter("lot_id % 2 = 0"), every.limit(0))
+    frames = [some[k].unionByName(tick, True).withColumn("at", F.timestamp_millis(F.lit(at))).select(*columns) for k, at in enumerate(CLOCK)]
+    return batches.streamed(spark, frames, reminders.processed)
+
+
+def _sent(spark, sf_dir):
+    return _clocked(spark, sf_dir).filter("sent").select("now_ms", *reminders.KEY, "lead_seconds", "expires_at_ms", "due_at_ms")
+
+
 def _seen(spark, sf_dir):
     d = _deliveries(spark, sf_dir)
     return d, d.filter("lot_id % 2 = 0").select("delivery_id")
@@ -78,6 +98,8 @@ QUERIES = {
     "b3_observation_status": _status,
     "b6_deliveries": _deliveries,
     "b6_counts": lambda s, d: benefit.process_due(_pending(s, d), _receipts(s, d), NOW_MS)[1],
+    "b6_streamed_deliveries": _sent,
+    "b6_streamed_counts": lambda s, d: reminders.counts(_clocked(s, d)),
     "b7_unacknowledged": lambda s, d: benefit.unacknowledged(*_seen(s, d)).select("delivery_id"),
     "b8_fefo_of_scope": lambda s, d: benefit.first_expired_first(_lots(s, d), 256, "scope_2").select("lot_id", "kind", "expires_at_ms"),
     "b10_change_page": _page,
@@ -95,6 +117,12 @@ dl AS (SELECT * EXCLUDE (sent), expires_at_ms - lead_seconds * 1000 AS due_at_ms
 _CHANGES = """
 ch AS (SELECT 'scope_' || user_id % 8 AS scope_id, user_id AS lot_id, event_id AS sequence, CASE WHEN event_type = 'error' THEN 'retired_terminal' ELSE 'state_changed' END AS kind, event_id AS b, CASE WHEN event_type <> 'error' THEN event_id + 1 END AS a FROM events),
 rv AS (SELECT scope_id, lot_id, b AS lot_revision, b % 10 AS quantity FROM ch WHERE b % 7 <> 0)"""
+_CLOCKED = f"""{REMIND}, pe AS (SELECT *, lot_id % 3 AS lot_revision, CASE WHEN lot_id % 2 = 1 THEN 1 ELSE 3 END AS came FROM rem),
+ck AS (SELECT * FROM (VALUES {', '.join(f'({k + 1}, CAST({at} AS BIGINT))' for k, at in enumerate(CLOCK))}) t(k, now_ms)),
+tk AS (SELECT pe.*, (SELECT min(k) FROM ck WHERE k >= came AND ck.now_ms >= due_at_ms) AS k FROM pe),
+tn AS (SELECT tk.*, now_ms FROM tk JOIN ck USING (k)),
+bs AS (SELECT now_ms, scope_id, lot_id, lot_revision, channel, min(lead_seconds) FILTER (expires_at_ms > now_ms) AS lead_seconds, min(expires_at_ms) AS expires_at_ms, count(*) AS taken, count(*) FILTER (expires_at_ms <= now_ms) AS expired FROM tn GROUP BY ALL),
+jd AS (SELECT *, lead_seconds < coalesce(least(CASE WHEN lot_id % 5 = 0 THEN 43200 END, min(lead_seconds) OVER (PARTITION BY lot_id, channel ORDER BY now_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1000000000) AS sent FROM bs)"""
 _OLD, _NEW = lots_sql(False), lots_sql(True)
 _RECONCILED = f"""o AS ({_OLD}), n AS ({_NEW}), bt AS (SELECT coalesce(n.scope_id, o.scope_id) AS scope_id, coalesce(n.lot_id, o.lot_id) AS lot_id, o.lot_id IS NULL AS fresh, n.lot_id IS NULL AS gone, o.state AS os,
   n.quantity IS DISTINCT FROM o.quantity OR n.state IS DISTINCT FROM o.state OR n.expires_at_ms IS DISTINCT FROM o.expires_at_ms AS differs FROM o FULL JOIN n ON n.lot_id = o.lot_id),
@@ -105,6 +133,8 @@ SELECT scope_id, CASE WHEN id <> 3 AND 1050 < 1000 + id % 2 * 100 THEN 'stale' W
     "b6_deliveries": f"WITH {_PENDING} SELECT * FROM dl",
     "b6_counts": f"""WITH {_PENDING}, t AS (SELECT scope_id, count(*) AS taken, count(*) FILTER (expires_at_ms <= {NOW_MS}) AS expired FROM pe WHERE due_at_ms <= {NOW_MS} GROUP BY 1)
 SELECT scope_id, taken, expired, (SELECT count(*) FROM jd WHERE jd.scope_id = t.scope_id AND sent) AS delivered, (SELECT count(*) FROM jd WHERE jd.scope_id = t.scope_id AND NOT sent) AS suppressed FROM t""",
+    "b6_streamed_deliveries": f"WITH {_CLOCKED} SELECT now_ms, scope_id, lot_id, lot_revision, channel, lead_seconds, expires_at_ms, expires_at_ms - lead_seconds * 1000 AS due_at_ms FROM jd WHERE sent",
+    "b6_streamed_counts": f"WITH {_CLOCKED} SELECT now_ms, scope_id, CAST(sum(taken) AS BIGINT) AS taken, CAST(sum(expired) AS BIGINT) AS expired, count(*) FILTER (sent) AS delivered, count(*) FILTER (NOT sent) AS suppressed FROM jd GROUP BY 1, 2",
     "b7_unacknowledged": f"WITH {_PENDING} SELECT delivery_id FROM dl WHERE lot_id % 2 <> 0",
     "b8_fefo_of_scope": f"WITH l AS ({_OLD}), k AS (SELECT *, lot_id % 4 AS r FROM l) SELECT lot_id, CASE r {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(benefit.KINDS))} END AS kind, expires_at_ms FROM k WHERE scope_id = 'scope_2' ORDER BY expires_at_ms NULLS LAST, r, lot_id LIMIT 256",
     "b10_change_page": f"""WITH {_CHANGES}, p AS (SELECT * FROM ch WHERE scope_id = 'scope_3' ORDER BY sequence DESC LIMIT 60)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tallymill.functions.checkpoints import materialize, shared_folder
 from tallymill.functions.identity import COUNTS, TAG, fingerprint
 from tallymill.operators import analytics, lineage, rollup
+from tallymill.plans import batches
 from tallymill.plans.oracle import ZERO
 from tallymill.sources import jsonl, testdata
+from tallymill.streaming import parsing
 
 #: Names of the tools that the synthetic logs call.
 TOOLS = ("Read_File", "apply_patch", "GREP", "git_log", "run_tests", "http_get", "spawn_agent", "shell", "concatenate")
@@ -105,7 +107,16 @@ def _tools(spark, sf_dir):
     return lines.select(tool.alias("tool"), jsonl.tool_activity(tool).alias("activity")).filter("tool IS NOT NULL").groupBy("tool", "activity").agg(F.count("*").alias("n"))
 
 
+def _parsed_stream(spark, sf_dir):
+    """The lines as a stream in three batches, a part of every file in each."""
+    lines = materialize(_lines(spark, sf_dir).withColumn("generation", F.lit(0)))
+    cut = lines.agg(F.max("source_offset")).first()[0] or 0
+    thirds = [lines.filter(F.col("source_offset").between(cut * k // 3 + (k > 0), cut * (k + 1) // 3)) for k in range(3)]
+    return _shown(batches.streamed(spark, thirds, parsing.observations))
+
+
 QUERIES = {
+    "r4_streamed_observations": _parsed_stream,
     "s3_lines": lambda s, d: _lines(s, d).groupBy(_file()).agg(F.count("*").alias("lines"), F.min("source_offset").alias("at")),
     "s4_tail": _tail,
     "s6_observations": lambda s, d: _shown(jsonl.observations(_lines(s, d))),
@@ -159,6 +170,7 @@ SQL = {
     "s3_lines": f"WITH {_E} SELECT f, count(*) AS lines, CAST(0 AS BIGINT) AS at FROM l GROUP BY f",
     "s4_tail": f"WITH {_E} SELECT f, CAST(CASE f % 4 WHEN 1 THEN 0 WHEN 3 THEN max(every) ELSE max(every) - max(every) // 2 END AS BIGINT) AS lines, CASE f % 4 WHEN 3 THEN 5 ELSE 4 END AS generation FROM l GROUP BY f",
     "s6_observations": f"WITH {_E} SELECT {_COLUMNS} FROM ob",
+    "r4_streamed_observations": f"WITH {_E} SELECT {_COLUMNS} FROM ob",
     "s15_tools": f"WITH {_E} SELECT CASE k % 9 {_T} END AS tool, act AS activity, count(*) AS n FROM l WHERE kind = 4 GROUP BY 1, 2",
     "c1_canonical_events": f"WITH {_E} SELECT f, ordinal, CASE WHEN kind = 3 THEN 'weak' ELSE 'strong' END AS evidence, {_signature()} AS replay_signature FROM ob WHERE kind = 3 OR (ci >= input_tokens AND co >= output_tokens AND coalesce(cr >= reasoning_tokens, true) AND coalesce(ct >= total_tokens, true))",
     "r1_full_run": f"WITH {_E} SELECT {ZERO} FROM ob WHERE kind = 3 OR (ci >= input_tokens AND co >= output_tokens AND coalesce(cr >= reasoning_tokens, true) AND coalesce(ct >= total_tokens, true))",

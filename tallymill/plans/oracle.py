@@ -53,6 +53,7 @@ pr AS (SELECT *, coalesce(project_alias, '') AS project, {TIER} AS tier, CASE lo
 pb AS (SELECT *, CASE WHEN ok THEN input_tokens - cached_tokens ELSE 0 END AS un, CASE WHEN ok THEN cached_tokens ELSE 0 END AS ca,
   CASE WHEN ok THEN coalesce(total_tokens - input_tokens, output_tokens + reasoning_tokens) ELSE 0 END AS bi FROM pr)"""
 PKEYS = "model, tier, context, reported_state"
+PRANK = ", ".join(f"{c} DESC NULLS LAST" for c in ("event_count", "calculable_events", "reported_events", "uncached", "cached", "billable", "reported_cost")) + f", {PKEYS}"
 PSUMS = """count(*) AS event_count, CAST(sum(CAST(ok AS BIGINT)) AS BIGINT) AS calculable_events, count(reported_cost_usd_micros) AS reported_events,
   CAST(sum(un) AS BIGINT) AS uncached, CAST(sum(ca) AS BIGINT) AS cached, CAST(sum(bi) AS BIGINT) AS billable, CAST(sum(reported_cost_usd_micros) AS BIGINT) AS reported_cost"""
 
@@ -81,10 +82,12 @@ SELECT {target}, total_events, priced_events, reported_events, assumed_events, u
 
 
 def batch_sql(target: str, expr: str, where: str) -> str:
-    return f"""WITH {UE}, {PRICED}, b AS (SELECT {expr} AS {target}, {PKEYS}, count(*) AS event_count FROM pb {where} GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY {target} ORDER BY {PKEYS}) AS key_rank FROM b), kept AS (SELECT * FROM k WHERE key_rank <= 512 ORDER BY key_rank, {target} LIMIT 512)
+    """`target` names one column, or several with `expr` the same."""
+    named = expr if expr == target else f"{expr} AS {target}"
+    return f"""WITH {UE}, {PRICED}, b AS (SELECT {named}, {PKEYS}, {PSUMS} FROM pb {where} GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY {target} ORDER BY {PRANK}) AS key_rank FROM b), kept AS (SELECT * FROM k WHERE key_rank <= 512 ORDER BY key_rank, {target} LIMIT 512)
 SELECT {target}, target_events, coalesce(shown_events, 0) AS shown_events, coalesce(keys, 0) AS keys, target_events - coalesce(shown_events, 0) AS omitted_events
-FROM (SELECT {target}, CAST(sum(event_count) AS BIGINT) AS target_events FROM b GROUP BY 1) LEFT JOIN (SELECT {target}, CAST(sum(event_count) AS BIGINT) AS shown_events, count(*) AS keys FROM kept GROUP BY 1) USING ({target})"""
+FROM (SELECT {target}, CAST(sum(event_count) AS BIGINT) AS target_events FROM b GROUP BY {target}) LEFT JOIN (SELECT {target}, CAST(sum(event_count) AS BIGINT) AS shown_events, count(*) AS keys FROM kept GROUP BY {target}) USING ({target})"""
 
 
 def _path_case() -> str:
@@ -180,10 +183,10 @@ SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY seen IS NULL,
         "u12_session_cursor": f"{sess} SELECT {s_page} FROM ss WHERE dimension = 'all' AND (last_seconds < 1706500000 OR (last_seconds = 1706500000 AND last_nanos = 0)) ORDER BY {s_order} LIMIT 100",
         "u13_session_detail": f"{sess} SELECT * FROM ss WHERE provider_id = 'local' AND profile_id = 'profile_0' AND session_id = 'session_0' AND dimension = 'all'",
         "u14_session_models": f"{sess} SELECT dimension_value, {metrics} FROM ss WHERE provider_id = 'local' AND profile_id = 'profile_0' AND session_id = 'session_0' AND dimension = 'model'",
-        "p1_price_basis": f"WITH {UE}, {PRICED} SELECT {PKEYS}, {PSUMS} FROM pb WHERE {rng} GROUP BY ALL ORDER BY {PKEYS} LIMIT 512",
+        "p1_price_basis": f"WITH {UE}, {PRICED} SELECT {PKEYS}, {PSUMS} FROM pb WHERE {rng} GROUP BY ALL ORDER BY {PRANK} LIMIT 512",
         "p3_price_batch_days": batch_sql("day", f"(timestamp_seconds - {start}) // 86400", f"WHERE {rng}"),
         "p4_price_batch_projects": batch_sql("project", "project", f"WHERE {rng}"),
-        "p5_price_batch_sessions": batch_sql("session_id", "session_id", ""),
+        "p5_price_batch_sessions": batch_sql("provider_id, profile_id, session_id", "provider_id, profile_id, session_id", ""),
         "p6_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{m}', '{t}', '{c}', CAST({u} AS BIGINT), CAST({a} AS BIGINT), CAST({o} AS BIGINT))" for n, m, t, c, u, a, o in rate_rows()) + ") v(name, canonical, tier_class, context, uncached_rate, cached_rate, output_rate)",
         "p12_cost_auto_days": _cost("day", "auto", start, end),
         "p12_cost_calculated_models": _cost("target", "calculated", start, end),

@@ -12,8 +12,11 @@ AUTHORS = ["dev1@x", "dev3@x"]
 SALT = "salt"
 
 
-def _log(spark, sf_dir):
-    return git_output.parse_log(testdata.git_log(spark, sf_dir), AUTHORS)
+def _log(spark, sf_dir, short=True):
+    """The changes of all logs, one text of repository 3 being cut short."""
+    logs = testdata.git_log(spark, sf_dir)
+    cut = F.lit(short) & (F.col("repository_id") == 3) & (F.col("part") == 0)
+    return git_output.parse_log(logs.withColumn("log", F.when(cut, F.expr("substr(log, 1, length(log) - 3)")).otherwise(F.col("log"))), AUTHORS)
 
 
 def _days(spark, sf_dir):
@@ -115,9 +118,10 @@ def _integrity(spark, sf_dir):
 
 
 QUERIES = {
-    "s21_log_changes": lambda s, d: _log(s, d),
+    "s21_log_changes": _log,
+    "s21_sound_changes": lambda s, d: git_output.sound(_log(s, d)),
     "s22_refresh_kinds": _kinds,
-    "g2_commits": lambda s, d: git_output.commits(_log(s, d).filter("selected")),
+    "g2_commits": lambda s, d: git_output.commits(_log(s, d, False).filter("selected")),
     "g4_range_totals": lambda s, d: git_output.range_totals(_days(s, d), FIRST, LAST),
     "g6_associations": lambda s, d: git_output.associations(testdata.git_associations(s, d)),
     "g7_range_completeness": lambda s, d: _captures(s, d).select("repository_id", "range_complete", "quality", "retained_from"),
@@ -139,9 +143,10 @@ _LOG = f"""
 li AS (SELECT *, CAST(l_orderkey AS BIGINT) AS k, l_partkey % {len(testdata.PATHS)} AS n FROM lineitem),
 wh AS (SELECT k, CAST(min(CAST(floor(epoch(l_shipdate)) AS BIGINT)) AS BIGINT) AS t FROM li GROUP BY k),
 lg AS (SELECT li.k % 5 AS repository_id, sha256(CAST(li.k AS VARCHAR)) AS "commit", CAST(floor(t / 86400) AS BIGINT) AS day_index, CASE WHEN li.k % 17 = 0 THEN 2 WHEN li.k % 100 = 1 THEN 0 ELSE 1 END AS parents,
-  li.k % 3 = 1 OR li.k % 4 IN (1, 3) AS selected, CASE n {_PATHS} END AS path, CASE WHEN n = 7 THEN 'submodule' WHEN n = 5 THEN 'binary' ELSE 'text' END AS kind,
+  li.k % 3 = 1 OR li.k % 4 IN (1, 3) AS selected, CASE n {_PATHS} END || CASE WHEN l_linenumber = 4 THEN chr(9) || '7' || chr(9) || 'x' || chr(30) || ':y' ELSE '' END AS path, CASE WHEN n = 7 THEN 'submodule' WHEN n = 5 THEN 'binary' ELSE 'text' END AS kind,
   CASE WHEN n NOT IN (5, 7) THEN CAST(l_quantity AS BIGINT) END AS added, CASE WHEN n NOT IN (5, 7) THEN CAST(floor(l_quantity / 2) AS BIGINT) END AS removed FROM li JOIN wh ON wh.k = li.k WHERE li.k % 17 <> 0
-  UNION ALL SELECT k % 5, sha256(CAST(k AS VARCHAR)), CAST(floor(t / 86400) AS BIGINT), 2, k % 3 = 1 OR k % 4 IN (1, 3), NULL, NULL, NULL, NULL FROM wh WHERE k % 17 = 0)"""
+  UNION ALL SELECT k % 5, sha256(CAST(k AS VARCHAR)), CAST(floor(t / 86400) AS BIGINT), 2, k % 3 = 1 OR k % 4 IN (1, 3), NULL, NULL, NULL, NULL FROM wh WHERE k % 17 = 0),
+cut AS (SELECT sha256(CAST(k AS VARCHAR)) AS c FROM wh WHERE k % 5 = 3 AND k < 1000)"""
 _DAYS = """
 ch AS (SELECT CAST(l_suppkey % 5 AS BIGINT) AS repository_id, CAST(l_orderkey AS BIGINT) AS commit_id, l_partkey % 10 AS n, CAST(l_quantity AS BIGINT) AS a, CAST(floor(l_quantity / 2) AS BIGINT) AS r, l_orderkey % 17 = 0 AS m, CAST(floor(epoch(l_shipdate) / 86400) AS BIGINT) AS day_index FROM lineitem),
 cm AS (SELECT repository_id, day_index, commit_id, bool_or(m) AS m, sum(a) AS a, sum(r) AS r FROM ch GROUP BY ALL),
@@ -171,7 +176,8 @@ _SCAN = f"""{_EV}, ss AS (SELECT event_id % 50 AS id, count(*) AS n, count(*) FI
 sr AS (SELECT id AS scan_set_id, CASE WHEN id % 11 <> 0 THEN id * 1000 + 1 END AS completed_at_ms, n AS scopes, id % 11 <> 0 AND id % 7 <> 0 AND done = n AS sound FROM ss)"""
 _PROGRESS = "ip AS (SELECT event_id % 20 AS revision_id, CASE WHEN event_id % 20 <> 4 THEN count(*) FILTER (event_type = 'click') END AS complete_sources, CASE WHEN event_id % 20 <> 4 THEN count(*) END AS expected_sources FROM ev WHERE event_id % 20 % 2 = 0 GROUP BY event_id % 20)"
 SQL = {
-    "s21_log_changes": f"WITH {_LOG} SELECT * FROM lg",
+    "s21_log_changes": f"""WITH {_LOG} SELECT *, CAST(NULL AS VARCHAR) AS error FROM lg WHERE "commit" NOT IN (SELECT c FROM cut) UNION ALL SELECT 3, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'incomplete'""",
+    "s21_sound_changes": f"WITH {_LOG} SELECT * FROM lg WHERE repository_id <> 3",
     "s22_refresh_kinds": """WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_partkey // 10 AS BIGINT) AS r FROM part),
 x AS (SELECT r, k, NOT (r % 8 = 0 AND k % 10 = 9) AS was, NOT (r % 16 = 3 AND k % 10 = 4) AS still, r % 4 = 1 AND k % 2 = 0 OR r % 4 = 2 AS moved FROM p)
 SELECT r AS repository_id, CASE WHEN count(*) FILTER (was) = 0 THEN 'rebuild' WHEN bool_and(was AND still AND NOT moved) THEN 'unchanged' WHEN bool_and(NOT was OR (still AND (NOT moved OR k % 20 <> 3))) AND NOT bool_or(r % 8 = 5) THEN 'append' ELSE 'rebuild' END AS refresh FROM x WHERE was OR still GROUP BY r""",

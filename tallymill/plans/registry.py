@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.functions.checkpoints import shared_folder
 from tallymill.functions.measures import METRICS, availability, freshness, share_ppm
 from tallymill.operators import analytics, benefit, calendar, git_output, lineage, pricing, rollup, status
 from tallymill.plans import benefits, ingest, oracle, output, replay, usage, windows
 from tallymill.sources import provider, testdata
+from tallymill.streaming.rollups import RollupStore
 
 FIRST, LAST, ZONE = date(2024, 1, 3), date(2024, 1, 24), "America/New_York"
 START, END = calendar.day_start(FIRST, ZONE), calendar.day_start(LAST, ZONE)
@@ -65,6 +68,20 @@ def retracted(spark, sf_dir):
     return rollup.retract(rollup.time_rollup(e), rollup.time_rollup(e.filter(F.col("source_offset") % 3 == 0)))
 
 
+@query("a11_streamed_changes")
+def changed(spark, sf_dir):
+    """Arrivals, removals and updates in three batches, compacted between; what is left is as in a11_retracted_rollup."""
+    e, n = _events(spark, sf_dir), F.col("source_offset")
+    of = lambda kind, rows: rows.withColumn("change", F.lit(kind))
+    even, odd, gone = e.filter(n % 2 == 0), e.filter(n % 2 == 1), n % 3 == 0
+    updated = e.filter((n % 5 == 0) & ~gone)
+    store = RollupStore(spark, f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}", every=2)
+    store.apply_changes(of("insert", even), 0)
+    store.apply_changes(of("insert", odd).unionByName(of("delete", even.filter(gone))), 1)
+    store.apply_changes(of("delete", odd.filter(gone)).unionByName(of("delete", updated)).unionByName(of("insert", updated)), 2)
+    return store.read()
+
+
 query("u1_overview")(lambda s, d: analytics.overview(_kept(s, d), START, END))
 query("u2_scoped_overview")(lambda s, d: analytics.overview(_kept(s, d), START, END, SCOPES))
 query("u3_daily_series")(lambda s, d: analytics.daily_series(_kept(s, d), _targets()))
@@ -101,27 +118,29 @@ query("u13_session_detail")(lambda s, d: analytics.session_detail(rollup.session
 query("u14_session_models")(lambda s, d: analytics.session_detail(rollup.session_rollup(_events(s, d)), "local", "profile_0", "session_0", "model").select("dimension_value", *METRICS))
 
 
-def _in_range(spark, sf_dir):
-    return _events(spark, sf_dir).filter(F.col("timestamp_seconds").between(START, END - 1))
+def _priced(spark, sf_dir, *target):
+    """Price-basis rows of the range from the stored price rollup."""
+    return rollup.price_rows(analytics.in_range(usage.prices(spark, sf_dir), [(0, START, END)]).drop("target"), *target)
 
 
-def _by_day(events):
-    return events.withColumn("day", calendar.local_day(F.col("timestamp_seconds"), FIRST, ZONE))
+def _priced_days(spark, sf_dir):
+    kept = analytics.in_range(usage.prices(spark, sf_dir), _targets())
+    return rollup.price_rows(kept, F.col("target").alias("day"))
 
 
-query("p1_price_basis")(lambda s, d: rollup.price_basis_rows(_in_range(s, d)).orderBy(*rollup.PRICE_KEYS).limit(pricing.ROWS))
-query("p3_price_batch_days")(lambda s, d: pricing.batch(rollup.price_basis_rows(_by_day(_in_range(s, d)), "day"), "day"))
-query("p4_price_batch_projects")(lambda s, d: pricing.batch(rollup.price_basis_rows(_in_range(s, d).withColumn("project", F.coalesce("project_alias", F.lit(""))), "project"), "project"))
-query("p5_price_batch_sessions")(lambda s, d: pricing.batch(rollup.price_basis_rows(_events(s, d), "session_id"), "session_id"))
+query("p1_price_basis")(lambda s, d: _priced(s, d).orderBy(*pricing.rank()).limit(pricing.ROWS))
+query("p3_price_batch_days")(lambda s, d: pricing.batch(_priced_days(s, d), "day"))
+query("p4_price_batch_projects")(lambda s, d: pricing.batch(_priced(s, d, "project"), "project"))
+query("p5_price_batch_sessions")(lambda s, d: pricing.batch(rollup.price_rows(usage.session_prices(s, d), *lineage.KEY), *lineage.KEY))
 query("p6_catalogue")(lambda s, d: pricing.catalogue(s))
 
 
 def _cost(mode: str, *target: str) -> Query:
-    return lambda s, d: pricing.select_cost(rollup.price_basis_rows(_by_day(_in_range(s, d)), *target), pricing.catalogue(s), *target, mode=mode)
+    return lambda s, d: pricing.select_cost(_priced_days(s, d), pricing.catalogue(s), *target, mode=mode)
 
 
 query("p12_cost_auto_days")(_cost("auto", "day"))
-query("p12_cost_calculated_models")(lambda s, d: pricing.select_cost(rollup.price_basis_rows(_in_range(s, d).withColumn("target", F.col("model")), "target"), pricing.catalogue(s), "target", mode="calculated"))
+query("p12_cost_calculated_models")(lambda s, d: pricing.select_cost(_priced(s, d, F.col("model").alias("target")), pricing.catalogue(s), "target", mode="calculated"))
 query("p12_cost_reported_days")(_cost("reported", "day"))
 query("c6_canonical_pick")(lambda s, d: lineage.canonical(_copies(s, d)))
 
@@ -147,8 +166,7 @@ query("g5_range_categories")(lambda s, d: git_output.range_categories(git_output
 def efficient(spark, sf_dir):
     """Cost per product line: repository k goes with project proj_k."""
     lines = git_output.day_categories(testdata.git_changes(spark, sf_dir)).filter("category = 'product_code'").groupBy(F.concat(F.lit("proj_"), "repository_id").alias("project")).agg(F.sum("added").cast("bigint").alias("lines"))
-    rows = rollup.price_basis_rows(_in_range(spark, sf_dir).withColumn("project", F.coalesce("project_alias", F.lit(""))), "project")
-    cost = pricing.select_cost(rows, pricing.catalogue(spark), "project")
+    cost = pricing.select_cost(_priced(spark, sf_dir, "project"), pricing.catalogue(spark), "project")
     return cost.join(lines, "project", "left").select("project", "amount", "lines", git_output.efficiency(F.col("amount"), F.col("lines")).alias("per_100_lines"))
 
 
@@ -212,6 +230,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     found = oracle.statements(START, END, _targets(), SCOPES, NOW_MS)
+    found["a11_streamed_changes"] = found["a11_retracted_rollup"]
     for module in MODULES:
         found |= module.sql(oracle.FINGERPRINTED) if module is usage else module.SQL
     return found

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.measures import METRICS, elapsed_ppm
 from tallymill.operators import analytics, calendar, pricing, rollup, status
-from tallymill.plans.oracle import PKEYS, PRICED, PSUMS, UE, ZERO, batch_sql
+from tallymill.plans.oracle import PKEYS, PRANK, PRICED, PSUMS, UE, ZERO, batch_sql
 from tallymill.sources import testdata
-from tallymill.sources.stored import stored_rollup
+from tallymill.sources.stored import stored_prices, stored_rollup, stored_session_prices
 
 FIRST, LAST, ZONE = date(2024, 1, 3), date(2024, 1, 24), "America/New_York"
 START, END = calendar.day_start(FIRST, ZONE), calendar.day_start(LAST, ZONE)
@@ -23,6 +23,15 @@ def kept(spark, sf_dir):
     return stored_rollup(spark, testdata.usage_event(spark, sf_dir), f"{sf_dir}/events.parquet")
 
 
+def prices(spark, sf_dir):
+    """The stored price rollup of the synthetic events."""
+    return stored_prices(spark, testdata.usage_event(spark, sf_dir), f"{sf_dir}/events.parquet")
+
+
+def session_prices(spark, sf_dir):
+    return stored_session_prices(spark, testdata.usage_event(spark, sf_dir), f"{sf_dir}/events.parquet")
+
+
 def _full(spark, sf_dir):
     return analytics.full_analytics(kept(spark, sf_dir), START, END, TARGETS).select("kind", "key", "key2", "event_count", "sum_total_tokens", "known_input_tokens", "activity_read", "truncated")
 
@@ -47,19 +56,25 @@ def _last_page(spark, sf_dir):
     return analytics.with_lookahead(e, [F.desc(c) for c in _FIVE[:3]], 1000)
 
 
-def _basis(spark, sf_dir):
-    e = testdata.usage_event(spark, sf_dir)
-    return e.filter(F.col("timestamp_seconds").between(START, END - 1))
+def _basis(spark, sf_dir, *target):
+    return rollup.price_rows(analytics.in_range(prices(spark, sf_dir), [(0, START, END)]).drop("target"), *target)
+
+
+def _of_session(spark, sf_dir):
+    """The kept price rows of one session, known by provider, profile and name."""
+    return session_prices(spark, sf_dir).filter("provider_id = 'codex' AND profile_id = 'profile_1' AND session_id = 'session_1'")
 
 
 def _session(spark, sf_dir):
-    e = testdata.usage_event(spark, sf_dir).filter("session_id = 'session_1'")
-    return rollup.price_basis_rows(e).orderBy(*rollup.PRICE_KEYS).limit(pricing.ROWS)
+    return rollup.price_rows(_of_session(spark, sf_dir)).orderBy(*pricing.rank()).limit(pricing.ROWS)
 
 
 def _session_items(spark, sf_dir):
-    e = testdata.usage_event(spark, sf_dir).filter("session_id = 'session_1'").withColumn("item", F.col("model"))
-    return pricing.batch(rollup.price_basis_rows(e, "item"), "item")
+    return pricing.batch(rollup.price_rows(_of_session(spark, sf_dir), F.col("model").alias("item")), "item")
+
+
+def _day_basis(spark, sf_dir):
+    return rollup.price_rows(analytics.in_range(prices(spark, sf_dir), TARGETS), "target")
 
 
 def _rates(spark, sf_dir):
@@ -75,20 +90,18 @@ def _overridden(spark, sf_dir):
 
 
 def _incoherent(spark, sf_dir):
-    rows = rollup.price_basis_rows(_basis(spark, sf_dir))
+    rows = _basis(spark, sf_dir)
     return pricing.incoherent(rows.withColumn("calculable_events", F.when(F.col("model") == "gpt-5.5", F.col("event_count") + 1).otherwise(F.col("calculable_events")))).select(*rollup.PRICE_KEYS)
 
 
 def _unaccounted(spark, sf_dir):
-    day = calendar.local_day(F.col("timestamp_seconds"), FIRST, ZONE)
-    rows = rollup.price_basis_rows(_basis(spark, sf_dir).withColumn("target", day), "target")
+    rows = _day_basis(spark, sf_dir)
     days = analytics.daily_series(kept(spark, sf_dir), TARGETS).withColumn("event_count", F.when(F.col("target") == 3, F.col("event_count") + 1).otherwise(F.col("event_count")))
     return pricing.unaccounted(rows, days, "target")
 
 
 def _trend(spark, sf_dir):
-    day = calendar.local_day(F.col("timestamp_seconds"), FIRST, ZONE)
-    cost = pricing.select_cost(rollup.price_basis_rows(_basis(spark, sf_dir).withColumn("target", day), "target"), pricing.catalogue(spark), "target", mode="reported")
+    cost = pricing.select_cost(_day_basis(spark, sf_dir), pricing.catalogue(spark), "target", mode="reported")
     return status.trend_maxima(analytics.daily_series(kept(spark, sf_dir), TARGETS).join(cost.select("target", "amount"), "target", "left"))
 
 
@@ -106,7 +119,7 @@ QUERIES = {
     "u16_event_page": lambda s, d: analytics.activity_page(testdata.usage_event(s, d, True), 256, (1_705_500_000, 0, "")).select(*_FIVE),
     "u17_probe_page": lambda s, d: analytics.probe_page(testdata.read(s, d, "events").select(F.col("event_id").alias("id"), "event_type"), 1000, 400),
     "d7_occurrences": lambda s, d: calendar.exposure(s, START, END, ZONE, "weekday"),
-    "p1_omitted_events": lambda s, d: pricing.page(rollup.price_basis_rows(_basis(s, d)), 10).select(*rollup.PRICE_KEYS, "event_count", "all_events", "omitted_events"),
+    "p1_omitted_events": lambda s, d: pricing.page(_basis(s, d), 10).select(*rollup.PRICE_KEYS, "event_count", "all_events", "omitted_events"),
     "p2_session_basis": _session,
     "p5_session_breakdown": _session_items,
     "p8_rates": _rates,
@@ -118,6 +131,7 @@ QUERIES = {
 }
 
 _RANGE = f"timestamp_seconds >= {START} AND timestamp_seconds < {END}"
+_ONE = "session_id = 'session_1' AND provider_id = 'codex' AND profile_id = 'profile_1'"
 _SHORT = ("event_count", "sum_total_tokens", "known_input_tokens", "activity_read")
 _SUM = "count(*) AS event_count, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS sum_total_tokens, count(input_tokens) AS known_input_tokens, CAST(coalesce(sum(activity_read), 0) AS BIGINT) AS activity_read"
 _DAYS = "t(target, a, b) AS (VALUES " + ", ".join(f"({t}, {a}, {b})" for t, a, b in TARGETS) + ")"
@@ -140,9 +154,9 @@ def sql(fingerprinted: str) -> dict[str, str]:
         "u16_event_page": f"{fingerprinted} SELECT {_FP} FROM fpd WHERE timestamp_seconds < 1705500000 ORDER BY {newest} LIMIT 256",
         "u17_probe_page": "SELECT event_id AS id, event_type FROM events WHERE event_id < 400 ORDER BY event_id DESC LIMIT 256",
         "d7_occurrences": f"SELECT CAST(isodow(l) - 1 AS BIGINT) AS weekday, count(*) AS elapsed_minutes, count(DISTINCT date_trunc('hour', l)) AS occurrences FROM (SELECT timezone('America/New_York', timezone('UTC', make_timestamp(range * 1000000))) AS l FROM range({START}, {END}, 60)) GROUP BY 1",
-        "p1_omitted_events": f"WITH {UE}, {PRICED}, g AS (SELECT {PKEYS}, {PSUMS} FROM pb WHERE {_RANGE} GROUP BY ALL), k AS (SELECT * FROM g ORDER BY {PKEYS} LIMIT 10) SELECT {PKEYS}, event_count, (SELECT CAST(sum(event_count) AS BIGINT) FROM g) AS all_events, (SELECT CAST(sum(event_count) AS BIGINT) FROM g) - (SELECT CAST(sum(event_count) AS BIGINT) FROM k) AS omitted_events FROM k",
-        "p2_session_basis": f"WITH {UE}, {PRICED} SELECT {PKEYS}, {PSUMS} FROM pb WHERE session_id = 'session_1' GROUP BY ALL",
-        "p5_session_breakdown": batch_sql("item", "model", "WHERE session_id = 'session_1'"),
+        "p1_omitted_events": f"WITH {UE}, {PRICED}, g AS (SELECT {PKEYS}, {PSUMS} FROM pb WHERE {_RANGE} GROUP BY ALL), k AS (SELECT * FROM g ORDER BY {PRANK} LIMIT 10) SELECT {PKEYS}, event_count, (SELECT CAST(sum(event_count) AS BIGINT) FROM g) AS all_events, (SELECT CAST(sum(event_count) AS BIGINT) FROM g) - (SELECT CAST(sum(event_count) AS BIGINT) FROM k) AS omitted_events FROM k",
+        "p2_session_basis": f"WITH {UE}, {PRICED} SELECT {PKEYS}, {PSUMS} FROM pb WHERE {_ONE} GROUP BY ALL",
+        "p5_session_breakdown": batch_sql("item", "model", f"WHERE {_ONE}"),
         "p8_rates": "SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 2 THEN p_partkey * 1000000 + 250000 WHEN 3 THEN CASE WHEN p_partkey <= 1 THEN p_partkey * 1000000000000 END WHEN 4 THEN p_partkey * 1000000 + 1 END AS micros FROM part",
         "p11_overrides": "SELECT * FROM (VALUES ('gpt-5-nano', 'gpt-5-nano', 60000, 5000, 400000), ('gpt-5-nano-2025-08-07', 'gpt-5-nano', 60000, 5000, 400000), ('own-model', 'own-model', 1000000, 100000, 2000000), ('unpriced-model', 'own-model', 1000000, 100000, 2000000)) v(name, canonical, uncached_rate, cached_rate, output_rate), (VALUES ('standard', 'short')) w(tier_class, context)",
         "p14_incoherent_rows": f"WITH {UE}, {PRICED} SELECT DISTINCT {PKEYS} FROM pb WHERE {_RANGE} AND model = 'gpt-5.5'",

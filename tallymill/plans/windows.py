@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymill.operators import quota, status
+from tallymill.plans import batches
 from tallymill.sources import provider, testdata
+from tallymill.streaming import quota as stream
 
 NOW_MS = 1_706_000_000_000
 ASKED = [("profile_1", "click"), ("profile_9", "click"), ("profile_0", "view"), ("profile_2", "error")]
 _OUT = ("scope_id", "window_id", "observed_at_ms", "observation_id", "signal", "reset_kind", "allowance_change", "epoch", "sequence", "max_used_ppm", "transition_confidence", "occurred_at_ms", "after_ms", "at_or_before_ms")
+_BEST = ("max_ppm_observation", "max_units", "max_units_observation", "max_unit_id")
 _PAGE = ("sequence", "observed_at_ms", "reset_kind", "allowance_change", "pre_observation_id", "pre_used_ppm", "pre_observed_at_ms", "used_ppm")
 _NOW = ("scope_id", "window_id", "observed_at_ms", "epoch", "sequence", "used_ppm", "max_used_ppm", "quality")
 
@@ -39,7 +42,17 @@ def _redundant(spark, sf_dir):
     return quota.redundant(samples, quota.referenced(quota.transitions(samples)))
 
 
+def _streamed(spark, sf_dir):
+    """The samples as a stream in three batches by time, the first one's given again with the second."""
+    samples = testdata.quota_samples(spark, sf_dir)
+    day = F.floor((F.col("observed_at_ms") - 1_704_067_200_000) / 864_000_000)
+    first, second, third = (samples.filter(c) for c in (day < 1, day == 1, day > 1))
+    told = batches.streamed(spark, [first, second.unionByName(first), third], stream.transitions)
+    return told.withColumn("max_used_ppm", F.col("max_ppm")).select(*_OUT, *_BEST)
+
+
 QUERIES = {
+    "q1_streamed_transitions": _streamed,
     "q2_quota_transitions": lambda s, d: _changes(s, d).select(*_OUT),
     "q3_open_thresholds": lambda s, d: quota.transitions(testdata.quota_samples(s, d), (None, None, 200_000)).select(*_OUT),
     "q7_epoch_maxima": lambda s, d: quota.maxima(_changes(s, d)),
@@ -113,6 +126,7 @@ SELECT scope_id, window_id, observation_id, observed_at_ms FROM rs a WHERE EXIST
 
 SQL = {
     "q2_quota_transitions": f"{_ALL} SELECT {', '.join(_OUT)} FROM qt",
+    "q1_streamed_transitions": f"{_ALL} SELECT {', '.join((*_OUT, *_BEST))} FROM qt",
     "q3_open_thresholds": f"WITH RECURSIVE {_SAMPLES}, {_fold(fell='pu - used_ppm >= 200000')} SELECT {', '.join(_OUT)} FROM qt",
     "q7_epoch_maxima": f"{_ALL} SELECT scope_id, window_id, observed_at_ms, epoch, max_ppm, max_ppm_observation, max_units, max_units_observation, max_unit_id FROM qt",
     "q8_ids": f"{_ALL} SELECT scope_id, window_id, count(DISTINCT epoch) AS epochs, count(*) FILTER (moved) AS transitions FROM qt GROUP BY 1, 2",

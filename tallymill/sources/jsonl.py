@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.identity import replay_signature
+from tallymill.sources import log_source
 
-LINE_BYTES, LONG, DEPTH, ID_BYTES = 16 << 20, 272_000, 64, 512
+LONG, ID_BYTES = 272_000, 512
 #: What a relevant line contains (or a backslash).
 MARKERS = ("token_count", "turn_context", "session_meta", "sessionMeta", '"usage"', "function_call", "tool_call", "exec_command", "mcp")
 #: Names of the counters, in order of precedence.
@@ -51,27 +52,10 @@ def discover(spark: SparkSession, root: str, paths: list[str] | None = None, pat
     """(file, relative, place, source_offset, value) of all whole lines below sessions and archived_sessions.
 
     `source_offset` is the line's first byte. A line end takes one carriage return with it; a last line without an end
-    is not taken yet; lines over 16 MiB are left out. An archived file with an active namesake is left out (an empty active
-    one has no lines to be seen by). `paths` (relative) limits the work to files that changed.
+    is not taken yet; lines over 16 MiB are left out. An archived file with an active namesake is left out. `paths`
+    (relative) limits listing and reading to files that changed. Lines are numbered where they are read, without a shuffle.
     """
-
-    def listed(place: str) -> DataFrame:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(f"{root}/{place}")
-        return files.select(F.substring_index("path", f"/{place}/", -1).alias("relative"))
-
-    def lines(place: str) -> DataFrame:
-        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(f"{root}/{place}")
-        meta = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
-        return meta.withColumns({"place": F.lit(place), "relative": F.substring_index("file", f"/{place}/", -1)})
-
-    archived = lines("archived_sessions").join(listed("sessions"), "relative", "left_anti")
-    every = lines("sessions").unionByName(archived).filter(F.size(F.split("relative", "/")) <= DEPTH)
-    if paths is not None:
-        every = every.filter(F.col("relative").isin(paths))
-    before = Window.partitionBy("file").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.octet_length("value").cast("bigint") + 1).over(before), F.lit(0).cast("bigint"))
-    whole = every.withColumn("source_offset", at).filter(F.col("source_offset") + F.octet_length("value") < F.col("size"))
-    return whole.filter(F.octet_length("value") <= LINE_BYTES).select("file", "relative", "place", "source_offset", F.regexp_replace("value", "\\r\\z", "").alias("value"))
+    return log_source.lines(spark, root, pattern, paths).drop("generation")
 
 
 def relevant(value: Column) -> Column:
@@ -209,6 +193,12 @@ def facts(lines: DataFrame) -> DataFrame:
     )
 
 
+def session_hint() -> Column:
+    """What a file's lines are of where none names a session: its stem, or a digest of a name that can be no identity."""
+    stem = F.regexp_extract("relative", r"([^/]+)\.[^./]+$", 1)
+    return F.coalesce(_name(stem), F.concat(F.lit("file_"), F.substring(F.sha2(F.col("relative"), 256), 1, 32)))
+
+
 def _followed(rows: DataFrame) -> DataFrame:
     """Facts with usage, deltas, and everything carried along each file."""
     order = Window.partitionBy("file").orderBy("source_offset")
@@ -221,9 +211,7 @@ def _followed(rows: DataFrame) -> DataFrame:
     # a line that emits names its model, else its metadata do; a line of zero usage has metadata alone
     rows = rows.withColumn("line_model", model_key(F.coalesce(F.when(F.col("emits"), F.col("explicit")), F.col("meta_model"))))
     rows = rows.withColumns({name: F.last(line, ignorenulls=True).over(so_far) for line, name in CARRIED.items()})
-    stem = F.regexp_extract("relative", r"([^/]+)\.[^./]+$", 1)
-    hint = F.coalesce(_name(stem), F.concat(F.lit("file_"), F.substring(F.sha2(F.col("relative"), 256), 1, 32)))
-    rows = rows.withColumn("session_id", F.coalesce("session_id", hint))
+    rows = rows.withColumn("session_id", F.coalesce("session_id", session_hint()))
     first_parent = F.first("line_parent", ignorenulls=True).over(so_far)
     itself = F.coalesce(F.coalesce("line_parent", first_parent) == F.col("session_id"), F.lit(False))
     clash = F.col("line_conflict") | itself | F.coalesce(F.col("line_parent") != first_parent, F.lit(False))

@@ -116,7 +116,8 @@ def git_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text of log records for each thousand orders of a repository, from `lineitem`: an order is a commit, a line a path."""
     raw = read(spark, sf_dir, "lineitem")
     key, n = F.col("l_orderkey").cast("bigint"), F.col("l_partkey") % len(PATHS)
-    path = F.element_at(F.array(*map(F.lit, PATHS)), (n + 1).cast("int"))
+    odd = F.when(F.col("l_linenumber") == 4, "\t7\tx\x1e:y").otherwise("")  # a name that looks like other tokens
+    path = F.concat(F.element_at(F.array(*map(F.lit, PATHS)), (n + 1).cast("int")), odd)
     renamed, module, binary = F.col("l_linenumber") == 2, n == 7, n == 5
     mode = F.when(module, F.lit(":160000 160000 aa bb ")).otherwise(F.lit(":100644 100644 aa bb "))
     nul = F.lit("\0")
@@ -128,10 +129,11 @@ def git_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     author = lambda m: F.concat(F.lit("dev"), (F.col("k") % m).cast("string"), F.lit("@x"))
     merge = F.col("k") % 17 == 0
     body = F.when(merge, "").otherwise(F.concat(F.array_join(F.transform("e", lambda x: x["entry"]), ""), F.array_join(F.transform("e", lambda x: x["count"]), "")))
-    record = F.concat(F.lit("\x1e"), F.sha2(F.col("k").cast("string"), 256), nul, F.col("at").cast("string"), nul, author(3), nul, author(4), nul, F.when(merge, "p q").when(F.col("k") % 100 == 1, "").otherwise("p"), nul, body)
+    parent = F.sha2((F.col("k") - 1).cast("string"), 256)
+    record = F.concat(F.lit("\x1e"), F.sha2(F.col("k").cast("string"), 256), nul, F.col("at").cast("string"), nul, author(3), nul, author(4), nul, F.when(merge, F.concat_ws(" ", parent, parent)).when(F.col("k") % 100 == 1, "").otherwise(parent), nul, body)
     of = per.select((F.col("k") % 5).alias("repository_id"), F.floor(F.col("k") / 1000).alias("part"), "k", record.alias("record"))
     joined = of.groupBy("repository_id", "part").agg(F.array_sort(F.collect_list(F.struct("k", "record"))).alias("r"))
-    return joined.select("repository_id", F.array_join(F.transform("r", lambda x: x["record"]), "").alias("log"))
+    return joined.select("repository_id", "part", F.array_join(F.transform("r", lambda x: x["record"]), "").alias("log"))
 
 
 def git_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,15 +168,16 @@ def turn_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s: the conversation, a root. f: each third one's fork, whose turns differ from turn 3 on (and, for each fifth fork,
     that skips turn 1 of a parent without it). h: a fork of each second fork, equal to it. c: chains of 50 conversations.
-    x: two sessions that name each other. Some turns declare a conflict, some sessions one of their relation.
+    d: repeats of the conversation by sessions that share their name with one of another profile. x: two sessions that
+    name each other. Some turns declare a conflict, some sessions one of their relation.
     """
     raw = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     c, t = F.col("conv_id"), F.col("turn")
     name = lambda kind, of=c: F.concat(F.lit(kind), of.cast("string"))
     none = F.lit(None).cast("string")
 
-    def session(kind: str, where, parent, text) -> DataFrame:
-        return raw.filter(where).select(name(kind).alias("session_id"), parent.alias("parent_session_id"), text.alias("said"), "conv_id", "turn", F.lit(kind).alias("kind"))
+    def session(kind: str, where, parent, text, of=c) -> DataFrame:
+        return raw.filter(where).select(name(kind, of).alias("session_id"), parent.alias("parent_session_id"), text.alias("said"), "conv_id", "turn", F.lit(kind).alias("kind"))
 
     changed = F.when(t >= 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     every = [
@@ -182,19 +185,22 @@ def turn_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         session("f", c % 3 == 0, name("s"), changed),
         session("h", c % 6 == 0, name("f"), changed),
         session("c", c >= 0, F.when(c % 50 != 0, name("c", c - 1)), F.lit("same")),
+        session("d", c >= 0, name("s"), F.col("text"), F.floor(c / 2)),
         session("x", c % 40 == 7, name("y"), F.col("text")),
         session("y", c % 40 == 7, name("x"), F.col("text")),
     ]
     rows = every[0]
     for more in every[1:]:
         rows = rows.unionByName(more)
+    group = F.when(F.col("kind") == "c", F.floor(c / 50)).otherwise(c)
     out = rows.select(
+        F.when(group % 8 < 4, "codex").otherwise("local").alias("provider_id"),
+        F.concat(F.lit("profile_"), group % 4).alias("profile_id"),
         "session_id",
         "parent_session_id",
         t.alias("ordinal"),
         F.sha2("said", 256).alias("signature"),
         (t % 5 != 4).alias("strong"),
-        F.concat(F.lit("profile_"), c % 4).alias("profile_id"),
         F.concat(F.lit("file_"), "kind").alias("file_key"),
         F.lit(0).alias("generation"),
         (c * 100 + t).alias("source_offset"),

@@ -80,7 +80,7 @@ def test_rates_round_once(spark):
 
 def test_lineage_of_deep_and_round_chains(spark):
     chain = [(f"n{k}", f"n{k + 1}" if k < 40 else None) for k in range(41)]
-    rows = spark.createDataFrame([(*r, False) for r in (*chain, ("x", "y"), ("y", "z"), ("z", "x"))], "session_id string, parent_session_id string, relation_conflict boolean")
+    rows = spark.createDataFrame([("a", "b", *r, False) for r in (*chain, ("x", "y"), ("y", "z"), ("z", "x"))], "provider_id string, profile_id string, session_id string, parent_session_id string, relation_conflict boolean")
     got = {r.session_id: r for r in lineage.ancestors(rows).collect()}
     assert got["n0"].over and not got["n9"].over and got["n39"].depth == 1 and got["x"].cycle and got["y"].cycle and not got["n5"].cycle
 
@@ -133,7 +133,7 @@ def test_streamed_rollup_is_the_batch_rollup(spark, tmp_path):
     store = RollupStore(spark, str(tmp_path / "store"), every=2)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     maintain(stream, store, str(tmp_path / "cp")).awaitTermination()
-    assert store.active() == 2 and store._whole("base") == [1]
+    assert store.active() == 2 and store.generations.parts() == ["base-1", "delta-2"]
     store.apply(events, 2)  # a batch that is given again changes nothing
     want = rollup.time_rollup(events)
     assert store.read().select(want.columns).exceptAll(want).isEmpty() and store.read().count() == want.count()
@@ -188,7 +188,7 @@ def test_replay_is_the_state_table(spark, complete):
         child = [(o, (rng.random() < 0.9, parent[o][1] if o in parent and rng.random() < 0.8 else "c", rng.random() < 0.03)) for o in range(8)]
         rows += [(f"p{k}", None, o, *v) for o, v in parent.items()] + [(f"c{k}", f"p{k}", o, *v) for o, v in child]
         want |= {(f"c{k}", o): d for (o, _), d in zip(child, _fold([(v, parent.get(o)) for o, v in child], complete))} if parent else {}
-    table = spark.createDataFrame([(s, p, o, g, a, "f", 0, o, f"{s}{o}", d, False) for s, p, o, a, g, d in rows], "session_id string, parent_session_id string, ordinal long, signature string, strong boolean, file_key string, generation int, source_offset long, fingerprint string, declared_conflict boolean, relation_conflict boolean")
+    table = spark.createDataFrame([("a", "b", s, p, o, g, a, "f", 0, o, f"{s}{o}", d, False) for s, p, o, a, g, d in rows], "provider_id string, profile_id string, session_id string, parent_session_id string, ordinal long, signature string, strong boolean, file_key string, generation int, source_offset long, fingerprint string, declared_conflict boolean, relation_conflict boolean")
     got = {(r.session_id, r.ordinal): r.disposition for r in lineage.classify(table, complete).filter("session_id LIKE 'c%'").collect()}
     assert all(got[k] == v for k, v in want.items()) and {"conflict", "replay", "eligible", "pending"} <= set(got.values())
 
@@ -206,6 +206,8 @@ def test_whole_lines_only(spark, tmp_path):
     (tmp_path / "archived_sessions/a.jsonl").write_bytes(b"shadowed\n")
     (tmp_path / "archived_sessions/b.jsonl").write_bytes(b"old\n")
     got = sorted((r.relative, r.source_offset, r.value) for r in jsonl.discover(spark, str(tmp_path)).collect())
+    (tmp_path / "sessions/c.jsonl").write_bytes(b"")
+    (tmp_path / "archived_sessions/c.jsonl").write_bytes(b"shadowed by an empty one\n")
     assert got == [("a.jsonl", 0, "one\r"), ("a.jsonl", 6, ""), ("a.jsonl", 7, "two".replace("o", "ö")), ("b.jsonl", 0, "old")]
     assert jsonl.discover(spark, str(tmp_path), ["b.jsonl"]).count() == 1
 
@@ -258,3 +260,45 @@ def test_cursors_belong_to_a_dataset():
     with pytest.raises(ValueError):
         git_output.day_range(0, 86_401)
     assert git_output.day_range(-86_400, 86_400) == (-1, 1)
+
+
+_OID = "a" * 40
+
+
+def _git(*tokens):
+    return ("".join(t + "\0" for t in tokens)).encode()
+
+
+@pytest.mark.parametrize(
+    ("log", "want"),
+    [
+        (_git("\x1e" + _OID, "0", "a", "b", "", ":100644 100644 a b M", "7\t9\tfoo.rs", "1\t2\t7\t9\tfoo.rs"), [("7\t9\tfoo.rs", "text", 1, 2)]),
+        (_git("\x1e" + _OID, "0", "a", "b", "", ":100644 100644 a b M", "\x1e:x", "1\t2\t\x1e:x"), [("\x1e:x", "text", 1, 2)]),
+        (_git("\x1e" + _OID, "0", "a", "b", "", ":100644 160000 a b R100", "old", "new", "-\t-\t", "old", "new"), [("new", "submodule", None, None)]),
+        (_git("\x1e" + _OID, "-1", "a", "b", _OID, "", "\x1e" + _OID, "0", "a", "b", ""), [(None, None, None, None)] * 2),
+        (b"", []),
+        (_git("\x1e" + _OID, "0", "a", "b", "", ":100644 100644 a b M", "x"), "mismatch"),
+        (_git("\x1e" + _OID, "0", "a", "b", "", "1\t2\tx"), "mismatch"),
+        (_git("\x1e" + _OID, "0", "a", "b", "", ":100644 100644 a b M", "x", "1\t2\ty"), "mismatch"),
+        (_git("\x1e" + _OID, "0", "a", "b", "", ":100644 100644 a b M", "../x", "1\t2\t../x"), "path"),
+        (_git("\x1e" + _OID, "0", "a", "b", "", ":100644 100644 a b M", "x", "1\t-\tx"), "protocol"),
+        (_git("\x1e" + _OID, "0", "a", "b", "", "", "\n\x1e" + _OID, "0", "a", "b", ""), "protocol"),
+        (_git("\x1e" + _OID, "0", "a", "b", "p q"), "object"),
+        (_git("\x1e" + _OID, "soon", "a", "b", ""), "timestamp"),
+        (_git("\x1e" + _OID, "0", "a" * 5000, "b", ""), "capacity"),
+        (_git("\x1e" + _OID, "0", "a"), "incomplete"),
+        (_git("x"), "protocol"),
+    ],
+)
+def test_log_tokens_mean_what_their_place_says(log, want):
+    from tallymill.sources import git_log
+
+    rows = git_log._rows(log, {b"a"})
+    assert [r[-1] for r in rows] == [want] if isinstance(want, str) else [r[4:8] for r in rows] == want and all(r[3] for r in rows)
+
+
+def test_a_failed_text_withholds_its_repository(spark):
+    logs = spark.createDataFrame([(1, _git("\x1e" + _OID, "0", "a", "b", "")), (1, b"junk\0"), (2, _git("\x1e" + _OID, "0", "a", "b", "")), (3, None)], "repository_id long, log binary")
+    got = git_output.parse_log(logs, [])
+    assert sorted((r.repository_id, r.error) for r in got.collect() if r.error) == [(1, "protocol")]
+    assert [(r.repository_id, r.commit, r.selected) for r in git_output.sound(got).collect()] == [(2, _OID, False)]
