@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.measures import METRICS, merged_metrics
-from tallymill.operators.calendar import segment_buckets
+from tallymill.operators.calendar import rhythm_buckets, segment_buckets
 
 PAGE, ITEMS, TARGETS, DAYS = 256, 256, 401, 400
 
@@ -46,7 +46,7 @@ def daily_series(rollup: DataFrame, targets: list[tuple[int, int, int]]) -> Data
 
 
 def breakdown(rollup: DataFrame, start: int, end: int, kind: str, limit: int = ITEMS) -> DataFrame:
-    """Metrics by model, project, provider or profile; most tokens first, at most `limit` rows."""
+    """Metrics by model, project, provider or profile; most tokens first, at most `limit` rows (`full_analytics` tells whether more follow)."""
     keys = {"model": ["dimension_value"], "project": ["dimension_value"], "provider": ["provider_id"], "profile": ["provider_id", "profile_id"]}[kind]
     rows = rollup.filter(F.col("dimension") == (kind if kind in ("model", "project") else "all"))
     got = in_range(rows, [(0, start, end)]).groupBy(*keys).agg(*merged_metrics())
@@ -61,32 +61,42 @@ def with_lookahead(rows: DataFrame, order: list[Column | str], size: int) -> Dat
     return ranked.withColumn("has_more", F.max("n").over(Window.partitionBy()) > size).filter(F.col("n") <= size).drop("n")
 
 
-def full_analytics(rollup: DataFrame, start: int, end: int, targets: list[tuple[int, int, int]], scopes: list[tuple[str, str]] = (), limit: int = ITEMS) -> DataFrame:
-    """Overview, days and the four breakdowns in one pass and one shuffle: (kind, key, key2, metrics, rank, truncated).
+def full_analytics(rollup: DataFrame, start: int, end: int, targets: list[tuple[int, int, int]], scopes: list[tuple[str, str]] = (), limit: int = ITEMS, zone: str | None = None) -> DataFrame:
+    """Overview, days, the four breakdowns and, with a zone, the rhythm, in one pass and one shuffle: (kind, key, key2, metrics, rank, truncated).
 
-    kind is overview, day, model, project, provider or profile. A breakdown has its first `limit` items by tokens.
+    kind is overview, day, model, project, provider, profile, hour, weekday or cell. A breakdown has its first `limit`
+    items by tokens; the rhythm has the cells in which something happened.
     """
-    rows = in_range(scoped(rollup, list(scopes)), [(-1, start, end), *targets])
+    rows = scoped(rollup, list(scopes))
+    met = in_range(rows, [(-1, start, end), *targets]).withColumns({"hour": F.lit(None).cast("long"), "weekday": F.lit(None).cast("long")})
+    if zone is not None:
+        clock = rhythm_buckets(rollup.sparkSession, start, end, zone)
+        local = rows.filter((F.col("dimension") == "all") & F.col("bucket_start").between(start, end)).join(F.broadcast(clock), ["bucket_width", "bucket_start"])
+        met = met.unionByName(local.withColumn("target", F.lit(-2).cast("long")))
     one = lambda kind, key, key2: F.struct(F.lit(kind).alias("kind"), key.alias("key"), key2.alias("key2"))
     none = F.lit("")
-    whole = F.col("target") == -1
+    text = lambda c: c.cast("string")
+    hour, weekday = F.col("hour"), F.col("weekday")
     of_all = F.array(one("overview", none, none), one("provider", F.col("provider_id"), none), one("profile", F.col("provider_id"), F.col("profile_id")))
-    day = F.array(one("day", F.col("target").cast("string"), none))
+    day = F.array(one("day", text(F.col("target")), none))
+    beat = F.array(one("hour", text(hour), none), one("weekday", text(weekday), none), one("cell", text(weekday * 24 + hour), none))
     item = F.array(F.struct(F.col("dimension").alias("kind"), F.col("dimension_value").alias("key"), none.alias("key2")))
-    keys = F.when(F.col("dimension") == "all", F.when(whole, of_all).otherwise(day)).when(whole, item)
-    sums = rows.withColumn("k", F.explode(keys)).groupBy("k").agg(*merged_metrics()).select("k.*", *METRICS)
+    whole = F.col("target") == -1
+    keys = F.when(F.col("target") == -2, beat).when(F.col("dimension") == "all", F.when(whole, of_all).otherwise(day)).when(whole, item)
+    sums = met.withColumn("k", F.explode(keys)).groupBy("k").agg(*merged_metrics()).select("k.*", *METRICS)
     by = Window.partitionBy("kind").orderBy(F.desc("sum_total_tokens"), F.desc("event_count"), "key", "key2")
-    ranked = sums.withColumn("rank", F.row_number().over(by))
-    cut = ~F.col("kind").isin("day", "overview") & (F.col("rank") > limit)
+    # ranks beyond what any kind shows are dropped before they are shuffled, so no task sees all projects
+    ranked = sums.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= max(limit + 1, TARGETS))
+    cut = F.col("kind").isin("model", "project", "provider", "profile") & (F.col("rank") > limit)
     return ranked.withColumn("truncated", F.max(cut).over(Window.partitionBy("kind"))).filter(~cut)
 
 
-def rhythm_sums(rollup: DataFrame, minutes: DataFrame) -> DataFrame:
+def rhythm_sums(rollup: DataFrame, clock: DataFrame) -> DataFrame:
     """(grouping, metrics): what the rhythm's hours, weekdays and cells add up to; each must be the overview of the same range."""
     groupings = {"hours": (F.col("hour"), 24), "weekdays": (F.col("weekday"), 7), "cells": (F.col("weekday") * 24 + F.col("hour"), 168)}
     out = None
     for name, (key, cells) in groupings.items():
-        one = rhythm(rollup, minutes, key, cells).agg(*merged_metrics()).select(F.lit(name).alias("grouping"), *METRICS)
+        one = rhythm(rollup, clock, key, cells).agg(*merged_metrics()).select(F.lit(name).alias("grouping"), *METRICS)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -117,10 +127,10 @@ def probe_page(rows: DataFrame, size: int, before: int | None = None, key: str =
     return some.orderBy(F.desc(key)).limit(max(1, min(size, PAGE)))
 
 
-def rhythm(rollup: DataFrame, minutes: DataFrame, key: Column, cells: int) -> DataFrame:
-    """Metrics of each local hour, weekday or cell (dense from 0), by minute buckets."""
-    rows = rollup.filter((F.col("dimension") == "all") & (F.col("bucket_width") == 60))
-    found = rows.join(minutes.withColumnRenamed("minute", "bucket_start"), "bucket_start").groupBy(key.alias("cell")).agg(*merged_metrics())
+def rhythm(rollup: DataFrame, clock: DataFrame, key: Column, cells: int) -> DataFrame:
+    """Metrics of each local hour, weekday or cell (dense from 0), from the buckets of `rhythm_buckets`."""
+    rows = rollup.filter(F.col("dimension") == "all")
+    found = rows.join(F.broadcast(clock), ["bucket_width", "bucket_start"]).groupBy(key.alias("cell")).agg(*merged_metrics())  # at most 30 days of minutes
     every = rollup.sparkSession.range(cells).withColumnRenamed("id", "cell")
     return every.join(found, "cell", "left").fillna(0, list(METRICS))
 
@@ -129,25 +139,66 @@ def lifetime(rollup: DataFrame) -> DataFrame:
     return rollup.filter((F.col("bucket_width") == 3600) & (F.col("dimension") == "all")).agg(*merged_metrics())
 
 
-def activity_page(events: DataFrame, size: int = PAGE, before: tuple[int, int, str] | None = None) -> DataFrame:
-    """Newest events first; `before` is the key of the last row of the page before."""
-    key = F.struct(F.col("timestamp_seconds").alias("s"), F.col("timestamp_nanos").alias("n"), F.col("fingerprint").alias("f"))
+def horizon(rollup: DataFrame) -> tuple[int, int]:
+    """The first second and the end of what a stored rollup holds, from its hours alone."""
+    hours = rollup.filter((F.col("bucket_width") == 3600) & (F.col("dimension") == "all"))
+    first, last = hours.agg(F.min("bucket_start"), F.max("bucket_start")).first()
+    return (first, last + 3600) if first is not None else (0, 0)
+
+
+def newest(rows: DataFrame, at: str, size: int, bounds: tuple[int, int], upto: int | None = None) -> DataFrame:
+    """Rows of a last stretch of time up to `upto` that has `size` of them: an hour, then eight times as long until it is full.
+
+    Bounds on the sorted column are plain comparisons, so a store in its order reads the row groups of that stretch alone.
+    """
+    first, end = bounds
+    last, span = end if upto is None else min(upto, end), 3600
+    while True:
+        some = rows.filter(F.col(at).between(last - span, last))
+        if last - span <= first or some.limit(size).count() >= size:
+            return some
+        span *= 8
+
+
+def _before(key: list[tuple[str, object]]) -> Column:
+    """Rows whose key, in falling order, comes after this one; the first bound stands by itself, so that it reaches the files."""
+    out = F.lit(False)
+    for column, value in reversed(key):
+        out = (F.col(column) < F.lit(value)) | ((F.col(column) == F.lit(value)) & out)
+    return (F.col(key[0][0]) <= F.lit(key[0][1])) & out
+
+
+def activity_page(events: DataFrame, size: int = PAGE, before: tuple[int, int, str] | None = None, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """Newest events first; `before` is the key of the last row of the page before. With bounds, only a stretch that fills the page is read."""
     if before:
-        s, n, f = before
-        events = events.filter(key < F.struct(F.lit(s).cast("bigint").alias("s"), F.lit(n).cast("bigint").alias("n"), F.lit(f).alias("f")))
-    return events.orderBy(F.desc("timestamp_seconds"), F.desc("timestamp_nanos"), F.desc("fingerprint")).limit(min(size, PAGE))
+        events = events.filter(_before(list(zip(_EVENT_KEY, before, strict=True))))
+    if bounds is not None:
+        events = newest(events, _EVENT_KEY[0], min(size, PAGE), bounds, before and before[0])
+    return events.orderBy(*map(F.desc, _EVENT_KEY)).limit(min(size, PAGE))
+
 
+_EVENT_KEY = ("timestamp_seconds", "timestamp_nanos", "fingerprint")
 
-def session_page(sessions: DataFrame, size: int = PAGE, after: tuple[int, int, str, str, str] | None = None) -> DataFrame:
+
+def session_page(sessions: DataFrame, size: int = PAGE, after: tuple[int, int, str, str, str] | None = None, bounds: tuple[int, int] | None = None) -> DataFrame:
     """Sessions by their last moment, newest first, then by name; `after` is the key of the last row of the page before."""
     rows, names = sessions.filter(F.col("dimension") == "all"), ("provider_id", "profile_id", "session_id")
     if after:
         s, n, *ids = after
-        at, last = F.struct("last_seconds", "last_nanos"), F.struct(F.lit(s).cast("bigint").alias("last_seconds"), F.lit(n).cast("bigint").alias("last_nanos"))
-        rows = rows.filter((at < last) | (at == last) & (F.struct(*names) > F.struct(*[F.lit(v).alias(k) for k, v in zip(names, ids, strict=True)])))
+        same = (F.col("last_seconds") == s) & (F.col("last_nanos") == n) & (F.struct(*names) > F.struct(*[F.lit(v).alias(k) for k, v in zip(names, ids, strict=True)]))
+        rows = rows.filter((F.col("last_seconds") <= s) & (_before([("last_seconds", s), ("last_nanos", n)]) | same))
+    if bounds is not None:
+        rows = newest(rows, "last_seconds", min(size, PAGE), bounds, after and after[0])
     return rows.orderBy(F.desc("last_seconds"), F.desc("last_nanos"), *names).limit(min(size, PAGE))
 
 
+def cursor_page(events: DataFrame, dataset: str, at: tuple | None, size: int = PAGE, bounds: tuple[int, int] | None = None) -> tuple[DataFrame, tuple | None]:
+    """A page of the dataset and the cursor of the next one; a cursor of another dataset is refused (ValueError)."""
+    page = activity_page(events, size, resume(at, dataset), bounds)
+    rows = page.select(*_EVENT_KEY).collect()  # at most PAGE keys
+    return page, cursor(dataset, *rows[-1]) if len(rows) == min(size, PAGE) else None
+
+
 def session_detail(sessions: DataFrame, provider: str, profile: str, session: str, dimension: str = "all") -> DataFrame:
     rows = sessions.filter((F.col("provider_id") == provider) & (F.col("profile_id") == profile) & (F.col("session_id") == session) & (F.col("dimension") == dimension))
     return rows if dimension == "all" else rows.orderBy(F.desc("sum_total_tokens"), F.desc("event_count"), "dimension_value").limit(ITEMS)

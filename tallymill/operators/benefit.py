@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymill.operators.quota import sample_freshness
+from tallymill.operators.status import worst
+
+#: Qualities from best to worst; most scopes and lots of an overview.
+QUALITIES = ("authoritative", "derived", "estimated", "partial", "conflict", "unknown")
+SCOPES, LOTS = 32, 256
 TERMINAL = ("used", "expired")
 #: Seconds before expiry at which the default profile reminds.
 LEADS = (604_800, 86_400, 43_200, 21_600, 3_600)
@@ -104,6 +110,22 @@ def overview(lots: DataFrame, scopes: DataFrame) -> DataFrame:
     return scopes.orderBy("scope_id").limit(32).join(per, "scope_id", "left").fillna(0, ["lots", "available"]).orderBy("scope_id")
 
 
+def overview_status(lots: DataFrame, states: DataFrame, now_ms: int) -> DataFrame:
+    """One row for an overview of at most 32 scopes: lots, data_through_ms, the worst freshness and quality, warnings, and whether it holds more than 256 lots.
+
+    states has scope_id, observed_at_ms, fresh_until_ms, stale_after_ms, quality; without any the overview is unavailable,
+    of unknown quality, and warns that there is no inventory.
+    """
+    shown = states.orderBy("scope_id").limit(SCOPES)
+    n = lots.join(F.broadcast(shown.select("scope_id")), "scope_id", "left_semi").agg(F.count("*").alias("lots"))
+    told = shown.withColumn("freshness", sample_freshness(F.lit(now_ms))).agg(
+        F.count("*").alias("scopes"), F.min("observed_at_ms").alias("data_through_ms"), F.coalesce(worst(F.col("freshness")), F.lit("unavailable")).alias("freshness"),
+        F.coalesce(worst(F.col("quality"), QUALITIES), F.lit("unknown")).alias("quality"), F.bool_or(F.col("freshness").isin("stale", "unavailable")).alias("old"),
+    )
+    warnings = F.concat_ws(",", F.when(F.col("scopes") == 0, "inventory_absent"), F.when(F.col("old"), "inventory_stale"))
+    return told.join(n).select("scopes", "lots", "data_through_ms", "freshness", "quality", warnings.alias("warnings"), (F.col("lots") > LOTS).alias("over"))  # one row by one row
+
+
 def nearest(lots: DataFrame) -> DataFrame:
     """Next expiry of each scope, with the lot."""
     rows = lots.filter((F.col("state") == "available") & F.col("expires_at_ms").isNotNull())

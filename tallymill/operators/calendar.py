@@ -9,7 +9,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_DAYS, HOUR, MINUTE = 400, 3600, 60
+MAX_DAYS, RHYTHM_DAYS, HOUR, MINUTE = 400, 30, 3600, 60
 
 
 def day_start(day: date, zone: str) -> int:
@@ -101,6 +101,22 @@ def rhythm_minutes(spark: SparkSession, start: int, end: int, zone: str) -> Data
     return spark.range(start, end, MINUTE).select(F.col("id").alias("minute"), F.hour(local).cast("bigint").alias("hour"), F.weekday(local).cast("bigint").alias("weekday"), local.cast("date").alias("date"), offset.cast("bigint").alias("offset"))
 
 
+def rhythm_buckets(spark: SparkSession, start: int, end: int, zone: str) -> DataFrame:
+    """(bucket_width, bucket_start, hour, weekday) that cover a range of at most 30 days once, each within one local hour.
+
+    An hour of UTC is one bucket where it is one local hour, by its offset at both ends; else it is its minutes.
+    """
+    if end - start > RHYTHM_DAYS * 86_400 + 2 * HOUR:
+        raise ValueError("a rhythm has at most 30 days")
+    at = spark.createDataFrame([(s.width, s.start, s.end) for s in segments(start, end)], "w long, a long, z long").select("w", F.explode(F.sequence("a", F.col("z") - F.col("w"), "w")).alias("at"))
+    offset = lambda s: F.timestamp_diff("SECOND", F.timestamp_add("SECOND", s, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), local_clock(s, zone))
+    one = (F.col("w") == MINUTE) | ((offset(F.col("at")) == offset(F.col("at") + HOUR - MINUTE)) & (offset(F.col("at")) % HOUR == 0))
+    width = F.when(one, F.col("w")).otherwise(F.lit(MINUTE)).cast("long")
+    each = at.select(width.alias("bucket_width"), F.explode(F.when(one, F.array("at")).otherwise(F.sequence("at", F.col("at") + HOUR - MINUTE, F.lit(MINUTE).cast("long")))).alias("bucket_start"))
+    local = local_clock(F.col("bucket_start"), zone)
+    return each.select("bucket_width", "bucket_start", F.hour(local).cast("long").alias("hour"), F.weekday(local).cast("long").alias("weekday"))
+
+
 def exposure(spark: SparkSession, start: int, end: int, zone: str, key: str) -> DataFrame:
     """Elapsed minutes of each local hour or weekday in a range, and its occurrences: runs of one date, hour and offset from UTC."""
     run = F.struct("date", "offset", "hour")

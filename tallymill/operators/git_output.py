@@ -73,12 +73,13 @@ def day_categories(changes: DataFrame) -> DataFrame:
 
 
 def days(changes: DataFrame) -> DataFrame:
-    """Commits, merges and lines of the newest 400 days of each repository."""
+    """Commits, merges and lines of the newest 400 days of each repository; `truncated` where it has more."""
     lines = lambda c: F.sum(F.when(F.col("is_merge"), 0).otherwise(F.col(c))).cast("bigint").alias(c)
     per = changes.groupBy("repository_id", "day_index", "commit_id").agg(F.max("is_merge").alias("is_merge"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
     day = per.groupBy("repository_id", "day_index").agg(F.count("*").alias("commits"), F.count_if("is_merge").alias("merge_commits"), lines("added"), lines("removed"))
     rank = F.row_number().over(Window.partitionBy("repository_id").orderBy(F.desc("day_index")))
-    return day.withColumn("n", rank).filter(F.col("n") <= DAYS).drop("n")
+    more = day.groupBy("repository_id").agg((F.count("*") > DAYS).alias("truncated"))
+    return day.withColumn("n", rank).filter(F.col("n") <= DAYS).drop("n").join(more, "repository_id")
 
 
 def range_categories(by_day: DataFrame, first_day: int, last_day: int) -> DataFrame:

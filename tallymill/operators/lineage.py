@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.checkpoints import materialize
 
 DEPTH, CHILDREN = 32, 256
+#: Rows of a session from which it is folded by blocks, and rows of a block on average.
+HOT, BLOCK = 4_000_000, 1_000_000
 #: What a session is known by.
 KEY = ("provider_id", "profile_id", "session_id")
 #: Order of observations along a session.
@@ -30,8 +32,8 @@ def relations(observations: DataFrame) -> DataFrame:
 
 
 def declared(observations: DataFrame) -> DataFrame:
-    """(key, low, high, said): what rows declare of a session; minima and maxima, so parts of it can be merged."""
-    return observations.groupBy(*KEY).agg(F.min("parent_session_id").alias("low"), F.max("parent_session_id").alias("high"), F.max("relation_conflict").alias("said"))
+    """(key, low, high, said, rows): what rows declare of a session; minima, maxima and a count, so parts of it can be merged."""
+    return observations.groupBy(*KEY).agg(F.min("parent_session_id").alias("low"), F.max("parent_session_id").alias("high"), F.max("relation_conflict").alias("said"), F.count("*").alias("rows"))
 
 
 def settled(said: DataFrame) -> DataFrame:
@@ -105,16 +107,40 @@ def classify(observations: DataFrame, complete: bool = True) -> DataFrame:
     leaves the rest pending; whichever comes first rules. A declared conflict, of the child or of the parent at its
     ordinal, makes the rest conflict; a conflicting relation, or a cycle, all. Chains over 32 are pending. The fold is a
     running first value along the session. Roots take no part in the join with parents, so no null key gathers them.
+    A session of more than HOT rows is folded by blocks, each a task's work, and what a block comes to is carried on.
     """
-    known = materialize(relations(observations))
-    return judged(observations, known, known.join(ancestors(known), list(KEY), "left"), observations, complete)
+    said = materialize(declared(observations))
+    known = settled(said)
+    hot = said.filter(F.col("rows") > HOT).select(*KEY)
+    return judged(observations, known, known.join(ancestors(known), list(KEY), "left"), observations, complete, None if hot.isEmpty() else hot)
 
 
-def judged(observations: DataFrame, relations: DataFrame, facts: DataFrame, of_parents: DataFrame, complete: bool) -> DataFrame:
+def _folded(rows: DataFrame, cause: Column, said: Column) -> DataFrame:
+    """The rows with the first cause and whether anything was said, so far along their session."""
+    along = Window.partitionBy(*KEY).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({"__ruled": F.first(cause, ignorenulls=True).over(along), "__spoiled": F.max(said).over(along)})
+
+
+def _folded_by_blocks(rows: DataFrame, cause: Column, said: Column) -> DataFrame:
+    """The same for few sessions of very many rows: ranges of a session are folded apart, and each takes on what those before it come to."""
+    marked = rows.withColumns({"__cause": cause, "__said": said})
+    blocks = max(1, -(-rows.count() // BLOCK))
+    ranged = materialize(marked.repartitionByRange(blocks, *KEY, *ORDER).withColumn("__block", F.spark_partition_id()))
+    at = (*KEY, "__block")
+    ends = ranged.groupBy(*at).agg(F.min_by("__cause", F.when(F.col("__cause").isNotNull(), F.struct(*ORDER))).alias("c"), F.max("__said").alias("s"))
+    before = Window.partitionBy(*KEY).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    carried = ends.select(*at, F.first("c", ignorenulls=True).over(before).alias("__c"), F.max("s").over(before).alias("__s"))
+    within = Window.partitionBy(*at).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({"__ruled": F.first("__cause", ignorenulls=True).over(within), "__spoiled": F.max("__said").over(within)}).join(carried, list(at))
+    whole = {"__ruled": F.coalesce("__c", "__ruled"), "__spoiled": F.coalesce("__s", F.lit(False)) | F.col("__spoiled")}
+    return local.withColumns(whole).select(*rows.columns, "__ruled", "__spoiled")
+
+
+def judged(observations: DataFrame, relations: DataFrame, facts: DataFrame, of_parents: DataFrame, complete: bool, hot: DataFrame | None = None) -> DataFrame:
     """The observations with `disposition`.
 
     facts has a row for each of their sessions: relation, cycle, conflict and over; of_parents holds their parents' rows, and
-    relations those of the parents.
+    relations those of the parents; hot names sessions of very many rows.
     """
     named = facts.select(*KEY, F.col("parent_session_id").alias("__parent"), F.col("relation_conflict").alias("__bad"), "cycle", "conflict", "over")
     rows = observations.drop("relation_conflict").join(named, list(KEY))
@@ -127,13 +153,15 @@ def judged(observations: DataFrame, relations: DataFrame, facts: DataFrame, of_p
     every = met.unionByName(alone)
     of_child, gone = F.col("__parent").isNotNull(), F.col("parent").isNull()
     both = F.coalesce(F.col("strong") & F.col("parent.strong"), F.lit(False))
-    along = Window.partitionBy(*KEY).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     cause = F.when(of_child & gone, "eligible" if complete else "pending").when(of_child & both & (F.col("signature") != F.col("parent.signature")), "eligible")
-    ruled = F.first(cause, ignorenulls=True).over(along)
     said = F.col("declared_conflict") | F.coalesce(F.col("parent.declared_conflict") | F.col("parent.relation_conflict"), F.lit(False))
-    broken = F.col("__bad") | F.coalesce("cycle", F.lit(False)) | F.coalesce("conflict", F.lit(False)) | F.max(said).over(along)
+    folded = _folded(every if hot is None else every.join(hot, list(KEY), "left_anti"), cause, said)
+    if hot is not None:
+        folded = folded.unionByName(_folded_by_blocks(every.join(hot, list(KEY), "left_semi"), cause, said))
+    ruled = F.col("__ruled")
+    broken = F.col("__bad") | F.coalesce("cycle", F.lit(False)) | F.coalesce("conflict", F.lit(False)) | F.col("__spoiled")
     disposition = F.when(broken, "conflict").when(F.coalesce("over", F.lit(False)), "pending").when(~of_child, "eligible").when(ruled.isNotNull(), ruled).when(both, "replay").otherwise("pending")
-    return every.withColumn("disposition", disposition).select(*[c for c in observations.columns if c != "relation_conflict"], "disposition")
+    return folded.withColumn("disposition", disposition).select(*[c for c in observations.columns if c != "relation_conflict"], "disposition")
 
 
 def selection(classified: DataFrame) -> DataFrame:

@@ -87,6 +87,13 @@ def transitions(samples: DataFrame, thresholds: tuple[int | None, int | None, in
     return rows.drop(*[f"p_{n}" for n in names])
 
 
+def sequence_gaps(changes: DataFrame) -> DataFrame:
+    """(scope_id, window_id, transitions, last, gaps): each transition's sequence is the one before and one more; gaps are those that are missing."""
+    moved = F.col("transition_id").isNotNull()
+    per = changes.groupBy(*KEY).agg(F.count_if(moved).alias("transitions"), F.max("sequence").alias("last"), F.count_distinct(F.when(moved, F.col("sequence"))).alias("known"))
+    return per.select(*KEY, "transitions", "last", (F.col("last") - F.col("known")).alias("gaps"))
+
+
 def current_windows(changes: DataFrame) -> DataFrame:
     """The newest state of each window."""
     columns = ("observed_at_ms", "epoch", "sequence", "used_ppm", "max_used_ppm", "observation_id", "epoch_id", "fresh_until_ms", "stale_after_ms", "quality")

@@ -199,7 +199,7 @@ SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY seen IS NULL,
         "b8_fefo": f"{lots_sql(False)} ORDER BY expires_at_ms NULLS LAST, lot_id LIMIT 256",
         "b9_nearest_expiry": f"WITH lots AS ({lots_sql(False)}) SELECT scope_id, min(expires_at_ms) AS expires_at_ms, (min(struct_pack(e := expires_at_ms, l := lot_id))).l AS lot_id, count(*) AS lots FROM lots WHERE state = 'available' AND expires_at_ms IS NOT NULL GROUP BY 1",
         "g1_day_categories": f"WITH {GIT} SELECT * FROM dc",
-        "g3_days": f"WITH {GIT}, pc AS (SELECT repository_id, day_index, commit_id, bool_or(is_merge) AS m, sum(added) AS a, sum(removed) AS r FROM gc GROUP BY ALL), d AS (SELECT repository_id, day_index, count(*) AS commits, count(*) FILTER (m) AS merge_commits, CAST(sum(CASE WHEN m THEN 0 ELSE a END) AS BIGINT) AS added, CAST(sum(CASE WHEN m THEN 0 ELSE r END) AS BIGINT) AS removed FROM pc GROUP BY ALL) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY day_index DESC) <= 400",
+        "g3_days": f"WITH {GIT}, pc AS (SELECT repository_id, day_index, commit_id, bool_or(is_merge) AS m, sum(added) AS a, sum(removed) AS r FROM gc GROUP BY ALL), d AS (SELECT repository_id, day_index, count(*) AS commits, count(*) FILTER (m) AS merge_commits, CAST(sum(CASE WHEN m THEN 0 ELSE a END) AS BIGINT) AS added, CAST(sum(CASE WHEN m THEN 0 ELSE r END) AS BIGINT) AS removed FROM pc GROUP BY ALL) SELECT *, count(*) OVER (PARTITION BY repository_id) > 400 AS truncated FROM d QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY day_index DESC) <= 400",
         "g5_range_categories": f"WITH {GIT}, s AS (SELECT repository_id, category, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed FROM dc WHERE day_index BETWEEN 9000 AND 9400 GROUP BY ALL) SELECT repository_id, category, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed FROM (SELECT DISTINCT repository_id FROM dc) CROSS JOIN (SELECT unnest({list(CATEGORIES)}) AS category) LEFT JOIN s USING (repository_id, category)",
         "g10_efficiency": f"WITH {GIT}, ln AS (SELECT 'proj_' || repository_id AS project, CAST(sum(added) AS BIGINT) AS lines FROM dc WHERE category = 'product_code' GROUP BY 1), co AS ({_cost('project', 'auto', start, end)}) SELECT project, amount, lines, CASE WHEN lines > 0 AND amount IS NOT NULL THEN CAST((CAST(amount AS HUGEINT) * 100 + lines // 2) // lines AS BIGINT) END AS per_100_lines FROM co LEFT JOIN ln USING (project)",
         "s19_quota_windows": """WITH s AS (SELECT 'account_' || user_id % 4 AS account_id, event_type AS limit_id, epoch_us(ts) // 1000 AS observed_at_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),

@@ -91,7 +91,7 @@ for _kind in ("model", "project", "provider", "profile"):
 def _rhythm(name: str) -> Query:
     def run(spark, sf_dir):
         keys = {"hours": (F.col("hour"), 24), "weekdays": (F.col("weekday"), 7), "cells": (F.col("weekday") * 24 + F.col("hour"), 168)}
-        return analytics.rhythm(_kept(spark, sf_dir), calendar.rhythm_minutes(spark, START, END, ZONE), *keys[name])
+        return analytics.rhythm(_kept(spark, sf_dir), calendar.rhythm_buckets(spark, START, END, ZONE), *keys[name])
 
     return run
 
@@ -109,13 +109,13 @@ def available(spark, sf_dir):
 
 
 _PAGE = ("timestamp_seconds", "timestamp_nanos", "fingerprint", "session_id", "total_tokens")
-query("u10_activity_page")(lambda s, d: analytics.activity_page(testdata.usage_event(s, d, True), 200).select(*_PAGE))
-query("u10_activity_cursor")(lambda s, d: analytics.activity_page(testdata.usage_event(s, d, True), 100, (1_705_000_000, 0, "")).select(*_PAGE))
+query("u10_activity_page")(lambda s, d: analytics.activity_page(usage.events(s, d), 200, bounds=usage.bounds(s, d)).select(*_PAGE))
+query("u10_activity_cursor")(lambda s, d: analytics.activity_page(usage.events(s, d), 100, (1_705_000_000, 0, ""), usage.bounds(s, d)).select(*_PAGE))
 _SESSION = ("provider_id", "profile_id", "session_id", "last_seconds", "last_nanos", "event_count", "sum_total_tokens")
-query("u12_session_page")(lambda s, d: analytics.session_page(rollup.session_rollup(_events(s, d)), 100).select(*_SESSION))
-query("u12_session_cursor")(lambda s, d: analytics.session_page(rollup.session_rollup(_events(s, d)), 100, (1_706_500_000, 0, "", "", "")).select(*_SESSION))
-query("u13_session_detail")(lambda s, d: analytics.session_detail(rollup.session_rollup(_events(s, d)), "local", "profile_0", "session_0"))
-query("u14_session_models")(lambda s, d: analytics.session_detail(rollup.session_rollup(_events(s, d)), "local", "profile_0", "session_0", "model").select("dimension_value", *METRICS))
+query("u12_session_page")(lambda s, d: analytics.session_page(usage.sessions(s, d), 100, bounds=usage.bounds(s, d)).select(*_SESSION))
+query("u12_session_cursor")(lambda s, d: analytics.session_page(usage.sessions(s, d), 100, (1_706_500_000, 0, "", "", ""), usage.bounds(s, d)).select(*_SESSION))
+query("u13_session_detail")(lambda s, d: analytics.session_detail(usage.sessions(s, d), "local", "profile_0", "session_0"))
+query("u14_session_models")(lambda s, d: analytics.session_detail(usage.sessions(s, d), "local", "profile_0", "session_0", "model").select("dimension_value", *METRICS))
 
 
 def _priced(spark, sf_dir, *target):

@@ -10,7 +10,7 @@ from tallymill.functions.measures import METRICS, elapsed_ppm
 from tallymill.operators import analytics, calendar, pricing, rollup, status
 from tallymill.plans.oracle import PKEYS, PRANK, PRICED, PSUMS, UE, ZERO, batch_sql
 from tallymill.sources import testdata
-from tallymill.sources.stored import stored_prices, stored_rollup, stored_session_prices
+from tallymill.sources.stored import fingerprint, stored_events, stored_prices, stored_rollup, stored_session_prices, stored_sessions
 
 FIRST, LAST, ZONE = date(2024, 1, 3), date(2024, 1, 24), "America/New_York"
 START, END = calendar.day_start(FIRST, ZONE), calendar.day_start(LAST, ZONE)
@@ -32,12 +32,39 @@ def session_prices(spark, sf_dir):
     return stored_session_prices(spark, testdata.usage_event(spark, sf_dir), f"{sf_dir}/events.parquet")
 
 
+def events(spark, sf_dir):
+    """The synthetic events with their identity in order of time, as pages read them."""
+    return stored_events(spark, testdata.usage_event(spark, sf_dir, True), f"{sf_dir}/events.parquet")
+
+
+def sessions(spark, sf_dir):
+    return stored_sessions(spark, testdata.usage_event(spark, sf_dir), f"{sf_dir}/events.parquet")
+
+
+def bounds(spark, sf_dir):
+    return analytics.horizon(kept(spark, sf_dir))
+
+
+def _cursors(spark, sf_dir):
+    """Three pages by cursors of this dataset, and what becomes of one of another: (page, events, first, state)."""
+    dataset, rows, limits, at, out = fingerprint(spark, f"{sf_dir}/events.parquet"), events(spark, sf_dir), bounds(spark, sf_dir), None, []
+    for k in range(3):
+        page, at = analytics.cursor_page(rows, dataset, at, 90, limits)
+        n, first = page.agg(F.count("*"), F.max("timestamp_seconds")).first()
+        out.append((k, n, first, "current"))
+    try:
+        analytics.cursor_page(rows, "another dataset", at, 90, limits)
+    except ValueError:
+        out.append((3, 0, None, "stale"))
+    return spark.createDataFrame(out, "page long, events long, first long, state string")
+
+
 def _full(spark, sf_dir):
-    return analytics.full_analytics(kept(spark, sf_dir), START, END, TARGETS).select("kind", "key", "key2", "event_count", "sum_total_tokens", "known_input_tokens", "activity_read", "truncated")
+    return analytics.full_analytics(kept(spark, sf_dir), START, END, TARGETS, zone=ZONE).select("kind", "key", "key2", "event_count", "sum_total_tokens", "known_input_tokens", "activity_read", "truncated")
 
 
 def _rhythm(spark, sf_dir):
-    return analytics.rhythm_sums(kept(spark, sf_dir), calendar.rhythm_minutes(spark, START, END, ZONE))
+    return analytics.rhythm_sums(kept(spark, sf_dir), calendar.rhythm_buckets(spark, START, END, ZONE))
 
 
 def _broken(spark, sf_dir):
@@ -47,12 +74,12 @@ def _broken(spark, sf_dir):
 
 
 def _lookahead(spark, sf_dir):
-    e = testdata.usage_event(spark, sf_dir, True).select(*_FIVE)
+    e = analytics.newest(events(spark, sf_dir).select(*_FIVE), _FIVE[0], 121, bounds(spark, sf_dir))
     return analytics.with_lookahead(e, [F.desc(c) for c in _FIVE[:3]], 120)
 
 
 def _last_page(spark, sf_dir):
-    e = testdata.usage_event(spark, sf_dir, True).select(*_FIVE).filter("timestamp_seconds < 1704074400")
+    e = events(spark, sf_dir).select(*_FIVE).filter("timestamp_seconds < 1704074400")
     return analytics.with_lookahead(e, [F.desc(c) for c in _FIVE[:3]], 1000)
 
 
@@ -116,7 +143,8 @@ QUERIES = {
     "u9_broken_metrics": _broken,
     "u10_has_more": _lookahead,
     "u15_last_page": _last_page,
-    "u16_event_page": lambda s, d: analytics.activity_page(testdata.usage_event(s, d, True), 256, (1_705_500_000, 0, "")).select(*_FIVE),
+    "u16_event_page": lambda s, d: analytics.activity_page(events(s, d), 256, (1_705_500_000, 0, ""), bounds(s, d)).select(*_FIVE),
+    "u15_cursors": _cursors,
     "u17_probe_page": lambda s, d: analytics.probe_page(testdata.read(s, d, "events").select(F.col("event_id").alias("id"), "event_type"), 1000, 400),
     "d7_occurrences": lambda s, d: calendar.exposure(s, START, END, ZONE, "weekday"),
     "p1_omitted_events": lambda s, d: pricing.page(_basis(s, d), 10).select(*rollup.PRICE_KEYS, "event_count", "all_events", "omitted_events"),
@@ -142,15 +170,21 @@ _FP = ", ".join(_FIVE)
 def sql(fingerprinted: str) -> dict[str, str]:
     """`fingerprinted` is the WITH clause that defines fpd, the events with their identity."""
     full = " UNION ALL ".join(f"SELECT '{k}' AS kind, {a} AS key, {b} AS key2, {_SUM}, false AS truncated FROM ue WHERE {_RANGE} GROUP BY ALL" if k != "overview" else f"SELECT 'overview', '', '', {_SUM}, false FROM ue WHERE {_RANGE}" for k, (a, b) in list(_KINDS.items())[1:] + list(_KINDS.items())[:1])
+    local = f"timezone('{ZONE}', timezone('UTC', make_timestamp(timestamp_seconds * 1000000)))"
+    clock = {"hour": f"extract(hour FROM {local})", "weekday": f"isodow({local}) - 1", "cell": f"(isodow({local}) - 1) * 24 + extract(hour FROM {local})"}
+    beats = " UNION ALL ".join(f"SELECT '{k}', CAST(CAST({c} AS BIGINT) AS VARCHAR), '', {_SUM}, false FROM ue WHERE {_RANGE} GROUP BY ALL" for k, c in clock.items())
     newest = "timestamp_seconds DESC, timestamp_nanos DESC, fingerprint DESC"
     keys = "bucket_width, bucket_start, provider_id, profile_id, dimension, dimension_value"
     dims = "dm AS (SELECT *, 'all' AS dimension, '' AS dimension_value FROM ue UNION ALL SELECT *, 'model', model FROM ue UNION ALL SELECT *, 'project', coalesce(project_alias, '') FROM ue)"
     return {
-        "u4_full_analytics": f"WITH {UE}, {_DAYS} {full} UNION ALL SELECT 'day', CAST(target AS VARCHAR), '', {_SUM}, false FROM ue JOIN t ON timestamp_seconds >= a AND timestamp_seconds < b GROUP BY target",
+        "u4_full_analytics": f"WITH {UE}, {_DAYS} {full} UNION ALL SELECT 'day', CAST(target AS VARCHAR), '', {_SUM}, false FROM ue JOIN t ON timestamp_seconds >= a AND timestamp_seconds < b GROUP BY target UNION ALL {beats}",
         "u6_rhythm_sums": f"WITH {UE} SELECT g AS \"grouping\", o.* FROM (SELECT {ZERO} FROM ue WHERE {_RANGE}) o, (VALUES ('hours'), ('weekdays'), ('cells')) v(g)",
         "u9_broken_metrics": f"WITH {UE}, {dims} SELECT DISTINCT {keys} FROM (SELECT dm.*, w AS bucket_width, timestamp_seconds // w * w AS bucket_start FROM dm, (VALUES (CAST(60 AS BIGINT)), (3600)) x(w)) WHERE bucket_start % 7 = 3",
         "u10_has_more": f"{fingerprinted} SELECT {_FP}, (SELECT count(*) FROM fpd) > 120 AS has_more FROM fpd ORDER BY {newest} LIMIT 120",
         "u15_last_page": f"{fingerprinted}, w AS (SELECT * FROM fpd WHERE timestamp_seconds < 1704074400) SELECT {_FP}, (SELECT count(*) FROM w) > 256 AS has_more FROM w ORDER BY {newest} LIMIT 256",
+        "u15_cursors": f"""{fingerprinted}, n AS (SELECT *, (row_number() OVER (ORDER BY {newest}) - 1) // 90 AS page FROM fpd)
+SELECT CAST(p AS BIGINT) AS page, (SELECT count(*) FROM n WHERE n.page = p) AS events, (SELECT max(timestamp_seconds) FROM n WHERE n.page = p) AS first, 'current' AS state FROM (SELECT unnest([0, 1, 2]) AS p)
+UNION ALL SELECT 3, 0, NULL, 'stale'""",
         "u16_event_page": f"{fingerprinted} SELECT {_FP} FROM fpd WHERE timestamp_seconds < 1705500000 ORDER BY {newest} LIMIT 256",
         "u17_probe_page": "SELECT event_id AS id, event_type FROM events WHERE event_id < 400 ORDER BY event_id DESC LIMIT 256",
         "d7_occurrences": f"SELECT CAST(isodow(l) - 1 AS BIGINT) AS weekday, count(*) AS elapsed_minutes, count(DISTINCT date_trunc('hour', l)) AS occurrences FROM (SELECT timezone('America/New_York', timezone('UTC', make_timestamp(range * 1000000))) AS l FROM range({START}, {END}, 60)) GROUP BY 1",

@@ -57,6 +57,8 @@ QUERIES = {
     "q3_open_thresholds": lambda s, d: quota.transitions(testdata.quota_samples(s, d), (None, None, 200_000)).select(*_OUT),
     "q7_epoch_maxima": lambda s, d: quota.maxima(_changes(s, d)),
     "q8_ids": _ids,
+    "q8_id_values": lambda s, d: _changes(s, d).select("scope_id", "window_id", "observed_at_ms", "epoch_id", "previous_epoch_id", "transition_id"),
+    "q8_sequence_gaps": lambda s, d: quota.sequence_gaps(_changes(s, d)),
     "q9_current_windows": lambda s, d: quota.current_windows(_changes(s, d)).select(*_NOW),
     "q10_transition_page": lambda s, d: quota.transition_page(_changes(s, d), "profile_1", "click", 50).select(*_PAGE),
     "q11_requested": _asked,
@@ -111,6 +113,11 @@ qt AS (SELECT *, CASE WHEN moved THEN CASE WHEN signal = 'threshold_unknown' OR
 
 
 _ALL = f"WITH RECURSIVE {_SAMPLES}, {_fold()}"
+_LONG = lambda *names: ", ".join(f"length(CAST({n} AS VARCHAR)) || ':' || {n}" for n in names)
+_IDS = f"""fe AS (SELECT *, first_value(observation_id) OVER (PARTITION BY scope_id, window_id, epoch ORDER BY observed_at_ms) AS fo FROM qt),
+ep AS (SELECT *, sha256(concat_ws('|', 'tallymill.quota.epoch', {_LONG("scope_id", "window_id", "fo")})) AS epoch_id FROM fe),
+pe AS (SELECT *, lag(epoch_id) OVER (PARTITION BY scope_id, window_id ORDER BY observed_at_ms) AS previous_epoch_id, coalesce(reset_kind, 'allowance_changed') AS rk FROM ep),
+tx AS (SELECT *, CASE WHEN moved THEN sha256(concat_ws('|', 'tallymill.quota.transition', {_LONG("scope_id", "window_id", "sequence", "rk", "previous_epoch_id", "epoch_id", "po", "observation_id")})) END AS transition_id FROM pe)"""
 _FRESH = f"CASE WHEN observed_at_ms IS NULL OR {NOW_MS} < observed_at_ms THEN 'unavailable' WHEN {NOW_MS} <= fresh_until_ms THEN 'fresh' WHEN {NOW_MS} <= stale_after_ms THEN 'aging' ELSE 'stale' END"
 _WANT = f"""{_ALL}, cw AS (SELECT * FROM qt QUALIFY row_number() OVER (PARTITION BY scope_id, window_id ORDER BY observed_at_ms DESC) = 1),
 ask AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(ASKED))}) t(place, scope_id, window_id)),
@@ -130,6 +137,8 @@ SQL = {
     "q3_open_thresholds": f"WITH RECURSIVE {_SAMPLES}, {_fold(fell='pu - used_ppm >= 200000')} SELECT {', '.join(_OUT)} FROM qt",
     "q7_epoch_maxima": f"{_ALL} SELECT scope_id, window_id, observed_at_ms, epoch, max_ppm, max_ppm_observation, max_units, max_units_observation, max_unit_id FROM qt",
     "q8_ids": f"{_ALL} SELECT scope_id, window_id, count(DISTINCT epoch) AS epochs, count(*) FILTER (moved) AS transitions FROM qt GROUP BY 1, 2",
+    "q8_id_values": f"{_ALL}, {_IDS} SELECT scope_id, window_id, observed_at_ms, epoch_id, previous_epoch_id, transition_id FROM tx",
+    "q8_sequence_gaps": f"{_ALL} SELECT scope_id, window_id, count(*) FILTER (moved) AS transitions, max(sequence) AS last, CAST(0 AS BIGINT) AS gaps FROM qt GROUP BY 1, 2",
     "q9_current_windows": f"{_ALL} SELECT {', '.join(_NOW)} FROM qt QUALIFY row_number() OVER (PARTITION BY scope_id, window_id ORDER BY observed_at_ms DESC) = 1",
     "q10_transition_page": f"{_ALL} SELECT sequence, observed_at_ms, reset_kind, allowance_change, po AS pre_observation_id, pu AS pre_used_ppm, pm AS pre_observed_at_ms, used_ppm FROM qt WHERE scope_id = 'profile_1' AND window_id = 'click' AND moved ORDER BY sequence DESC LIMIT 50",
     "q11_requested": f"{_WANT} SELECT * FROM got",

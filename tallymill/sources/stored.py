@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.checkpoints import shared_folder
 from tallymill.functions.measures import METRICS
-from tallymill.operators.rollup import PRICE_KEYS, PRICE_SESSION_KEYS, PRICE_SUMS, PRICE_TIME_KEYS, TIME_KEYS, price_session_rollup, price_widths, time_rollup
+from tallymill.operators.rollup import PRICE_KEYS, PRICE_SESSION_KEYS, PRICE_SUMS, PRICE_TIME_KEYS, SESSION_KEYS, TIME_KEYS, price_session_rollup, price_widths, session_rollup, time_rollup
 
 PARTITIONS = ("bucket_width", "dimension")
 #: Raised when what a rollup holds changes, so that changed code reads no old store.
 VERSION = 2
+#: Bytes of a row group of stores that pages read.
+ROW_GROUP = 1 << 20
 SCHEMA = "bucket_start bigint, provider_id string, profile_id string, dimension_value string, " + ", ".join(f"{m} bigint" for m in METRICS) + ", bucket_width bigint, dimension string"
 _PRICED = ", ".join(f"{k} string" for k in ("provider_id", "profile_id", "project", *PRICE_KEYS)) + ", " + ", ".join(f"{s} bigint" for s in PRICE_SUMS)
 PRICE_SCHEMA = f"bucket_start bigint, {_PRICED}, bucket_width bigint"
@@ -97,6 +99,27 @@ def stored_prices(spark: SparkSession, events: DataFrame, files: str) -> DataFra
     return spark.read.schema(PRICE_SCHEMA).parquet(at).select(*PRICE_TIME_KEYS, *PRICE_SUMS)
 
 
+def stored_events(spark: SparkSession, events: DataFrame, files: str) -> DataFrame:
+    """The events of a dataset (with their identity) in order of time, in small row groups, for pages; kept like the time rollup."""
+    path = f"{shared_folder(spark)}/events-{VERSION}-{fingerprint(spark, files)}"
+    order = ("timestamp_seconds", "timestamp_nanos", "fingerprint")
+    at = published(spark, path, lambda at: events.repartitionByRange(order[0]).sortWithinPartitions(*order).write.option("parquet.block.size", ROW_GROUP).parquet(at))
+    return spark.read.schema(events.schema).parquet(at)
+
+
+def stored_sessions(spark: SparkSession, events: DataFrame, files: str) -> DataFrame:
+    """The session rollup of a dataset by dimension, that of `all` in order of each session's last moment."""
+    path = f"{shared_folder(spark)}/sessions-{VERSION}-{fingerprint(spark, files)}"
+    rows = session_rollup(events)
+
+    def build(at: str) -> None:
+        order = ("dimension", "last_seconds", *SESSION_KEYS[:3])
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", ROW_GROUP).partitionBy("dimension").parquet(at)
+
+    got = spark.read.schema(rows.schema).parquet(published(spark, path, build))
+    return got.select(*rows.columns)
+
+
 def stored_session_prices(spark: SparkSession, events: DataFrame, files: str) -> DataFrame:
     """The price rollup of a dataset by sessions, sorted by session, so that one session's rows are few row groups."""
     path = f"{shared_folder(spark)}/session-prices-{VERSION}-{fingerprint(spark, files)}"

@@ -53,6 +53,21 @@ def test_late_relations_give_the_classes_of_a_full_run(spark, tmp_path, complete
     assert len(_classes(store.current())) == len(rows)
 
 
+def test_a_session_of_all_rows_is_many_tasks_work(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [("c", "p", s, "a" if s == "b" else None, o, rng.choice("aab"), rng.random() < 0.95, "f", 0, o, f"{s}{o}{k}", rng.random() < 0.002, False) for s in "ab" for o in range(200) for k in range(rng.randrange(1, 3)) if s == "b" or rng.random() < 0.99]
+    schema = "provider_id string, profile_id string, session_id string, parent_session_id string, ordinal long, signature string, strong boolean, file_key string, generation long, source_offset long, fingerprint string, declared_conflict boolean, relation_conflict boolean"
+    same = [(*r[:5], "a", *r[6:11], False, False) if r[4] < 150 else r for r in rows]
+    for some in (rows, same):
+        seen = spark.createDataFrame(some, schema)
+        monkeypatch.setattr(lineage, "HOT", 1 << 40)
+        want = _classes(lineage.classify(seen))
+        monkeypatch.setattr(lineage, "HOT", 100)
+        monkeypatch.setattr(lineage, "BLOCK", 50)
+        assert _classes(lineage.classify(seen)) == want
+    assert len({r[-1] for r in want}) > 1
+
+
 def test_untouched_trees_are_not_read_again(spark, tmp_path):
     seen = testdata.turn_observations(spark, SF).cache()
     store = replay.ReplayStore(spark, str(tmp_path / "store"), buckets=64)
