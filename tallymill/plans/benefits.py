@@ -151,9 +151,9 @@ SELECT scope_id, taken, expired, (SELECT count(*) FROM jd WHERE jd.scope_id = t.
     "b10_change_page": f"""WITH {_CHANGES}, p AS (SELECT * FROM ch WHERE scope_id = 'scope_3' ORDER BY sequence DESC LIMIT 60)
 SELECT sequence, lot_id, kind, (SELECT quantity FROM rv WHERE rv.lot_id = p.lot_id AND lot_revision = b) AS before_quantity, (SELECT quantity FROM rv WHERE rv.lot_id = p.lot_id AND lot_revision = a) AS after_quantity FROM p""",
     "b11_overview": f"WITH l AS ({_OLD}) SELECT 'scope_' || range AS scope_id, count(lot_id) AS lots, count(*) FILTER (state = 'available') AS available, min(expires_at_ms) AS nearest_ms FROM range(10) LEFT JOIN l ON scope_id = 'scope_' || range GROUP BY 1",
-    "b11_overview_status": f"""WITH l AS ({_OLD}), s AS (SELECT scope_id, max(expires_at_ms) AS at, CAST(right(scope_id, 1) AS INT) % 2 = 1 AS odd FROM l GROUP BY 1),
-f AS (SELECT *, CASE WHEN at IS NULL OR {OVERVIEW_MS} < at THEN 3 WHEN {OVERVIEW_MS} <= at + 1000 THEN 0 WHEN {OVERVIEW_MS} <= at + 2000000000 THEN 1 ELSE 2 END AS f FROM s)
-SELECT count(*) AS scopes, (SELECT count(*) FROM l) AS lots, min(at) AS data_through_ms, ['fresh', 'aging', 'stale', 'unavailable'][max(f) + 1] AS freshness, CASE WHEN bool_or(odd) THEN 'partial' ELSE 'authoritative' END AS quality,
+    "b11_overview_status": f"""WITH l AS ({_OLD}), s AS (SELECT scope_id, max(expires_at_ms) AS seen, CAST(right(scope_id, 1) AS INT) % 2 = 1 AS odd FROM l GROUP BY 1),
+f AS (SELECT *, CASE WHEN seen IS NULL OR {OVERVIEW_MS} < seen THEN 3 WHEN {OVERVIEW_MS} <= seen + 1000 THEN 0 WHEN {OVERVIEW_MS} <= seen + 2000000000 THEN 1 ELSE 2 END AS f FROM s)
+SELECT count(*) AS scopes, (SELECT count(*) FROM l) AS lots, min(seen) AS data_through_ms, ['fresh', 'aging', 'stale', 'unavailable'][max(f) + 1] AS freshness, CASE WHEN bool_or(odd) THEN 'partial' ELSE 'authoritative' END AS quality,
   CASE WHEN max(f) >= 2 THEN 'inventory_stale' ELSE '' END AS warnings, (SELECT count(*) FROM l) > 256 AS over FROM f""",
     "b12_profiles": f"WITH l AS ({_OLD}) SELECT DISTINCT scope_id, CASE scope_id WHEN 'scope_1' THEN '7200,60' WHEN 'scope_4' THEN '' ELSE '86400,3600' END AS leads, scope_id NOT IN ('scope_1', 'scope_4') AS inherited FROM l",
     "b13_orphan_revisions": f"WITH {_CHANGES} SELECT scope_id, lot_id, lot_revision FROM rv WHERE lot_revision % 11 > 2 AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.lot_id = rv.lot_id AND sequence % 3 = 0 AND (b = lot_revision OR a = lot_revision))",
