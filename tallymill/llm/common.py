@@ -19,6 +19,8 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Characters a task turns into arrays at once; bounds the memory of a Python worker, not the input.
 SLICE = 1 << 20
+#: The same for stages of a pipeline, whose Python workers keep what each stage grew them to.
+SMALL = 1 << 18
 
 
 @contextmanager

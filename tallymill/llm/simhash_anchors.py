@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MULT, bucketed, materialize, mix, slices
+from .common import MULT, SMALL, bucketed, materialize, mix, slices
 from .components import components, local_roots
 
 SEED, WORDS, BITS_APART = 42, 3, 3
@@ -251,7 +251,7 @@ def _usual(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices([len(t) for t in texts], 1 << 20):
+            for a, b in slices([len(t) for t in texts], SMALL):
                 h = np.array([v for t in texts[a:b] for v in set(shingle_hashes(words_of(t), SHINGLE))], np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
@@ -280,7 +280,7 @@ def shingle_sets(texts: DataFrame, usual: tuple[np.ndarray, np.ndarray]) -> Data
         known, often = shared.value
         for batch in batches:
             part = batch.column(2).to_pylist()
-            for a, b in slices([len(t) for t in part], 1 << 20):
+            for a, b in slices([len(t) for t in part], SMALL):
                 lists = [shingle_hashes(words_of(t), SHINGLE) for t in part[a:b]]
                 prints = majority(lists, 1)[:, 0]
                 each = [set(x) for x in lists]

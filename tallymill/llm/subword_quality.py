@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MULT, fresh_names, labelled_sample, mix, powers, slices
+from .common import MULT, SLICE, SMALL, fresh_names, labelled_sample, mix, powers, slices
 
 #: Bound of the labelled rows the model is fitted on; whole texts are used.
 TRAIN_DOCS, BITS, WIDTH, EPOCHS, BATCH = 3000, 16, 8, 6, 64
@@ -122,15 +122,15 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> Mode
     return train([r.text for r in got], [int(r.label == 1) for r in got])
 
 
-def annotate(documents: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
-    """The documents with the score under this name; a column that has it is replaced."""
+def annotate(documents: DataFrame, model: Model, name: str = "quality_score", most: int = SLICE) -> DataFrame:
+    """The documents with the score under this name; a column that has it is replaced. `most` is the number of characters taken at once."""
     kept = documents.drop(name)
     shared = kept.sparkSession.sparkContext.broadcast((model.odds(), float(model.bias[1] - model.bias[0])))  # 2 ** BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            got = [scores(*shared.value, texts[a:b]) for a, b in slices([len(t or "") for t in texts])]
+            got = [scores(*shared.value, texts[a:b]) for a, b in slices([len(t or "") for t in texts], most)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else [], pa.float64())], names=[*batch.schema.names, name])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())]))
@@ -139,4 +139,4 @@ def annotate(documents: DataFrame, model: Model, name: str = "quality_score") ->
 def accepted(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """Documents with a score of `least` or more, with their own columns, whatever their names."""
     (name,) = fresh_names(documents.columns, "quality_score")
-    return annotate(documents, fit(documents, labels), name).filter(F.col(name) >= least).drop(name)
+    return annotate(documents, fit(documents, labels), name, SMALL).filter(F.col(name) >= least).drop(name)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MULT, Letters, fresh_names, held_out, mix, slices
+from .common import MULT, SLICE, SMALL, Letters, fresh_names, held_out, mix, slices
 
 UNKNOWN = "und"
 #: Bound of the labelled rows the model is fitted on; whole texts are used.
@@ -234,8 +234,11 @@ def fit(documents: DataFrame, rows: int = TRAIN_DOCS) -> Model:
 NAMES = ("lang_pred", "lang_score", "lang_words")
 
 
-def annotate(documents: DataFrame, model: Model, names: tuple[str, ...] = NAMES) -> DataFrame:
-    """The documents with prediction, score and number of words under these names; columns that have them are replaced."""
+def annotate(documents: DataFrame, model: Model, names: tuple[str, ...] = NAMES, most: int = SLICE) -> DataFrame:
+    """The documents with prediction, score and number of words under these names; columns that have them are replaced.
+
+    `most` is the number of characters taken at once.
+    """
     kept = documents.drop(*names)
     added = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.LongType()), strict=True)]
     schema = T.StructType([*kept.schema.fields, *added])
@@ -244,7 +247,7 @@ def annotate(documents: DataFrame, model: Model, names: tuple[str, ...] = NAMES)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, got = batch.column("text").to_pylist(), ([], [], [])
-            for a, b in slices([len(t or "") for t in texts]):
+            for a, b in slices([len(t or "") for t in texts], most):
                 for into, part in zip(got, predict(shared.value, texts[a:b]), strict=True):
                     into.extend(part)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.int64())], names=[*batch.schema.names, *names])
@@ -256,7 +259,7 @@ def accepted(documents: DataFrame, least: float = 0.3) -> DataFrame:
     """Documents whose language is known with a probability of `least` or more, with their own columns, whatever their names."""
     model = fit(documents)
     names = tuple(fresh_names(documents.columns, *NAMES))
-    rows = annotate(documents, model, names)
+    rows = annotate(documents, model, names, SMALL)
     return rows.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).drop(*names)
 
 
