@@ -56,7 +56,7 @@ def _seen(spark, sf_dir):
 
 
 def _status(spark, sf_dir):
-    changes = benefit.reconcile(testdata.benefit_lots(spark, sf_dir, False), testdata.benefit_lots(spark, sf_dir, True)).filter("lot_id % 8 < 4")
+    changes = benefit.reconcile(testdata.benefit_lots(spark, sf_dir, False), testdata.benefit_lots(spark, sf_dir, True))
     scopes = changes.sparkSession.range(12).select(F.concat(F.lit("scope_"), "id").alias("scope_id"), "id")
     states = scopes.filter("id <> 3").select("scope_id", F.concat(F.lit("o"), "id").alias("last_observation_id"), (F.lit(1000) + F.col("id") % 2 * 100).alias("last_observed_at_ms"))
     observations = scopes.select("scope_id", F.when(F.col("id") % 4 == 2, F.concat(F.lit("o"), "id")).when(F.col("id") == 8, "o8").otherwise("new").alias("observation_id"), F.lit(1050).alias("observed_at_ms"))
@@ -137,7 +137,7 @@ jd AS (SELECT *, lead_seconds < coalesce(least(CASE WHEN lot_id % 5 = 0 THEN 432
 _OLD, _NEW = lots_sql(False), lots_sql(True)
 _RECONCILED = f"""o AS ({_OLD}), n AS ({_NEW}), bt AS (SELECT coalesce(n.scope_id, o.scope_id) AS scope_id, coalesce(n.lot_id, o.lot_id) AS lot_id, o.lot_id IS NULL AS fresh, n.lot_id IS NULL AS gone, o.state AS os,
   n.quantity IS DISTINCT FROM o.quantity OR n.state IS DISTINCT FROM o.state OR n.expires_at_ms IS DISTINCT FROM o.expires_at_ms AS differs FROM o FULL JOIN n ON n.lot_id = o.lot_id),
-cg AS (SELECT scope_id FROM bt WHERE lot_id % 8 < 4 AND CASE WHEN fresh THEN true WHEN gone THEN os <> 'ambiguous' ELSE differs END)"""
+cg AS (SELECT scope_id FROM bt WHERE CASE WHEN fresh THEN true WHEN gone THEN os <> 'ambiguous' ELSE differs END)"""
 SQL = {
     "b3_observation_status": f"""WITH {_RECONCILED}, s AS (SELECT range AS id, 'scope_' || range AS scope_id FROM range(12)), k AS (SELECT s.*, (SELECT count(*) FROM cg WHERE cg.scope_id = s.scope_id) AS n FROM s)
 SELECT scope_id, CASE WHEN id <> 3 AND 1050 < 1000 + id % 2 * 100 THEN 'stale' WHEN (id % 4 = 2 OR id = 8) AND n = 0 THEN 'duplicate' WHEN id % 4 = 2 OR id = 8 THEN 'conflict' WHEN n > 0 THEN 'changed' ELSE 'freshness_only' END AS status FROM k""",

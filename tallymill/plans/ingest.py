@@ -87,11 +87,12 @@ def _tail(spark, sf_dir):
 
 
 def _resumed(spark, sf_dir):
+    """Files that grew go on from their state, rewritten ones start anew, the others say nothing."""
     now, before = _halves(spark, sf_dir)
-    even = F.regexp_extract("relative", r"f=([0-9]+)", 1).cast("bigint") % 2 == 0
-    before, now = before.filter(even), now.filter(even)
-    fresh, _ = jsonl.tail(now, jsonl.prefix_proofs(before).withColumn("generation", F.lit(0)))
-    return _shown(jsonl.observations(fresh.drop("generation"), jsonl.state_after(before)))
+    fresh = materialize(jsonl.tail(now, jsonl.prefix_proofs(before).withColumn("generation", F.lit(0)))[0])
+    grown = fresh.filter("generation = 0").select("file").distinct()
+    state = jsonl.state_after(before.join(grown, "file", "left_semi").select(*before.columns))
+    return _shown(jsonl.observations(fresh.drop("generation"), state))
 
 
 def _full_run(spark, sf_dir):
@@ -174,5 +175,5 @@ SQL = {
     "s15_tools": f"WITH {_E} SELECT CASE k % 9 {_T} END AS tool, act AS activity, count(*) AS n FROM l WHERE kind = 4 GROUP BY 1, 2",
     "c1_canonical_events": f"WITH {_E} SELECT f, ordinal, CASE WHEN kind = 3 THEN 'weak' ELSE 'strong' END AS evidence, {_signature()} AS replay_signature FROM ob WHERE kind = 3 OR (ci >= input_tokens AND co >= output_tokens AND coalesce(cr >= reasoning_tokens, true) AND coalesce(ct >= total_tokens, true))",
     "r1_full_run": f"WITH {_E} SELECT {ZERO} FROM ob WHERE kind = 3 OR (ci >= input_tokens AND co >= output_tokens AND coalesce(cr >= reasoning_tokens, true) AND coalesce(ct >= total_tokens, true))",
-    "r4_resumed_observations": f"WITH {_E} SELECT {_COLUMNS} FROM ob WHERE f % 2 = 0 AND n * 2 > every",
+    "r4_resumed_observations": f"WITH {_E} SELECT {_COLUMNS} FROM ob WHERE f % 2 = 0 AND n * 2 > every OR f % 4 = 3",
 }

@@ -58,6 +58,10 @@ PSUMS = """count(*) AS event_count, CAST(sum(CAST(ok AS BIGINT)) AS BIGINT) AS c
   CAST(sum(un) AS BIGINT) AS uncached, CAST(sum(ca) AS BIGINT) AS cached, CAST(sum(bi) AS BIGINT) AS billable, CAST(sum(reported_cost_usd_micros) AS BIGINT) AS reported_cost"""
 
 
+#: The minutes from the first hour of the events to the end of the last.
+MINUTES = "SELECT unnest(range(a, z, 60)) AS timestamp_seconds FROM (SELECT min(epoch_us(ts)) // 3600000000 * 3600 AS a, max(epoch_us(ts)) // 3600000000 * 3600 + 3600 AS z FROM events)"
+
+
 def _cost(target: str, mode: str, start: int, end: int) -> str:
     rates = ", ".join(f"('{n}', '{t}', '{c}', {u}, {a}, {o})" for n, _, t, c, u, a, o in rate_rows())
     take = {"auto": "reported_cost IS NOT NULL", "calculated": "false", "reported": "true"}[mode]
@@ -174,7 +178,7 @@ SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY seen IS NULL,
         "u5_rhythm_hours": rhythm(hour, 24),
         "u5_rhythm_weekdays": rhythm(weekday, 7),
         "u5_rhythm_cells": rhythm(f"{weekday} * 24 + {hour}", 168),
-        "d7_hour_exposure": f"SELECT {hour} AS hour, count(*) AS elapsed_minutes FROM (SELECT range AS timestamp_seconds FROM range({start}, {end}, 60)) GROUP BY 1",
+        "d7_hour_exposure": f"SELECT {hour} AS hour, count(*) AS elapsed_minutes FROM ({MINUTES}) GROUP BY 1",
         "u7_lifetime": f"WITH {UE} SELECT {ZERO} FROM ue",
         "u8_availability": f"WITH {UE} SELECT dimension_value, {', '.join(map(avail, ('input_tokens', 'cached_tokens', 'output_tokens', 'total_tokens')))} FROM ({broken_down('model')})",
         "u10_activity_page": f"{fp} SELECT {page} FROM fpd ORDER BY {newest} LIMIT 200",
@@ -187,7 +191,7 @@ SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY seen IS NULL,
         "p3_price_batch_days": batch_sql("day", f"(timestamp_seconds - {start}) // 86400", f"WHERE {rng}"),
         "p4_price_batch_projects": batch_sql("project", "project", f"WHERE {rng}"),
         "p5_price_batch_sessions": batch_sql("provider_id, profile_id, session_id", "provider_id, profile_id, session_id", ""),
-        "p6_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{m}', '{t}', '{c}', CAST({u} AS BIGINT), CAST({a} AS BIGINT), CAST({o} AS BIGINT))" for n, m, t, c, u, a, o in rate_rows()) + ") v(name, canonical, tier_class, context, uncached_rate, cached_rate, output_rate)",
+        "p6_catalogue": f"WITH {UE} SELECT * FROM (SELECT DISTINCT model AS name FROM ue) LEFT JOIN (VALUES " + ", ".join(f"('{n}', '{m}', '{t}', '{c}', CAST({u} AS BIGINT), CAST({a} AS BIGINT), CAST({o} AS BIGINT))" for n, m, t, c, u, a, o in rate_rows()) + ") v(name, canonical, tier_class, context, uncached_rate, cached_rate, output_rate) USING (name)",
         "p12_cost_auto_days": _cost("day", "auto", start, end),
         "p12_cost_calculated_models": _cost("target", "calculated", start, end),
         "p12_cost_reported_days": _cost("day", "reported", start, end),

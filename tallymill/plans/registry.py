@@ -98,7 +98,7 @@ def _rhythm(name: str) -> Query:
 
 for _name in ("hours", "weekdays", "cells"):
     query(f"u5_rhythm_{_name}")(_rhythm(_name))
-query("d7_hour_exposure")(lambda s, d: calendar.exposure(s, START, END, ZONE, "hour").drop("occurrences"))
+query("d7_hour_exposure")(lambda s, d: calendar.exposure(s, *usage.bounds(s, d), ZONE, "hour").drop("occurrences"))
 query("u7_lifetime")(lambda s, d: analytics.lifetime(_kept(s, d)))
 
 
@@ -132,7 +132,7 @@ query("p1_price_basis")(lambda s, d: _priced(s, d).orderBy(*pricing.rank()).limi
 query("p3_price_batch_days")(lambda s, d: pricing.batch(_priced_days(s, d), "day"))
 query("p4_price_batch_projects")(lambda s, d: pricing.batch(_priced(s, d, "project"), "project"))
 query("p5_price_batch_sessions")(lambda s, d: pricing.batch(rollup.price_rows(usage.session_prices(s, d), *lineage.KEY), *lineage.KEY))
-query("p6_catalogue")(lambda s, d: pricing.catalogue(s))
+query("p6_catalogue")(lambda s, d: usage.rated_models(s, d, pricing.catalogue(s)))
 
 
 def _cost(mode: str, *target: str) -> Query:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.measures import METRICS, elapsed_ppm
 from tallymill.operators import analytics, calendar, pricing, rollup, status
-from tallymill.plans.oracle import PKEYS, PRANK, PRICED, PSUMS, UE, ZERO, batch_sql
+from tallymill.plans.oracle import MINUTES, PKEYS, PRANK, PRICED, PSUMS, UE, ZERO, batch_sql
 from tallymill.sources import testdata
 from tallymill.sources.stored import fingerprint, stored_events, stored_prices, stored_rollup, stored_session_prices, stored_sessions
 
@@ -45,6 +45,12 @@ def bounds(spark, sf_dir):
     return analytics.horizon(kept(spark, sf_dir))
 
 
+def rated_models(spark, sf_dir, catalogue):
+    """The models of the events, each with its rates by tier and context (none where it is not priced)."""
+    hours = kept(spark, sf_dir).filter("dimension = 'model' AND bucket_width = 3600")
+    return hours.select(F.col("dimension_value").alias("name")).distinct().join(catalogue, "name", "left")
+
+
 def _cursors(spark, sf_dir):
     """Three pages by cursors of this dataset, and what becomes of one of another: (page, events, first, state)."""
     dataset, rows, limits, at, out = fingerprint(spark, f"{sf_dir}/events.parquet"), events(spark, sf_dir), bounds(spark, sf_dir), None, []
@@ -113,7 +119,7 @@ def _rates(spark, sf_dir):
 def _overridden(spark, sf_dir):
     rows, _ = pricing.snapshot({"gpt-5-nano": {("standard", "short"): (60_000, None, None)}, "own-model": {("standard", "short"): (1_000_000, 100_000, 2_000_000)}}, {"unpriced-model": "own-model"})
     got = pricing.catalogue(spark, rows)
-    return got.filter(F.col("canonical").isin("gpt-5-nano", "own-model"))
+    return rated_models(spark, sf_dir, got).filter(F.col("canonical").isin("gpt-5-nano", "own-model"))
 
 
 def _incoherent(spark, sf_dir):
@@ -146,7 +152,7 @@ QUERIES = {
     "u16_event_page": lambda s, d: analytics.activity_page(events(s, d), 256, (1_705_500_000, 0, ""), bounds(s, d)).select(*_FIVE),
     "u15_cursors": _cursors,
     "u17_probe_page": lambda s, d: analytics.probe_page(testdata.read(s, d, "events").select(F.col("event_id").alias("id"), "event_type"), 1000, 400),
-    "d7_occurrences": lambda s, d: calendar.exposure(s, START, END, ZONE, "weekday"),
+    "d7_occurrences": lambda s, d: calendar.exposure(s, *bounds(s, d), ZONE, "weekday"),
     "p1_omitted_events": lambda s, d: pricing.page(_basis(s, d), 10).select(*rollup.PRICE_KEYS, "event_count", "all_events", "omitted_events"),
     "p2_session_basis": _session,
     "p5_session_breakdown": _session_items,
@@ -187,12 +193,12 @@ SELECT CAST(p AS BIGINT) AS page, (SELECT count(*) FROM n WHERE n.page = p) AS e
 UNION ALL SELECT 3, 0, NULL, 'stale'""",
         "u16_event_page": f"{fingerprinted} SELECT {_FP} FROM fpd WHERE timestamp_seconds < 1705500000 ORDER BY {newest} LIMIT 256",
         "u17_probe_page": "SELECT event_id AS id, event_type FROM events WHERE event_id < 400 ORDER BY event_id DESC LIMIT 256",
-        "d7_occurrences": f"SELECT CAST(isodow(l) - 1 AS BIGINT) AS weekday, count(*) AS elapsed_minutes, count(DISTINCT date_trunc('hour', l)) AS occurrences FROM (SELECT timezone('America/New_York', timezone('UTC', make_timestamp(range * 1000000))) AS l FROM range({START}, {END}, 60)) GROUP BY 1",
+        "d7_occurrences": f"SELECT CAST(isodow(l) - 1 AS BIGINT) AS weekday, count(*) AS elapsed_minutes, count(DISTINCT date_trunc('hour', l)) AS occurrences FROM (SELECT timezone('America/New_York', timezone('UTC', make_timestamp(timestamp_seconds * 1000000))) AS l FROM ({MINUTES})) GROUP BY 1",
         "p1_omitted_events": f"WITH {UE}, {PRICED}, g AS (SELECT {PKEYS}, {PSUMS} FROM pb WHERE {_RANGE} GROUP BY ALL), k AS (SELECT * FROM g ORDER BY {PRANK} LIMIT 10) SELECT {PKEYS}, event_count, (SELECT CAST(sum(event_count) AS BIGINT) FROM g) AS all_events, (SELECT CAST(sum(event_count) AS BIGINT) FROM g) - (SELECT CAST(sum(event_count) AS BIGINT) FROM k) AS omitted_events FROM k",
         "p2_session_basis": f"WITH {UE}, {PRICED} SELECT {PKEYS}, {PSUMS} FROM pb WHERE {_ONE} GROUP BY ALL",
         "p5_session_breakdown": batch_sql("item", "model", f"WHERE {_ONE}"),
         "p8_rates": "SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 2 THEN p_partkey * 1000000 + 250000 WHEN 3 THEN CASE WHEN p_partkey <= 1 THEN p_partkey * 1000000000000 END WHEN 4 THEN p_partkey * 1000000 + 1 END AS micros FROM part",
-        "p11_overrides": "SELECT * FROM (VALUES ('gpt-5-nano', 'gpt-5-nano', 60000, 5000, 400000), ('gpt-5-nano-2025-08-07', 'gpt-5-nano', 60000, 5000, 400000), ('own-model', 'own-model', 1000000, 100000, 2000000), ('unpriced-model', 'own-model', 1000000, 100000, 2000000)) v(name, canonical, uncached_rate, cached_rate, output_rate), (VALUES ('standard', 'short')) w(tier_class, context)",
+        "p11_overrides": f"WITH {UE} SELECT * FROM (VALUES ('gpt-5-nano', 'gpt-5-nano', 60000, 5000, 400000), ('gpt-5-nano-2025-08-07', 'gpt-5-nano', 60000, 5000, 400000), ('own-model', 'own-model', 1000000, 100000, 2000000), ('unpriced-model', 'own-model', 1000000, 100000, 2000000)) v(name, canonical, uncached_rate, cached_rate, output_rate), (VALUES ('standard', 'short')) w(tier_class, context) WHERE name IN (SELECT model FROM ue)",
         "p14_incoherent_rows": f"WITH {UE}, {PRICED} SELECT DISTINCT {PKEYS} FROM pb WHERE {_RANGE} AND model = 'gpt-5.5'",
         "p15_unaccounted": f"WITH {UE}, {_DAYS} SELECT CAST(target AS BIGINT) AS target, count(*) + 1 AS metric_events, count(*) AS priced_events FROM ue JOIN t ON timestamp_seconds >= a AND timestamp_seconds < b WHERE target = 3 GROUP BY 1",
         "x3_elapsed": "SELECT event_id AS observation_id, CAST(least((ms % 86400000 + 3600000) * 1000000 // 86400000, 1000000) AS BIGINT) AS ppm FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events)",
