@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tallymill.functions.measures import METRICS, elapsed_ppm
+from tallymill.functions.measures import elapsed_ppm
 from tallymill.operators import analytics, calendar, pricing, rollup, status
 from tallymill.plans.oracle import MINUTES, PKEYS, PRANK, PRICED, PSUMS, UE, ZERO, batch_sql
 from tallymill.sources import testdata
