@@ -28,19 +28,22 @@ from bisect import bisect_right
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import has_odd
+from .common import odd_signs, slices
 
-#: Words a Python worker remembers; beyond that it starts anew.
-MEMORY = 400_000
+#: Words, and arcs between pairs of tokens, that a Python worker remembers; beyond that it starts anew.
+MEMORY, ARCS = 400_000, 1_000_000
+#: Characters of texts whose new words are encoded together.
+TOGETHER = 1 << 21
 _NEVER = (1 << 31) - 1
 #: How byte-level BPE splits a text into words before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: The same for a text without signs that Python's classes take differently (`has_odd`).
+#: The same for a text without signs that Python's classes take differently (`odd_signs`).
 PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
 
@@ -64,7 +67,8 @@ class Automaton:
         self.born: dict[int, int] = {}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._words: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self._arcs: dict[int, bool] = {}
         cut: dict[tuple[int, int], int] = {}
         for s, i in vocab.items():
             if s in letters:
@@ -77,6 +81,8 @@ class Automaton:
         self._compile_arcs(cut)
         self._compile_bytes()
         self._plain, self._exact = re.compile(PLAIN_SPLIT), regex.compile(SPLIT)
+        self._odd = np.zeros(0x110000, bool)
+        self._odd[[ord(c) for c in odd_signs()]] = True
         self._control = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.control, key=len, reverse=True)) + ")") if self.control else None
 
     def _gone(self, cut: dict[tuple[int, int], int], a: int, b: int, before: int) -> bool:
@@ -183,12 +189,15 @@ class Automaton:
                 return True
             a = right[a]
 
-    def word(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one pre-split word: the state after each byte, then the arcs read from the end."""
-        steps, back, ends, arc = self._steps, self._back, self._ends, self.arc
-        states: list[tuple[int, int]] = [(-1, 0)]
-        node = 0
-        for at, b in enumerate(word, 1):
+    def _walk(self, word: bytes, tokens: list[int], nodes: list[int]) -> tuple[int, ...]:
+        """Ids of a word, of which the places so far (the token that ends each beginning, and its node) are known.
+
+        The rest is read byte by byte, then the arcs are read from the end.
+        """
+        steps, back, ends, arcs = self._steps, self._back, self._ends, self._arcs
+        node = nodes[-1]
+        for at in range(len(tokens), len(word) + 1):
+            b = word[at - 1]
             to = steps.get(node << 8 | b)
             while to is None:
                 node = back[node]
@@ -196,36 +205,82 @@ class Automaton:
             node = to
             # each beginning of a word has one correct tokenization, so one token fits
             for t, size in ends[node]:
-                if size == at or arc(states[at - size][0], t):
-                    states.append((t, size))
+                if size == at:
+                    break
+                pair = tokens[at - size] << 24 | t
+                there = arcs.get(pair)
+                if there is None:
+                    there = arcs[pair] = self.arc(pair >> 24, t)
+                if there:
                     break
+            tokens.append(t)
+            nodes.append(node)
         out: list[int] = []
-        at = len(word)
+        at, labels = len(word), self.labels
         while at:
-            t, size = states[at]
+            t = tokens[at]
             out.append(t)
-            at -= size
+            at -= len(labels[t])
         return tuple(out[::-1])
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self._words
+    def word(self, word: bytes) -> tuple[int, ...]:
+        """Ids of one pre-split word."""
+        return self._walk(word, [-1], [0])
+
+    def learn(self, words: set[str]) -> None:
+        """Encode words and remember them; in order, each goes on where it leaves the one before."""
+        if len(self._arcs) >= ARCS:
+            self._arcs.clear()
+        before, tokens, nodes = b"", [-1], [0]
+        for raw, w in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+            same, most = 0, min(len(before), len(raw))
+            while same < most and before[same] == raw[same]:
+                same += 1
+            del tokens[same + 1 :], nodes[same + 1 :]
+            self._words[w] = self._told(self._walk(raw, tokens, nodes))
+            before = raw
+
+    def odd(self, text: str) -> bool:
+        """Whether a text has signs that Python's classes take differently (`odd_signs`), by one table for all its signs."""
+        return bool(self._odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+    def _told(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, bytes]:
+        return ids, ",".join(map(str, ids)), b"".join(map(self.labels.__getitem__, ids))
+
+    def split(self, text: str) -> list[str]:
+        """Control strings and pre-split words of a text in turn."""
+        out: list[str] = []
         for part in self._control.split(text) if self._control else (text,):
             if part in self.control:
-                out.append(self.control[part])
-                continue
-            split = self._exact if has_odd(part) else self._plain
-            for w in split.findall(part):
-                ids = known.get(w)
-                if ids is None:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    ids = self.word(w.encode("utf-8", "surrogatepass"))
-                    if len(w) <= 64:
-                        known[w] = ids
-                out += ids
+                out.append(part)
+            else:
+                out += (self._exact if self.odd(part) else self._plain).findall(part)
         return out
 
+    def words(self, texts: list[str]) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
+        """Of each text its words in turn: their ids, the same in decimal, and the labels that these ids emit.
+
+        Words that are new to all texts are encoded together.
+        """
+        parts = [self.split(t) for t in texts]
+        every = set().union(*parts) if parts else set()
+        known = self._words
+        new = every.difference(known)
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            new = every
+        for w in new & self.control.keys():
+            known[w] = self._told((self.control[w],))
+        self.learn(new - self.control.keys())
+        for words in parts:
+            yield [known[w] for w in words]
+        for w in new:
+            if len(w) > 64:  # unlikely to come again
+                del known[w]
+
+    def encode(self, text: str) -> list[int]:
+        return [i for told in self.words([text]) for ids, _, _ in told for i in ids]
+
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs in turn; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
@@ -251,13 +306,14 @@ def encoded(documents: DataFrame, path: str, lists: bool = True) -> DataFrame:
         a = automaton(path)
         for batch in batches:
             n, digests, decoded, ids = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                got = a.encode(text or "")
-                n.append(len(got))
-                digests.append(hashlib.sha256(",".join(map(str, got)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(a.decode(got).encode()).hexdigest())
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for told in (w for x, z in slices([len(t) for t in texts], TOGETHER) for w in a.words(texts[x:z])):
+                n.append(sum([len(ids) for ids, _, _ in told]))
+                digests.append(hashlib.sha256(",".join([t for _, t, _ in told]).encode()).hexdigest())
+                # bytes that are no UTF-8 become U+FFFD, as in `decode`
+                decoded.append(hashlib.sha256(b"".join([b for _, _, b in told]).decode("utf-8", "replace").encode()).hexdigest())
                 if lists:
-                    ids.append(got)
+                    ids.append([i for w, _, _ in told for i in w])
             new = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *([pa.array(ids, pa.list_(pa.int32()))] if lists else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in more)])
 
