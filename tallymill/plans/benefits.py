@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tallymill.functions.checkpoints import shared_folder
 from tallymill.operators import benefit
 from tallymill.plans import batches
 from tallymill.plans.oracle import REMIND, lots_sql
@@ -43,7 +46,9 @@ def _clocked(spark, sf_dir):
     tick = spark.range(1).select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in reminders.SCHEMA.split(", ")[1:]])
     some = (every.filter("lot_id % 2 = 1"), every.limit(0), every.filter("lot_id % 2 = 0"), every.limit(0))
     frames = [some[k].unionByName(tick, True).withColumn("at", F.timestamp_millis(F.lit(at))).select(*columns) for k, at in enumerate(CLOCK)]
-    return batches.streamed(spark, frames, reminders.processed)
+    store = reminders.ReminderStore(spark, f"{shared_folder(spark)}/reminders-{uuid.uuid4().hex}")
+    batches.applied(spark, frames, store.apply)
+    return store.told()
 
 
 def _sent(spark, sf_dir):

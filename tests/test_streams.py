@@ -270,3 +270,32 @@ def test_reminders_at_each_step_of_a_clock(spark):
         waiting = [p for p in waiting if p[5] > at]
         done += [("s", lot, rev, "in_app", lead) for lot, rev, lead, _, _ in want]
     assert not waiting and told.filter("now_ms > 0").count() == told.count()
+
+
+def test_reminder_store_equals_the_state_machine_without_a_call_a_key(spark, tmp_path):
+    """Registered streams of reminders run no Python for a key; receipts, expiries, late rows and repeated batches give the same."""
+    rng, base = random.Random(4), 1_700_000_000_000
+    pending = [("s", lot, 0, "in_app", lead, base + x - lead * 1000, base + x) for lot in range(40) for x in [rng.randrange(90_000)] for lead in rng.sample([1, 5, 20, 60], 3)]
+    clock = [base + t for t in (1_000, 30_000, 88_000, 200_000)]
+    frames, waiting, done = [], [], [("s", lot, 0, "in_app", 5) for lot in range(0, 40, 5)]
+    store = reminders.ReminderStore(spark, str(tmp_path / "store"))
+    names = "scope_id string, lot_id long, lot_revision long, channel string, lead_seconds long"
+    for k, at in enumerate(clock):
+        mine = [p for p in pending if p[1] % 2 == k]
+        given = [(at, *r, None, None) for r in done] if k == 0 else []
+        rows = [(at, *r) for r in mine] + given + [(at, *[None] * 7)]
+        frames.append(spark.createDataFrame(rows, reminders.SCHEMA.replace("at timestamp", "at long")).withColumn("at", F.timestamp_millis("at")))
+    batches.applied(spark, frames, store.apply)
+    store.apply(frames[1], 1)
+    told = store.told().cache()
+    for k, at in enumerate(clock):
+        waiting += [p for p in pending if p[1] % 2 == k]
+        sent, sums = benefit.process_due(spark.createDataFrame(waiting, f"{names}, due_at_ms long, expires_at_ms long"), spark.createDataFrame(done, names), at)
+        now = told.filter(F.col("now_ms") == at)
+        want = sorted((r.lot_id, r.lead_seconds, r.due_at_ms, r.expires_at_ms) for r in sent.collect())
+        assert sorted((r.lot_id, r.lead_seconds, r.due_at_ms, r.expires_at_ms) for r in now.filter("sent").collect()) == want
+        columns = ["scope_id", "taken", "expired", "delivered", "suppressed"]
+        assert [tuple(r) for r in reminders.counts(now).select(columns).collect()] == [tuple(r) for r in sums.select(columns).collect()]
+        waiting = [p for p in waiting if p[5] > at]
+        done += [("s", lot, 0, "in_app", lead) for lot, lead, _, _ in want]
+    assert told.count() and "InPandas" not in told._jdf.queryExecution().toString()
