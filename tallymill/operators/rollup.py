@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallymill.functions.measures import METRICS, calculable, merged_metrics, metric_aggregates, price_basis, price_tier
 
 MINUTE, HOUR = 60, 3600
+NANOS = 1_000_000_000
+_MOMENT = "decimal(30,0)"
 TIME_KEYS = ("bucket_width", "bucket_start", "provider_id", "profile_id", "dimension", "dimension_value")
 SESSION_KEYS = ("provider_id", "profile_id", "session_id", "dimension", "dimension_value")
 
@@ -35,10 +37,14 @@ def time_rollup(events: DataFrame) -> DataFrame:
 def session_rollup(events: DataFrame) -> DataFrame:
     """Metrics of each session by dimension, with its first and last moment."""
     wide = events.select("*", _dimensions().alias("d")).select("*", "d.*")
-    at = F.struct(F.col("timestamp_seconds").alias("s"), F.col("timestamp_nanos").alias("n"))
-    out = wide.groupBy(*SESSION_KEYS).agg(*metric_aggregates(), F.min(at).alias("a"), F.max(at).alias("z"))
-    every = F.col("dimension") == "all"
-    pick = {f"{name}_{unit}": F.when(every, F.col(side)[field]) for name, side in (("first", "a"), ("last", "z")) for unit, field in (("seconds", "s"), ("nanos", "n"))}
+    # one number a moment: structs would make the aggregation sort all its rows, numbers are combined by hash
+    at = F.col("timestamp_seconds").cast("decimal(20,0)") * F.lit(NANOS).cast("decimal(10,0)") + F.col("timestamp_nanos").cast("decimal(20,0)")
+    out = wide.groupBy(*SESSION_KEYS).agg(*metric_aggregates(), F.min(at.cast(_MOMENT)).alias("a"), F.max(at.cast(_MOMENT)).alias("z"))
+    every, pick = F.col("dimension") == "all", {}
+    for name, side in (("first", "a"), ("last", "z")):
+        nanos = F.pmod(F.col(side), F.lit(NANOS).cast(_MOMENT))
+        pick[f"{name}_seconds"] = F.when(every, ((F.col(side) - nanos) / F.lit(NANOS).cast("decimal(10,0)")).cast("bigint"))
+        pick[f"{name}_nanos"] = F.when(every, nanos.cast("bigint"))
     return out.withColumns(pick).drop("a", "z")
 
 
