@@ -9,6 +9,8 @@ from tallymill.functions.measures import METRICS, merged_metrics
 from tallymill.operators.calendar import rhythm_buckets, segment_buckets
 
 PAGE, ITEMS, TARGETS, DAYS = 256, 256, 401, 400
+#: Parts that the events of one source file are spread over where they meet their source.
+PARTS = 64
 
 
 def scoped(frame: DataFrame, scopes: list[tuple[str, str]]) -> DataFrame:
@@ -205,7 +207,17 @@ def session_detail(sessions: DataFrame, provider: str, profile: str, session: st
 
 
 def legacy_events(events: DataFrame, sources: DataFrame) -> DataFrame:
-    """Events of the old layout with the provider of their source; `unknown` where it is missing or of another profile."""
-    of = sources.select(F.col("file_key").alias("selected_file_key"), F.col("provider_id").alias("source_provider"), F.col("profile_id").alias("source_profile"))
+    """Events of the old layout with the provider of their source; `unknown` where it is missing or of another profile.
+
+    Few files hold all events, so each file's events are spread over PARTS parts, and its source is given to each.
+    """
+    part = F.pmod(F.xxhash64(*events.columns), F.lit(PARTS)).cast("int")
+    of = sources.select(F.col("file_key").alias("selected_file_key"), F.col("provider_id").alias("source_provider"), F.col("profile_id").alias("source_profile"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("__part"))
     provider = F.when(F.col("source_profile") == F.col("profile_id"), F.col("source_provider")).otherwise("unknown")
-    return events.drop("provider_id").join(of, "selected_file_key", "left").withColumn("provider_id", provider).drop("source_provider", "source_profile")
+    joined = events.withColumn("__part", part).drop("provider_id").join(of, ["selected_file_key", "__part"], "left")
+    return joined.withColumn("provider_id", provider).drop("source_provider", "source_profile", "__part")
+
+
+def legacy_page(events: DataFrame, sources: DataFrame, size: int = PAGE) -> DataFrame:
+    """The newest events of the old layout with their provider; each event has a row at least, so the page is taken before the join."""
+    return activity_page(legacy_events(activity_page(events, size), sources), size)

@@ -174,17 +174,21 @@ query("s19_quota_windows")(lambda s, d: provider.quota_windows(testdata.quota_sn
 query("b13_removable_changes")(lambda s, d: benefit.removable_changes(testdata.benefit_changes(s, d)).select("scope_id", "lot_id", "sequence"))
 query("b15_due_rebuilt")(lambda s, d: benefit.rebuild_due(_reminders(s, d), _reminders(s, d).filter("lot_id % 5 = 0 AND lead_seconds = 86400")))
 query("a13_legacy_events")(lambda s, d: _legacy(s, d).select("source_offset", "provider_id", "profile_id", "selected_file_key"))
-query("u11_legacy_page")(lambda s, d: analytics.activity_page(_legacy(s, d, True), 200).select(*_PAGE, "provider_id"))
+query("u11_legacy_page")(lambda s, d: analytics.legacy_page(*_legacy_parts(s, d, True), 200).select(*_PAGE, "provider_id"))
 
 
 def _reminders(spark, sf_dir):
     return benefit.schedule(testdata.benefit_lots(spark, sf_dir, False))
 
 
-def _legacy(spark, sf_dir, identity=False):
+def _legacy_parts(spark, sf_dir, identity=False):
     e = testdata.usage_event(spark, sf_dir, identity).withColumn("selected_file_key", F.concat(F.lit("f"), F.col("source_offset") % 5))
     known = e.filter("source_offset % 5 < 3").select(F.col("selected_file_key").alias("file_key"), F.lit("codex").alias("provider_id"), F.concat(F.lit("profile_"), F.col("source_offset") % 5).alias("profile_id")).distinct()
-    return analytics.legacy_events(e, known)
+    return e, known
+
+
+def _legacy(spark, sf_dir):
+    return analytics.legacy_events(*_legacy_parts(spark, sf_dir))
 
 
 @query("b14_rehydrated_lots")
