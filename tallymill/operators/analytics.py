@@ -148,6 +148,12 @@ def horizon(rollup: DataFrame) -> tuple[int, int]:
     return (first, last + 3600) if first is not None else (0, 0)
 
 
+def span(rows: DataFrame, at: str) -> tuple[int, int]:
+    """The first second and the end of a store's own rows."""
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    return (first, last + 1) if first is not None else (0, 0)
+
+
 def newest(rows: DataFrame, at: str, size: int, bounds: tuple[int, int], upto: int | None = None) -> DataFrame:
     """Rows of a last stretch of time up to `upto` that has `size` of them: an hour, then eight times as long until it is full.
 

@@ -109,11 +109,11 @@ def available(spark, sf_dir):
 
 
 _PAGE = ("timestamp_seconds", "timestamp_nanos", "fingerprint", "session_id", "total_tokens")
-query("u10_activity_page")(lambda s, d: analytics.activity_page(usage.events(s, d), 200, bounds=usage.bounds(s, d)).select(*_PAGE))
-query("u10_activity_cursor")(lambda s, d: analytics.activity_page(usage.events(s, d), 100, (1_705_000_000, 0, ""), usage.bounds(s, d)).select(*_PAGE))
+query("u10_activity_page")(lambda s, d: analytics.activity_page(usage.events(s, d), 200, bounds=usage.event_bounds(s, d)).select(*_PAGE))
+query("u10_activity_cursor")(lambda s, d: analytics.activity_page(usage.events(s, d), 100, (1_705_000_000, 0, ""), usage.event_bounds(s, d)).select(*_PAGE))
 _SESSION = ("provider_id", "profile_id", "session_id", "last_seconds", "last_nanos", "event_count", "sum_total_tokens")
-query("u12_session_page")(lambda s, d: analytics.session_page(usage.sessions(s, d), 100, bounds=usage.bounds(s, d)).select(*_SESSION))
-query("u12_session_cursor")(lambda s, d: analytics.session_page(usage.sessions(s, d), 100, (1_706_500_000, 0, "", "", ""), usage.bounds(s, d)).select(*_SESSION))
+query("u12_session_page")(lambda s, d: analytics.session_page(usage.sessions(s, d), 100, bounds=usage.session_bounds(s, d)).select(*_SESSION))
+query("u12_session_cursor")(lambda s, d: analytics.session_page(usage.sessions(s, d), 100, (1_706_500_000, 0, "", "", ""), usage.session_bounds(s, d)).select(*_SESSION))
 query("u13_session_detail")(lambda s, d: analytics.session_detail(usage.sessions(s, d), "local", "profile_0", "session_0"))
 query("u14_session_models")(lambda s, d: analytics.session_detail(usage.sessions(s, d), "local", "profile_0", "session_0", "model").select("dimension_value", *METRICS))
 

@@ -45,6 +45,15 @@ def bounds(spark, sf_dir):
     return analytics.horizon(kept(spark, sf_dir))
 
 
+def event_bounds(spark, sf_dir):
+    """The bounds of the events from their own store, for pages: one column is read, and no rollup is built."""
+    return analytics.span(events(spark, sf_dir), "timestamp_seconds")
+
+
+def session_bounds(spark, sf_dir):
+    return analytics.span(sessions(spark, sf_dir).filter("dimension = 'all'"), "last_seconds")
+
+
 def rated_models(spark, sf_dir, catalogue):
     """The models of the events, each with its rates by tier and context (none where it is not priced)."""
     hours = kept(spark, sf_dir).filter("dimension = 'model' AND bucket_width = 3600")
@@ -53,7 +62,7 @@ def rated_models(spark, sf_dir, catalogue):
 
 def _cursors(spark, sf_dir):
     """Three pages by cursors of this dataset, and what becomes of one of another: (page, events, first, state)."""
-    dataset, rows, limits, at, out = fingerprint(spark, f"{sf_dir}/events.parquet"), events(spark, sf_dir), bounds(spark, sf_dir), None, []
+    dataset, rows, limits, at, out = fingerprint(spark, f"{sf_dir}/events.parquet"), events(spark, sf_dir), event_bounds(spark, sf_dir), None, []
     for k in range(3):
         page, at = analytics.cursor_page(rows, dataset, at, 90, limits)
         n, first = page.agg(F.count("*"), F.max("timestamp_seconds")).first()
@@ -80,7 +89,7 @@ def _broken(spark, sf_dir):
 
 
 def _lookahead(spark, sf_dir):
-    e = analytics.newest(events(spark, sf_dir).select(*_FIVE), _FIVE[0], 121, bounds(spark, sf_dir))
+    e = analytics.newest(events(spark, sf_dir).select(*_FIVE), _FIVE[0], 121, event_bounds(spark, sf_dir))
     return analytics.with_lookahead(e, [F.desc(c) for c in _FIVE[:3]], 120)
 
 
@@ -149,7 +158,7 @@ QUERIES = {
     "u9_broken_metrics": _broken,
     "u10_has_more": _lookahead,
     "u15_last_page": _last_page,
-    "u16_event_page": lambda s, d: analytics.activity_page(events(s, d), 256, (1_705_500_000, 0, ""), bounds(s, d)).select(*_FIVE),
+    "u16_event_page": lambda s, d: analytics.activity_page(events(s, d), 256, (1_705_500_000, 0, ""), event_bounds(s, d)).select(*_FIVE),
     "u15_cursors": _cursors,
     "u17_probe_page": lambda s, d: analytics.probe_page(testdata.read(s, d, "events").select(F.col("event_id").alias("id"), "event_type"), 1000, 400),
     "d7_occurrences": lambda s, d: calendar.exposure(s, *bounds(s, d), ZONE, "weekday"),

@@ -79,3 +79,39 @@ def test_a_file_without_a_stem_has_a_hashed_hint(spark):
     rows = spark.createDataFrame([("f", name, "sessions", 0, line) for name in ("noext", "deep/a.jsonl")], "file string, relative string, place string, source_offset long, value string")
     got = {r.relative: r.session_id for r in jsonl.observations(rows.withColumn("file", F.col("relative"))).collect()}
     assert got["deep/a.jsonl"] == "a" and got["noext"].startswith("file_") and len(got["noext"]) == 37
+
+
+def test_sessions_are_combined_by_hash_and_keep_their_moments(spark):
+    """Moments before 1970 and of late years keep seconds and nanos; no aggregation sorts the events."""
+    base = testdata.usage_event(spark, SF).limit(1).withColumn("session_id", F.lit("s"))
+    moments = [(-5, 999_999_999), (-5, 1), (253_402_300_799, 7), (0, 0)]
+    rows = base.drop("timestamp_seconds", "timestamp_nanos").crossJoin(spark.createDataFrame(moments, "timestamp_seconds long, timestamp_nanos long"))
+    got = rollup.session_rollup(rows)
+    one = got.filter("dimension = 'all'").first()
+    assert (one.first_seconds, one.first_nanos, one.last_seconds, one.last_nanos, one.event_count) == (-5, 1, 253_402_300_799, 7, 4)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_build_no_rollup_for_their_bounds(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("a page needs no rollup")
+
+    monkeypatch.setattr(usage, "kept", fail)
+    for name in ("u10_activity_page", "u10_activity_cursor", "u12_session_page", "u12_session_cursor", "u15_cursors", "u16_event_page", "u10_has_more"):
+        registry.queries()[name](spark, SF).collect()
+
+
+def test_one_file_of_all_old_events_is_many_parts(spark):
+    """All events of one source file are joined in many parts, with each row as before, also of a file with two sources."""
+    events = spark.range(2000).select("id", F.lit("f").alias("selected_file_key"), F.lit("x").alias("provider_id"), F.concat(F.lit("p"), F.col("id") % 2).alias("profile_id"))
+    sources = spark.createDataFrame([("f", "codex", "p0"), ("f", "local", "p2")], "file_key string, provider_id string, profile_id string")
+    got = analytics.legacy_events(events, sources)
+    assert {(r.profile_id, r.provider_id): r["count"] for r in got.groupBy("profile_id", "provider_id").count().collect()} == {("p0", "codex"): 1000, ("p0", "unknown"): 1000, ("p1", "unknown"): 2000}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = analytics.legacy_events(events, sources).groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert parts > 1
