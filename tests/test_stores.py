@@ -115,3 +115,19 @@ def test_one_file_of_all_old_events_is_many_parts(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert parts > 1
+
+
+def test_one_repository_of_all_changes_is_many_parts(spark):
+    """Changes of one repository meet the failed ones in many parts; those of a failed one all go."""
+    from tallymill.operators import git_output
+
+    rows = spark.range(2000).select(F.when(F.col("id") < 1900, 1).otherwise(2).alias("repository_id"), F.col("id").alias("n"), F.when(F.col("id") == 1950, "cut").alias("error"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = git_output.sound(rows).groupBy("repository_id", F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert {r.repository_id for r in got} == {1} and sum(r["count"] for r in got) == 1900 and len(got) > 1
