@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
+from pyarrow import fs
 from pyspark.sql import functions as F
 
-from tallymill.functions.checkpoints import materialize, shared_folder
+from tallymill.functions.checkpoints import shared_folder, stored
 from tallymill.functions.identity import COUNTS, TAG, fingerprint
+from tallymill.functions.stretches import STRETCH, along
 from tallymill.operators import analytics, lineage, rollup
 from tallymill.plans import batches
 from tallymill.plans.oracle import ZERO
-from tallymill.sources import jsonl, testdata
+from tallymill.sources import jsonl, log_source, testdata
 from tallymill.streaming import parsing
 
 #: Names of the tools that the synthetic logs call.
@@ -37,12 +38,39 @@ def logs(spark, sf_dir) -> str:
     result = obj(timestamp=lit("never"), response=obj(created_at=F.floor(F.col("us") / 1000).cast("bigint"), model=text("m", k % 3), usage=obj(prompt_tokens=b, completion_tokens=lit("x"), output=k % 9, cached_tokens=lit(1.5), total_tokens=F.when(k % 2 == 0, b).otherwise(0))))
     tool = obj(type=lit("response_item"), payload=obj(type=F.when(k % 3 == 0, lit("mcp_tool")).otherwise(lit("function_call")), name=F.element_at(F.array(*map(lit, TOOLS)), (k % 9 + 1).cast("int"))))
     value = F.when(k % 5 == 0, F.to_json(meta)).when(k % 5 == 1, F.to_json(count)).when(k % 5 == 2, F.to_json(running)).when(k % 5 == 3, F.to_json(result)).otherwise(F.to_json(tool))
-    out = raw.select("f", "event_id", value.alias("value")).repartition(8, "f").sortWithinPartitions("f", "event_id")
-    out.select("f", "value").write.partitionBy("f").text(f"{root}/sessions")
+    out = raw.select("f", "event_id", value.alias("value"))
+    pieces = out.repartitionByRange("f", "event_id").sortWithinPartitions("f", "event_id")
+    pieces.select("f", "value").write.partitionBy("f").text(f"{root}/pieces")
+    _join_pieces(spark, root)
     out.filter("f < 0").select("value").write.text(f"{root}/archived_sessions")
     return root
 
 
+def _join_pieces(spark, root: str) -> None:
+    """Files of `sessions` from the sorted pieces of each, copied one after another, a block at a time."""
+    files, top = log_source.opened(root)
+    names = [(i.base_name,) for i in files.get_file_info(fs.FileSelector(f"{top}/pieces")) if not i.is_file]
+
+    def copied(batches):
+        files, top = log_source.opened(root)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                parts = sorted(i.path for i in files.get_file_info(fs.FileSelector(f"{top}/pieces/{name}")) if i.base_name.startswith("part-"))
+                begun = f"{top}/sessions/{name}/part-0.txt.{uuid.uuid4().hex}"
+                files.create_dir(f"{top}/sessions/{name}", recursive=True)
+                with files.open_output_stream(begun) as whole:
+                    for part in parts:
+                        with files.open_input_stream(part) as piece:
+                            while block := piece.read(log_source.BATCH):
+                                whole.write(block)
+                files.move(begun, f"{top}/sessions/{name}/part-0.txt")
+            yield batch
+
+    if names:
+        spark.createDataFrame(names, "name string").mapInArrow(copied, "name string").count()
+    files.delete_dir(f"{top}/pieces")
+
+
 def _lines(spark, sf_dir):
     return jsonl.discover(spark, logs(spark, sf_dir), pattern="*.txt")
 
@@ -69,12 +97,12 @@ def _canonical(spark, sf_dir):
 
 def _halves(spark, sf_dir):
     """Lines now, and as they were: half of them in even files, all in files 1 and 5, other ones in files 3 and 7."""
-    lines = materialize(_lines(spark, sf_dir).withColumn("f", _file()))
-    per = Window.partitionBy("file")
-    n = F.row_number().over(per.orderBy("source_offset"))
-    ranked = lines.withColumns({"n": n, "every": F.count("*").over(per)})
+    lines = jsonl.in_stretches(stored(_lines(spark, sf_dir).withColumn("f", _file())))
+    one = F.lit(1).cast("bigint")
+    ranked = along(lines, ("file",), "source_offset", {"n": ("sum", one), "every": ("total", one)})
     before = ranked.filter((F.col("f") % 2 == 1) | (F.col("n") * 2 <= F.col("every"))).withColumn("value", F.when(F.col("f") % 4 == 3, F.concat("value", F.lit(" "))).otherwise(F.col("value")))
-    return lines.drop("f"), before.select(*lines.columns).drop("f")
+    lines = lines.drop("f", STRETCH)
+    return lines, before.select(*lines.columns)
 
 
 def _tail(spark, sf_dir):
@@ -89,9 +117,10 @@ def _tail(spark, sf_dir):
 def _resumed(spark, sf_dir):
     """Files that grew go on from their state, rewritten ones start anew, the others say nothing."""
     now, before = _halves(spark, sf_dir)
-    fresh = materialize(jsonl.tail(now, jsonl.prefix_proofs(before).withColumn("generation", F.lit(0)))[0])
+    before = stored(before)
+    fresh = stored(jsonl.tail(now, jsonl.prefix_proofs(before).withColumn("generation", F.lit(0)))[0])
     grown = fresh.filter("generation = 0").select("file").distinct()
-    state = jsonl.state_after(before.join(grown, "file", "left_semi").select(*before.columns))
+    state = jsonl.state_after(jsonl.of_files(before, grown, "left_semi").select(*before.columns))
     return _shown(jsonl.observations(fresh.drop("generation"), state))
 
 
@@ -110,7 +139,7 @@ def _tools(spark, sf_dir):
 
 def _parsed_stream(spark, sf_dir):
     """The lines as a stream in three batches, a part of every file in each."""
-    lines = materialize(_lines(spark, sf_dir).withColumn("generation", F.lit(0)))
+    lines = stored(_lines(spark, sf_dir).withColumn("generation", F.lit(0)))
     cut = lines.agg(F.max("source_offset")).first()[0] or 0
     thirds = [lines.filter(F.col("source_offset").between(cut * k // 3 + (k > 0), cut * (k + 1) // 3)) for k in range(3)]
     return _shown(batches.streamed(spark, thirds, parsing.observations))

@@ -1,7 +1,8 @@
 """JSONL agent logs to usage observations: discovery, line filter, lenient fields, carried state, deltas, activities.
 
-Lines become narrow facts; what a file says is carried along it by windows. A file's state at a place (`state_after`) is
-a row of facts again, so a grown file is read on from there (`tail`), with the same result as reading it whole.
+Lines become narrow facts; what a file says is carried along it, stretch by stretch, so no task holds a file. A file's
+state at a place (`state_after`) is a row of facts again, so a grown file is read on from there (`tail`), with the same
+result as reading it whole.
 """
 
 from __future__ import annotations
@@ -11,10 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallymill.functions.checkpoints import stored
 from tallymill.functions.identity import replay_signature
+from tallymill.functions.stretches import STRETCH, along
 from tallymill.sources import log_source
 
 LONG, ID_BYTES = 272_000, 512
+#: Bytes of a file that are one stretch of it, and parts that its lines are dealt to before they meet what is known of it.
+STRETCH_BYTES, PARTS = 4 << 20, 64
 #: What a relevant line contains (or a backslash).
 MARKERS = ("token_count", "turn_context", "session_meta", "sessionMeta", '"usage"', "function_call", "tool_call", "exec_command", "mcp")
 #: Names of the counters, in order of precedence.
@@ -199,26 +204,31 @@ def session_hint() -> Column:
     return F.coalesce(_name(stem), F.concat(F.lit("file_"), F.substring(F.sha2(F.col("relative"), 256), 1, 32)))
 
 
+def in_stretches(rows: DataFrame) -> DataFrame:
+    """Rows with the stretch of their file that they stand in."""
+    return rows.withColumn(STRETCH, F.floor(F.col("source_offset") / STRETCH_BYTES).cast("bigint"))
+
+
 def _followed(rows: DataFrame) -> DataFrame:
     """Facts with usage, deltas, and everything carried along each file."""
-    order = Window.partitionBy("file").orderBy("source_offset")
-    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    previous = F.last("cumulative", ignorenulls=True).over(before)
-    now = F.col("cumulative")
+    follow = lambda rows, values: along(rows, ("file",), "source_offset", values)
+    rows = follow(stored(in_stretches(rows)), {
+        "previous": ("last_before", F.col("cumulative")), "first_parent": ("first", F.col("line_parent")), "started": ("sum", F.col("emitted_before")),
+        **{name: ("last", F.col(line)) for line, name in CARRIED.items() if line != "line_model"},
+    })
+    now, previous = F.col("cumulative"), F.col("previous")
     delta = F.struct(*[F.when(previous[n].isNull() | (now[n] < previous[n]), now[n]).otherwise(now[n] - previous[n]).alias(n) for n in COUNTS])
     rows = rows.withColumn("usage", F.coalesce("last", F.when(now.isNotNull(), delta), "direct"))
     rows = rows.withColumn("emits", (F.col("source_offset") >= 0) & F.coalesce(F.greatest(*[F.coalesce(F.col("usage")[n], F.lit(0)) for n in COUNTS]) > 0, F.lit(False)))
     # a line that emits names its model, else its metadata do; a line of zero usage has metadata alone
     rows = rows.withColumn("line_model", model_key(F.coalesce(F.when(F.col("emits"), F.col("explicit")), F.col("meta_model"))))
-    rows = rows.withColumns({name: F.last(line, ignorenulls=True).over(so_far) for line, name in CARRIED.items()})
     rows = rows.withColumn("session_id", F.coalesce("session_id", session_hint()))
-    first_parent = F.first("line_parent", ignorenulls=True).over(so_far)
+    first_parent = F.col("first_parent")
     itself = F.coalesce(F.coalesce("line_parent", first_parent) == F.col("session_id"), F.lit(False))
     clash = F.col("line_conflict") | itself | F.coalesce(F.col("line_parent") != first_parent, F.lit(False))
-    rows = rows.withColumns({"parent_session_id": F.coalesce("line_parent", first_parent), "first_parent": first_parent, "clash": clash})
-    rows = rows.withColumn("lineage_conflict", F.max("clash").over(so_far))
-    rows = rows.withColumn("batch", F.coalesce(F.sum(F.col("emits").cast("bigint")).over(before), F.lit(0).cast("bigint")))
-    rows = rows.withColumn("ordinal", F.col("batch") + F.first("emitted_before").over(so_far))
+    rows = rows.withColumns({"parent_session_id": F.coalesce("line_parent", first_parent), "clash": clash})
+    rows = follow(rows, {"model": ("last", F.col("line_model")), "lineage_conflict": ("max", F.col("clash")), "batch": ("sum_before", F.col("emits").cast("bigint"))})
+    rows = rows.withColumn("ordinal", F.col("batch") + F.col("started"))
     within = Window.partitionBy("file", "batch")
     return rows.withColumns({f"activity_{a}": (F.count_if(F.col("activity") == a).over(within) + F.sum(f"pending_{a}").over(within)).cast("bigint") for a in ACTIVITIES})
 
@@ -259,6 +269,13 @@ def prefix_proofs(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file").agg(F.max(end).alias("consumed"), F.bit_xor(F.xxhash64("source_offset", "value")).alias("proof"))
 
 
+def of_files(lines: DataFrame, files: DataFrame, how: str) -> DataFrame:
+    """Lines joined with rows of files by `file`; a file's lines are dealt to parts first, so that no task has all of them."""
+    part = F.pmod(F.xxhash64("source_offset"), F.lit(PARTS)).cast("int")
+    every = files.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return lines.withColumn("part", part).join(every, ["file", "part"], how).drop("part")
+
+
 def tail(lines: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new lines with generation, new checkpoints) against (file, consumed, proof, generation) of an earlier reading.
 
@@ -266,9 +283,9 @@ def tail(lines: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFrame
     other known file was rewritten, cut or replaced: all its lines are new, in the next generation.
     """
     end = F.col("source_offset") + F.octet_length("value") + 1
-    known = lines.join(checkpoints.select("file", F.col("consumed").alias("was"), F.col("proof").alias("told"), F.col("generation").alias("old")), "file", "left")
+    known = of_files(lines, checkpoints.select("file", F.col("consumed").alias("was"), F.col("proof").alias("told"), F.col("generation").alias("old")), "left")
     again = known.filter(F.col("was").isNotNull() & (end <= F.col("was"))).groupBy("file").agg(F.max(end).alias("upto"), F.bit_xor(F.xxhash64("source_offset", "value")).alias("now"))
-    judged = known.join(again, "file", "left")
+    judged = of_files(known, again, "left")
     same = F.coalesce((F.col("upto") == F.col("was")) & (F.col("now") == F.col("told")), F.lit(False))
     generation = F.when(F.col("was").isNull(), F.lit(0)).when(same, F.col("old")).otherwise(F.col("old") + 1).cast("int")
     fresh = judged.withColumns({"same": same, "generation": generation}).filter(~F.col("same") | (F.col("source_offset") >= F.col("was"))).select(*lines.columns, "generation")
