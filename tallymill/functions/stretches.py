@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRETCH = "stretch"
+STRETCH, PARTS = "stretch", 64
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -39,6 +39,17 @@ def _both(kind: str, here: Column, carried: Column) -> Column:
     return F.coalesce(here, carried) if kind == "last" else F.coalesce(carried, here)
 
 
+def _alike(names: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in names))
+
+
+def met(rows: DataFrame, few: DataFrame, key: tuple[str, ...], by: str, how: str) -> DataFrame:
+    """Rows joined with the one row of their key (null keys too); a key's rows are dealt to parts by a column first, so that no task has all of them."""
+    every = few.select(*[F.col(c).alias(f"of_{c}") for c in key], *[c for c in few.columns if c not in key], F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("of_part"))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    return dealt.join(every, _alike((*key, "part")), how).drop("part", "of_part", *[f"of_{c}" for c in key])
+
+
 def along(rows: DataFrame, key: tuple[str, ...], order: str, values: dict[str, tuple[str, Column]]) -> DataFrame:
     """Rows with, for each name, the last or first known value, the greatest or the sum of all rows of the key up to this one.
 
@@ -54,11 +65,11 @@ def along(rows: DataFrame, key: tuple[str, ...], order: str, values: dict[str, t
         *[F.col(c).alias(f"of_{c}") for c in groups],
         *[_over(kinds[n][0], F.col(f"per_{n}"), whole if kinds[n][1] == "total" else chain).alias(f"carried_{n}") for n in values],
     )
-    met = rows.join(carried, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in groups)))
+    rows = rows.join(carried, _alike(groups))
     here = Window.partitionBy(*groups).orderBy(order)
     out = {}
     for name, (_, value) in values.items():
         kind, full = kinds[name]
         window = here.rowsBetween(*(_BEFORE if full.endswith("_before") else (Window.unboundedPreceding, 0)))
         out[name] = F.col(f"carried_{name}") if full == "total" else _both(kind, _over(kind, value, window), F.col(f"carried_{name}"))
-    return met.withColumns(out).drop(*[f"of_{c}" for c in groups], *[f"carried_{n}" for n in values])
+    return rows.withColumns(out).drop(*[f"of_{c}" for c in groups], *[f"carried_{n}" for n in values])

@@ -7,7 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymill.functions.checkpoints import stored
+from tallymill.functions.stretches import STRETCH, along, met
+
 KEY = ("scope_id", "window_id")
+#: Milliseconds of a window that are one stretch of it.
+STRETCH_MS = 3_600_000
+#: What a sample is judged by of the accepted one before it.
+SAMPLE = ("observation_id", "used_ppm", "remaining_ppm", "unit_id", "used_units", "capacity_units", "advertised_resets_at_ms", "observed_at_ms", "provider_epoch_id")
+#: Where an epoch stands: its number, the transitions so far, its first observation.
+BASE = ("base_epoch", "base_sequence", "base_first")
 #: Thresholds of a fixed window in parts per million: used at most, remaining at least, drop at least.
 THRESHOLDS = (100_000, 900_000, 300_000)
 
@@ -32,17 +41,36 @@ def transition_id() -> Column:
     return _id("transition", *map(F.col, KEY), F.col("sequence"), F.coalesce("reset_kind", F.lit("allowance_changed")), F.col("previous_epoch_id"), F.col("epoch_id"), F.col("pre_observation_id"), F.col("observation_id"))
 
 
+def in_stretches(rows: DataFrame) -> DataFrame:
+    """Rows with the stretch of their window that they stand in."""
+    return rows.withColumn(STRETCH, F.floor(F.col("observed_at_ms") / STRETCH_MS).cast("bigint"))
+
+
 def transitions(samples: DataFrame, thresholds: tuple[int | None, int | None, int | None] = THRESHOLDS) -> DataFrame:
     """Accepted samples with signal, reset kind, allowance change, epoch, sequence, ids, confidence and detection time.
 
     A reset is told by hand, by another epoch of the provider, explicitly, or by thresholds: those count in fixed windows
     for samples of sure quality and confidence; a threshold that is not set passes, a value that is not known fails it.
-    What a sample means depends on the accepted one before it alone, so a lag stands for the state. One window is one
-    task's rows: it has one sample a poll, and is spilled, not held.
+    What a sample means depends on the accepted one before it alone, so a lag stands for the state; a window is followed
+    stretch by stretch.
     """
-    names = ("observation_id", "used_ppm", "remaining_ppm", "unit_id", "used_units", "capacity_units", "advertised_resets_at_ms", "observed_at_ms", "provider_epoch_id")
-    order = Window.partitionBy(*KEY).orderBy("observed_at_ms")
-    rows = accepted(samples).withColumns({f"p_{n}": F.lag(n).over(order) for n in names})
+    rows = judged(samples, thresholds).drop(*BASE, "epoch_first")
+    within = Window.partitionBy(*KEY, "epoch").orderBy("observed_at_ms").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("max_used_ppm", F.max("used_ppm").over(within))
+
+
+def judged(samples: DataFrame, thresholds: tuple[int | None, int | None, int | None] = THRESHOLDS, state: DataFrame | None = None) -> DataFrame:
+    """Transitions without maxima, with `epoch_first`. `state` has the last accepted sample of each window (SAMPLE and BASE):
+    what is not later is left out, and the row of the state is told again, with BASE set.
+    """
+    rows = accepted(samples)
+    if state is not None:
+        rows = met(rows, state.select(*KEY, F.col("observed_at_ms").alias("upto")), KEY, "observed_at_ms", "left").filter(F.col("upto").isNull() | (F.col("observed_at_ms") > F.col("upto"))).drop("upto")
+    rows = rows.withColumns({c: F.lit(None).cast("bigint") for c in BASE})
+    if state is not None:
+        rows = rows.unionByName(state.select(*KEY, *SAMPLE, *BASE), allowMissingColumns=True)
+    rows = along(stored(in_stretches(rows)), KEY, "observed_at_ms", {"p": ("last_before", F.struct(*SAMPLE))})
+    rows = rows.withColumns({f"p_{n}": F.col("p")[n] for n in SAMPLE}).drop("p")
     has, now, was = F.col("p_observed_at_ms").isNotNull(), F.col("observed_at_ms"), F.col("p_observed_at_ms")
     known = lambda c: F.coalesce(c, F.lit(False))
     most, least, drop = thresholds
@@ -74,17 +102,15 @@ def transitions(samples: DataFrame, thresholds: tuple[int | None, int | None, in
         "transition_confidence": F.when(changed, F.when(known(doubtful), "low").otherwise(F.col("confidence"))),
         "occurred_at_ms": F.when(resets, exact), "after_ms": F.when(changed & ~(resets & exact.isNotNull()), was), "at_or_before_ms": F.when(changed & ~(resets & exact.isNotNull()), now),
     })
-    along = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("epoch", F.sum(resets.cast("bigint")).over(along))
-    rows = rows.withColumn("sequence", F.sum(changed.cast("bigint")).over(along))
-    first = F.last(F.when(resets | F.col("p_observed_at_ms").isNull(), F.col("observation_id")), True).over(along)
-    rows = rows.withColumn("epoch_id", epoch_id(first))
-    rows = rows.withColumn("previous_epoch_id", F.lag("epoch_id").over(order))
+    begun = F.coalesce("base_first", F.when(resets | ~has, F.col("observation_id")))
+    rows = along(rows, KEY, "observed_at_ms", {
+        "epoch": ("sum", resets.cast("bigint") + F.coalesce("base_epoch", F.lit(0))), "sequence": ("sum", changed.cast("bigint") + F.coalesce("base_sequence", F.lit(0))),
+        "epoch_first": ("last", begun), "previous_first": ("last_before", begun),
+    })
+    rows = rows.withColumns({"epoch_id": epoch_id(F.col("epoch_first")), "previous_epoch_id": F.when(has, epoch_id(F.col("previous_first")))})
     rows = rows.withColumnRenamed("p_observation_id", "pre_observation_id")
     rows = rows.withColumn("transition_id", F.when(changed, transition_id()))
-    within = Window.partitionBy(*KEY, "epoch").orderBy("observed_at_ms").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("max_used_ppm", F.max("used_ppm").over(within))
-    return rows.drop(*[f"p_{n}" for n in names])
+    return rows.drop(STRETCH, "previous_first", *[f"p_{n}" for n in SAMPLE])
 
 
 def sequence_gaps(changes: DataFrame) -> DataFrame:
@@ -129,12 +155,13 @@ def transition_page(changes: DataFrame, scope: str, window: str, size: int = 256
 
 def referenced(changes: DataFrame) -> DataFrame:
     """(scope_id, window_id, observation_id) that a current window, an epoch or a transition still names."""
+    changes = stored(changes)
     ends = changes.groupBy(*KEY, "epoch").agg(F.min_by("observation_id", "observed_at_ms").alias("a"), F.max_by("observation_id", "observed_at_ms").alias("z"))
-    best = maxima(changes)
+    best = stored(in_stretches(maxima(changes)))
     top = best.groupBy(*KEY, "epoch").agg(F.max_by("max_ppm_observation", "observed_at_ms").alias("r"), F.max_by("max_units_observation", "observed_at_ms").alias("u"))
     moved = changes.filter(F.col("transition_id").isNotNull())
-    last = Window.partitionBy(*KEY).orderBy("observed_at_ms")
-    before = best.withColumns({"r": F.lag("max_ppm_observation").over(last), "u": F.lag("max_units_observation").over(last)}).join(moved.select(*KEY, "observed_at_ms"), [*KEY, "observed_at_ms"], "left_semi")
+    was = along(best, KEY, "observed_at_ms", {"was": ("last_before", F.struct(F.col("max_ppm_observation").alias("r"), F.col("max_units_observation").alias("u")))})
+    before = was.select(*KEY, "observed_at_ms", "was.*").join(moved.select(*KEY, "observed_at_ms"), [*KEY, "observed_at_ms"], "left_semi")
     name = lambda d, *cols: d.select(*KEY, F.explode(F.array(*map(F.col, cols))).alias("observation_id"))
     return name(ends, "a", "z").unionByName(name(top, "r", "u")).unionByName(name(moved, "pre_observation_id", "observation_id")).unionByName(name(before, "r", "u")).filter("observation_id IS NOT NULL").distinct()
 
@@ -158,6 +185,11 @@ def maxima(rows: DataFrame) -> DataFrame:
     A sample in another unit clears the maximum of units, and the next one starts anew; samples without units change
     nothing. After a run of two samples or more in a unit there is a maximum; single ones set and clear it by turns.
     """
+    return with_maxima(rows).select(*KEY, "observed_at_ms", "epoch", "max_ppm", "max_ppm_observation", "max_units", "max_units_observation", "max_unit_id")
+
+
+def with_maxima(rows: DataFrame) -> DataFrame:
+    """Rows with the running maxima of their epoch."""
     measured = F.col("unit_id").isNotNull() & F.col("used_units").isNotNull()
     rows = rows.withColumn("measured", measured)
     upto = (Window.unboundedPreceding, 0)
@@ -176,4 +208,4 @@ def maxima(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("higher", F.when(F.col(f"own_{name}").isNotNull() & (before.isNull() | (F.col(f"own_{name}") > before)), F.col("observation_id")))
         rows = rows.withColumns({f"max_{name}": F.max(f"own_{name}").over(over.rowsBetween(*upto)), f"max_{name}_observation": F.last("higher", True).over(over.rowsBetween(*upto))})
     state = F.last(F.when(F.col("measured"), F.struct("max_units", "max_units_observation", F.when(F.col("max_units").isNotNull(), F.col("unit_id")).alias("max_unit_id"))), True).over(epoch.rowsBetween(*upto))
-    return rows.withColumn("state", state).drop("max_units", "max_units_observation").select(*KEY, "observed_at_ms", "epoch", "max_ppm", "max_ppm_observation", "state.*")
+    return rows.withColumn("state", state).drop("max_units", "max_units_observation", "measured", "run", "size", "at", "anchor", "clears", "own_ppm", "own_units", "higher").select("*", "state.*").drop("state")

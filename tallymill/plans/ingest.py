@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.checkpoints import shared_folder, stored
 from tallymill.functions.identity import COUNTS, TAG, fingerprint
-from tallymill.functions.stretches import STRETCH, along
+from tallymill.functions.stretches import STRETCH, along, met
 from tallymill.operators import analytics, lineage, rollup
 from tallymill.plans import batches
 from tallymill.plans.oracle import ZERO
@@ -120,7 +120,7 @@ def _resumed(spark, sf_dir):
     before = stored(before)
     fresh = stored(jsonl.tail(now, jsonl.prefix_proofs(before).withColumn("generation", F.lit(0)))[0])
     grown = fresh.filter("generation = 0").select("file").distinct()
-    state = jsonl.state_after(jsonl.of_files(before, grown, "left_semi").select(*before.columns))
+    state = jsonl.state_after(met(before, grown, ("file",), "source_offset", "left_semi").select(*before.columns))
     return _shown(jsonl.observations(fresh.drop("generation"), state))
 
 

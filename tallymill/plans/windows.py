@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tallymill.functions.checkpoints import shared_folder
 from tallymill.operators import quota, status
 from tallymill.plans import batches
 from tallymill.sources import provider, testdata
@@ -47,8 +50,9 @@ def _streamed(spark, sf_dir):
     samples = testdata.quota_samples(spark, sf_dir)
     day = F.floor((F.col("observed_at_ms") - 1_704_067_200_000) / 864_000_000)
     first, second, third = (samples.filter(c) for c in (day < 1, day == 1, day > 1))
-    told = batches.streamed(spark, [first, second.unionByName(first), third], stream.transitions)
-    return told.withColumn("max_used_ppm", F.col("max_ppm")).select(*_OUT, *_BEST)
+    store = stream.WindowStore(spark, f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}")
+    batches.applied(spark, [first, second.unionByName(first), third], store.apply)
+    return store.told().withColumn("max_used_ppm", F.col("max_ppm")).select(*_OUT, *_BEST)
 
 
 QUERIES = {

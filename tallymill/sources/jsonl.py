@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.checkpoints import stored
 from tallymill.functions.identity import replay_signature
-from tallymill.functions.stretches import STRETCH, along
+from tallymill.functions.stretches import STRETCH, along, met
 from tallymill.sources import log_source
 
 LONG, ID_BYTES = 272_000, 512
-#: Bytes of a file that are one stretch of it, and parts that its lines are dealt to before they meet what is known of it.
-STRETCH_BYTES, PARTS = 4 << 20, 64
+#: Bytes of a file that are one stretch of it.
+STRETCH_BYTES = 4 << 20
 #: What a relevant line contains (or a backslash).
 MARKERS = ("token_count", "turn_context", "session_meta", "sessionMeta", '"usage"', "function_call", "tool_call", "exec_command", "mcp")
 #: Names of the counters, in order of precedence.
@@ -269,13 +269,6 @@ def prefix_proofs(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file").agg(F.max(end).alias("consumed"), F.bit_xor(F.xxhash64("source_offset", "value")).alias("proof"))
 
 
-def of_files(lines: DataFrame, files: DataFrame, how: str) -> DataFrame:
-    """Lines joined with rows of files by `file`; a file's lines are dealt to parts first, so that no task has all of them."""
-    part = F.pmod(F.xxhash64("source_offset"), F.lit(PARTS)).cast("int")
-    every = files.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return lines.withColumn("part", part).join(every, ["file", "part"], how).drop("part")
-
-
 def tail(lines: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new lines with generation, new checkpoints) against (file, consumed, proof, generation) of an earlier reading.
 
@@ -283,9 +276,9 @@ def tail(lines: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFrame
     other known file was rewritten, cut or replaced: all its lines are new, in the next generation.
     """
     end = F.col("source_offset") + F.octet_length("value") + 1
-    known = of_files(lines, checkpoints.select("file", F.col("consumed").alias("was"), F.col("proof").alias("told"), F.col("generation").alias("old")), "left")
+    known = met(lines, checkpoints.select("file", F.col("consumed").alias("was"), F.col("proof").alias("told"), F.col("generation").alias("old")), ("file",), "source_offset", "left")
     again = known.filter(F.col("was").isNotNull() & (end <= F.col("was"))).groupBy("file").agg(F.max(end).alias("upto"), F.bit_xor(F.xxhash64("source_offset", "value")).alias("now"))
-    judged = of_files(known, again, "left")
+    judged = met(known, again, ("file",), "source_offset", "left")
     same = F.coalesce((F.col("upto") == F.col("was")) & (F.col("now") == F.col("told")), F.lit(False))
     generation = F.when(F.col("was").isNull(), F.lit(0)).when(same, F.col("old")).otherwise(F.col("old") + 1).cast("int")
     fresh = judged.withColumns({"same": same, "generation": generation}).filter(~F.col("same") | (F.col("source_offset") >= F.col("was"))).select(*lines.columns, "generation")

@@ -2,18 +2,20 @@
 
 A sample is accepted where it is later than all accepted before it; repeated and stale ones change nothing. Of samples of
 one moment within a batch the smallest id counts. The state holds the last accepted sample, the epoch, the sequence and
-the epoch's maxima; ids of epochs and transitions are made from them by DataFrame functions.
+the epoch's maxima; ids of epochs and transitions are made from them by DataFrame functions. `transitions` steps through
+a window in one call; `WindowStore` keeps the same state in generations and judges a batch of all windows by joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from tallymill.operators.quota import KEY, THRESHOLDS, epoch_id, transition_id
+from tallymill.operators.quota import BASE, KEY, SAMPLE, THRESHOLDS, epoch_id, judged, transition_id, with_maxima
+from tallymill.streaming.generations import Generations
 
 _SAMPLE = {
     "observation_id": "bigint", "used_ppm": "bigint", "remaining_ppm": "bigint", "unit_id": "string", "used_units": "bigint", "capacity_units": "bigint",
@@ -133,3 +135,48 @@ def transitions(samples: DataFrame, thresholds: tuple[int | None, int | None, in
     named = told.withColumns({"epoch_id": epoch_id(F.col("epoch_first")), "previous_epoch_id": F.when(F.col("previous_first").isNotNull(), epoch_id(F.col("previous_first")))})
     changed = F.col("reset_kind").isNotNull() | F.col("allowance_change").isNotNull()
     return named.withColumn("transition_id", F.when(changed, transition_id())).drop("epoch_first", "previous_first")
+
+
+_BEST = ("max_ppm", "max_ppm_observation", "max_units", "max_units_observation", "max_unit_id")
+_KEPT = (*KEY, *SAMPLE, *BASE, *_BEST)
+
+
+class WindowStore:
+    """What each window's samples told and where it stands, a generation for each batch; a window may have any number of samples."""
+
+    def __init__(self, spark: SparkSession, path: str, thresholds: tuple[int | None, int | None, int | None] = THRESHOLDS):
+        self.spark, self.path, self.thresholds, self.generations = spark, path, thresholds, Generations(spark, path)
+
+    def _part(self, name: str, batch: int) -> str:
+        return f"{self.path}/delta-{batch}/{name}"
+
+    def apply(self, samples: DataFrame, batch: int) -> None:
+        """Take samples in; a batch that was applied before changes nothing."""
+        last = self.generations.active()
+        if batch <= last:
+            return
+        state = self.spark.read.parquet(self._part("state", last)) if last >= 0 else None
+        rows = judged(samples, self.thresholds, state).filter(F.col("base_epoch").isNull())
+        if state is not None:
+            # the epoch's maxima so far stand before its rows, as the samples that they are of
+            at = {"epoch": F.col("base_epoch"), "base_epoch": F.col("base_epoch")}
+            ppm = {"observation_id": "max_ppm_observation", "used_ppm": "max_ppm"}
+            units = {"observation_id": "max_units_observation", "unit_id": "max_unit_id", "used_units": "max_units"}
+            for back, of in ((1, ppm), (0, units)):
+                stand = state.select(*KEY, (F.col("observed_at_ms") - back).alias("observed_at_ms"), *[c.alias(n) for n, c in at.items()], *[F.col(c).alias(n) for n, c in of.items()])
+                rows = rows.unionByName(stand, allowMissingColumns=True)
+        with_maxima(rows).filter(F.col("base_epoch").isNull()).drop(*BASE).write.mode("overwrite").parquet(self._part("told", batch))
+        now = self._told([batch]).withColumns({"base_epoch": F.col("epoch"), "base_sequence": F.col("sequence"), "base_first": F.col("epoch_first")}).select(*_KEPT)
+        every = now if state is None else now.unionByName(state.select(*_KEPT))
+        newest = every.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in _KEPT if c not in KEY]), "observed_at_ms").alias("m"))
+        newest.select(*KEY, "m.*").write.mode("overwrite").parquet(self._part("state", batch))
+        self.generations.commit(f"delta-{batch}")
+
+    def _told(self, batches: list[int]) -> DataFrame:
+        return self.spark.read.parquet(*[self._part("told", b) for b in batches])
+
+    def told(self) -> DataFrame:
+        """The accepted samples of all batches (one at least), in the columns of `transitions`."""
+        numbers = [int(p.rsplit("-", 1)[1]) for p in self.generations.parts()]
+        told = [c.split()[0] for c in _TOLD.split(", ") if c.split()[0] not in ("epoch_first", "previous_first")]
+        return self._told(numbers).select(*KEY, *told, "epoch_id", "previous_epoch_id", "transition_id")
