@@ -37,8 +37,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, USUAL, TOKEN_ROWS, HOT = 5000, 100_000, 200_000, 2000
 #: Bits of the wide sketch, and smallest texts that a text is held against before all the rest.
 WIDE, KIN = 1024, 3
-#: Partners of one document that one task verifies.
-SHARE = 500
+#: Partners of one document that one task verifies, and pairs that one task compares, or holds, at once.
+SHARE, PAIRS = 500, 1 << 17
 #: Rows of anchors that one task compares, on average, and the most at one anchor that are compared there.
 ANCHOR_ROWS, HOT_ANCHOR = 200_000, 2000
 _BLANK = re.compile(rb"[\x20\x09-\x0d]+")
@@ -307,7 +307,7 @@ def shingle_sets(texts: DataFrame, usual: tuple[np.ndarray, np.ndarray]) -> Data
     return texts.mapInArrow(run, "same binary, first long, fp long, n long, s0 long, s1 long, s2 long, s3 long, wide array<long>, tokens array<long>")
 
 
-def _across(keys: np.ndarray, label: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _across(keys: np.ndarray, label: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of rows of one key and of different labels; rows are sorted by key and label."""
     if not len(keys):
         return
@@ -322,36 +322,51 @@ def _across(keys: np.ndarray, label: np.ndarray, most: int = 1 << 20) -> Iterato
         yield np.repeat(place[a:b], n), np.arange(ends[-1]) + np.repeat(run_end[a:b] - ends + n, n)
 
 
-def _unjoined(rows: pd.DataFrame) -> pd.DataFrame:
+def _counted(u: np.ndarray, v: np.ndarray, k: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, with the sum of shared; k is the same wherever a pair stands."""
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))[: len(u)])
+    return u[first], v[first], k[order[first]], np.add.reduceat(shared[order], first) if len(first) else shared
+
+
+def _unjoined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(u, v, k, shared): pairs of different labels at the keys of a task whose sizes and sketches allow a similarity of 0.8.
 
-    shared counts the keys where they meet, k how many there must be over all tasks.
+    shared counts keys where they meet, k how many there must be over all tasks; a pair may come more than once, so that
+    a task holds no more than PAIRS of them, and the sum of shared counts.
     """
-    rows = rows.sort_values(["key", "label"], kind="stable")
+    given = list(batches)
+    if not given:
+        return
+    rows = pd.concat(given, ignore_index=True).sort_values(["key", "label"], kind="stable")
     keys, label, ids, n = (rows[c].to_numpy() for c in ("key", "label", "node", "n"))
     sketch = rows[["s0", "s1", "s2", "s3"]].to_numpy().view(np.uint64)
     block, own, least = rows["block"].to_numpy(), rows["same"].to_numpy(), common(n)
-    pairs, shared, held = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), 0
+    held: list[tuple[np.ndarray, ...]] = []
 
-    def merged(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        every, back = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
-        return every, np.bincount(back.ravel(), np.concatenate(counts), len(every)).astype(np.int64)
+    def out() -> pd.DataFrame:
+        u, v, k, shared = _counted(*map(np.concatenate, zip(*held, strict=True)))
+        return pd.DataFrame({"u": u, "v": v, "k": k, "shared": shared})
 
-    parts, counts = [pairs], [shared]
     for i, j in _across(keys, label):
         on = (own[i] | (block[i] != block[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
         i, j = i[on], j[on]
         # similarity 0.8 means that at most a ninth of both sizes together differs
         on = 9 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
-        a, b = ids[i[on]], ids[j[on]]
-        parts.append(np.stack([np.maximum(a, b), np.minimum(a, b), np.minimum(least[i[on]], least[j[on]])], 1))
-        counts.append(np.ones(len(a), np.int64))
-        held += len(a)
-        if held > 1 << 20:  # pairs repeat over the tokens
-            pairs, shared = merged(parts, counts)
-            parts, counts, held = [pairs], [shared], 0
-    pairs, shared = merged(parts, counts)
-    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "k": pairs[:, 2], "shared": shared})
+        i, j = i[on], j[on]
+        if not len(i):
+            continue
+        a, b = ids[i], ids[j]
+        held.append((np.maximum(a, b), np.minimum(a, b), np.minimum(least[i], least[j]), np.ones(len(a), np.int64)))
+        if sum(len(x[0]) for x in held) >= PAIRS:
+            # pairs repeat over the tokens: what is merged goes on while it is small
+            held = [_counted(*map(np.concatenate, zip(*held, strict=True)))]
+            if 2 * len(held[0][0]) >= PAIRS:
+                yield out()
+                held = []
+    if held:
+        yield out()
 
 
 def _shared_tokens(sets: DataFrame) -> DataFrame:
@@ -402,8 +417,8 @@ def _rest(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = dealt.select("node", "label", "block", (F.col("block") == F.col("to")).alias("same"), F.xxhash64("token", F.least("block", "to"), F.greatest("block", "to")).alias("key"))
     spread = materialize(dealt)
     tasks = max(1, math.ceil(spread.count() / TOKEN_ROWS))
-    whole = spread.join(sets.select("node", "n", "s0", "s1", "s2", "s3"), "node").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(tasks)))
-    return whole.repartition(tasks, "part").groupBy("part").applyInPandas(_unjoined, "u long, v long, k long, shared long").groupBy("u", "v", "k").agg(F.sum("shared").alias("shared")).filter("shared >= k").select("u", "v")
+    whole = spread.join(sets.select("node", "n", "s0", "s1", "s2", "s3"), "node")
+    return whole.repartition(tasks, "key").mapInPandas(_unjoined, "u long, v long, k long, shared long").groupBy("u", "v", "k").agg(F.sum("shared").alias("shared")).filter("shared >= k").select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:

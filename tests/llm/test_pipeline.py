@@ -5,6 +5,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 
 from tallymill.llm import components, run_index, simhash_anchors, subword_quality, word_language
 from tests.llm.test_operators import brute_removal
@@ -96,3 +97,16 @@ def test_formatting_keeps_columns_of_clashing_names(spark):
     rows = spark.createDataFrame([(1, [("user", "a"), ("assistant", "b")], "h", "b", "s")], f"conv_id long, turns {turns}, heads string, bodies string, SIZES string")
     got = chat_format.formatted(rows)
     assert got.columns[: len(rows.columns)] == rows.columns and tuple(got.first())[2:5] == ("h", "b", "s")
+
+
+def test_candidates_leave_a_task_in_pieces():
+    """Pairs of a key of very many documents are given in bounded pieces, and their shared counts sum up to all."""
+    n, keys = 700, 2
+    node = np.tile(np.arange(n), keys)
+    rows = pd.DataFrame({"node": node, "label": node, "block": 0, "same": True, "key": np.repeat(np.arange(keys), n), "n": 100, **{f"s{k}": 0 for k in range(4)}})
+    pieces = list(simhash_anchors._unjoined(iter([rows[:500], rows[500:]])))
+    assert len(pieces) > 1 and max(map(len, pieces)) <= 2 * simhash_anchors.PAIRS
+    got = pd.concat(pieces).groupby(["u", "v", "k"]).shared.sum()
+    assert len(got) == n * (n - 1) // 2 and (got == keys).all()
+    assert all(u > v for u, v, _ in got.index)
+    assert list(simhash_anchors._unjoined(iter([]))) == []
