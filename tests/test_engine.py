@@ -302,3 +302,17 @@ def test_a_failed_text_withholds_its_repository(spark):
     got = git_output.parse_log(logs, [])
     assert sorted((r.repository_id, r.error) for r in got.collect() if r.error) == [(1, "protocol")]
     assert [(r.repository_id, r.commit, r.selected) for r in git_output.sound(got).collect()] == [(2, _OID, False)]
+
+
+def test_tokens_that_repeat_are_judged_once():
+    import pyarrow as pa
+
+    from tallymill.sources import git_log
+
+    entry, path, n = ":100644 100644 aa bb M", "src/a.rs", 50
+    log = _git("\x1e" + _OID, "0", "a", "b", "", *[entry, path] * n, *[f"3\t1\t{path}"] * n)
+    git_log._entry.cache_clear()
+    kinds = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in git_log.SCHEMA.split(", ")]
+    columns = git_log._columns(log, {b"a"}, kinds)
+    assert git_log._entry.cache_info().misses == 1
+    assert list(zip(*[c.to_pylist() for c in columns])) == git_log._rows(log, {b"a"}) == [(_OID, 0, 0, True, path, "text", 3, 1, None)] * n
