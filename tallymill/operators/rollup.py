@@ -24,14 +24,14 @@ def _dimensions() -> Column:
     return F.explode(F.array(one("all", F.lit("")), one("model", F.col("model")), one("project", F.coalesce("project_alias", F.lit("")))))
 
 
-def time_rollup(events: DataFrame) -> DataFrame:
-    """Minute buckets first; hours are sums of minutes, so events are expanded by dimension alone."""
+def time_rollup(events: DataFrame, *also: str) -> DataFrame:
+    """Minute buckets first; hours are sums of minutes, so events are expanded by dimension alone. `also` names further keys."""
     wide = events.select("*", _dimensions().alias("d")).select("*", "d.*")
-    keys = [bucket(F.col("timestamp_seconds"), MINUTE).alias("minute"), "provider_id", "profile_id", "dimension", "dimension_value"]
+    keys = [bucket(F.col("timestamp_seconds"), MINUTE).alias("minute"), "provider_id", "profile_id", "dimension", "dimension_value", *also]
     minutes = wide.groupBy(*keys).agg(*metric_aggregates())
     both = minutes.select("*", F.explode(F.array(F.lit(MINUTE), F.lit(HOUR))).alias("bucket_width"))
     both = both.withColumn("bucket_width", F.col("bucket_width").cast("bigint"))
-    return both.groupBy("bucket_width", bucket(F.col("minute"), F.col("bucket_width")).alias("bucket_start"), *TIME_KEYS[2:]).agg(*merged_metrics())
+    return both.groupBy("bucket_width", bucket(F.col("minute"), F.col("bucket_width")).alias("bucket_start"), *TIME_KEYS[2:], *also).agg(*merged_metrics())
 
 
 def session_rollup(events: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.functions.measures import METRICS
+from tallymill.functions.measures import METRICS, merged_metrics
 from tallymill.operators.rollup import TIME_KEYS, merge, time_rollup
 from tallymill.sources.stored import read, write
 from tallymill.streaming.generations import Generations
@@ -54,8 +54,10 @@ class RollupStore:
     def apply_changes(self, changes: DataFrame, batch_id: int) -> None:
         """Take a batch of changes once: events with `change`, insert or delete; an update is one of each."""
         if batch_id > self.active():
-            came, went = (time_rollup(changes.filter(F.col("change") == kind).drop("change")) for kind in ("insert", "delete"))
-            self._publish(merge(came, went.select(*TIME_KEYS, *[(-F.col(m)).alias(m) for m in METRICS])), batch_id)
+            # one pass over the batch; what came and what went meet as sums
+            told = time_rollup(changes.filter(F.col("change").isin("insert", "delete")), "change")
+            signed = [F.when(F.col("change") == "delete", -F.col(m)).otherwise(F.col(m)).alias(m) for m in METRICS]
+            self._publish(told.select(*TIME_KEYS, *signed).groupBy(*TIME_KEYS).agg(*merged_metrics()), batch_id)
 
     def compact(self) -> None:
         """Write a base of all that is whole; buckets that add up to nothing go."""

@@ -122,6 +122,15 @@ def test_changes_across_batches_and_compactions(spark, tmp_path):
     assert sorted(p for p in os.listdir(tmp_path / "store") if not p.startswith("_")) == ["base-3", "base-5", "delta-4", "delta-5"]
 
 
+def test_a_batch_of_changes_is_read_once(spark, tmp_path, monkeypatch):
+    change = F.when(F.col("source_offset") % 2 == 0, "insert").otherwise("delete")
+    changes = testdata.usage_event(spark, SF).withColumn("change", change)
+    store, plans = RollupStore(spark, str(tmp_path / "store")), []
+    monkeypatch.setattr(store, "_publish", lambda rows, n: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()))
+    store.apply_changes(changes, 0)
+    assert plans[0].count("Relation [") == 1
+
+
 # ---- log source and parser ---------------------------------------------------------------------------------------------
 
 
