@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -81,6 +83,14 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, rows:
     return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
 
 
+def give_back() -> None:
+    """What a training on the driver has freed goes back to the system, where the C library would keep it for the whole job."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def total_bytes(texts: DataFrame, column: str) -> int:
     return texts.agg(F.sum(F.octet_length(F.col(column)).cast("bigint"))).first()[0] or 0
 

@@ -39,6 +39,8 @@ SAMPLE, USUAL, TOKEN_ROWS, HOT = 5000, 100_000, 200_000, 2000
 WIDE, KIN = 1024, 3
 #: Partners of one document that one task verifies, and pairs that one task compares, or holds, at once.
 SHARE, PAIRS = 500, 1 << 17
+#: Rows of tokens of one smallest node that stay together.
+TOGETHER = 50_000
 #: Rows of anchors that one task compares, on average, and the most at one anchor that are compared there.
 ANCHOR_ROWS, HOT_ANCHOR = 200_000, 2000
 _BLANK = re.compile(rb"[\x20\x09-\x0d]+")
@@ -255,8 +257,8 @@ def _usual(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 h = np.array([v for t in texts[a:b] for v in set(shingle_hashes(words_of(t), SHINGLE))], np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    got = rows.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(USUAL).collect()
-    h, n = np.array([r.h for r in got], np.int64).view(np.uint64), np.array([r.n for r in got], np.int64)
+    got = rows.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(USUAL).toArrow()
+    h, n = got["h"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy().astype(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -334,7 +336,8 @@ def _unjoined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(u, v, k, shared): pairs of different labels at the keys of a task whose sizes and sketches allow a similarity of 0.8.
 
     shared counts keys where they meet, k how many there must be over all tasks; a pair may come more than once, so that
-    a task holds no more than PAIRS of them, and the sum of shared counts.
+    a task holds no more than PAIRS of them, and the sum of shared counts. Where rows have wide sketches (w0, w1, ...), what
+    the narrow ones allow is held against these, so that of a family of texts a little too far apart few pairs go on.
     """
     given = list(batches)
     if not given:
@@ -342,6 +345,7 @@ def _unjoined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = pd.concat(given, ignore_index=True).sort_values(["key", "label"], kind="stable")
     keys, label, ids, n = (rows[c].to_numpy() for c in ("key", "label", "node", "n"))
     sketch = rows[["s0", "s1", "s2", "s3"]].to_numpy().view(np.uint64)
+    wide = rows[[c for c in rows.columns if c.startswith("w")]].to_numpy(np.int64).view(np.uint64)
     block, own, least = rows["block"].to_numpy(), rows["same"].to_numpy(), common(n)
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -353,8 +357,9 @@ def _unjoined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         on = (own[i] | (block[i] != block[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
         i, j = i[on], j[on]
         # similarity 0.8 means that at most a ninth of both sizes together differs
-        on = 9 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
-        i, j = i[on], j[on]
+        for bits in (sketch, wide):
+            on = 9 * np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
+            i, j = i[on], j[on]
         if not len(i):
             continue
         a, b = ids[i], ids[j]
@@ -369,6 +374,21 @@ def _unjoined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
+def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each of the `keys` of a row, its wide sketch and the narrow one that is folded from it as columns."""
+    for rows in batches:
+        times = rows["keys"].map(len).to_numpy()
+        wide = np.stack(rows["wide"].to_list()).astype(np.int64) if len(rows) else np.zeros((0, WIDE // 64), np.int64)
+        narrow = np.bitwise_xor.reduce(wide.reshape(len(rows), -1, 4), axis=1)
+        each = {c: np.repeat(rows[c].to_numpy(), times) for c in ("node", "label", "block", "same", "n")}
+        each |= {f"{c}{k}": np.repeat(bits[:, k], times) for c, bits in (("s", narrow), ("w", wide)) for k in range(bits.shape[1])}
+        yield pd.DataFrame({**each, "key": np.concatenate([np.zeros(0, np.int64), *rows["keys"]]).astype(np.int64)})
+
+
+def _told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return _unjoined(_opened(batches))
+
+
 def _shared_tokens(sets: DataFrame) -> DataFrame:
     """(token, node, n, members) of the tokens that several nodes have; a token's rows stay rows, however many."""
     every = sets.select("node", "n", F.explode("tokens").alias("token"))
@@ -408,17 +428,30 @@ def _to_previous(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame
 
 def _rest(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): every possible pair of nodes that share a token and have different labels."""
+    return _candidates(met, label, sets).groupBy("u", "v", "k").agg(F.sum("shared").alias("shared")).filter("shared >= k").select("u", "v")
+
+
+def _candidates(met: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, k, shared): what the tasks say of the pairs of nodes of different labels at their tokens.
+
+    Tokens of one smallest node have mostly the same nodes, so they go to one task (to several where they are many), which
+    tells a pair once for all of them, and gets a node's sketch once.
+    """
     # a token whose documents are one group already says nothing new
     at = Window.partitionBy("token")
-    met = _labelled(met, label).withColumns({"low": F.min("label").over(at), "high": F.max("label").over(at)}).filter("low < high")
+    met = _labelled(met, label).withColumns({"low": F.min("label").over(at), "high": F.max("label").over(at), "home": F.min("node").over(at)}).filter("low < high")
     # a token of many documents is dealt into blocks, each compared with each
     blocks = F.ceil(F.col("members") / HOT)
-    dealt = met.withColumns({"block": F.pmod(F.xxhash64("node"), blocks), "blocks": blocks}).select("token", "node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
-    dealt = dealt.select("node", "label", "block", (F.col("block") == F.col("to")).alias("same"), F.xxhash64("token", F.least("block", "to"), F.greatest("block", "to")).alias("key"))
+    dealt = met.withColumns({"block": F.pmod(F.xxhash64("node"), blocks), "blocks": blocks}).select("token", "home", "node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
+    ends = F.least("block", "to"), F.greatest("block", "to")
+    dealt = dealt.select("node", "label", "block", (F.col("block") == F.col("to")).alias("same"), F.xxhash64("token", *ends).alias("key"), F.xxhash64("home", *ends).alias("home"))
     spread = materialize(dealt)
     tasks = max(1, math.ceil(spread.count() / TOKEN_ROWS))
-    whole = spread.join(sets.select("node", "n", "s0", "s1", "s2", "s3"), "node")
-    return whole.repartition(tasks, "key").mapInPandas(_unjoined, "u long, v long, k long, shared long").groupBy("u", "v", "k").agg(F.sum("shared").alias("shared")).filter("shared >= k").select("u", "v")
+    large = spread.groupBy("home").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")).filter("parts > 1")
+    part = F.pmod("key", F.coalesce("parts", F.lit(1)))
+    rows = spread.join(large, "home", "left").withColumn("part", part).groupBy("home", "part", "node", "label", "block", "same").agg(F.collect_list("key").alias("keys"))
+    whole = rows.join(sets.select("node", "n", "wide"), "node")
+    return whole.repartition(tasks, "home", "part").mapInPandas(_told, "u long, v long, k long, shared long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MULT, SLICE, SMALL, fresh_names, labelled_sample, mix, powers, slices
+from .common import MULT, SLICE, SMALL, fresh_names, give_back, labelled_sample, mix, powers, slices
 
 #: Bound of the labelled rows the model is fitted on; whole texts are used.
 TRAIN_DOCS, BITS, WIDTH, EPOCHS, BATCH = 3000, 16, 8, 6, 64
@@ -139,4 +139,6 @@ def annotate(documents: DataFrame, model: Model, name: str = "quality_score", mo
 def accepted(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """Documents with a score of `least` or more, with their own columns, whatever their names."""
     (name,) = fresh_names(documents.columns, "quality_score")
-    return annotate(documents, fit(documents, labels), name, SMALL).filter(F.col(name) >= least).drop(name)
+    model = fit(documents, labels)
+    give_back()
+    return annotate(documents, model, name, SMALL).filter(F.col(name) >= least).drop(name)

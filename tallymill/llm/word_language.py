@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MULT, SLICE, SMALL, Letters, fresh_names, held_out, mix, slices
+from .common import MULT, SLICE, SMALL, Letters, fresh_names, give_back, held_out, mix, slices
 
 UNKNOWN = "und"
 #: Bound of the labelled rows the model is fitted on; whole texts are used.
@@ -258,6 +258,7 @@ def annotate(documents: DataFrame, model: Model, names: tuple[str, ...] = NAMES,
 def accepted(documents: DataFrame, least: float = 0.3) -> DataFrame:
     """Documents whose language is known with a probability of `least` or more, with their own columns, whatever their names."""
     model = fit(documents)
+    give_back()
     names = tuple(fresh_names(documents.columns, *NAMES))
     rows = annotate(documents, model, names, SMALL)
     return rows.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).drop(*names)

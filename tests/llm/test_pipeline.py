@@ -6,6 +6,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tallymill.llm import components, run_index, simhash_anchors, subword_quality, word_language
 from tests.llm.test_operators import brute_removal
@@ -110,3 +111,36 @@ def test_candidates_leave_a_task_in_pieces():
     assert len(got) == n * (n - 1) // 2 and (got == keys).all()
     assert all(u > v for u, v, _ in got.index)
     assert list(simhash_anchors._unjoined(iter([]))) == []
+
+
+def test_a_family_apart_gives_few_candidates(spark, monkeypatch):
+    """Copies of one text a little further apart than 0.8 are told apart in the tasks; the pairs that belong together all come, once a share."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(400), 12):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    for k in range(4):  # and four near ones of the first
+        texts.append(texts[0] + f" z{k}")
+    each = [set(simhash_anchors.shingle_hashes(simhash_anchors.words_of(t), 5)) for t in texts]
+    want = {(i, j) for i in range(64) for j in range(i) if len(each[i] & each[j]) >= 0.8 * len(each[i] | each[j])}
+    assert 10 <= len(want) < 150
+    rows = spark.createDataFrame([(str(k).encode(), k, t) for k, t in enumerate(texts)], "same binary, first long, text string").coalesce(1)
+    usual = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sets = simhash_anchors.shingle_sets(rows, usual).withColumn("node", F.col("first")).cache()
+    met = simhash_anchors._shared_tokens(sets)
+    label = spark.createDataFrame([], "node long, label long")
+    monkeypatch.setattr(simhash_anchors, "TOKEN_ROWS", 300)  # many tasks
+    told = simhash_anchors._candidates(met, label, sets).collect()
+    assert {(r.u, r.v) for r in told} >= want
+    assert len(told) < 3 * len(want) + 300
+    for together, hot in ((50_000, 2000), (100, 20)):
+        monkeypatch.setattr(simhash_anchors, "TOGETHER", together)
+        monkeypatch.setattr(simhash_anchors, "HOT", hot)
+        found = simhash_anchors._rest(met, label, sets).collect()
+        assert {(r.u, r.v) for r in found} >= want and len(found) == len(set(found))
+    one = simhash_anchors._rest(met, label.unionByName(sets.select("node", F.lit(0).cast("long").alias("label"))), sets)
+    assert one.count() == 0
