@@ -42,7 +42,10 @@ class ReplayStore:
     def _write(self, rows: DataFrame, folder: str, kind: str, session: str = "session_id") -> None:
         columns = [c.split()[0] for c in SCHEMAS[kind].split(", ")]
         rows = rows.select(*columns).to(self.spark.createDataFrame([], SCHEMAS[kind]).schema).withColumn("bucket", self._bucket(session))
-        rows.repartition("bucket").sortWithinPartitions("bucket", session).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}/{kind}")
+        # few buckets are written by as many tasks as there are cores for, each session by one
+        parts = max(1, -(-2 * self.spark.sparkContext.defaultParallelism // self.buckets))
+        dealt = rows.repartition("bucket", F.pmod(F.hash(session), F.lit(parts)))
+        dealt.sortWithinPartitions("bucket", session).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}/{kind}")
 
     def _open(self, kind: str, keys: DataFrame | None = None, session: str = "session_id", more: tuple[str, ...] = ()) -> DataFrame:
         """The rows of a kind: all, or those in the buckets of `keys` (KEY columns) whose `session` is one of them."""

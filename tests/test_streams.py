@@ -90,6 +90,23 @@ def test_streamed_replay(spark, tmp_path):
     assert store.generations.active() == 1 and _classes(store.current()) == _classes(lineage.classify(seen))
 
 
+def test_few_buckets_are_written_by_many_tasks(spark, tmp_path):
+    """A bucket of the replay store has several files, each session in one of them, and its rows are those given."""
+    store = replay.ReplayStore(spark, str(tmp_path / "store"), buckets=1)
+    rows = [("codex", "profile_0", f"s{k}", None, t, "x", True, "file_s", 0, 100 * k + t, f"{k}-{t}", False, False) for k in range(300) for t in range(3)]
+    given = spark.createDataFrame(rows, replay.SCHEMAS["seen"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.apply(given, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for kind in ("seen", "class"):
+        written = spark.read.parquet(str(tmp_path / "store" / "delta-0" / kind)).withColumn("at", F.input_file_name())
+        assert written.count() == 900 and written.select("at").distinct().count() > 1
+        assert written.select("session_id", "at").distinct().count() == 300
+    assert store.current().filter("disposition = 'eligible'").count() == 900
+
+
 # ---- generations and rollups -------------------------------------------------------------------------------------------
 
 
