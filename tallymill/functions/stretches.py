@@ -39,7 +39,8 @@ def _both(kind: str, here: Column, carried: Column) -> Column:
     return F.coalesce(here, carried) if kind == "last" else F.coalesce(carried, here)
 
 
-def _alike(names: tuple[str, ...]) -> Column:
+def alike(names: tuple[str, ...]) -> Column:
+    """Columns that equal those of the same name with `of_` before it, nulls too."""
     return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in names))
 
 
@@ -47,7 +48,7 @@ def met(rows: DataFrame, few: DataFrame, key: tuple[str, ...], by: str, how: str
     """Rows joined with the one row of their key (null keys too); a key's rows are dealt to parts by a column first, so that no task has all of them."""
     every = few.select(*[F.col(c).alias(f"of_{c}") for c in key], *[c for c in few.columns if c not in key], F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("of_part"))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
-    return dealt.join(every, _alike((*key, "part")), how).drop("part", "of_part", *[f"of_{c}" for c in key])
+    return dealt.join(every, alike((*key, "part")), how).drop("part", "of_part", *[f"of_{c}" for c in key])
 
 
 def along(rows: DataFrame, key: tuple[str, ...], order: str, values: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -65,7 +66,7 @@ def along(rows: DataFrame, key: tuple[str, ...], order: str, values: dict[str, t
         *[F.col(c).alias(f"of_{c}") for c in groups],
         *[_over(kinds[n][0], F.col(f"per_{n}"), whole if kinds[n][1] == "total" else chain).alias(f"carried_{n}") for n in values],
     )
-    rows = rows.join(carried, _alike(groups))
+    rows = rows.join(carried, alike(groups))
     here = Window.partitionBy(*groups).orderBy(order)
     out = {}
     for name, (_, value) in values.items():

@@ -142,7 +142,9 @@ def _parsed_stream(spark, sf_dir):
     lines = stored(_lines(spark, sf_dir).withColumn("generation", F.lit(0)))
     cut = lines.agg(F.max("source_offset")).first()[0] or 0
     thirds = [lines.filter(F.col("source_offset").between(cut * k // 3 + (k > 0), cut * (k + 1) // 3)) for k in range(3)]
-    return _shown(batches.streamed(spark, thirds, parsing.observations))
+    store = parsing.ObservationStore(spark, f"{shared_folder(spark)}/observed-{uuid.uuid4().hex}")
+    batches.applied(spark, thirds, store.apply)
+    return _shown(store.observations())
 
 
 QUERIES = {

@@ -100,37 +100,42 @@ def _name(text: Column) -> Column:
 def lenient(text: Column) -> Column:
     """A whole number written as such or as a string of at most 20 digits; anything else is absent."""
     trimmed = F.trim(text)
-    return F.when(trimmed.rlike("^[0-9]{1,20}$"), F.try_to_number(trimmed, F.lit("9" * 20)).try_cast("bigint"))
+    return F.when(trimmed.rlike("^[0-9]{1,20}$"), trimmed.try_cast("bigint"))
 
 
-def counter(value: Column, base: str, name: str) -> Column:
-    return F.coalesce(*[lenient(_at(value, f"{base}.{a}")) for a in ALIASES[name]])
+def _counts_of(usage: Column) -> dict[str, Column]:
+    """The counts of a usage object as they are written."""
+    return {n: F.coalesce(*[lenient(usage[a]) for a in aliases]) for n, aliases in ALIASES.items()}
 
 
-def counters(value: Column, base: str) -> Column:
-    """Counts of a usage object: cached is at most the input and needs it; a total of zero or none is the sum of its parts."""
-    u = {n: counter(value, base, n) for n in COUNTS}
-    u["cached"] = F.when(u["cached"].isNotNull() & u["input"].isNotNull(), F.least(u["cached"], u["input"]))
-    u["total"] = F.when(u["total"] > 0, u["total"]).otherwise(u["input"] + u["output"] + u["reasoning"])
-    return F.when(_at(value, base).isNotNull(), F.struct(*[c.alias(n) for n, c in u.items()]))
+def counters(there: Column, u: dict[str, Column]) -> Column:
+    """Counts of a usage object, if it is there: cached is at most the input and needs it; a total of zero or none is the sum of its parts."""
+    cached = F.when(u["cached"].isNotNull() & u["input"].isNotNull(), F.least(u["cached"], u["input"]))
+    total = F.when(u["total"] > 0, u["total"]).otherwise(u["input"] + u["output"] + u["reasoning"])
+    return F.when(there, F.struct(*[c.alias(n) for n, c in (u | {"cached": cached, "total": total}).items()]))
 
 
-def moment(raw: Column) -> Column:
-    """(seconds, nanos) of RFC 3339 text or of a whole number (over 1e12: milliseconds); null where it is neither."""
-    number = F.when(raw.rlike("^-?[0-9]{1,18}$"), raw.try_cast("bigint"))
+def _read_moment(raw: Column) -> dict[str, Column]:
+    """A time as it is written: a number, or the whole seconds of a text and its fraction."""
     written = raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$")
-    whole = F.when(written, F.unix_seconds(F.try_to_timestamp(F.regexp_replace(F.upper(raw), r"\.[0-9]+", ""))))
-    fraction = F.rpad(F.regexp_extract(raw, r"\.([0-9]{1,9})", 1), 9, "0").try_cast("bigint")
-    millis = number > 10**12
-    seconds = F.when(number.isNotNull(), F.when(millis, F.floor(number / 1000)).otherwise(number)).otherwise(whole).cast("bigint")
-    nanos = F.when(number.isNotNull(), F.when(millis, F.pmod(number, F.lit(1000)) * 1_000_000).otherwise(0)).otherwise(F.coalesce(fraction, F.lit(0))).cast("bigint")
+    return {
+        "number": F.when(raw.rlike("^-?[0-9]{1,18}$"), raw.try_cast("bigint")),
+        "whole": F.when(written, F.unix_seconds(F.try_to_timestamp(F.regexp_replace(F.upper(raw), r"\.[0-9]+", "")))),
+        "fraction": F.when(raw.contains("."), F.rpad(F.regexp_extract(raw, r"\.([0-9]{1,9})", 1), 9, "0").try_cast("bigint")),
+    }
+
+
+def _as_moment(t: dict[str, Column]) -> Column:
+    number, millis = t["number"], t["number"] > 10**12
+    seconds = F.when(number.isNotNull(), F.when(millis, F.floor(number / 1000)).otherwise(number)).otherwise(t["whole"]).cast("bigint")
+    nanos = F.when(number.isNotNull(), F.when(millis, F.pmod(number, F.lit(1000)) * 1_000_000).otherwise(0)).otherwise(F.coalesce(t["fraction"], F.lit(0))).cast("bigint")
     in_range = seconds.between(-62_167_219_200, 253_402_300_799)
     return F.when(in_range, F.struct(seconds.alias("seconds"), nanos.alias("nanos")))
 
 
-def first_moment(value: Column, *paths: str) -> Column:
-    """The first valid of the times at these paths."""
-    return F.coalesce(*[moment(_at(value, p)) for p in paths])
+def moment(raw: Column) -> Column:
+    """(seconds, nanos) of RFC 3339 text or of a whole number (over 1e12: milliseconds); null where it is neither."""
+    return _as_moment(_read_moment(raw))
 
 
 def tool_activity(name: Column) -> Column:
@@ -158,46 +163,56 @@ def model_key(text: Column) -> Column:
     return F.when(F.trim(text) == "", None).when(plain, text).otherwise(F.concat(F.lit("unknown_"), F.substring(F.sha2(text, 256), 1, 32)))
 
 
-def facts(lines: DataFrame) -> DataFrame:
-    """What each relevant line says: usage, time, and what the file carries on from it. Lines with usage but no valid time say nothing."""
+def told(lines: DataFrame) -> DataFrame:
+    """What each relevant line says: usage, time, and what the file carries on from it.
+
+    What is read from a text stands in a select of its own, so it is read once and not again for each use of it.
+    """
     v = F.col("line")
-    first = lambda *paths: F.coalesce(*[F.when(_at(v, p) != "", _at(v, p)) for p in paths])
-    counted = F.coalesce((_at(v, "type") == "event_msg") & (_at(v, "payload.type") == "token_count"), F.lit(False))
-    last, whole = counters(v, "payload.info.last_token_usage"), counters(v, "payload.info.total_token_usage")
-    # the first wrapper that is there decides
-    wrapped = [(_at(v, w).isNotNull(), counters(v, f"{w}.usage"), first(f"{w}.model", f"{w}.model_name", "model", "model_name"), first_moment(v, *(f"{w}.{t}" for t in TIMES), *TIMES)) for w in WRAPPERS]
-    of_wrapper = lambda k: reduce(lambda rest, x: F.when(x[0], x[k]).otherwise(rest), wrapped[::-1], F.lit(None))
-    inside, top = of_wrapper(1), counters(v, "usage")
-    direct = F.when(~counted, F.coalesce(inside, top))
-    # a filter is not moved below a generator, so lines are parsed once, not once more for each field that it names
-    raw = lines.filter(relevant(F.col("value"))).select("file", "relative", "source_offset", F.explode(F.array(parsed(F.col("value")))).alias("line")).select(
+    at = lambda p: _at(v, p)
+    first = lambda *paths: F.coalesce(*[F.when(at(p) != "", at(p)) for p in paths])
+    text = lambda p: F.when(F.trim(at(p)) != "", F.trim(at(p)))
+    # the first wrapper that is there decides; a filter is not moved below a generator, so lines are parsed once
+    wrapper = F.coalesce(*[at(w) for w in WRAPPERS])
+    usages = {"last": at("payload.info.last_token_usage"), "cumulative": at("payload.info.total_token_usage"), "direct": F.coalesce(wrapper["usage"], at("usage"))}
+    times = {f"{k}_{n}": of[t] for k, of in (("wrapped", wrapper), ("top", v)) for n, t in enumerate(TIMES)}
+    rows = lines.filter(relevant(F.col("value"))).select("file", "relative", "source_offset", F.explode(F.array(parsed(F.col("value")))).alias("line"))
+    rows = rows.select(
         "file", "relative", "source_offset", "line",
-        F.when(counted, last).alias("last"), F.when(counted, whole).alias("cumulative"), direct.alias("direct"),
-        F.when(counted, first(*COUNT_MODELS)).when(~counted & inside.isNotNull(), of_wrapper(2)).when(direct.isNotNull(), first("model", "model_name")).alias("explicit"),
-        F.when(~counted & inside.isNotNull(), of_wrapper(3)).otherwise(first_moment(v, *TIMES)).alias("moment"),
-        first(*META_MODELS).alias("meta_model"),
+        F.coalesce((at("type") == "event_msg") & (at("payload.type") == "token_count"), F.lit(False)).alias("counted"), wrapper["usage"].isNotNull().alias("wrapped"),
+        *[u.isNotNull().alias(f"has_{k}") for k, u in usages.items()], *[c.alias(f"{k}_{n}") for k, u in usages.items() for n, c in _counts_of(u).items()],
+        *[c.alias(f"{k}_{n}") for k, t in times.items() for n, c in _read_moment(t).items()],
+        first("model", "model_name").alias("top_model"), F.coalesce(*[F.when(wrapper[n] != "", wrapper[n]) for n in ("model", "model_name")]).alias("wrapped_model"),
+        F.array_distinct(F.array_compact(F.array(*[_name(at(p)) for p in PARENTS]))).alias("parents"), text("payload.cwd").alias("cwd"), lenient(at("payload.model_context_window")).alias("window"), tool_call(v).alias("tool"),
     )
-    uses = F.coalesce("last", "cumulative", "direct").isNotNull()
-    raw = raw.filter(~uses | F.col("moment").isNotNull())
-    at, meta = (lambda p: _at(v, p)), _at(v, "type").isin("session_meta", "sessionMeta")
-    parents = F.array_distinct(F.array_compact(F.array(*[_name(at(p)) for p in PARENTS])))
-    text = lambda p: F.when(F.trim(at(p)) != "", F.trim(at(p)))
-    cwd = text("payload.cwd")
-    strange = cwd.rlike(r"(^|[/\\])\.{1,2}([/\\]|$)")
-    payload = at("payload").isNotNull()
-    return raw.select(
-        "file", "relative", "source_offset", "last", "cumulative", "direct", "explicit", "meta_model", "moment",
-        F.coalesce(F.when(meta, _name(at("payload.id"))), _name(at("payload.session_id"))).alias("line_session"),
-        F.when(payload & ~F.coalesce(strange, F.lit(False)), F.nullif(F.regexp_extract(cwd, r"([^/\\]+)[/\\]*$", 1), F.lit(""))).alias("line_project"),
+    counted, payload, inside = F.col("counted"), at("payload").isNotNull(), ~F.col("counted") & F.col("wrapped")
+    of = lambda k: counters((F.col("counted") if k != "direct" else ~F.col("counted")) & F.col(f"has_{k}"), {n: F.col(f"{k}_{n}") for n in COUNTS}).alias(k)
+    moments = lambda k: F.coalesce(*[_as_moment({n: F.col(f"{k}_{i}_{n}") for n in ("number", "whole", "fraction")}) for i in range(len(TIMES))])
+    strange = F.col("cwd").rlike(r"(^|[/\\])\.{1,2}([/\\]|$)")
+    return rows.select(
+        "file", "relative", "source_offset", *map(of, usages),
+        F.when(counted, first(*COUNT_MODELS)).when(inside, F.coalesce("wrapped_model", "top_model")).when(F.col("has_direct"), F.col("top_model")).alias("explicit"), first(*META_MODELS).alias("meta_model"),
+        F.coalesce(F.when(inside, moments("wrapped")), moments("top")).alias("moment"),
+        F.coalesce(F.when(at("type").isin("session_meta", "sessionMeta"), _name(at("payload.id"))), _name(at("payload.session_id"))).alias("line_session"),
+        F.when(payload & ~F.coalesce(strange, F.lit(False)), F.nullif(F.regexp_extract("cwd", r"([^/\\]+)[/\\]*$", 1), F.lit(""))).alias("line_project"),
         text("payload.originator").alias("line_originator"), text("payload.git.branch").alias("line_branch"), text("payload.service_tier").alias("line_tier"),
-        F.when(~at("payload.source").startswith("{"), text("payload.source")).alias("line_source"),
-        F.when(lenient(at("payload.model_context_window")) > 0, lenient(at("payload.model_context_window"))).alias("line_window"),
-        F.when(payload, F.get(parents, 0)).alias("line_parent"), (payload & (F.size(parents) > 1)).alias("line_conflict"),
-        tool_activity(tool_call(v)).alias("activity"),
+        F.when(~at("payload.source").startswith("{"), text("payload.source")).alias("line_source"), F.when(F.col("window") > 0, F.col("window")).alias("line_window"),
+        F.when(payload, F.get("parents", 0)).alias("line_parent"), (payload & (F.size("parents") > 1)).alias("line_conflict"), tool_activity(F.col("tool")).alias("activity"),
         F.lit(0).cast("bigint").alias("emitted_before"), *[F.lit(0).cast("bigint").alias(f"pending_{a}") for a in ACTIVITIES],
     )
 
 
+def saying(rows: DataFrame) -> DataFrame:
+    """Facts of lines but those with usage and no valid time: these say nothing. A state is kept."""
+    uses = F.coalesce("last", "cumulative", "direct").isNotNull()
+    return rows.filter(~uses | F.col("moment").isNotNull() | (F.col("source_offset") < 0))
+
+
+def facts(lines: DataFrame) -> DataFrame:
+    """What each relevant line says that says something. What is stored first can be told, and filtered as it is read."""
+    return saying(told(lines))
+
+
 def session_hint() -> Column:
     """What a file's lines are of where none names a session: its stem, or a digest of a name that can be no identity."""
     stem = F.regexp_extract("relative", r"([^/]+)\.[^./]+$", 1)
@@ -209,24 +224,36 @@ def in_stretches(rows: DataFrame) -> DataFrame:
     return rows.withColumn(STRETCH, F.floor(F.col("source_offset") / STRETCH_BYTES).cast("bigint"))
 
 
+def grown() -> Column:
+    """What cumulative counts grew by since the previous ones; a count that is new or fell counts whole."""
+    now, previous = F.col("cumulative"), F.col("previous")
+    return F.struct(*[F.when(previous[n].isNull() | (now[n] < previous[n]), now[n]).otherwise(now[n] - previous[n]).alias(n) for n in COUNTS])
+
+
+def uses_tokens() -> Column:
+    return F.coalesce(F.greatest(*[F.coalesce(F.col("usage")[n], F.lit(0)) for n in COUNTS]) > 0, F.lit(False))
+
+
+def clash() -> Column:
+    """A line names two parents, another one than the first of its file, or its own session."""
+    first_parent = F.col("first_parent")
+    itself = F.coalesce(F.coalesce("line_parent", first_parent) == F.col("session_id"), F.lit(False))
+    return F.col("line_conflict") | itself | F.coalesce(F.col("line_parent") != first_parent, F.lit(False))
+
+
 def _followed(rows: DataFrame) -> DataFrame:
     """Facts with usage, deltas, and everything carried along each file."""
     follow = lambda rows, values: along(rows, ("file",), "source_offset", values)
-    rows = follow(stored(in_stretches(rows)), {
+    rows = follow(saying(stored(in_stretches(rows))), {
         "previous": ("last_before", F.col("cumulative")), "first_parent": ("first", F.col("line_parent")), "started": ("sum", F.col("emitted_before")),
         **{name: ("last", F.col(line)) for line, name in CARRIED.items() if line != "line_model"},
     })
-    now, previous = F.col("cumulative"), F.col("previous")
-    delta = F.struct(*[F.when(previous[n].isNull() | (now[n] < previous[n]), now[n]).otherwise(now[n] - previous[n]).alias(n) for n in COUNTS])
-    rows = rows.withColumn("usage", F.coalesce("last", F.when(now.isNotNull(), delta), "direct"))
-    rows = rows.withColumn("emits", (F.col("source_offset") >= 0) & F.coalesce(F.greatest(*[F.coalesce(F.col("usage")[n], F.lit(0)) for n in COUNTS]) > 0, F.lit(False)))
+    rows = rows.withColumn("usage", F.coalesce("last", F.when(F.col("cumulative").isNotNull(), grown()), "direct"))
+    rows = rows.withColumn("emits", (F.col("source_offset") >= 0) & uses_tokens())
     # a line that emits names its model, else its metadata do; a line of zero usage has metadata alone
     rows = rows.withColumn("line_model", model_key(F.coalesce(F.when(F.col("emits"), F.col("explicit")), F.col("meta_model"))))
     rows = rows.withColumn("session_id", F.coalesce("session_id", session_hint()))
-    first_parent = F.col("first_parent")
-    itself = F.coalesce(F.coalesce("line_parent", first_parent) == F.col("session_id"), F.lit(False))
-    clash = F.col("line_conflict") | itself | F.coalesce(F.col("line_parent") != first_parent, F.lit(False))
-    rows = rows.withColumns({"parent_session_id": F.coalesce("line_parent", first_parent), "clash": clash})
+    rows = rows.withColumns({"parent_session_id": F.coalesce("line_parent", "first_parent"), "clash": clash()})
     rows = follow(rows, {"model": ("last", F.col("line_model")), "lineage_conflict": ("max", F.col("clash")), "batch": ("sum_before", F.col("emits").cast("bigint"))})
     rows = rows.withColumn("ordinal", F.col("batch") + F.col("started"))
     within = Window.partitionBy("file", "batch")
@@ -235,21 +262,25 @@ def _followed(rows: DataFrame) -> DataFrame:
 
 def observations(lines: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """One row for each line that uses tokens, with what the file said before it; `state` is where files were left before."""
-    rows = facts(lines)
-    out = _followed(rows if state is None else rows.unionByName(state)).filter("emits")
+    rows = told(lines)
+    return observed(_followed(rows if state is None else rows.unionByName(state)).filter("emits"))
+
+
+def observed(out: DataFrame, *more: str) -> DataFrame:
+    """Followed facts that use tokens in the columns of observations, and more of theirs."""
     flag = F.when(F.col("usage.input").isNull(), "unavailable").when(F.col("usage.input") > LONG, "yes").otherwise("no")
     cumulative = F.when(F.col("cumulative").isNotNull(), F.struct(*[F.col("cumulative")[n].alias(f"{n}_tokens") for n in COUNTS]))
     return out.select(
         "file", "relative", "source_offset", "ordinal", F.col("moment.seconds").alias("timestamp_seconds"), F.col("moment.nanos").alias("timestamp_nanos"),
         "session_id", "parent_session_id", "lineage_conflict", F.coalesce("model", F.lit("unknown")).alias("model"), F.col("model").isNull().cast("bigint").alias("fallback_model"),
         *[F.col("usage")[n].alias(f"{n}_tokens") for n in COUNTS], cumulative.alias("cumulative"), flag.alias("long_context"),
-        "project_alias", "originator", "branch", "service_tier", "source_alias", "context_window", *[f"activity_{a}" for a in ACTIVITIES],
+        "project_alias", "originator", "branch", "service_tier", "source_alias", "context_window", *[f"activity_{a}" for a in ACTIVITIES], *more,
     )
 
 
 def state_after(lines: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """A row of facts for each file that stands for all of it so far: carried values, baseline, open activities, events emitted."""
-    rows = facts(lines)
+    rows = told(lines)
     rows = _followed(rows if state is None else rows.unionByName(state))
     end = rows.groupBy("file").agg(
         F.max("source_offset").alias("at"), F.max_by("relative", "source_offset").alias("relative"), F.max_by("cumulative", F.when(F.col("cumulative").isNotNull(), F.col("source_offset"))).alias("cumulative"),
@@ -258,7 +289,7 @@ def state_after(lines: DataFrame, state: DataFrame | None = None) -> DataFrame:
         F.max("first_parent").alias("line_parent"), F.max("lineage_conflict").alias("line_conflict"), F.max(F.col("ordinal") + F.col("emits").cast("bigint")).alias("emitted_before"),
         *[F.max_by(F.when(F.col("emits"), F.lit(0)).otherwise(F.col(f"activity_{a}")), "source_offset").alias(f"pending_{a}") for a in ACTIVITIES],
     )
-    shape = facts(lines.limit(0)).schema
+    shape = told(lines.limit(0)).schema
     given = {"source_offset": F.lit(-1).cast("bigint")}
     return end.select(*[(given.get(f.name, F.col(f.name)) if f.name in given or f.name in end.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
 

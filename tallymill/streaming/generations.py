@@ -47,6 +47,10 @@ class Generations:
                 raise Taken(name) from e
             raise
 
+    def drop(self, name: str) -> None:
+        """Remove a folder that was of use to its writer alone."""
+        self._files().delete(self._path(name), True)
+
     def prune(self) -> None:
         """Remove what only generations before the last base but one are made of; readers of the last one are not disturbed."""
         bases = self._whole("base")
