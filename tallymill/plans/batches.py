@@ -25,11 +25,14 @@ def streamed(spark: SparkSession, batches: list[DataFrame], run: Callable[[DataF
     return drained(run(source(spark, batches)), f"{at}/rows", f"{at}/checkpoint")
 
 
-def applied(spark: SparkSession, batches: list[DataFrame], apply: Callable[[DataFrame, int], None]) -> None:
-    """Give a store each frame as a batch of a stream; a batch is many files, so writing and reading it is many tasks' work."""
+def applied(spark: SparkSession, batches: list[DataFrame], apply: Callable[[DataFrame, int], None], rows: int = 0) -> None:
+    """Give a store each frame as a batch of a stream; a batch is many files, so writing and reading it is many tasks' work.
+
+    Files have at most so many rows, if told: where tasks write unlike shares, those that read take like ones.
+    """
     at = f"{shared_folder(spark)}/applied-{uuid.uuid4().hex}"
     for batch in batches:
-        batch.write.mode("append").parquet(f"{at}/batches")
+        batch.write.option("maxRecordsPerFile", rows).mode("append").parquet(f"{at}/batches")
         # all files that are new are one batch, worked off before the next one comes
         stream = spark.readStream.schema(batches[0].schema).parquet(f"{at}/batches")
         stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -143,7 +143,7 @@ def _parsed_stream(spark, sf_dir):
     cut = lines.agg(F.max("source_offset")).first()[0] or 0
     thirds = [lines.filter(F.col("source_offset").between(cut * k // 3 + (k > 0), cut * (k + 1) // 3)) for k in range(3)]
     store = parsing.ObservationStore(spark, f"{shared_folder(spark)}/observed-{uuid.uuid4().hex}")
-    batches.applied(spark, thirds, store.apply)
+    batches.applied(spark, thirds, store.apply, rows=100_000)
     return _shown(store.observations())
 
 
